@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, mixing, token_files
+from . import bpe, jaccard, mixing, substring, token_files
 from ._shared import shared_dir
 
 
@@ -25,6 +25,11 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 WORD_TERMINALS = 49_408
 
 
@@ -38,6 +43,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest_repeats(table(spark, sf_dir, "documents"), window=35)
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey,
@@ -67,7 +76,7 @@ SELECT doc_id, size, source_size, target, source,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encode_decode, op5_token_files, op8_mix_sources)}
+    return {f.__name__: f for f in (op2_bpe_encode_decode, op4_jaccard_join, op5_token_files, op8_mix_sources, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
