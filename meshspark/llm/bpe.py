@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import itertools
+import os
 import re
 from functools import lru_cache
 
@@ -33,17 +34,17 @@ class PrefixEncoder:
         for b, r in ranks.items():
             self.bytes[r] = b
         self.left, self.right = list(range(len(self.bytes))), list(range(len(self.bytes)))
-        self.usable: dict[bytes, int] = {}
-        self.most = [1] * 256  # the longest usable token that ends with a byte
+        self.tails: dict[bytes, int] = {}  # every suffix of a usable token: its own id, or -1
         for b, r in sorted(ranks.items(), key=lambda x: x[1]):
             if len(b) > 1:
                 split = self._halves(b, r)
                 if split is None:
                     continue  # no merges lead to it: only a whole piece can be this token
                 self.left[r], self.right[r] = split
-            self.usable[b] = r
-            self.most[b[-1]] = max(self.most[b[-1]], len(b))
-        self.longest = max(self.most)
+            for i in range(1, len(b)):
+                self.tails.setdefault(b[i:], -1)
+            self.tails[b] = r
+        self.longest = max(map(len, self.tails))
         self.follows: dict[int, bool] = {}
 
     def _halves(self, token: bytes, rank: int) -> tuple[int, int] | None:
@@ -93,17 +94,20 @@ class PrefixEncoder:
 
     def extend(self, piece: bytes, last: list[int], upto: int | None = None) -> list[int]:
         """Continue last, the last tokens of piece's first prefixes, to all of them (in place)."""
-        usable, most = self.usable, self.most
+        tail, follows, may_follow = self.tails.get, self.follows.get, self.may_follow
         for end in range(len(last) + 1, (len(piece) if upto is None else upto) + 1):
-            for start in range(max(0, end - most[piece[end - 1]]), end):
-                token = usable.get(piece[start:end])
-                if token is None:
-                    continue
-                if start == 0 or (last[start - 1] >= 0 and self.may_follow(last[start - 1], token)):
-                    last.append(token)
-                    break
-            else:
-                last.append(-1)
+            found, start = -1, end - 1
+            while start >= 0 and (token := tail(piece[start:end])) is not None:
+                if token >= 0:
+                    if start == 0:
+                        found = token
+                    elif (before := last[start - 1]) >= 0:
+                        good = follows(before << 32 | token)
+                        if good or (good is None and may_follow(before, token)):
+                            found = token
+                            break
+                start -= 1
+            last.append(found)
         return last
 
     def tokens(self, piece: bytes, last: list[int]) -> list[int]:
@@ -153,17 +157,47 @@ _UNITS = re.compile(rf" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 
 
 class TextEncoder:
-    """Ids of texts: the pattern's matches, each encoded by a PrefixEncoder; frequent units are kept."""
+    """Ids of texts: the pattern's matches, each encoded by a PrefixEncoder; frequent units are kept.
+
+    New pieces of a batch are encoded in sorted order, so that a prefix that several share is done once.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, cached: int = CACHED):
         self.prefixes = PrefixEncoder(ranks)
         self.pattern = regex.compile(pattern.replace(r"\s", r"\p{White_Space}"))
         self.dtype = np.dtype("<u2" if len(self.prefixes.bytes) <= 1 << 16 else "<u4")
-        self.pieces = Recent(lambda p: np.array(self.prefixes.encode(p), self.dtype).tobytes(), cached)
-        self.units = Recent(lambda u: b"".join([self.pieces[p.encode()] for p in self.pattern.findall(u)]), cached)
+        self.pieces = Recent(lambda p: self._encoded([p])[0], cached)
+        self.units = Recent(lambda u: self._joined([u])[0], cached)
+
+    def _encoded(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces in sorted order."""
+        out, last, before, as_bytes = [], [], b"", np.array
+        for piece in pieces:
+            p = piece.encode()
+            whole = self.prefixes.ranks.get(p)
+            if whole is None:
+                same = len(os.path.commonprefix((before, p)))
+                del last[same:]
+                self.prefixes.extend(p, last)
+                before = p
+                ids = self.prefixes.tokens(p, last)
+            else:
+                ids = [whole]
+            out.append(as_bytes(ids, self.dtype).tobytes())
+        return out
+
+    def _joined(self, units: list[str]) -> list[bytes]:
+        split = [self.pattern.findall(u) for u in units]
+        self.pieces.load(sorted({p for pieces in split for p in pieces}), self._encoded)
+        return [b"".join([self.pieces[p] for p in pieces]) for pieces in split]
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        units = [_UNITS.findall(t) for t in texts]
+        self.units.load(sorted({u for some in units for u in some}), self._joined)
+        return [np.frombuffer(b"".join(map(self.units.__getitem__, some)), self.dtype) for some in units]
 
     def ids(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.units.__getitem__, _UNITS.findall(text))), self.dtype)
+        return self.many([text])[0]
 
     def appended(self, text: str, ids: np.ndarray, more: str) -> np.ndarray:
         """The ids of text + more from those of text: only text's last match is encoded again."""
@@ -188,13 +222,13 @@ def encode(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id",
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = text_encoder(path, pattern)
-        each = [t.ids(x) if x else np.empty(0, t.dtype) for x in batch.column(1).to_pylist()]
+        each = t.many([x or "" for x in batch.column(1).to_pylist()])
         offsets = np.cumsum([0, *map(len, each)])
         flat = np.concatenate([np.empty(0, t.dtype), *each]).astype(np.int32)
         ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
         return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(np.diff(offsets).astype(np.int64))], ["doc_id", "ids", "n_tokens"])
 
-    return map_arrow(only(docs, doc_id=doc_id, text=text), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, n_tokens long", 256)
+    return map_arrow(only(docs, doc_id=doc_id, text=text), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, n_tokens long", 1024)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, *, ids: str = "ids") -> DataFrame:
