@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, jaccard, mixing, substring, token_files
+from . import ann, bpe, jaccard, mixing, neardup, substring, token_files
 from ._shared import shared_dir
 
 
@@ -25,6 +25,10 @@ def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = jaccard.jaccard_components(table(spark, sf_dir, "documents"), n=4, percent=85)
     return found.select("doc_id", "n_shingles", "component_id")
@@ -47,6 +51,10 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_repeats(table(spark, sf_dir, "documents"), window=35)
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey,
@@ -76,7 +84,7 @@ SELECT doc_id, size, source_size, target, source,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encode_decode, op4_jaccard_join, op5_token_files, op8_mix_sources, op9_substring_dedup)}
+    return {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op4_jaccard_join, op5_token_files, op8_mix_sources, op9_substring_dedup, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
