@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, neardup, substring, token_files
+from . import ann, bpe, jaccard, mixing, neardup, substring, token_files, toxicity
 from ._shared import shared_dir
 
 
@@ -51,6 +51,14 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.digest_repeats(table(spark, sf_dir, "documents"), window=35)
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    machine = toxicity.fit_machine(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.select("doc_id", "text"), machine)
+    predicted = F.when(F.col("score") >= toxicity.CUTOFF, 1).otherwise(0).cast("int")
+    return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", predicted.alias("predicted"))
+
+
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
@@ -84,7 +92,7 @@ SELECT doc_id, size, source_size, target, source,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op4_jaccard_join, op5_token_files, op8_mix_sources, op9_substring_dedup, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op4_jaccard_join, op5_token_files, op7_toxicity, op8_mix_sources, op9_substring_dedup, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
