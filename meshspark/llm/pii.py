@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import math
 import re
 from collections.abc import Callable
 
@@ -31,10 +32,7 @@ class Feistel:
         """Where x goes within its tag's permutation of 0 .. n - 1; with back, where it came from."""
         if n < 2:
             return x
-        a = 1
-        while a * a < n:
-            a += max(1, a // 2) if a * a * 4 < n else 1
-        a = _root(n)
+        a = math.isqrt(n - 1) + 1
         b = -(-n // a)
         while True:
             l, r = divmod(x, b)
@@ -49,16 +47,9 @@ class Feistel:
             if x < n:
                 return x
 
-    def other(self, x: int, n: int, tag: str) -> int:
-        """As permuted, but the few values that would stay trade places: none is its own pseudonym."""
-        y = self.permuted(x, n, tag)
-        return self.permuted(y, n, tag + "'") if y == x else y
-
-
-def _root(n: int) -> int:
-    import math
-
-    return math.isqrt(n - 1) + 1
+    def other(self, x: int, n: int, tag: str, back: bool = False) -> int:
+        """A permutation that leaves nothing in place: one step on in the keyed order, around its end; with back, undone."""
+        return self.permuted((self.permuted(x, n, tag) + (-1 if back else 1)) % n, n, tag, back=True)
 
 
 def luhn(digits: str) -> int:

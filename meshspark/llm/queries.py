@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, neardup, substring, token_files, toxicity
+from . import ann, bpe, jaccard, mixing, neardup, pii, substring, token_files, toxicity
 from ._shared import shared_dir
 
 
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), counted="n_pseudonyms").select("doc_id", "text", "n_pseudonyms")
+
+
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -92,7 +96,7 @@ SELECT doc_id, size, source_size, target, source,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_bpe_encode_decode, op3_embedding_near_dedup, op4_jaccard_join, op5_token_files, op7_toxicity, op8_mix_sources, op9_substring_dedup, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_jaccard_join, op5_token_files, op7_toxicity, op8_mix_sources, op9_substring_dedup, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
