@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, jaccard, mixing, neardup, pii, substring, token_files, toxicity
+from . import ann, bpe, html_text, jaccard, mixing, neardup, pii, substring, token_files, toxicity
 from ._shared import shared_dir
 
 
@@ -47,6 +47,10 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest_token_files(spark, out, n_terminals=WORD_TERMINALS)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
@@ -96,7 +100,7 @@ SELECT doc_id, size, source_size, target, source,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudonyms, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_jaccard_join, op5_token_files, op7_toxicity, op8_mix_sources, op9_substring_dedup, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_jaccard_join, op5_token_files, op6_html_text, op7_toxicity, op8_mix_sources, op9_substring_dedup, op10_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
