@@ -1,11 +1,12 @@
 """Registered queries of the mesh operators and their SQL."""
 
-from __future__ import annotations
+from .oracle import SQL
+from .work import QUERIES
 
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
