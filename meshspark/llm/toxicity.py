@@ -20,7 +20,7 @@ from ._shared import Recent, map_arrow, only, utf8
 #: Rows of either label that the machine is fitted on at most, the first by hash.
 SAMPLE = 8000
 LANDMARKS, POWER, DECAY, STEP, PIECE, CACHED, CUTOFF, TELLING = 128, 3, 0.5, 3, 32, 300_000, 0.3, 6.0
-ROUNDS = 4
+ROUNDS, BLOCK = 4, 4096
 _GAP, _BEGIN, _END, _SYMBOLS = 0, 1, 2, 64
 _PATTERNS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, STEP + 1) for b in range(1, STEP + 1)]
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
@@ -158,11 +158,12 @@ class Machine:
 
     def margins(self, words: list[str]) -> np.ndarray:
         """A word's margin is that of its best piece, on a logarithmic scale either side of 0."""
+        blocks = [self._margins(words[at : at + BLOCK]) for at in range(0, len(words), BLOCK)]
+        return np.concatenate(blocks) if blocks else np.empty(0)
+
+    def _margins(self, words: list[str]) -> np.ndarray:
         each = [pieces(w) for w in words]
-        flat = list(itertools.chain.from_iterable(each))
-        if not flat:
-            return np.empty(0)
-        f = self.kernel(flat) @ self.alpha + self.bias
+        f = self.kernel(list(itertools.chain.from_iterable(each))) @ self.alpha + self.bias
         best = np.maximum.reduceat(f, np.cumsum([0, *map(len, each)])[:-1])
         return np.sign(best) * np.log1p(np.abs(best))
 
@@ -180,8 +181,8 @@ def _disguised(word: str, rng: np.random.Generator) -> list[str]:
     return [word[: at[0]] + "abcdefghijklmnopqrstuvwxyz"[int(rng.integers(26))] + word[at[0] :], word[: at[1]] + "." + word[at[1] :]]
 
 
-def learned(docs: list[set[str]], toxic: np.ndarray, seed: int = 3) -> Machine | None:
-    """Fit on documents as sets of words. None without documents of either label.
+def learned(docs: list[tuple[str, ...]], toxic: np.ndarray, seed: int = 3) -> Machine | None:
+    """Fit on documents as their distinct words. None without documents of either label.
 
     A toxic document has at least one toxic sentence, and that one toxic word, but which is not told:
     as in multiple-instance learning, the word with the best margin stands for its document, the
@@ -298,9 +299,14 @@ def fit_machine(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, doc
 
     # At most 2 * sample rows.
     found = only(docs, id=doc_id, text=text).join(F.broadcast(some), "id").select("text", F.col("toxic").cast("int"))
-    rows = map_arrow(found, run, "words string, toxic int").toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["words"], r["toxic"]))
-    return learned([set(r["words"].split("\n")) - {""} for r in rows], np.array([r["toxic"] == 1 for r in rows], bool))
+    got = map_arrow(found, run, "words string, toxic int").toArrow()
+    rows = sorted(zip(got.column("words").to_pylist(), got.column("toxic").to_pylist(), strict=True))
+    del got
+    same: dict[str, str] = {}  # one object for each word, however many documents have it
+    each = [tuple(same.setdefault(w, w) for w in words.split("\n") if w) for words, _ in rows]
+    toxic = np.array([t == 1 for _, t in rows], bool)
+    del rows
+    return learned(each, toxic)
 
 
 _scorers: dict = {}
