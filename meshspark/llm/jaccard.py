@@ -268,7 +268,8 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id
 def one_of_each(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that represent their component (its smallest id); all columns stay.
 
-    Repeated ids stay one row; documents with null ids stay.
+    Rows with equal ids stay or go together: they go if any of them is in the group of a smaller id.
+    Documents with null ids stay.
     """
     found = jaccard_components(docs, doc_id=doc_id, text=text, **options)
     gone = materialize(found.filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")

@@ -88,7 +88,8 @@ def mixed_documents(docs: DataFrame, *, most_sources: int = 100_000, **options)
 
     The texts don't move: a source's cut is a key, and the small table of cuts goes to the documents
     (broadcast while it has at most most_sources rows, else joined). A document at the cut is in if
-    at least half of its words are. Documents without words follow their key.
+    at least half of its words are. Documents without words follow their key. Columns of docs keep
+    their names and values whatever they are called.
     """
     doc_id, source = options.get("doc_id", "doc_id"), options.get("source", "source")
     seed = options.get("seed", "mix")
@@ -96,11 +97,14 @@ def mixed_documents(docs: DataFrame, *, most_sources: int = 100_000, **options)
     skey = lambda c: F.when(c.isNull(), "n").otherwise(F.concat(F.lit("s"), c))
     extra = F.col("taken") - F.col("epochs") * F.col("size")
     inside = (F.col("size") > 0) & (2 * extra >= F.col("size"))
-    cuts = taken.groupBy(skey(F.col("source")).alias("_skey")).agg(F.max("epochs").alias("_epochs"), F.max(F.when(inside, F.col("key"))).alias("_cut"))
+    stem = "_"
+    while any(c.startswith(stem) for c in docs.columns):
+        stem += "_"
+    key, epochs, cut, times = (f"{stem}{c}" for c in ("skey", "epochs", "cut", "times"))
+    cuts = taken.groupBy(skey(F.col("source")).alias(key)).agg(F.max("epochs").alias(epochs), F.max(F.when(inside, F.col("key"))).alias(cut))
     cuts = materialize(cuts, "cuts")
     cuts = F.broadcast(cuts) if cuts.count() <= most_sources else cuts
-    again = F.when(hash_key(F.col(f"`{doc_id}`"), seed) <= F.col("_cut"), 1).otherwise(0)
-    out = docs.withColumn("_skey", skey(F.col(f"`{source}`"))).join(cuts, "_skey")
-    times = (F.col("_epochs") + again).cast("int")
-    out = out.withColumn("_times", times).filter("_times > 0")
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*(F.col(f"`{c}`") for c in docs.columns))
+    again = F.when(hash_key(F.col(f"`{doc_id}`"), seed) <= F.col(cut), 1).otherwise(0)
+    out = docs.withColumn(key, skey(F.col(f"`{source}`"))).join(cuts, key)
+    out = out.withColumn(times, (F.col(epochs) + again).cast("int")).filter(F.col(times) > 0)
+    return out.withColumn(f"{stem}copy", F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(F.col(f"`{c}`") for c in docs.columns))
