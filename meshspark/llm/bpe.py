@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import base64
-import itertools
 import os
 import re
 from functools import lru_cache
@@ -231,16 +230,30 @@ def encode(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id",
     return map_arrow(only(docs, doc_id=doc_id, text=text), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, n_tokens long", 1024)
 
 
-def decode(encoded: DataFrame, path: str, pattern: str, *, ids: str = "ids") -> DataFrame:
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> pa.BinaryArray:
+    """The bytes of every id, in order; ids without a token have none."""
+    ranks = read_ranks(path)
+    out = [b""] * (max(ranks.values()) + 1)
+    for token, rank in ranks.items():
+        out[rank] = token
+    return pa.array(out, pa.binary())
+
+
+def decode(encoded: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
     """encoded with a column decoded, the bytes of its ids; null ids give null."""
     names = encoded.columns
     schema = encoded.withColumn("decoded", F.lit(None).cast("binary")).schema
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        table, column = text_encoder(path, pattern).prefixes, batch.column(names.index(ids))
-        lengths, flat = pc.list_value_length(column).to_pylist(), column.flatten().to_pylist()
-        ends = list(itertools.accumulate(n or 0 for n in lengths))
-        decoded = [None if n is None else table.decode(flat[end - n : end]) for n, end in zip(lengths, ends, strict=True)]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(decoded, pa.binary())], [*names, "decoded"])
+        column = batch.column(names.index(ids))
+        taken = token_bytes(path).take(column.flatten())
+        # The tokens of all ids lie one after another: a document's bytes are a stretch of them.
+        ends = np.cumsum([0, *(n or 0 for n in pc.list_value_length(column).to_pylist())])
+        starts = np.frombuffer(taken.buffers()[1], np.int32)[taken.offset :] if len(taken) else np.zeros(1, np.int32)
+        data = taken.buffers()[2] if len(taken) else pa.py_buffer(b"")
+        whole = pa.Array.from_buffers(pa.binary(), len(column), [None, pa.py_buffer(starts[ends]), data])
+        decoded = pc.if_else(pc.is_valid(column), whole, pa.scalar(None, pa.binary()))
+        return pa.RecordBatch.from_arrays([*batch.columns, decoded], [*names, "decoded"])
 
     return map_arrow(encoded, run, schema, 256)

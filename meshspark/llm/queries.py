@@ -24,7 +24,7 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     encoded = bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
-    both = bpe.decode(encoded, ranks, public_tokenizers.PATTERN)
+    both = bpe.decode(encoded, ranks)
     ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
     return both.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

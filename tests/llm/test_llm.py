@@ -48,7 +48,7 @@ def test_pseudonyms_are_linked_valid_and_can_be_undone(spark):
 def test_bpe_equals_the_public_library_and_decodes(spark):
     texts = _texts()
     truth = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_tiktoken_bpe(RANKS), special_tokens={})
-    rows = bpe.decode(bpe.encode(_docs(spark, texts), RANKS, public_tokenizers.PATTERN), RANKS, public_tokenizers.PATTERN).collect()
+    rows = bpe.decode(bpe.encode(_docs(spark, texts), RANKS, public_tokenizers.PATTERN), RANKS).collect()
     for r in rows:
         t = texts[r.doc_id] or ""
         assert r.ids == truth.encode_ordinary(t) and bytes(r.decoded) == t.encode()
