@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import public_tokenizers
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tiktoken.load import load_tiktoken_bpe
@@ -179,3 +180,22 @@ def test_stages_keep_columns_and_take_empty_tables(spark, tmp_path):
             assert out.agg(F.count("*")).first()[0] >= 0
     ids = corpus_pipeline.run(spark, str(tmp_path))
     assert ids.columns == ["doc_id", "ids", "n_tokens"] and ids.count() > 0
+
+
+@pytest.mark.parametrize("block", [32, 8], ids=["paired", "parted"])
+def test_no_task_holds_a_whole_group_of_unlike_documents(spark, monkeypatch, block):
+    rng = np.random.default_rng(5)
+    shared = " ".join(f"s{i}" for i in range(60))
+    texts = [f"{shared} " + " ".join(f"u{x}" for x in rng.integers(0, 10**9, 30)) for _ in range(300)]
+    texts += [t + " end" for t in texts[:20]]
+    held, similar = [], jaccard._similar
+
+    def seen(groups, *args, **options):
+        held.append(groups.groupBy("gid", "block").count().agg(F.max("count")).first()[0])
+        return similar(groups, *args, **options)
+
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "_similar", seen)
+    rows = jaccard.jaccard_components(_docs(spark, texts), n=4, percent=85).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == [*range(300), *range(20)]
+    assert len(held) == 2 and max(held) <= 4 * block  # two blocks, dealt by a hash
