@@ -99,12 +99,11 @@ class Pseudonyms:
         d = re.sub(r"\D", "", m[0])
         if m[0].startswith("+1") or (len(d) == 10 and not m[0].startswith("+")):
             d = d[-10:]
-            if len(d) != 10 or d[0] == "0":
+            if len(d) != 10:
                 return None
-            # Area code from 2 to 9, then nine free digits.
-            first, rest = max(int(d[0]), 1) - 1, int(d[1:])
-            x = self.feistel.other(first * 10**9 + rest, 9 * 10**9, "phone1")
-            new = str(x // 10**9 + 1) + str(x % 10**9).zfill(9)
+            # All ten digits are free; area codes from 2 to 9 stay such, and so do those with 0 or 1.
+            low, n = (0, 2 * 10**9) if d[0] < "2" else (2 * 10**9, 8 * 10**9)
+            new = str(low + self.feistel.other(int(d) - low, n, f"phone1{low}")).zfill(10)
             whole = re.sub(r"\D", "", m[0])[:-10] + new
             return _refilled(m[0], whole)
         if not 9 <= len(d) <= 15:

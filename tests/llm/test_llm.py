@@ -199,3 +199,16 @@ def test_no_task_holds_a_whole_group_of_unlike_documents(spark, monkeypatch, blo
     rows = jaccard.jaccard_components(_docs(spark, texts), n=4, percent=85).orderBy("doc_id").collect()
     assert [r.component_id for r in rows] == [*range(300), *range(20)]
     assert len(held) == 2 and max(held) <= 4 * block  # two blocks, dealt by a hash
+
+
+def test_telephone_numbers_of_every_leading_digit():
+    names, numbers = pii.Pseudonyms(), [f"{d}17{rest}" for d in range(10) for rest in ("5557713", "5550000")]
+    news = set()
+    for n in numbers:
+        forms = [f"+1 ({n[:3]}) {n[3:6]}-{n[6:]}", f"({n[:3]}) {n[3:6]}-{n[6:]}", f"{n[:3]}-{n[3:6]}-{n[6:]}", f"+1 {n[:3]} {n[3:6]} {n[6:]}"]
+        made = [pii.pseudonymized(f"call {f} now", names) for f in forms]
+        assert all(c == {"phone": 1} for _, c in made)
+        digits = {re.sub(r"\D", "", t)[-10:] for t, _ in made}
+        assert len(digits) == 1 and (new := digits.pop()) != n and (new[0] < "2") == (n[0] < "2")
+        news.add(new)
+    assert len(news) == len(numbers)
