@@ -6,7 +6,6 @@ import datetime
 import hashlib
 import math
 import re
-from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -215,6 +214,59 @@ KINDS: list[tuple[str, str]] = [
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"),
     ("phone", r"(?<![\w.+-])(?:\+1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\+(?!1[ .(-])\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6})(?![\w-]|\.\d)"),
 ]
+#: Lengths of IBANs by country.
+_IBAN = dict(re.findall(r"([A-Z]{2})(\d\d)", "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DK18 DO28 EE20 EG29 ES24 FI18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MR27 MT31 MU30 NL18 NO15 PK24 PL28 PS29 PT25 QA29 RO24 RS22 SA24 SC31 SE24 SI19 SK24 SM27 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"))
+#: Digits of telephone numbers of countries where all have as many, country code included.
+_PHONE = {"31": 11, "33": 11, "34": 11, "41": 11, "44": 12, "48": 11, "61": 11, "7": 11, "91": 12, "351": 12, "420": 12}
+#: The usual groups of cards, without separators or with one kind of them.
+_CARD = re.compile(r"\d{13,19}|\d{4}(?P<s>[ -])\d{4}(?P=s)\d{4}(?P=s)(?:\d{4}(?:(?P=s)\d{1,3})?|\d{1,3})|\d{4}(?P<t>[ -])\d{6}(?P=t)\d{4,5}")
+
+
+def _ends(m: re.Match) -> list[re.Match]:
+    """The match and those of its pattern that end at one of its separators, longest first."""
+    out = [m]
+    for at in range(m.end() - 1, m.start(), -1):
+        if m.string[at] in " .-" and (short := _ALONE[m.re].fullmatch(m.string, m.start(), at)):
+            out.append(short)
+    return out
+
+
+def _whole(kind: str, m: re.Match) -> tuple[int, int]:
+    """How well the digits of a match make one number: the usual length or groups, then the longer."""
+    d = re.sub(r"[\W_]", "", m[0])
+    if kind == "iban":
+        usual = _IBAN.get(d[:2]) == str(len(d))
+    elif kind == "card":
+        usual = _CARD.fullmatch(m[0]) is not None
+    else:
+        usual = any(_PHONE.get(d[:k]) == len(d) for k in (1, 2, 3))
+    return usual, len(d)
+
+
+def _valid(names: Pseudonyms, kind: str, m: re.Match) -> tuple[re.Match, str | None]:
+    """The best match from this start that validates, and its pseudonym.
+
+    A number may be followed by others that its pattern takes in. Of the ends that validate, the one
+    with the country's length or the usual groups and like separators is taken, else the longest. A
+    card without usual groups gives way to one with them that begins later inside.
+    """
+    how = getattr(names, kind)
+    if kind not in ("card", "iban") and not (kind == "phone" and m[0][0] == "+" and m[0][1] != "1"):
+        return m, how(m)
+    m = _ONE[kind].match(m.string, m.start()) or m
+    found = [(_whole(kind, x), x, new) for x in _ends(m) if (new := how(x)) is not None]
+    best = max(found, key=lambda x: x[0], default=((False, 0), m, None))
+    if kind == "card" and best[2] is not None and not best[0][0]:
+        for at in range(m.start() + 1, best[1].end()):
+            if m.string[at - 1] == " " and (inner := _ONE[kind].match(m.string, at)) is not None:
+                if any(_whole(kind, x)[0] and how(x) is not None for x in _ends(inner)):
+                    return m, None
+    return best[1:]
+
+
+_ONE = {name: re.compile(pattern) for name, pattern in KINDS}
+#: The same without what must follow: that is a separator where a match is cut short.
+_ALONE = {_ONE[name]: re.compile(re.sub(r"\(\?!(?:[^()]|\\.)*\)$", "", pattern)) for name, pattern in KINDS}
 _ANY = re.compile("|".join(f"(?P<_{name}>{pattern})" for name, pattern in KINDS))
 #: What any of them needs: a digit or an at sign, or one of the words before a secret.
 _HINT = re.compile(r"[0-9@]|(?i:pass|secret|token|api)")
@@ -228,13 +280,14 @@ def pseudonymized(text: str, names: Pseudonyms) -> tuple[str, dict[str, int]]:
     out, at, start = [], 0, 0
     while (m := _ANY.search(text, start)) is not None:
         kind = m.lastgroup if m.lastgroup and m.lastgroup.startswith("_") else next(k for k, v in m.groupdict().items() if k.startswith("_") and v is not None)
-        how: Callable = getattr(names, kind[1:])
-        new = how(m)
+        m, new = _valid(names, kind[1:], m)
         if new is None:  # not that kind: a later kind may still match here
             for other, pattern in _LATER[kind[1:]]:
-                if (again := pattern.match(text, m.start())) is not None and (new := getattr(names, other)(again)) is not None:
-                    m, kind = again, f"_{other}"
-                    break
+                if (again := pattern.match(text, m.start())) is not None:
+                    again, new = _valid(names, other, again)
+                    if new is not None:
+                        m, kind = again, f"_{other}"
+                        break
         if new is None:
             start = max(m.start() + 1, _run_end(text, m.start()))
             continue

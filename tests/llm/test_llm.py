@@ -212,3 +212,21 @@ def test_telephone_numbers_of_every_leading_digit():
         assert len(digits) == 1 and (new := digits.pop()) != n and (new[0] < "2") == (n[0] < "2")
         news.add(new)
     assert len(news) == len(numbers)
+
+
+def test_numbers_followed_by_others_are_found_and_stay_equal():
+    names = pii.Pseudonyms()
+    pairs = [("4111 1111 1111 1111", ["123", "12", "7 2024"]), ("4111111111111111", ["12", "1"]), ("4111-1111-1111-1111", ["12"])]
+    pairs += [("ES91 2100 0418 4502 0005 1332", ["EUR", "PAID", "12"]), ("ES9121000418450200051332", ["EUR"]), ("GB82 WEST 1234 5698 7654 32", ["EUR"])]
+    pairs += [("+33 1 23 45 67 89", ["12", "7"]), ("+44 20 7946 0958", ["12"])]
+    for number, after in pairs:
+        alone, counts = pii.pseudonymized(f"pay {number}, now", names)
+        assert sum(counts.values()) == 1 and number not in alone
+        new = alone[4:-5]
+        for more in after:
+            assert pii.pseudonymized(f"pay {number} {more}, now", names)[0] == f"pay {new} {more}, now"
+    # A number before a card doesn't take a part of it away; mixed separators are still found.
+    card = pii.pseudonymized("4111 1111 1111 1111", names)[0]
+    for before in range(100):
+        assert pii.pseudonymized(f"no {before:02d} 4111 1111 1111 1111.", names)[0] == f"no {before:02d} {card}."
+    assert pii.pseudonymized("4111 1111-1111 1111", names)[1] == {"card": 1}
