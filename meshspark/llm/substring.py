@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from ._shared import only, rolling, utf8, word_hashes
 
 WINDOW, DOCS_PER_CHUNK, DOCS_PER_BUCKET = 35, 1000, 1000
-PACKED = "bucket long, chunk long, n long, hashes binary, places binary"
+PACKED, FOUND = "bucket long, chunk long, n long, hashes binary, flags binary", "bucket long, chunk long, hashes binary"
+AGAIN, BLOCK = 1, 2
 
 
 class Chunk:
@@ -41,30 +42,32 @@ class Chunk:
         return at - np.repeat(self.begins, self.sizes)[at]
 
 
-def _packed(chunk: int, bucket: np.ndarray, hashes: np.ndarray, places: np.ndarray) -> pa.Table:
-    """A row for each bucket: the hashes, and the rising places as steps in the fewest bytes."""
+def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each hash (all bits but the lowest, which tells a block) once, rising, and its flags."""
+    h = np.sort(h)
+    starts = np.flatnonzero(np.concatenate([[True], h[1:] >> np.uint64(1) != h[:-1] >> np.uint64(1)])) if len(h) else np.empty(0, np.int64)
+    ends = np.append(starts[1:], len(h))[: len(starts)] - 1
+    return h[ends], ((ends > starts) * AGAIN + (h[ends] & np.uint64(1)).astype(np.int64) * BLOCK).astype(np.uint8)
+
+
+def _packed(chunk: int, bucket: np.ndarray, hashes: np.ndarray, flags: np.ndarray) -> pa.Table:
+    """A row for each bucket: the hashes and their flags."""
     order = np.argsort(bucket, kind="stable")
-    bucket, hashes, places = bucket[order], hashes[order], places[order]
+    bucket, hashes, flags = bucket[order], hashes[order], flags[order]
     cuts = np.flatnonzero(np.diff(bucket)) + 1
     rows = []
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(bucket)], strict=True):
         if a < b:
-            steps = np.diff(places[a:b], prepend=0)
-            width = "<u1" if steps.max() < 1 << 8 else "<u2" if steps.max() < 1 << 16 else "<u4"
-            rows.append((int(bucket[a]), chunk, b - a, hashes[a:b].tobytes(), steps.astype(width).tobytes()))
+            rows.append((int(bucket[a]), chunk, b - a, hashes[a:b].tobytes(), flags[a:b].tobytes()))
     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "chunk", "n", "hashes", "places"])
-
-
-def _unpacked(places: bytes, n: int) -> np.ndarray:
-    return np.cumsum(np.frombuffer(places, f"<u{len(places) // n}"), dtype=np.int64)
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "chunk", "n", "hashes", "flags"])
 
 
 def _matches(table: pa.Table, width: int, blocks: bool) -> pa.Table:
-    """Of a bucket's records, the places of those whose hash occurs again; with blocks, of which one is a block."""
+    """Of a bucket's records, the hashes that occur again; with blocks, of which one is a block."""
     chunks, ns = table.column("chunk").to_pylist(), table.column("n").to_pylist()
     hashes = np.concatenate([np.frombuffer(x.as_py(), f"<u{width}") for x in table.column("hashes")])
-    places = np.concatenate([_unpacked(x.as_py(), n) for x, n in zip(table.column("places"), ns, strict=True)])
+    flags = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("flags")])
     if width == 4:
         order = np.sort(hashes.astype(np.uint64) << np.uint64(32) | np.arange(len(hashes), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
         order = order.astype(np.int64)
@@ -73,25 +76,24 @@ def _matches(table: pa.Table, width: int, blocks: bool) -> pa.Table:
     ordered = hashes[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(np.append(starts, len(ordered)))
-    good = counts > 1
+    any_of = np.bitwise_or.reduceat(flags[order], starts)
+    good = (counts > 1) | (any_of & AGAIN > 0)
     if blocks:
-        good &= np.add.reduceat(places[order] & 1, starts) > 0
+        good &= any_of & BLOCK > 0
     hit = np.sort(order[np.repeat(good, counts)])
     owner = np.searchsorted(np.cumsum(ns), hit, "right")
     cuts = np.flatnonzero(np.diff(owner)) + 1
     rows = []
     for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(hit)], strict=True):
         if a < b:
-            at = places[hit[a:b]] >> 1 if blocks else places[hit[a:b]]
-            rows.append((chunks[int(owner[a])], at.astype("<u4").tobytes()))
-    return pa.table([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["chunk", "places"])
+            rows.append((table.column("bucket")[0].as_py(), chunks[int(owner[a])], hashes[hit[a:b]].tobytes()))
+    return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.binary()])], names=["bucket", "chunk", "hashes"])
 
 
-def _marks(chunk: Chunk, hits: pa.Table) -> np.ndarray:
-    marks = np.zeros(chunk.n + 1, np.int64)
-    for x in hits.column("places"):
-        marks[np.frombuffer(x.as_py(), "<u4")] = 1
-    return np.concatenate([[0], np.cumsum(marks[:-1])])
+def _among(h: np.ndarray, some: list[np.ndarray]) -> np.ndarray:
+    """Which of h are in some."""
+    some = np.unique(np.concatenate(some))
+    return some[np.minimum(np.searchsorted(some, h), len(some) - 1)] == h
 
 
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,8 +106,10 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
     of that length probes it. Two equal passages of `window` words hold a whole block of either, so
     each repeated window has a hit among its first starts. Around hits the passage is extended: the
     windows with a hit are counted by their full hash, and runs of repeated windows are the maximal
-    repeats. Records travel packed, by ranges of the hash; no list of a passage's places or of pairs
-    is made, so a passage that a third of the documents share costs what other words cost.
+    repeats. Each chunk of documents sends each of its hashes once, packed by ranges of the hash,
+    with flags for more than one place and for a block; it gets back which of them repeat and marks
+    its own places. So a passage that a third of the documents share is one hash a chunk; no list of
+    a passage's places or of pairs is made.
 
     Null, empty and short texts lose nothing. Equal rows are documents of their own: each makes the
     other's windows repeat. Rows are told apart by place, so ids may be null or repeat. Kept words
@@ -129,23 +133,32 @@ def _removed(docs: DataFrame, window: int, doc_id: str, text: str, last: str, of
     def bucket(h: np.ndarray) -> np.ndarray:
         return ((h & low) * np.uint64(n_buckets) >> np.uint64(32)).astype(np.int64)
 
+    def short(h: np.ndarray) -> np.ndarray:
+        return bucket(h).astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+
     def probes(table: pa.Table) -> pa.Table:
         c = Chunk(table)
         at, h = c.windows(block)
-        is_block = (c.offset(at) % block == 0).astype(np.int64) if len(at) else at
-        return _packed(table.column("chunk")[0].as_py(), bucket(h), (h >> np.uint64(32)).astype("<u4"), at * 2 + is_block)
+        is_block = c.offset(at) % block == 0 if len(at) else at
+        h, flags = _distinct(h & ~np.uint64(1) | is_block.astype(np.uint64))
+        return _packed(table.column("chunk")[0].as_py(), bucket(h & ~np.uint64(1)), (h >> np.uint64(32)).astype("<u4"), flags)
 
     def hits(table: pa.Table) -> pa.Table:
         return _matches(table, 4, True)
 
     def candidates(table: pa.Table, found: pa.Table) -> pa.Table:
         if not found.num_rows or not table.num_rows:
-            return _packed(0, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.int64))
+            return _packed(0, np.empty(0, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint8))
         c = Chunk(table)
-        marks = _marks(c, found)
+        at, h = c.windows(block)
+        buckets = found.column("bucket").to_pylist()
+        some = [np.uint64(b << 32) | np.frombuffer(x.as_py(), "<u4").astype(np.uint64) for b, x in zip(buckets, found.column("hashes"), strict=True)]
+        marks = np.zeros(c.n + 1, np.int64)
+        marks[at[_among(short(h & ~np.uint64(1)), some)]] = 1
+        marks = np.concatenate([[0], np.cumsum(marks[:-1])])
         at, h = c.windows(window)
-        near = marks[at + window - block + 1] > marks[at]
-        return _packed(table.column("chunk")[0].as_py(), bucket(h[near]), h[near].astype("<u8"), at[near])
+        h, times = np.unique(h[marks[at + window - block + 1] > marks[at]], return_counts=True)
+        return _packed(table.column("chunk")[0].as_py(), bucket(h), h.astype("<u8"), ((times > 1) * AGAIN).astype(np.uint8))
 
     def repeats(table: pa.Table) -> pa.Table:
         return _matches(table, 8, False)
@@ -155,10 +168,11 @@ def _removed(docs: DataFrame, window: int, doc_id: str, text: str, last: str, of
             return pa.table([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.binary() if "binary" in last else pa.string())], names=names)
         c = Chunk(table)
         starts = np.zeros(c.n + window + 1, np.int64)
-        for x in found.column("places"):
-            at = np.frombuffer(x.as_py(), "<u4")
+        if found.num_rows:
+            at, h = c.windows(window)
+            at = at[_among(h, [np.frombuffer(x.as_py(), "<u8") for x in found.column("hashes")])]
             starts[at] += 1
-            starts[at.astype(np.int64) + window] -= 1
+            starts[at + window] -= 1
         stays = np.cumsum(starts)[: c.n] == 0
         removed, out = [], []
         for words, a, b in zip(c.words, c.begins.tolist(), c.ends.tolist(), strict=True):
@@ -170,7 +184,7 @@ def _removed(docs: DataFrame, window: int, doc_id: str, text: str, last: str, of
 
     names = ["doc_id", "n_words", "n_removed", last.split()[0]]
     by_chunk = d.groupBy("chunk")
-    found = by_chunk.applyInArrow(probes, PACKED).groupBy("bucket").applyInArrow(hits, "chunk long, places binary")
+    found = by_chunk.applyInArrow(probes, PACKED).groupBy("bucket").applyInArrow(hits, FOUND)
     windows = by_chunk.cogroup(found.groupBy("chunk")).applyInArrow(candidates, PACKED)
-    again = windows.groupBy("bucket").applyInArrow(repeats, "chunk long, places binary")
+    again = windows.groupBy("bucket").applyInArrow(repeats, FOUND)
     return by_chunk.cogroup(again.groupBy("chunk")).applyInArrow(kept, f"doc_id long, n_words long, n_removed long, {last}")

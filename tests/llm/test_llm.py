@@ -230,3 +230,21 @@ def test_numbers_followed_by_others_are_found_and_stay_equal():
     for before in range(100):
         assert pii.pseudonymized(f"no {before:02d} 4111 1111 1111 1111.", names)[0] == f"no {before:02d} {card}."
     assert pii.pseudonymized("4111 1111-1111 1111", names)[1] == {"card": 1}
+
+
+def test_a_common_passage_is_sent_once_a_chunk(spark, monkeypatch):
+    words = [f"w{i}" for i in range(41)]
+    texts = [" ".join(words * 60) for _ in range(10)] + [" ".join(["x", *words[:36], "y", "z"]), " ".join(f"u{i}" for i in range(60)), " ".join(["v"] * 36)]
+    docs, sent = _docs(spark, texts), []
+    group = type(docs).groupBy
+
+    def seen(df, *cols):
+        if cols == ("bucket",):
+            sent.append(df)
+        return group(df, *cols)
+
+    monkeypatch.setattr(type(docs), "groupBy", seen)
+    out = {r.doc_id: (r.n_words, r.n_removed) for r in substring.remove_repeats(docs, window=35).collect()}
+    assert out == {i: (41 * 60, 41 * 60) for i in range(10)} | {10: (39, 36), 11: (60, 0), 12: (36, 36)}
+    blocks, windows = (df.agg(F.sum("n")).first()[0] for df in sent)
+    assert blocks <= 41 + 22 + 43 + 1 and windows <= 41 + 5 + 1
