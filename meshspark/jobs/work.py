@@ -85,9 +85,10 @@ def g6_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g7_map_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The field at each point times the quantity ordered of the element's part."""
+    """The field at each point times the quantity ordered of the element's part; as in its SQL, only elements whose id is a part ordered."""
     kernel = lambda mesh: fields.value(mesh, "u") * F.col("quantity")
-    mapped = fields.map_quads(_grid(spark, sf_dir), kernel, quantity=_quantity(spark, sf_dir), u=_field(spark, sf_dir))
+    quantity = _quantity(spark, sf_dir)
+    mapped = fields.map_quads(_grid(spark, sf_dir), kernel, quantity=quantity, u=_field(spark, sf_dir)).join(quantity, "elem_id", "left_semi")
     return mapped.select("elem_id", "q", _r("v", 4).alias("v"))
 
 

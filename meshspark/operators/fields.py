@@ -80,10 +80,10 @@ def integration_weights(mesh: Mesh) -> DataFrame:
 
 
 def map_quads(mesh: Mesh, kernel: Callable[[Mesh], Column], *, quantity: DataFrame | None = None, **fields: DataFrame) -> DataFrame:
-    """elem_id, q, wt, v = kernel at every quadrature point; quantity(elem_id, ...) brings values of elements."""
+    """elem_id, q, wt, v = kernel at every quadrature point; quantity(elem_id, ...) brings values of elements, null where it has none."""
     rows = at_quads(mesh, **fields)
     if quantity is not None:
-        rows = rows.join(quantity, "elem_id")
+        rows = rows.join(quantity, "elem_id", "left")
     return rows.select("elem_id", "q", "wt", kernel(mesh).alias("v"))
 
 

@@ -27,6 +27,12 @@ def test_two_triangles(two):
     assert _values(total, "elem_id", "v") == [(0, 3.0), (1, 5.0)]
 
 
+def test_elements_without_a_quantity_stay(spark, two):
+    quantity = spark.createDataFrame([(1, 2.5)], "elem_id long, quantity double")
+    mapped = fields.map_quads(two, lambda m: F.col("quantity") * F.lit(2.0), quantity=quantity)
+    assert sorted(((r.elem_id, r.v) for r in mapped.collect()), key=str) == [(0, None), (1, 5.0)]
+
+
 def test_reserved_names_are_refused(two):
     with pytest.raises(ValueError):
         fields.at_quads(two, conn=two.nodes.select("node_id", F.col("x").alias("v")))
