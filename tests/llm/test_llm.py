@@ -188,17 +188,50 @@ def test_no_task_holds_a_whole_group_of_unlike_documents(spark, monkeypatch, blo
     shared = " ".join(f"s{i}" for i in range(60))
     texts = [f"{shared} " + " ".join(f"u{x}" for x in rng.integers(0, 10**9, 30)) for _ in range(300)]
     texts += [t + " end" for t in texts[:20]]
-    held, similar = [], jaccard._similar
+    held = []
 
-    def seen(groups, *args, **options):
-        held.append(groups.groupBy("gid", "block").count().agg(F.max("count")).first()[0])
-        return similar(groups, *args, **options)
+    def watched(inner):
+        def seen(places, *args, **options):
+            held.append(places.groupBy("gid", "block").count().agg(F.max("count")).first()[0] or 0)
+            return inner(places, *args, **options)
+
+        return seen
 
     monkeypatch.setattr(jaccard, "BLOCK", block)
-    monkeypatch.setattr(jaccard, "_similar", seen)
+    monkeypatch.setattr(jaccard, "_joined", watched(jaccard._joined))
+    monkeypatch.setattr(jaccard, "_screened", watched(jaccard._screened))
     rows = jaccard.jaccard_components(_docs(spark, texts), n=4, percent=85).orderBy("doc_id").collect()
     assert [r.component_id for r in rows] == [*range(300), *range(20)]
-    assert len(held) == 2 and max(held) <= 4 * block  # two blocks, dealt by a hash
+    assert len(held) == 3 and max(held) <= 4 * block  # two blocks, dealt by a hash
+
+
+def test_jaccard_of_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(6)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(1500):  # over BLOCK: chains of copies that change a word at a time
+        words = [*base]
+        words[int(rng.integers(100))] = f"x{i}"
+        texts.append(" ".join(words))
+    texts += [" ".join([*base[:50], *(f"y{i}{j}" for j in range(50))]) for i in range(200)]  # unlike, with one passage in common
+    texts += [texts[1500] + " end", *(" ".join(f"z{rng.integers(40)}" for _ in range(int(k))) for k in rng.integers(1, 60, 200))]
+    sets = [_shingles(t, 4) for t in texts]
+    links = []
+    for a, b in itertools.combinations(range(len(sets)), 2):
+        if min(len(sets[a]), len(sets[b])) * 100 >= 85 * max(len(sets[a]), len(sets[b])) and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            links.append((a, b))
+    rows = jaccard.jaccard_components(_docs(spark, texts), n=4, percent=85).orderBy("doc_id").collect()
+    roots = list(range(len(sets)))
+
+    def root(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    for a, b in links:
+        u, v = sorted((root(a), root(b)))
+        roots[v] = u
+    assert [r.component_id for r in rows] == [root(x) for x in range(len(sets))]
 
 
 def test_telephone_numbers_of_every_leading_digit():
