@@ -10,15 +10,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import Recent, only
+from ._shared import only
 
 BLOCK_IDS, ROUNDS, LEAST, SYMBOLS = 1 << 20, 5, 8, 1 << 16
-CACHED = 400_000
+CACHED, CACHED_BYTES = 600_000, 1 << 26
 BLOCK_SCHEMA = "shard int, block int, n_ids long, n_docs int, doc_ids binary, doc_symbols binary, rules binary, lengths binary, symbols binary"
 
 
@@ -108,60 +109,103 @@ class Block:
 
 
 #: Runs of ASCII punctuation between letters, digits and white space are pieces of their own.
-_PUNCTUATION = re.compile(rb"(?<![\x80-\xff!-/:-@\[-`{-~])[!-&(-/:-@\[-`{-~]++(?![\x80-\xff'])")
+_PUNCTUATION = re.compile(rb"[!-&(-/:-@\[-`{-~](?<![\x80-\xff!-/:-@\[-`{-~][!-/:-@\[-`{-~])[!-&(-/:-@\[-`{-~]*+(?![\x80-\xff'])")
+#: Bytes of texts that are cut at white space alone: control bytes count as punctuation, combining marks (U+0300 to U+036F) compose, special tokens are matched before lower-casing.
+_CONTROL, _OTHER = bytes([*range(9), *range(14, 32), 127]), (b"\xcc", b"\xcd", b"<|")
 _JOINED = 256
 
 
 class WordEncoder:
     """Ids of whole texts by a tokenizers file that lower-cases and whose tokens don't cross ASCII white space.
 
-    Texts are cut into words, of which frequent ones are kept. Words of Latin letters alone, which the
-    tokenizer leaves whole, are encoded many in one call: a token that ends a word tells where each ends.
+    Texts are cut into words, also at punctuation where that changes nothing. The distinct words of a
+    batch are looked up among those kept, at most `cached` of them or CACHED_BYTES; words of
+    Latin letters alone, which the tokenizer leaves whole, are encoded many in one call: a token that
+    ends a word tells where each ends.
     """
 
     def __init__(self, path: str, cached: int = CACHED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer, self.cached = Tokenizer.from_file(path), cached
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words = Recent(lambda w: self.many([w])[0], cached)
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index: dict[bytes, int] = {}
+        self.held = 0
+        self.pool, self.sizes = np.empty(0, np.uint16), np.empty(0, np.int64)
 
     def _encoded(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, "<u2") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def many(self, words: list[bytes]) -> list[bytes]:
-        texts = [w.decode() for w in words]
-        plain = [i for i, t in enumerate(texts) if t.isalpha() and max(t) < "\u0250" and t.lower().isalpha()]
-        out: list = [None] * len(words)
-        groups = [plain[i : i + _JOINED] for i in range(0, len(plain), _JOINED)]
-        for group, ids in zip(groups, self._encoded([" ".join([texts[i] for i in g]) for g in groups]), strict=True):
-            cuts = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+        return [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def many(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in one array, and how many each has."""
+        plain = np.fromiter((w.isalpha() or (not w.isascii() and _latin(w.decode())) for w in words), bool, len(words))
+        at = np.flatnonzero(plain)
+        groups = [at[i : i + _JOINED] for i in range(0, len(at), _JOINED)]
+        sizes, order, ids = np.zeros(len(words), np.int64), [], []
+        alone = [np.flatnonzero(~plain)]
+        for group, got in zip(groups, self._encoded([b" ".join([words[i] for i in g.tolist()]).decode() for g in groups]), strict=True):
+            cuts = np.flatnonzero(self.ends[got]) + 1
             if len(cuts) == len(group):
-                flat, start = ids.tobytes(), 0
-                for i, cut in zip(group, cuts, strict=True):
-                    out[i], start = flat[2 * start : 2 * cut], cut
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, ids in zip(rest, self._encoded([texts[i] for i in rest]), strict=True):
-            out[i] = ids.tobytes()
-        return out
+                sizes[group] = np.diff(cuts, prepend=0)
+                order.append(group)
+                ids.append(got)
+            else:
+                alone.append(group)
+        rest = np.concatenate(alone)
+        for i, got in zip(rest.tolist(), self._encoded([words[i].decode() for i in rest.tolist()]), strict=True):
+            sizes[i] = len(got)
+            ids.append(got)
+        order = np.concatenate([*order, rest])
+        flat = np.concatenate([*ids, np.empty(0, np.uint16)])
+        starts = np.empty(len(words), np.int64)
+        starts[order] = np.cumsum(sizes[order]) - sizes[order]
+        return flat[_ranges(starts, sizes)], sizes
 
     @staticmethod
-    def split(text: bytes) -> list[bytes]:
-        # Lower-casing before composition is the same unless there are combining marks (U+0300 to U+036F).
-        if b"\xcc" in text or b"\xcd" in text:
-            return text.split()
-        return _PUNCTUATION.sub(rb" \g<0> ", text.lower()).split()
-
-    def ids(self, texts: list[bytes], end: int) -> Iterator[np.ndarray]:
-        split = [self.split(t) for t in texts]
-        self.words.load({w for words in split for w in words}, self.many)
-        tail = np.array([end], "<u2").tobytes()
-        for words in split:
-            yield np.frombuffer(b"".join([*map(self.words.__getitem__, words), tail]), "<u2")
+    def split(text: bytes) -> bytes:
+        if any(x in text for x in _OTHER) or len(text.translate(None, _CONTROL)) < len(text):
+            return text
+        return _PUNCTUATION.sub(rb" \g<0> ", text.lower())
+
+    def ids(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, each with the id end behind it, in one array, and how many each has."""
+        given = pa.array([self.split(t) if t else b"" for t in texts.cast(pa.binary()).to_pylist()], pa.large_binary())
+        split = pc.ascii_split_whitespace(given.view(pa.large_string()))
+        flat = split.flatten().dictionary_encode()
+        distinct = flat.dictionary.cast(pa.large_binary()).to_pylist()
+        missing = [w for w in distinct if w not in self.index]
+        if len(self.index) + len(missing) > self.cached or self.held > CACHED_BYTES:
+            self._forget()
+            missing = distinct
+        got, sizes = self.many(missing)
+        self.held += sum(map(len, missing))
+        self.index.update(zip(missing, range(len(self.sizes), len(self.sizes) + len(missing)), strict=True))
+        self.pool, self.sizes = np.concatenate([self.pool, got]), np.concatenate([self.sizes, sizes])
+        where = np.fromiter(map(self.index.__getitem__, distinct), np.int64, len(distinct))
+        starts = np.append((np.cumsum(self.sizes) - self.sizes)[where], len(self.pool))
+        sizes = np.append(self.sizes[where], 1)
+        ends = np.asarray(split.offsets)[1:] - split.offsets[0].as_py()
+        order = np.insert(np.asarray(flat.indices).astype(np.int64), ends, len(distinct))
+        n = sizes[order]
+        out = np.append(self.pool, np.uint16(end))[_ranges(starts[order], n)]
+        last = np.cumsum(n)[ends + np.arange(len(ends))]
+        return out, np.diff(last, prepend=0)
+
+
+def _latin(word: str) -> bool:
+    return word.isalpha() and max(word) < "\u0250" and word.lower().isalpha()
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of start, start + 1, ... of each range, one range after the other."""
+    before = np.cumsum(sizes) - sizes
+    return np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))
 
 
 @lru_cache(maxsize=2)
@@ -177,8 +221,12 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, *, n_terminals:
     expansion lengths, the symbols left, and where each document's symbols start. The blocks are rows
     of Parquet, so any store that Spark writes to holds them and lost tasks are repeated.
 
-    Null and empty texts have the end id only. Null ids come first; equal ids are ordered by text.
-    Ids must be of an integer type. An empty table gives no blocks. n_terminals must be under 65536.
+    A grammar stops after ROUNDS rounds, at pairs seen under LEAST times and at symbols of 16 bits: that
+    costs compression, no data. Null and empty texts have the end id only; whole texts are encoded,
+    however long, and special tokens written out in a text are those tokens. Null ids come first;
+    equal ids are ordered by text, and equal rows are documents of their own. Ids must be of an
+    integer type. An empty table gives no blocks. n_terminals must be under 65536. Other columns are
+    ignored.
     """
     d = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
     d = d.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
@@ -202,10 +250,10 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, *, n_terminals:
         parts: list[np.ndarray] = []
         held = 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 1024):
-                batch = whole.slice(at, 1024)
-                texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
-                for one, part in zip(batch.column(0).to_pylist(), encoder.ids(texts, end), strict=True):
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                flat, sizes = encoder.ids(batch.column(1), end)
+                for one, part in zip(batch.column(0).to_pylist(), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                     ids.append(one)
                     parts.append(part)
                     held += len(part)
@@ -219,13 +267,16 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, *, n_terminals:
 
 
 def read_token_files(spark: SparkSession, path: str, *, n_terminals: int) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids array<int>, in no set order."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids array<int>, in no set order.
+
+    A row for each document written, null and repeated ids included; no blocks give no rows.
+    """
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     return _documents(blocks, n_terminals, digest=False)
 
 
 def digest_token_files(spark: SparkSession, path: str, *, n_terminals: int) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers)."""
+    """As read_token_files, with ids_crc32 (of the ids as little-endian unsigned 32-bit integers) in place of the ids."""
     blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
     return _documents(blocks, n_terminals, digest=True)
 

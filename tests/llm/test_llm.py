@@ -1,10 +1,13 @@
 """The operators against brute force, round trips and held-out accuracy, on small inputs."""
 
 import itertools
+import random
 import re
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -86,17 +89,42 @@ def test_repeated_windows(spark):
 
 
 def test_token_files_come_back(spark, tmp_path):
-    texts = [t for t in _texts() if t is None or len(t) < 1000]
-    out = f"{tmp_path}/tokens"
-    token_files.write_token_files(_docs(spark, texts), out, public_tokenizers.path("word_bpe_49k.json"), n_terminals=49_408, end=1)
+    rng = np.random.default_rng(8)
+    texts = [*_texts(), "hello <|endoftext|> world", "<|startoftext|>a<|ENDOFTEXT|>", "Z\x1c.0 a\x00b.\x7f", "don't stop -- it's", "e\u0301a, \u0130stanbul \u03a3\u03a3"]
+    texts += [" ".join(rng.choice(["alpha,", "beta", "(gamma)", "delta's", "x9", "\u4e2d\u6587"], 40_000)), *(" ".join(rng.choice(WORDS, 300)) for _ in range(40))]
+    out, path = f"{tmp_path}/tokens", public_tokenizers.path("word_bpe_49k.json")
+    token_files.write_token_files(_docs(spark, texts), out, path, n_terminals=49_408, end=1, block_ids=5000)
     from tokenizers import Tokenizer
 
-    truth = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    start = 0
-    for r, t in zip(token_files.digest_token_files(spark, out, n_terminals=49_408).orderBy("doc_id").collect(), texts, strict=True):
-        n = len(truth.encode(t or "", add_special_tokens=False).ids) + 1
-        assert (r.start, r.n_tokens) == (start, n)
-        start += n
+    truth = Tokenizer.from_file(path)
+    expected = [np.array([*truth.encode(t or "", add_special_tokens=False).ids, 1]) for t in texts]
+    starts = np.cumsum([0, *map(len, expected)])
+    for r, ids, start in zip(token_files.digest_token_files(spark, out, n_terminals=49_408).orderBy("doc_id").collect(), expected, starts, strict=False):
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.astype("<u4").tobytes()))
+    for r, ids, start in zip(token_files.read_token_files(spark, out, n_terminals=49_408).orderBy("doc_id").collect(), expected, starts, strict=False):
+        assert (r.start, r.ids) == (start, ids.tolist())
+    blocks = spark.read.parquet(out).orderBy("shard", "block").collect()
+    assert len(blocks) > 3 and any(len(b.rules) for b in blocks)
+    everything, at = np.concatenate(expected), 0
+    for b in blocks:  # random access within blocks
+        block = token_files.Block(np.frombuffer(b.rules, "<u2").reshape(-1, 2), np.frombuffer(b.lengths, "<u4"), np.frombuffer(b.symbols, "<u2"), 49_408)
+        for first in [0, b.n_ids - 1, *rng.integers(0, b.n_ids, 20).tolist()]:
+            n = int(rng.integers(0, min(50, b.n_ids - first) + 1))
+            assert block.at(first, n).tolist() == everything[at + first : at + first + n].tolist()
+        at += b.n_ids
+
+
+def test_word_encoder_equals_the_library_on_odd_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    truth, encoder, rng = Tokenizer.from_file(path), token_files.WordEncoder(path, cached=500), random.Random(1)
+    letters = [*"abZ .,'!-\n\t\x0b\x1c\x00\x7f09<|>_\"s", "\u00e9", "\u0301", "\u00df", "\u03a3", "\u0130", "\u00a0", "\u4e2d", "\U0001f600", "<|endoftext|>", "<|ENDOFTEXT|>", "'re", " hello "]
+    for _ in range(20):
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+        ids, sizes = encoder.ids(pa.array([*texts, None]), 1)
+        parts = np.split(ids, np.cumsum(sizes)[:-1])
+        assert [p.tolist() for p in parts] == [[*truth.encode(t, add_special_tokens=False).ids, 1] for t in [*texts, ""]]
 
 
 def _vectors(spark):
