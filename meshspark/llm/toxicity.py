@@ -7,7 +7,7 @@ import math
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,7 +20,8 @@ from ._shared import Recent, map_arrow, only, utf8
 #: Rows of either label that the machine is fitted on at most, the first by hash.
 SAMPLE = 8000
 LANDMARKS, POWER, DECAY, STEP, PIECE, CACHED, CUTOFF, TELLING = 128, 3, 0.5, 3, 32, 300_000, 0.3, 6.0
-ROUNDS, BLOCK = 4, 4096
+#: Rounds of fitting; words in a block; words of a text that its score rests on.
+ROUNDS, BLOCK, WORST = 4, 4096, 3
 _GAP, _BEGIN, _END, _SYMBOLS = 0, 1, 2, 64
 _PATTERNS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, STEP + 1) for b in range(1, STEP + 1)]
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
@@ -153,7 +154,7 @@ class Machine:
     kernel: Kernel
     alpha: np.ndarray
     bias: float
-    slope: float
+    slopes: np.ndarray
     shift: float
 
     def margins(self, words: list[str]) -> np.ndarray:
@@ -167,8 +168,12 @@ class Machine:
         best = np.maximum.reduceat(f, np.cumsum([0, *map(len, each)])[:-1])
         return np.sign(best) * np.log1p(np.abs(best))
 
-    def scored(self, margin: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
+    def worst(self, margins: Iterable[float]) -> list[float]:
+        """The WORST largest different margins of a text, the machine's bias where it has fewer."""
+        return [*sorted({*margins}, reverse=True)[:WORST], *[self.bias] * WORST][:WORST]
+
+    def scored(self, worst: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(worst @ self.slopes + self.shift, -30, 30)))
 
 
 def sentence_words(text: str) -> list[str]:
@@ -184,10 +189,11 @@ def _disguised(word: str, rng: np.random.Generator) -> list[str]:
 def learned(docs: list[tuple[str, ...]], toxic: np.ndarray, seed: int = 3) -> Machine | None:
     """Fit on documents as their distinct words. None without documents of either label.
 
-    A toxic document has at least one toxic sentence, and that one toxic word, but which is not told:
-    as in multiple-instance learning, the word with the best margin stands for its document, the
-    others are left out; all words of clean documents are clean. The first guess is the word whose
-    document counts, or whose beginning's, tell most.
+    A toxic document has at least one toxic sentence, and that a toxic word, but which is not told:
+    as in multiple-instance learning, the words with positive margins, else the best one, stand for
+    their document, the others are left out; all words of clean documents are clean. The first guess
+    are the words whose document counts, or whose beginning's, tell. A logistic curve over the WORST
+    largest margins, fitted on documents kept apart, turns them into a score.
     """
     rng = np.random.default_rng(seed)
     if not toxic.any() or toxic.all():
@@ -230,10 +236,11 @@ def learned(docs: list[tuple[str, ...]], toxic: np.ndarray, seed: int = 3) -> Ma
     guess = lambda w: max([z.get(w, -9.0), *(z.get(w[:m] + "*", -9.0) for m in range(4, min(len(w), 10)))])
     bad = [sorted(d) for d, f, t in zip(docs, fit.tolist(), toxic.tolist(), strict=True) if f and t and d]
     bad = [words for words in bad if guess(max(words, key=guess)) >= TELLING] or bad
-    witness = [max(words, key=guess) for words in bad]
+    witness = [[w for w in words if guess(w) >= TELLING] or [max(words, key=guess)] for words in bad]
+    more = lambda w: counts[1][w] / n[1] > counts[0][w] / n[0]
     machine = None
     for _ in range(ROUNDS):
-        count = Counter(witness)
+        count = Counter(itertools.chain.from_iterable(witness))
         forms = [(f, c) for w, c in count.items() for f in (w, *_disguised(w, rng))]
         positive = kernel([pieces(f)[0] for f, _ in forms]) @ root
         negative = kernel([pieces(w)[0] for w in clean]) @ root
@@ -242,26 +249,51 @@ def learned(docs: list[tuple[str, ...]], toxic: np.ndarray, seed: int = 3) -> Ma
         weight = np.concatenate([np.sqrt([c for _, c in forms]), np.sqrt([max(1, counts[0][w]) for w in clean])])
         weight[: len(positive)] *= 0.5 * weight[len(positive) :].sum() / weight[: len(positive)].sum()
         w, bias = linear_machine(x, y, weight)
-        machine = Machine(kernel, root @ w, bias, 1.0, 0.0)
+        machine = Machine(kernel, root @ w, bias, np.zeros(WORST), 0.0)
         every = sorted({w for words in bad for w in words})
         margin = dict(zip(every, machine.margins(every).tolist(), strict=True))
-        witness = [max(words, key=lambda w: (margin[w], w)) for words in bad]
+        witness = [[w for w in words if margin[w] > 0 and more(w)] or [max(words, key=lambda w: (margin[w], w))] for words in bad]
         # Clean words that look worst join the next round.
         worst = machine.margins(every_clean)
         clean = list(dict.fromkeys(clean + [every_clean[i] for i in np.argsort(-worst, kind="stable")[:3000] if worst[i] > -1]))
     held = ~fit if (~fit).any() and toxic[~fit].any() and not toxic[~fit].all() else np.ones(len(docs), bool)
     every = sorted({w for d in itertools.compress(docs, held) for w in d})
     margin = dict(zip(every, machine.margins(every).tolist(), strict=True))
-    best = np.array([max((margin[w] for w in d), default=machine.bias) for d in itertools.compress(docs, held)])
-    machine.slope, machine.shift = _calibrated(best, toxic[held].astype(float))
+    worst = np.array([machine.worst([margin[w] for w in d]) for d in itertools.compress(docs, held)])
+    machine.slopes, machine.shift = _calibrated(worst, toxic[held].astype(float))
     return machine
 
 
-def _calibrated(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
-    """Logistic curve from margins to labels, with smoothed targets."""
+def _calibrated(margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic curve from margins to labels, with smoothed targets; no slope is under 0."""
     up, down = label.sum(), len(label) - label.sum()
     target = np.where(label > 0, (up + 1) / (up + 2), 1 / (down + 2))
-    z, w = np.stack([margin, np.ones(len(margin))], 1), np.zeros(2)
+    used = np.arange(margins.shape[1])
+    while True:
+        z = np.hstack([margins[:, used], np.ones((len(margins), 1))])
+        w = _logistic(z, target)
+        if (w[:-1] >= 0).all():
+            slopes = np.zeros(margins.shape[1])
+            slopes[used] = w[:-1]
+            return slopes, float(w[-1]) + _moved(z @ w, label)
+        used = np.delete(used, w[:-1].argmin())
+
+
+def _moved(f: np.ndarray, label: np.ndarray) -> float:
+    """What to add to the curve's argument so that the cutoff parts labels best (most F1); 0 with few rows of a label."""
+    if min(label.sum(), len(label) - label.sum()) < 10:
+        return 0.0
+    order = np.argsort(-f, kind="stable")
+    found = np.cumsum(label[order])
+    f1 = 2 * found / (np.arange(1, len(f) + 1) + label.sum())
+    cut = np.append(f[order][:-1] > f[order][1:], True)
+    at = int(np.where(cut, f1, -1).argmax())
+    level = (f[order[at]] + f[order[min(at + 1, len(f) - 1)]]) / 2
+    return math.log(CUTOFF / (1 - CUTOFF)) - float(level)
+
+
+def _logistic(z: np.ndarray, target: np.ndarray) -> np.ndarray:
+    w = np.zeros(z.shape[1])
 
     def loss(w: np.ndarray) -> float:
         f = z @ w
@@ -269,14 +301,14 @@ def _calibrated(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 2e-3 * np.eye(2), z.T @ (p - target) + 2e-3 * w)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 2e-3 * np.eye(len(w)), z.T @ (p - target) + 2e-3 * w)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > loss(w):
             size /= 2
         w = w - size * step
         if np.abs(size * step).max() < 1e-8:
             break
-    return float(max(w[0], 1e-3)), float(w[1])
+    return w
 
 
 def words_of(text: bytes) -> set[str]:
@@ -325,10 +357,14 @@ def _scorer(machine: Machine) -> Recent:
 def score(docs: DataFrame, machine: Machine | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with a column score, 0 to 1, of every whole text.
 
-    A text's margin is its worst word's, words spelt in single characters included; null, empty and
-    wordless texts have the machine's bias alone. Without a machine (no labels of both kinds) every
-    score is 0. Only the text is read. The machine's arrays are broadcast; their size is fixed.
+    A text's score rests on its WORST largest margins of words, words spelt in single characters
+    included; null, empty and wordless texts have the machine's bias alone. Without a machine (no
+    labels of both kinds) every score is 0. Only the text is read, whole; rows are independent, so
+    repeated ones score alike and an empty table stays empty. A column score must not be there. The
+    machine's arrays are broadcast; their size is fixed.
     """
+    if "score" in docs.columns:
+        raise ValueError("docs has a column score already")
     if machine is None:
         return docs.withColumn("score", F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(machine)
@@ -340,8 +376,8 @@ def score(docs: DataFrame, machine: Machine | None, *, doc_id: str = "doc_id", t
         texts = utf8(batch.column(at))
         split = [{*t.lower().split(), *(re.sub(r"\W", "", x[0]).encode() for x in _SPELT.finditer(t.decode()))} for t in texts]
         cache.load(set().union(*split), cache.many)
-        best = np.array([max(map(cache.__getitem__, words), default=m.bias) for words in split], np.float64)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scored(best))], [*batch.schema.names, "score"])
+        worst = np.array([m.worst(map(cache.__getitem__, words)) for words in split], np.float64).reshape(-1, WORST)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scored(worst))], [*batch.schema.names, "score"])
 
     schema = docs.withColumn("score", F.lit(0.0)).schema
     return map_arrow(docs, run, schema, 1024)
