@@ -136,3 +136,30 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sch
                 yield fn(batch.slice(at, rows))
 
     return df.mapInArrow(run, schema)
+
+
+def map_groups(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """fn on the rows of each value of the integer keys, one group of a partition after the other: no task for a group, and only one is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in batches:
+            columns = [batch.column(batch.schema.get_field_index(k)).to_numpy() for k in keys]
+            new = np.zeros(batch.num_rows, bool)
+            for c in columns:
+                new[1:] |= c[1:] != c[:-1]
+            starts = [0, *np.flatnonzero(new).tolist()] if batch.num_rows else []
+            done = []
+            for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+                if (key := tuple(c[a] for c in columns)) != last:
+                    if held:
+                        done.append(fn(pa.Table.from_batches(held)))
+                    held, last = [], key
+                held.append(batch.slice(a, b - a))
+            if done:
+                yield from pa.concat_tables(done).combine_chunks().to_batches()
+        if held:
+            yield from fn(pa.Table.from_batches(held)).to_batches()
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,10 +12,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import map_arrow, materialize
+from ._shared import discard, map_arrow, map_groups, materialize
 from .vectors import cosines, dtype_of, matrix, parsed
 
-SAMPLE, ROWS_PER_PART, MOST_PARTS, NEIGHBOURS, HIDDEN, CHUNK, AIM = 5000, 2048, 256, 10, 64, 4096, 0.97
+#: Rows that a router is fitted on at most, rows of a part as aimed at, parts that one router tells apart.
+SAMPLE, ROWS_PER_PART, FAN = 5000, 2048, 256
+NEIGHBOURS, HIDDEN, CHUNK, AIM = 10, 64, 4096, 0.97
 
 
 @dataclass
@@ -28,6 +31,11 @@ class Router:
         w1, b1, w2, b2 = self.weights
         return np.maximum(unit @ w1 + b1, 0) @ w2 + b2
 
+    def best(self, x: np.ndarray, most: int) -> np.ndarray:
+        """The most probable parts of each vector, best first."""
+        scores = self.scores(x / np.sqrt((x * x).sum(1))[:, None])
+        return np.argsort(-scores, axis=1, kind="stable")[:, :most]
+
 
 def bisected(x: np.ndarray, parts: int, rng: np.random.Generator) -> np.ndarray:
     """Labels of equally large parts: halves along the direction of most variance, again and again."""
@@ -119,20 +127,65 @@ def learned(sample: np.ndarray, parts: int, aim: float, k: int, seed: int = 5) -
     return router
 
 
-def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, sample: int = SAMPLE, aim: float = AIM, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+def _refined(routed: DataFrame, queries: DataFrame, big: DataFrame, dtype: str, rows_per_part: int, fan: int, sample: int, aim: float, k: int) -> tuple[DataFrame, DataFrame]:
+    """The big parts (part, n) cut again by routers of their own, each fitted on a bounded sample of its part."""
+    keep = F.xxhash64("vec", F.lit(1)) % (1 << 40) <= (F.lit(2.0 * sample * (1 << 40)) / F.col("n"))  # about twice the sample
+    some = routed.join(big, "part").filter((F.col("n") <= 4 * sample) | keep).select("part", "n", "vec")
+    some = some.withColumn("_nth", F.row_number().over(W.partitionBy("part").orderBy(F.xxhash64("vec"), "vec"))).filter(F.col("_nth") <= sample).drop("_nth")
+
+    def fit(table: pa.Table) -> pa.Table:
+        n = table.column("n")[0].as_py()
+        router = learned(matrix(table.column("vec"), dtype), _parts_for(n, rows_per_part, fan), aim, k)
+        return pa.table([table.column("part")[:1], pa.array([pickle.dumps(router)], pa.binary())], names=["part", "router"])
+
+    routers = materialize(map_groups(some, ["part"], fit, "part long, router binary"), "routers")
+    names = {"index": ("vec", "ids"), "queries": ("vec", "query_id")}
+
+    def again(rows: DataFrame, what: str) -> DataFrame:
+        """Rows of big parts in chunks, each of which reads its part's router."""
+        last = names[what][1]
+        types = {f.name: f.dataType.simpleString() for f in rows.schema}
+        chunks = materialize(rows.join(big.select("part"), "part").groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks")), "chunks")
+        cut = rows.join(chunks, "part").withColumn("chunk", F.pmod(F.xxhash64(*names[what]), "chunks").cast("int")).select("part", "chunk", *names[what])
+        with_router = routers.join(chunks.select(F.col("part").alias("_p"), "chunks"), F.col("part") == F.col("_p")).drop("_p").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("part", "chunk", "router")
+
+        def route(given: pa.Table, router: pa.Table) -> pa.Table:
+            empty = pa.table([pa.array([], pa.int64()), given.column("vec")[:0], given.column(last)[:0]], names=["part", "vec", last])
+            if not given.num_rows or not router.num_rows:
+                return empty
+            r = pickle.loads(router.column("router")[0].as_py())  # written by fit above, from numbers alone
+            order = r.best(matrix(given.column("vec"), dtype), 1 if what == "index" else r.probes)
+            at = np.repeat(np.arange(len(order)), order.shape[1])
+            part = (given.column("part")[0].as_py() + 1) * 1000 + order.ravel()
+            return pa.table([pa.array(part, pa.int64()), given.column("vec").take(pa.array(at)), given.column(last).take(pa.array(at))], names=["part", "vec", last])
+
+        new = cut.groupBy("part", "chunk").cogroup(with_router.groupBy("part", "chunk")).applyInArrow(route, f"part long, vec binary, {last} {types[last]}")
+        return materialize(rows.join(big, "part", "left_anti").select("part", *names[what]).unionByName(new), what)
+
+    return again(routed, "index"), again(queries, "queries")
+
+
+def _parts_for(n: int, rows_per_part: int, fan: int) -> int:
+    return max(2, min(fan, 1 << round(math.log2(max(2, n / rows_per_part)))))
+
+
+def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, sample: int = SAMPLE, aim: float = AIM, rows_per_part: int = ROWS_PER_PART, fan: int = FAN, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each vector whose id `every` divides.
 
     Equal vectors are one class that keeps its k + 1 smallest ids (enough for any answer). A sample
     of at most `sample` classes, the first by hash, gives a neighbour graph that is cut into balanced
     parts; a small classifier learns a vector's and its neighbours' parts. Every class is indexed in
     its most probable part. Queries visit so many of their most probable parts that held-out queries
-    find `aim` of their true neighbours in the sample. Parts are cut into chunks of about CHUNK classes
-    and their queries into blocks of as many, so no group grows with the table; each yields k
-    candidates a query with exact cosines, and the best k of all are kept, ties to the smaller id.
+    find `aim` of their true neighbours in the sample. One router tells at most `fan` parts apart;
+    parts that are still over four times rows_per_part are cut again by routers of their own, level
+    by level, so that parts don't grow with the table. Parts are searched in chunks of about CHUNK
+    classes and blocks of as many queries, so no group grows with the table; each yields k candidates
+    a query with exact cosines, and the best k of all are kept, ties to the smaller id.
 
     Vectors that are null, empty, zero or hold null or non-finite components and null ids take no
-    part; nor do vectors of another dimension than most. Rows with equal ids are rows of their own,
-    but none is a neighbour of its own id. An empty table gives no rows. Other columns are ignored.
+    part; nor do vectors of another dimension than most. An id with several rows is one candidate, at
+    its nearest row, and one query, from all of its rows; none is a neighbour of its own id. An empty
+    table gives no rows. Other columns are ignored.
     """
     dtype = dtype_of(vectors, embedding)
     base = materialize(parsed(vectors, vec_id, embedding), "vectors")
@@ -142,32 +195,37 @@ def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, sample: int = SA
         return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     base = base.filter(F.col("dim") == common["dim"])
     nth = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
-    classes = base.withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    classes = base.select("vec", "vec_id").distinct().withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     classes = materialize(classes, "classes")
     n = classes.count()
     picked = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).toArrow()
-    parts = max(2, min(MOST_PARTS, 1 << round(math.log2(max(2, n / ROWS_PER_PART)))))
-    router = learned(matrix(picked.column(0), dtype), parts, aim, k)
-
-    def routed(batch: pa.RecordBatch, most: int) -> pa.Array:
-        x = matrix(batch.column(0), dtype)
-        s = router.scores(x / np.sqrt((x * x).sum(1))[:, None])
-        order = np.argsort(-s, axis=1, kind="stable")[:, :most].astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel()))
+    router = learned(matrix(picked.column(0), dtype), _parts_for(n, rows_per_part, fan), aim, k)
 
     def place(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), routed(batch, 1).flatten()], ["vec", "ids", "part"])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(router.best(matrix(batch.column(0), dtype), 1)[:, 0], pa.int64())], ["vec", "ids", "part"])
 
     def visit(batch: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), routed(batch, router.probes)], ["vec", "query_id", "parts"])
+        order = router.best(matrix(batch.column(0), dtype), router.probes)
+        parts = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1, dtype=np.int32) * order.shape[1]), pa.array(order.ravel(), pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), parts], ["vec", "query_id", "parts"])
 
-    index = materialize(map_arrow(classes, place, "vec binary, ids array<long>, part int", 4096), "index")
+    index = materialize(map_arrow(classes, place, "vec binary, ids array<long>, part long", 4096).select("part", "vec", "ids"), "index")
     queries = base.filter(F.col("vec_id") % every == 0).select("vec", F.col("vec_id").alias("query_id"))
-    queries = materialize(map_arrow(queries, visit, "vec binary, query_id long, parts array<int>", 4096).withColumn("part", F.explode("parts")).drop("parts"), "queries")
-    # A row for each part, of which there are at most MOST_PARTS.
+    queries = map_arrow(queries, visit, "vec binary, query_id long, parts array<long>", 4096).select(F.explode("parts").alias("part"), "vec", "query_id")
+    queries = materialize(queries, "queries")
+    largest = n
+    while True:
+        big = materialize(index.groupBy("part").agg(F.count("*").alias("n")).filter(F.col("n") > 4 * rows_per_part), "big")
+        most = big.agg(F.max("n")).first()[0]
+        if most is None or most > 0.9 * largest:  # no larger part left, or routers can't tell its rows apart: chunks do the rest
+            break
+        largest, old = most, (index, queries)
+        index, queries = _refined(index, queries, big, dtype, rows_per_part, fan, sample, aim, k)
+        discard(*old)
+    # A row for each part.
     cuts = index.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
     blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
-    plan = F.broadcast(materialize(cuts.join(blocks, "part"), "plan"))
+    plan = materialize(cuts.join(blocks, "part"), "plan")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     index = index.join(plan, "part").select("part", F.pmod(F.xxhash64("vec"), "chunks").cast("int").alias("chunk"), all_of("blocks").alias("block"), "vec", "ids")
     queries = queries.join(plan, "part").select("part", all_of("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), "vec", "query_id")
@@ -178,19 +236,25 @@ def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, sample: int = SA
             q, x = matrix(asked.column("vec"), dtype), matrix(rows.column("vec"), dtype)
             ids, ask = rows.column("ids").to_pylist(), asked.column("query_id").to_pylist()
             qu, xu = (a / np.sqrt((a * a).sum(1))[:, None] for a in (q, x))
+            # So many classes hold k + 1 different ids for certain, also where ids have several vectors.
+            enough = k + 1 + sum(map(len, ids)) - len({v for each in ids for v in each})
             for at in range(0, len(q), 256):
                 s = qu[at : at + 256] @ xu.T
-                least = np.partition(s, -min(k + 1, s.shape[1]), axis=1)[:, -min(k + 1, s.shape[1])]
+                least = np.partition(s, -min(enough, s.shape[1]), axis=1)[:, -min(enough, s.shape[1])]
                 a, b = np.nonzero(s >= least[:, None] - 1e-9)
                 exact = cosines(q[a + at], x[b])
-                each: dict[int, list] = {}
+                each: dict[int, dict[int, float]] = {}
                 for i, j, score in zip(a.tolist(), b.tolist(), exact.tolist(), strict=True):
-                    each.setdefault(i, []).extend((-score, v) for v in ids[j] if v != ask[i + at])
-                for i, pairs in each.items():
-                    found += [(ask[i + at], v, -s) for s, v in sorted(pairs)[:k]]
+                    mine = each.setdefault(i, {})
+                    for v in ids[j]:
+                        if v != ask[i + at] and score > mine.get(v, -2.0):
+                            mine[v] = score
+                for i, scores in each.items():
+                    found += [(ask[i + at], v, -s) for s, v in sorted((-s, v) for v, s in scores.items())[:k]]
         return pa.table([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
     keys = ["part", "chunk", "block"]
-    found = queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(best, out_schema).distinct()
+    found = queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(best, out_schema)
+    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank.cast("int")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -9,17 +9,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import map_arrow, materialize, only
+from ._shared import map_arrow, map_groups, materialize, mixed, only
 from .components import connected_components
 from .vectors import cosines, dtype_of, matrix, parsed
 
-N_PROJECTIONS, N_FIRST, BLOCK, SCALE, HALF_WINDOW, ROUTE, MISS = 48, 16, 4096, 2000.0, 2.0, 5.5, 1e-6
+#: Projections whose windows are counted, first some and then all; rows of a block; steps of a unit; half a window in deviations.
+N_PROJECTIONS, N_FIRST, BLOCK, SCALE, HALF_WINDOW = 48, 16, 4096, 2000.0, 2.0
+#: Width of a cell in deviations, share of pairs at the threshold that cells or counts may miss, rows that share a cell as aimed at.
+CELL, MISS, LOAD = 8.0, 1e-6, 1024
+#: Projections that make a cell, to choose from.
+DEPTHS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24)
 
 
 def directions(dim: int, seed: int = 17) -> np.ndarray:
     return np.random.default_rng([seed, dim]).standard_normal((dim, N_PROJECTIONS))
 
 
+def n_tables(depth: int) -> int:
+    """How many tables of cells all but MISS of pairs at the threshold need to share a cell in one of them."""
+    if depth == 0:
+        return 1
+    one = math.erf(CELL / math.sqrt(2)) - 2 / (CELL * math.sqrt(2 * math.pi)) * (1 - math.exp(-CELL * CELL / 2))
+    return math.ceil(math.log(MISS) / math.log(1 - one**depth))
+
+
+def cell_keys(unit: np.ndarray, depth: int, tables: int, width: float) -> np.ndarray:
+    """rows x tables: the cell of each vector, of `depth` sorted projections cut at equal widths from a random start."""
+    out = np.repeat(np.arange(tables, dtype=np.uint64)[None], len(unit), 0) + np.uint64(unit.shape[1] << 32)
+    if depth:
+        rng = np.random.default_rng([23, unit.shape[1], depth])
+        start = rng.uniform(0, width, (n_tables(depth), depth))[:tables]
+        d = rng.standard_normal((n_tables(depth), depth, unit.shape[1]))[:tables]
+        cells = np.floor((np.einsum("nd,tkd->ntk", unit, d, optimize=True) + start) / width).astype(np.int64).astype(np.uint64)
+        for k in range(depth):
+            out = mixed(out) + cells[:, :, k]
+    return mixed(out)
+
+
 def calibrated(n: int, inside: float, miss: float) -> int:
     """The largest count that a pair at the threshold reaches with probability 1 - miss: of n windows, each holds it with `inside`."""
     below = 0.0
@@ -57,60 +83,70 @@ class Forest:
 def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept of every vector; links are cosines >= threshold.
 
-    Equal vectors are one class. Classes are projected on N_PROJECTIONS random directions; a pair at
-    the threshold differs on each by a normal deviate of standard deviation sqrt(2 - 2 threshold). The first
-    projection, sorted, cuts the classes into blocks of about BLOCK; two blocks meet if they lie within
-    ROUTE deviations. There, each class's windows of HALF_WINDOW deviations are counted over the
-    projections, first N_FIRST, then all of them for those that passed; the counts that pass are
-    those that all but MISS of pairs at the threshold reach. Pairs that pass are verified exactly.
-    A pair of blocks yields link counts and a spanning forest, never its pairs, and holds at most
-    two blocks whatever the input; the number of block pairs grows with the square of the table.
+    Equal vectors are one class. A pair at the threshold differs on a random projection of unit
+    length by a normal deviate of standard deviation sqrt(2 - 2 threshold). Collisions on single
+    projections would be a fixed share of all pairs, so several sorted projections are cut together:
+    a table of cells has the classes that fall between the same cuts of `depth` projections, and
+    there are so many tables that all but MISS of pairs at the threshold share a cell of one. The
+    depth is the one with the least work for the cells' sizes as counted on the whole table; it grows
+    with the logarithm of the table, and the tables with a small power of it.
+
+    In a cell, each class's windows of HALF_WINDOW deviations are counted over projections, first
+    N_FIRST, then all; the counts that pass are those that all but MISS of pairs at the threshold
+    reach. Pairs that pass are verified exactly, and counted in the first table that they share. A
+    cell of over BLOCK classes is cut into blocks that meet two by two. A cell yields link counts
+    and a spanning forest, never its pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and vectors of other
-    dimensions, link with nothing. Rows with equal ids are vectors of their own. A null id has null
-    component and kept. An empty table gives no rows. Other columns are ignored.
+    dimensions, link with nothing. Rows with equal ids are vectors of their own, but their component
+    is their id's. A null id has null component and kept. An empty table gives no rows. Other columns
+    are ignored.
     """
     dtype = dtype_of(vectors, embedding)
     base = parsed(vectors, vec_id, embedding)
     sigma = math.sqrt(2 - 2 * threshold)
+    width = CELL * sigma
     inside = math.erf(HALF_WINDOW / math.sqrt(2))
     first_count, full_count = calibrated(N_FIRST, inside, MISS), calibrated(N_PROJECTIONS, inside, MISS)
-    half, route = math.ceil(HALF_WINDOW * sigma * SCALE) + 1, ROUTE * sigma
+    half = math.ceil(HALF_WINDOW * sigma * SCALE) + 1
 
-    def unit_projections(x: np.ndarray) -> np.ndarray:
-        return (x / np.sqrt((x * x).sum(1))[:, None]) @ directions(x.shape[1])
+    def units(column) -> np.ndarray:
+        x = matrix(column, dtype)
+        return x / np.sqrt((x * x).sum(1))[:, None]
 
-    def line(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = np.empty(batch.num_rows)
-        dims = np.array(batch.column(1).to_pylist())
+    def by_dimension(batch: pa.RecordBatch, fn) -> list:
+        """fn(unit vectors) for the rows of each dimension, back in their order."""
+        dims, out = np.array(batch.column(batch.schema.get_field_index("dim")).to_pylist()), [None] * batch.num_rows
         for dim in np.unique(dims):
             rows = np.flatnonzero(dims == dim)
-            p[rows] = unit_projections(matrix(batch.column(2).take(pa.array(rows)), dtype))[:, 0]
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], ["rep", "dim", "vec", "n", "p"])
-
-    classes = base.groupBy("dim", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", "dim", "vec", "n")
-    classes = materialize(map_arrow(classes, line, "rep long, dim int, vec binary, n long, p double", 4096), "classes")
-    n_blocks = max(1, math.ceil(classes.count() / BLOCK))
-    cuts = classes.approxQuantile("p", [k / n_blocks for k in range(1, n_blocks)], 0.2 / n_blocks) if n_blocks > 1 else []
-    cuts = np.unique(np.array(cuts, np.float64))
-
-    def dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
-        p = batch.column(4).to_numpy()
-        home, low, high = (np.searchsorted(cuts, x, "right") for x in (p, p - route, p + route))
-        times = high - low + 1
-        rows = np.repeat(np.arange(len(p)), times)
-        other = low[rows] + np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times)
-        left, right = np.minimum(home[rows], other), np.maximum(home[rows], other)
-        taken = batch.select(["rep", "dim", "vec", "n"]).take(pa.array(rows))
-        return pa.RecordBatch.from_arrays([pa.array(left.astype(np.int32)), pa.array(right.astype(np.int32)), pa.array(home[rows].astype(np.int32)), *taken.columns], ["i", "j", "home", "rep", "dim", "vec", "n"])
+            for i, x in zip(rows.tolist(), fn(units(batch.column(batch.schema.get_field_index("vec")).take(pa.array(rows)))), strict=True):
+                out[i] = x
+        return out
+
+    def trials(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = by_dimension(batch, lambda x: np.hstack([cell_keys(x, d, 1, width) for d in DEPTHS]).astype(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64()))], ["keys"])
+
+    classes = base.groupBy("dim", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", F.xxhash64("dim", "vec").alias("c"), "dim", "vec", "n")
+    classes = materialize(classes, "classes")
+    cells = map_arrow(classes.select("dim", "vec"), trials, "keys array<long>", 2048).select(F.posexplode("keys").alias("d", "key")).groupBy("d", "key").count()
+    loads = {r.d: r.load for r in cells.groupBy("d").agg((F.sum(F.col("count").cast("double") * F.col("count")) / F.sum("count")).alias("load")).collect()}  # a row for each of DEPTHS
+    depth = min(DEPTHS, key=lambda d: n_tables(d) * max(loads.get(DEPTHS.index(d), 0.0), LOAD))
+    tables = n_tables(depth)
+
+    def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        keys = by_dimension(batch, lambda x: cell_keys(x, depth, tables, width).astype(np.int64))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], ["rep", "c", "keys"])
 
     def joined(table: pa.Table) -> pa.Table:
-        i, j = table.column("i")[0].as_py(), table.column("j")[0].as_py()
-        home, rep, n = (table.column(c).to_numpy() for c in ("home", "rep", "n"))
-        order = np.lexsort((rep, home))
-        home, rep, n = home[order], rep[order], n[order]
+        key, i, j = (table.column(c)[0].as_py() for c in ("key", "i", "j"))
+        home, rep, c, n = (table.column(x).to_numpy() for x in ("home", "rep", "c", "n"))
+        order = np.lexsort((c, rep, home))
+        home, rep, c, n = home[order], rep[order], c[order], n[order]
         x = matrix(table.column("vec"), dtype)[order]
-        q = np.rint(unit_projections(x) * SCALE).astype(np.int16)
+        unit = x / np.sqrt((x * x).sum(1))[:, None]
+        q = np.rint(unit @ directions(x.shape[1]) * SCALE).astype(np.int16)
+        shared = cell_keys(unit, depth, tables, width).astype(np.int64)
         left = np.flatnonzero(home == i)
         right = left if i == j else np.flatnonzero(home == j)
         links, forest = np.zeros(len(x), np.int64), Forest(len(x))
@@ -129,25 +165,34 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, vec_id: str
                 u, v = u[passed], v[passed]
                 similar = cosines(x[u], x[v]) >= threshold
                 u, v = u[similar], v[similar]
+                first = (shared[u] == shared[v]).argmax(1)
+                own = shared[u, first] == key
+                u, v = u[own], v[own]
                 links += np.bincount(u, n[v], len(x)).astype(np.int64) + np.bincount(v, n[u], len(x)).astype(np.int64)
                 forest.add(u, v)
         hit = np.flatnonzero(links)
         ends = np.array(forest.edges, np.int64).reshape(-1, 2)
-        ids = np.concatenate([rep[hit], rep[ends[:, 0]]])
+        ids, codes = (np.concatenate([v[hit], v[ends[:, 0]]]) for v in (rep, c))
         counts = pa.array([*links[hit].tolist(), *[None] * len(ends)], pa.int64())
         peers = pa.array([*[None] * len(hit), *rep[ends[:, 1]].tolist()], pa.int64())
-        return pa.table([pa.array(ids, pa.int64()), counts, peers], names=["rep", "links", "peer"])
-
-    pairs = map_arrow(classes, dealt, "i int, j int, home int, rep long, dim int, vec binary, n long", 2048)
-    found = materialize(pairs.groupBy("dim", "i", "j").applyInArrow(joined, "rep long, links long, peer long"), "links")
-    counts = found.filter("links IS NOT NULL").groupBy("rep").agg(F.sum("links").alias("links"))
+        return pa.table([pa.array(ids, pa.int64()), pa.array(codes, pa.int64()), counts, peers], names=["rep", "c", "links", "peer"])
+
+    places = materialize(map_arrow(classes.select("rep", "c", "dim", "vec"), keyed, "rep long, c long, keys array<long>", 1024), "places")
+    places = places.select("rep", "c", F.explode("keys").alias("key"))
+    sizes = places.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    shared = places.join(sizes, "key").groupBy("rep", "c").agg(F.collect_list(F.struct("key", "blocks")).alias("in"))  # at most one for each table
+    met = shared.join(classes, ["rep", "c"]).select("rep", "c", "vec", "n", F.explode("in").alias("in")).select("rep", "c", "vec", "n", "in.*")
+    met = met.withColumn("home", F.pmod(F.xxhash64("rep", "c"), "blocks").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    met = met.select("key", F.least("home", "at").alias("i"), F.greatest("home", "at").alias("j"), "home", "rep", "c", "vec", "n")
+    found = materialize(map_groups(met, ["key", "i", "j"], joined, "rep long, c long, links long, peer long"), "links")
+    counts = found.filter("links IS NOT NULL").groupBy("rep", "c").agg(F.sum("links").alias("links"))
     comps = connected_components(found.filter("peer IS NOT NULL"), "rep", "peer")
-    rows = base.join(classes.select("dim", "vec", "rep", "n"), ["dim", "vec"]).select("vec_id", "rep", "n")
-    rows = rows.join(counts, "rep", "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
-    linked = rows.select("vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"), F.lit(1).alias("_used"))
+    rows = base.select("vec_id", F.xxhash64("dim", "vec").alias("c")).join(classes.select("c", "rep", "n"), "c").select("vec_id", "rep", "c", "n")
+    rows = rows.join(counts, ["rep", "c"], "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
+    linked = rows.select("vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rest = only(vectors, vec_id=vec_id, embedding=embedding).withColumn("vec_id", F.col("vec_id").cast("long")).filter(F.col("vec_id").isNull() | ~usable(F.col("embedding")))
     rest = rest.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.drop("_used").unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
+    return linked.unionByName(rest).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
 
 def usable(embedding):

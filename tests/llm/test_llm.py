@@ -154,6 +154,46 @@ def test_nearest_recall(spark):
     assert sorted(got) == list(range(0, 120, 10)) and hits >= 0.9 * 5 * len(got)
 
 
+def test_embedding_links_across_cells_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "LOAD", 16)
+    monkeypatch.setattr(neardup, "BLOCK", 32)
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((1200, 16))
+    x[900:1100] = x[:200] + rng.uniform(0.05, 0.4, (200, 1)) * rng.standard_normal((200, 16))
+    x[1100:] = x[0] + 0.05 * rng.standard_normal((100, 16))  # a cell of many blocks
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near = np.triu(unit @ unit.T >= 0.95, 1)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neardup.near_duplicates(df, threshold=0.95).orderBy("vec_id").collect()
+    assert [r.n_links for r in rows] == (near.sum(0) + near.sum(1)).tolist()
+    assert [r.component_id for r in rows] == _least(1200, list(zip(*map(list, np.nonzero(near)), strict=True)))
+
+
+def test_nearest_with_routers_of_two_levels(spark):
+    rng = np.random.default_rng(10)
+    centres = rng.standard_normal((40, 16))
+    x = centres[rng.integers(0, 40, 3000)] + 0.4 * rng.standard_normal((3000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    sims = unit @ unit.T
+    np.fill_diagonal(sims, -2)
+    got = {}
+    for r in ann.nearest(df, k=5, every=20, rows_per_part=40, fan=4, sample=600).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+        assert abs(r.score - sims[r.query_id, r.vec_id]) < 1e-12
+    hits = sum(len(set(v) & set(np.argsort(-sims[q])[:5].tolist())) for q, v in got.items())
+    assert sorted(got) == list(range(0, 3000, 20)) and hits >= 0.9 * 5 * len(got)
+
+
+def test_nearest_with_repeated_ids_and_ties(spark):
+    a, b = [1.0, 0.0, 0.0], [0.9, 0.1, 0.0]
+    rows = [*[(200, a)] * 8, (300, a), (301, b), (302, b), (400, b), (7, [0.0, 1.0, 0.0]), (7, a)]
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, every=50).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {200: [7, 300, 301], 300: [7, 200, 301], 400: [301, 302, 7]}
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(3)
     page = html_text.parsed("<body><div class=ad>x</div><article><p>one</p><p>two</p></article></body>")
