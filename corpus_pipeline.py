@@ -8,29 +8,38 @@ from pyspark.sql import DataFrame, SparkSession
 from meshspark.llm import bpe, jaccard, mixing, pii, toxicity
 from meshspark.llm._shared import materialize
 
+#: The setting that holds the key of the pseudonyms, and what stands in for it in trials: who knows the key can undo them.
+KEY_SETTING, DEMO_KEY = "spark.meshspark.pseudonymKey", "not a secret"
+
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the string-kernel machine does not reject."""
+    """The documents that the string-kernel machine does not reject: scores under 0.3, null and empty texts mostly among them.
+
+    Rows stay as they are, repeated ones and null ids too; without labels of both kinds all stay.
+    """
     return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
+    """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more; the smallest id stays.
+
+    Null and wordless texts and rows with null ids stay. Rows with equal ids stay or go together.
+    """
     return jaccard.one_of_each(docs, n=5, percent=80)
 
 
 def pseudonyms_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with pseudonyms for personal data."""
-    return pii.pseudonymize(docs)
+    """The documents with pseudonyms for personal data, under the key that the session holds."""
+    return pii.pseudonymize(docs, key=spark.conf.get(KEY_SETTING, DEMO_KEY).encode())
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, each as often as it is taken."""
+    """The documents of the mix, each as often as it is taken; a null source is a source, texts without words are never taken."""
     return mixing.mixed_documents(docs)
 
 
 def tokens_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, ids, n_tokens."""
+    """doc_id, ids, n_tokens of each row, null and empty texts without ids."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
@@ -41,7 +50,7 @@ STAGES = [
     ("mix", mix_stage),
     ("tokens", tokens_stage),
 ]
-#: The kernel machine, the pseudonyms and the ids are not SQL; the tests hold each stage against a brute-force version.
+#: The kernel machine, the pseudonyms and the ids are not SQL; tests/llm holds the stages against plain versions on small inputs.
 ORACLE_SQL = None
 
 
