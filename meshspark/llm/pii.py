@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import math
 import re
 
@@ -13,18 +14,20 @@ from pyspark.sql import functions as F
 
 from ._shared import map_arrow
 
-KEY, ROUNDS = b"meshspark", 8
+ROUNDS = 8
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
 class Feistel:
     """Keyed permutations of 0 .. n - 1 for any n: a Feistel network over two nearly equal factors, walked until inside."""
 
-    def __init__(self, key: bytes = KEY, rounds: int = ROUNDS):
+    def __init__(self, key: bytes, rounds: int = ROUNDS):
         self.key, self.rounds = key, rounds
 
     def _round(self, i: int, half: int, n: int, tag: str) -> int:
-        digest = hashlib.blake2b(f"{tag}|{n}|{i}|{half}".encode(), key=self.key, digest_size=16).digest()
+        digest = hashlib.blake2b(f"{tag}|{n}|{i}|{half}".encode(), key=self.key, digest_size=32).digest()
+        if n.bit_length() > 300:  # halves of long values need more bits than one digest has
+            digest = hashlib.shake_256(digest).digest(n.bit_length() // 16 + 16)
         return int.from_bytes(digest, "big")
 
     def permuted(self, x: int, n: int, tag: str, back: bool = False) -> int:
@@ -71,7 +74,7 @@ class Pseudonyms:
     Equal values get equal pseudonyms everywhere, whatever their punctuation. What does not validate stays.
     """
 
-    def __init__(self, key: bytes = KEY):
+    def __init__(self, key: bytes):
         self.feistel = Feistel(key)
 
     # Each method takes the match and gives its pseudonym, or None if it isn't what it looks like.
@@ -153,6 +156,44 @@ class Pseudonyms:
             return f"{new.year}{s1}{pad(mo_new, mo)}{s2}{pad(d_new, d)}"
         return f"{pad(d_new, d)}{s1}{pad(mo_new, mo)}{s2}{new.year}"
 
+    def ipv6(self, m: re.Match) -> str | None:
+        try:
+            x = ipaddress.IPv6Address(m[0])
+        except ValueError:
+            return None
+        if sum(map(bool, m[0].split(":"))) < 3:
+            return None
+        new = ipaddress.IPv6Address(self.feistel.other(int(x), 1 << 128, "ipv6"))
+        out = new.exploded if len(m[0]) == 39 else str(new)
+        return out.upper() if m[0].isupper() else out
+
+    def named_date(self, m: re.Match) -> str | None:
+        """A date with the name of its month, in English."""
+        day, month, year = (m["nd"], m["nm"], m["ny"]) if m["nd"] else (m["md"], m["mm"], m["my"])
+        number = next(i for i, name in enumerate(_MONTHS, 1) if name.startswith(month.lower()[:3]))
+        try:
+            at = datetime.date(int(year), number, int(day)).toordinal()
+        except ValueError:
+            return None
+        if not _FIRST_DAY <= at <= _LAST_DAY:
+            return None
+        new = datetime.date.fromordinal(_FIRST_DAY + self.feistel.other(at - _FIRST_DAY, _LAST_DAY - _FIRST_DAY + 1, "date"))
+        name = _MONTHS[new.month - 1]
+        name = name[:3] if len(month) < 4 and month.lower() != "may" else name
+        name = name.upper() if month.isupper() else name.title() if month[0].isupper() else name
+        parts = sorted(((m.start(g), len(m[g]), v) for g, v in (("nd" if m["nd"] else "md", str(new.day)), ("nm" if m["nd"] else "mm", name), ("ny" if m["nd"] else "my", str(new.year)))), reverse=True)
+        out = m[0]
+        for start, n, v in parts:
+            out = out[: start - m.start()] + v + out[start - m.start() + n :]
+        return out
+
+    def token(self, m: re.Match) -> str:
+        return m["lead"] + self.text(m["body"], f"token{m['lead']}")
+
+    def private_key(self, m: re.Match) -> str:
+        """The lines of the body, digits for digits and letters for letters."""
+        return m["begin"] + self.text(m["inner"], "key") + m["finish"]
+
     def text(self, s: str, tag: str) -> str:
         """Digits for digits, letters for letters of the same case, all else stays; permuted as one number."""
         bases = [10 if c in "0123456789" else 26 if c.isascii() and c.isalpha() else 1 for c in s]
@@ -202,14 +243,21 @@ class Pseudonyms:
         return m[0][:at] + new + m[0][at + len(value) :]
 
 
+# The months.
+_MONTHS = ["january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december"]
+_MONTH = "(?i:" + "|".join(f"{m}|{m[:3]}" for m in _MONTHS) + "|sept)"
 #: Kind, pattern, what else must be in a text for the pattern to match; earlier kinds win.
 KINDS: list[tuple[str, str]] = [
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+%-]*@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+"),
     ("secret", r"(?i:password|passwd|secret|token|api[_-]?key)\s*[=:]\s*[\"']?(?P<value>[A-Za-z0-9+/_-]{8,})"),
     ("access_key", r"(?<![A-Za-z0-9])A[KS]IA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
+    ("private_key", r"(?P<begin>-----BEGIN (?:[A-Z0-9]+ ){0,3}PRIVATE KEY-----)(?P<inner>[A-Za-z0-9+/=\s]{16,20000}?)(?P<finish>-----END )"),
+    ("token", r"(?<![A-Za-z0-9_])(?P<lead>gh[opsur]_|github_pat_|sk_live_|sk_test_|pk_live_|rk_live_|sk-|xox[abprs]-|glpat-|AIza)(?P<body>[A-Za-z0-9_-]{16,})"),
+    ("ipv6", r"(?<![\w.:])(?:[0-9A-Fa-f]{1,4}:){2,7}(?::?[0-9A-Fa-f]{1,4}){1,7}(?![\w:]|\.\d)|(?<![\w.:])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}(?![\w:]|\.\d)"),
     ("ip", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"),
-    ("date", r"(?<![\w./-])(?:(?P<y>(?:19|20)\d\d)(?P<s>[-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})|(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>(?:19|20)\d\d))(?![\w/-]|\.\d)"),
+    ("date", r"(?<![\w./-])(?:(?P<y>(?:19|20)\d\d)(?P<s>[-/.])(?P<m>\d{1,2})(?P=s)(?P<d>\d{1,2})|(?P<d2>\d{1,2})(?P<s2>[-/.])(?P<m2>\d{1,2})(?P=s2)(?P<y2>(?:19|20)\d\d))(?!(?!T\d\d)[\w/-]|\.\d)"),
+    ("named_date", rf"(?<![\w./-])(?:(?P<nd>\d{{1,2}})(?:st|nd|rd|th)? (?:of )?(?P<nm>{_MONTH})\.?,? (?P<ny>(?:19|20)\d\d)|(?P<mm>{_MONTH})\.? (?P<md>\d{{1,2}})(?:st|nd|rd|th)?,? (?P<my>(?:19|20)\d\d))(?!\w)"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-]|\.\d)"),
     ("phone", r"(?<![\w.+-])(?:\+1[ .-]?\(\d{3}\)[ .-]?\d{3}[ .-]?\d{4}|\+1[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}|\+(?!1[ .(-])\d{1,3}(?:[ .-]?\(?\d{1,4}\)?){2,6})(?![\w-]|\.\d)"),
@@ -305,16 +353,21 @@ def _run_end(text: str, at: int) -> int:
     return _DIGITS.match(text, at).end()
 
 
-def pseudonymize(docs: DataFrame, *, key: bytes = KEY, text: str = "text", counted: str | None = None) -> DataFrame:
+def pseudonymize(docs: DataFrame, *, key: bytes, text: str = "text", counted: str | None = None) -> DataFrame:
     """docs with pseudonyms in the text column; with counted, also a column of how many.
 
-    Emails (their local part), secrets after a telling word, access keys, IBANs, IPv4 addresses,
-    dates, social security numbers, payment cards and telephone numbers are found by format,
-    validated (checksums, ranges, calendars) and permuted within it by a keyed Feistel network: equal
+    Emails (their local part), secrets after a telling word, access keys and tokens, private keys,
+    IBANs, IPv4 and IPv6 addresses, dates (by numbers, and with English names of months), social
+    security numbers, payment cards and telephone numbers are found by format, validated (checksums,
+    ranges, calendars) and permuted within it by a Feistel network under the caller's key: equal
     values stay equal across documents, valid ones stay valid, and the key's owner can go back.
-    Whole texts are read; nothing is shuffled. Null texts stay null; rows, ids and all other columns
-    stay as they are.
+
+    Whole texts are read, however long; nothing is shuffled. Null texts stay null, empty ones empty;
+    rows, ids and all other columns stay as they are, repeated rows alike, and an empty table stays
+    empty. A column named as counted is replaced.
     """
+    if counted in docs.columns:
+        docs = docs.drop(counted)
     at = docs.columns.index(text)
     added = [] if counted is None else [counted]
 

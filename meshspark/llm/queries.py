@@ -17,8 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands in for a key in trials; a library call needs the caller's own.
+DEMO_KEY = b"not a secret"
+
+
 def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(table(spark, sf_dir, "documents"), counted="n_pseudonyms").select("doc_id", "text", "n_pseudonyms")
+    return pii.pseudonymize(table(spark, sf_dir, "documents"), key=DEMO_KEY, counted="n_pseudonyms").select("doc_id", "text", "n_pseudonyms")
 
 
 def op2_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,12 +37,12 @@ def _texts():
 
 def test_pseudonyms_are_linked_valid_and_can_be_undone(spark):
     texts = ["mail bob@x.org or 4111 1111 1111 1111 on 2021-03-04", "again bob@x.org, 4111111111111111", "not a card 4111111111111112, id 300.1.2.3", None, ""]
-    out = [r.text for r in pii.pseudonymize(_docs(spark, texts)).orderBy("doc_id").collect()]
+    out = [r.text for r in pii.pseudonymize(_docs(spark, texts), key=b"k").orderBy("doc_id").collect()]
     cards = [re.sub(r"\D", "", re.search(r"\d[\d ]{14,18}\d", t)[0]) for t in out[:2]]
     assert cards[0] == cards[1] != "4111111111111111" and pii.luhn(cards[0][:-1]) == int(cards[0][-1])
     assert re.search(r"\S+@x\.org", out[0])[0] == re.search(r"\S+@x\.org", out[1])[0].rstrip(",") != "bob@x.org"
     assert "2021-03-04" not in out[0] and out[2:] == texts[2:]
-    f = pii.Feistel()
+    f = pii.Feistel(b"k")
     for n in (2, 3, 10, 97):
         image = [f.other(x, n, "t") for x in range(n)]
         assert sorted(image) == list(range(n)) and all(x != y for x, y in enumerate(image))
@@ -303,7 +303,7 @@ def test_jaccard_of_a_large_group_of_near_copies(spark):
 
 
 def test_telephone_numbers_of_every_leading_digit():
-    names, numbers = pii.Pseudonyms(), [f"{d}17{rest}" for d in range(10) for rest in ("5557713", "5550000")]
+    names, numbers = pii.Pseudonyms(b"k"), [f"{d}17{rest}" for d in range(10) for rest in ("5557713", "5550000")]
     news = set()
     for n in numbers:
         forms = [f"+1 ({n[:3]}) {n[3:6]}-{n[6:]}", f"({n[:3]}) {n[3:6]}-{n[6:]}", f"{n[:3]}-{n[3:6]}-{n[6:]}", f"+1 {n[:3]} {n[3:6]} {n[6:]}"]
@@ -316,7 +316,7 @@ def test_telephone_numbers_of_every_leading_digit():
 
 
 def test_numbers_followed_by_others_are_found_and_stay_equal():
-    names = pii.Pseudonyms()
+    names = pii.Pseudonyms(b"k")
     pairs = [("4111 1111 1111 1111", ["123", "12", "7 2024"]), ("4111111111111111", ["12", "1"]), ("4111-1111-1111-1111", ["12"])]
     pairs += [("ES91 2100 0418 4502 0005 1332", ["EUR", "PAID", "12"]), ("ES9121000418450200051332", ["EUR"]), ("GB82 WEST 1234 5698 7654 32", ["EUR"])]
     pairs += [("+33 1 23 45 67 89", ["12", "7"]), ("+44 20 7946 0958", ["12"])]
@@ -333,6 +333,26 @@ def test_numbers_followed_by_others_are_found_and_stay_equal():
     assert pii.pseudonymized("4111 1111-1111 1111", names)[1] == {"card": 1}
 
 
+def test_more_kinds_of_values():
+    names = pii.Pseudonyms(b"k")
+    body = "MIIEpAIBAAKCAQEA7" * 12
+    pairs = ["2021-03-04T12:00:00Z", "2001:db8:0:0:1:0:0:1", "2001:db8::1:0:0:1", "fe80::1ff:fe23:4567:890a", "4 March 2021", "March 4, 2021", "4th Mar 2021", "ghp_" + "a1B2" * 9, "sk_live_" + "x9Y8" * 6, f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----"]
+    for value in pairs:
+        out, counts = pii.pseudonymized(f"see {value}, ok", names)
+        assert sum(counts.values()) == 1 and value not in out and out.startswith("see ") and out.endswith(", ok"), value
+        again, _ = pii.pseudonymized(f"and {value}.", names)
+        assert again[4:-1] == out[4:-4], value
+    assert pii.pseudonymized(pairs[1], names)[0] == pii.pseudonymized(pairs[2], names)[0]  # one address
+    assert pii.pseudonymized("2021-03-04T12:00:00Z", names)[0][10:] == "T12:00:00Z"
+    for clean in ("at 12:30:45 and 1:2", "std::vector", "30 February 2021", "sk-short"):
+        assert pii.pseudonymized(clean, names) == (clean, {})
+    rng = np.random.default_rng(1)  # long values are permuted as a whole: their ends change too
+    for size in (20, 60, 400):
+        s = "".join(rng.choice(list("abcdefghij"), size))
+        new = names.text(s, "t")
+        assert new[:10] != s[:10] and new[-10:] != s[-10:] and len(new) == size
+
+
 def test_a_common_passage_is_sent_once_a_chunk(spark, monkeypatch):
     words = [f"w{i}" for i in range(41)]
     texts = [" ".join(words * 60) for _ in range(10)] + [" ".join(["x", *words[:36], "y", "z"]), " ".join(f"u{i}" for i in range(60)), " ".join(["v"] * 36)]
