@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -17,9 +18,10 @@ from ._shared import map_arrow, only
 SAMPLE, LONGEST = 400, 20_000
 
 # Fixed values of HTML: raw text, void elements, elements inside a line, what a start tag closes.
-RAW = {"script", "style", "noscript", "template", "iframe", "noembed", "noframes", "xmp", "textarea", "title", "svg", "math", "select", "object", "button"}
+RAW = {"script", "style", "template", "iframe", "noembed", "noframes", "xmp", "textarea", "title", "svg", "select", "object", "button"}
+CLOSES_ITSELF = {"svg", "select", "object", "button", "iframe"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "math", "mi", "mn", "mo", "mrow", "mtext", "msup", "msub", "mfrac", "msqrt", "noscript", "q", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "p": {"table", "td", "th", "button", "html", "body"}}
 
@@ -55,12 +57,20 @@ def parsed(source: str) -> Page:
     Elements inside a line are nodes only with a class, id or role; other text belongs to the element around them.
     """
     page, stack, block, at, links = Page(), [("html", 0)], 0, 0, 0
+    opened: Counter = Counter()  # by tag, so that what isn't open is not looked for
+
+    def push(tag: str, node: int) -> None:
+        stack.append((tag, node))
+        opened[tag] += 1
 
     def pop_to(names: set[str], scope: set[str]) -> None:
         nonlocal links
+        if not any(opened[t] for t in names):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i][0] in names:
                 links -= sum(t == "a" for t, _ in stack[i:])
+                opened.subtract(t for t, _ in stack[i:])
                 del stack[i:]
                 return
             if stack[i][0] in scope:
@@ -86,14 +96,14 @@ def parsed(source: str) -> Page:
             continue
         tag = name[1].lower()
         if whole[1] == "/":
-            if tag not in INLINE:
+            if tag not in INLINE and tag not in RAW:
                 block += 1
-            if any(t == tag for t, _ in stack):
-                pop_to({tag}, set())
+            pop_to({tag}, set())
             continue
-        if tag in RAW and not whole.endswith("/>"):
-            end = _END[tag].search(source, at)
-            at = n if end is None else end.start()
+        if tag in RAW:
+            if tag not in CLOSES_ITSELF or not whole.endswith("/>"):
+                end = _END[tag].search(source, at)
+                at = end.start() if end else at if whole.endswith("/>") else n
             continue
         if tag in VOID:
             if tag == "hr":
@@ -108,7 +118,7 @@ def parsed(source: str) -> Page:
             if tag == "a":
                 links += 1
             if not words:
-                stack.append((tag, stack[-1][1]))
+                push(tag, stack[-1][1])
                 continue
         else:
             block += 1
@@ -121,7 +131,7 @@ def parsed(source: str) -> Page:
         page.tag.append(tag)
         page.words.append(words)
         page.linked.append(0)
-        stack.append((tag, len(page.parent) - 1))
+        push(tag, len(page.parent) - 1)
     return page
 
 
@@ -229,8 +239,11 @@ def fitted(pages: list[Page], labels: list[list[int]], *, steps: int = 150, rate
 
 
 _PROSE = "A plain sentence of the article that runs on for a while, as sentences of articles do, before it comes to its end."
-#: Pages labelled by hand: what stands between <article> and its end is content, but for OUTSIDE and class x-out.
+#: Pages labelled by hand: what stands between <article> and its end or in class x-in is content, but for OUTSIDE and class x-out.
 LABELLED = [
+    f"<body class=x-in><p>{_PROSE}</p><p>{_PROSE}</p></body>",
+    f"<body><h1 class=x-in>Title</h1><p class=x-in>{_PROSE} {_PROSE} {_PROSE} {_PROSE}</p><p class=x-in>{_PROSE} {_PROSE}</p></body>",
+    f"<body><nav><a href=a>One</a> <a href=b>Two</a></nav><h1 class=x-in>Title</h1><p class=x-in>{_PROSE} {_PROSE}</p><p class=x-in>{_PROSE}</p><footer><p>All rights reserved.</p></footer></body>",
     f"<body><header><div class=logo>Site</div><nav><ul><li><a href=a>One</a></li><li><a href=b>Two</a></li></ul></nav></header><article><header><h1>Title</h1></header><p>{_PROSE}</p><p>Short.</p><blockquote>{_PROSE}</blockquote><ul><li>One thing</li><li>{_PROSE}</li></ul><aside><p>{_PROSE}</p></aside></article><aside class=sidebar><h3>More</h3><ul><li><a href=c>Three</a></li></ul><p>{_PROSE}</p></aside><footer><p>All rights reserved by the site.</p></footer></body>",
     f"<body><div class='cookie notice'><p>{_PROSE}</p></div><div id=menu class=menu><a href=a>One</a> <a href=b>Two</a></div><article><h1>Title</h1><p>{_PROSE}</p><h2>Part</h2><p>{_PROSE}</p><pre>x = 1</pre><div class='ad x-out'><p>{_PROSE}</p></div><p>Last words.</p><div class='share social x-out'><a href=s>Share</a></div></article><div id=comments class=comments><h3>Comments</h3><div class=comment><p>{_PROSE}</p></div><div class=comment><p>Agreed.</p></div></div><form class=form><p>{_PROSE}</p></form><div class=footer><p>{_PROSE}</p></div></body>",
     f"<body><div class=header><p>Name of the site</p></div><div class=sidebar><p>{_PROSE}</p><ul><li>{_PROSE}</li></ul></div><article><h1>Title</h1><h2>{_PROSE}</h2><div><p>{_PROSE}</p><p>{_PROSE}</p></div><table><tr><td>1</td><td>{_PROSE}</td></tr></table><section class='comments x-out'><h2>Replies</h2><p>{_PROSE}</p></section></article><div class='newsletter subscribe'><p>{_PROSE}</p></div><div class='related'><h3>Related</h3><p>{_PROSE}</p></div><div class='banner promo'>{_PROSE}</div></body>",
@@ -243,7 +256,7 @@ def labels_of(page: Page) -> list[int]:
     inside, out = [False], [False]
     for i in range(1, len(page.parent)):
         p, tag = page.parent[i], page.tag[i]
-        inside.append(inside[p] or tag in ("article", "main"))
+        inside.append(inside[p] or tag in ("article", "main") or ("x" in page.words[i] and "in" in page.words[i]))
         out.append(out[p] or tag in OUTSIDE or ("x" in page.words[i] and "out" in page.words[i]))
     return [int(a and not b) for a, b in zip(inside, out, strict=True)]
 
@@ -262,7 +275,7 @@ def learned(sources: list[str]) -> Model:
                 words = ["content"] if view != "div" else []
                 given.words = [words if t in ("article", "main") else w for t, w in zip(given.tag, given.words, strict=True)]
                 given.tag = ["div" if t in ("article", "main") else t for t in given.tag]
-            given.words = [[w for w in ws if w not in ("x", "out")] for ws in given.words]
+            given.words = [[w for w in ws if w not in ("x", "in", "out")] for ws in given.words]
             pages.append(given)
             labels.append(known)
     return fitted(pages, labels)
@@ -289,8 +302,9 @@ def extract(pages: DataFrame, *, model: Model | None = None, page_id: str = "pag
     """page_id, url, text, n_chars (code points) of every whole page.
 
     Elements are nodes of a tree-structured model; sum-product messages up and down give each its
-    probability of being content. Null, empty and contentless pages give an empty text. Rows are
-    independent: null or repeated ids stay as many rows. An empty table gives no rows (the model then
+    probability of being content. Scripts, styles, drawings, buttons and other controls inside a line
+    don't end it. Null, empty and contentless pages give an empty text; whole pages are read, however
+    long or deep. Rows are independent: null or repeated ids stay as many rows. An empty table gives no rows (the model then
     rests on this module's labelled pages). Other columns are ignored. Nothing is shuffled but the
     bounded sample of labelled pages; the model's arrays, of fixed size, go along with the tasks.
     """
