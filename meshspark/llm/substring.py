@@ -11,9 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import only, rolling, utf8, word_hashes
+from ._shared import mixed, only, rolling, utf8, word_hashes
 
-WINDOW, DOCS_PER_CHUNK, DOCS_PER_BUCKET = 35, 1000, 1000
+#: Documents and bytes of a chunk at most (a longer document is a chunk), documents for each bucket of hashes.
+WINDOW, DOCS_PER_CHUNK, BYTES_PER_CHUNK, DOCS_PER_BUCKET = 35, 1000, 1 << 22, 1000
+#: A full window's two hashes, of independent multipliers: equal words are taken for granted at 128 equal bits.
+PAIR = np.dtype([("a", "<u8"), ("b", "<u8")])
 PACKED, FOUND = "bucket long, chunk long, n long, hashes binary, flags binary", "bucket long, chunk long, hashes binary"
 AGAIN, BLOCK = 1, 2
 
@@ -30,13 +33,31 @@ class Chunk:
         self.ends = np.cumsum(self.sizes)
         self.begins = self.ends - self.sizes
         self.n = int(self.sizes.sum())
+        self.words_hashed = None
+
+    def hashed(self) -> np.ndarray:
+        if self.words_hashed is None:
+            self.words_hashed = word_hashes(list(chain.from_iterable(self.words)))
+        return self.words_hashed
 
     def windows(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of the k-word windows that don't cross documents, and the windows' hashes."""
-        hashes = rolling(word_hashes(list(chain.from_iterable(self.words))), k)
+        hashes = rolling(self.hashed(), k)
         inside = np.arange(len(hashes)) + k <= np.repeat(self.ends, self.sizes)[: len(hashes)]
         return np.flatnonzero(inside), hashes[inside]
 
+    def second(self, at: np.ndarray, k: int) -> np.ndarray:
+        """Another hash of the k words from each start."""
+        h, out = mixed(self.hashed() + np.uint64(0x9E3779B97F4A7C15)), np.zeros(len(at), np.uint64)
+        for j in range(k):
+            out = out * np.uint64(0xC2B2AE3D27D4EB4F) + h[at + j]
+        return mixed(out)
+
+    def pairs(self, at: np.ndarray, h: np.ndarray, k: int) -> np.ndarray:
+        out = np.empty(len(at), PAIR)
+        out["a"], out["b"] = h, self.second(at, k)
+        return out
+
     def offset(self, at: np.ndarray) -> np.ndarray:
         """Of words of the chunk: the position in their document."""
         return at - np.repeat(self.begins, self.sizes)[at]
@@ -63,16 +84,16 @@ def _packed(chunk: int, bucket: np.ndarray, hashes: np.ndarray, flags: np.ndarra
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=["bucket", "chunk", "n", "hashes", "flags"])
 
 
-def _matches(table: pa.Table, width: int, blocks: bool) -> pa.Table:
+def _matches(table: pa.Table, kind: np.dtype | str, blocks: bool) -> pa.Table:
     """Of a bucket's records, the hashes that occur again; with blocks, of which one is a block."""
     chunks, ns = table.column("chunk").to_pylist(), table.column("n").to_pylist()
-    hashes = np.concatenate([np.frombuffer(x.as_py(), f"<u{width}") for x in table.column("hashes")])
+    hashes = np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column("hashes")])
     flags = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in table.column("flags")])
-    if width == 4:
+    if kind == "<u4":
         order = np.sort(hashes.astype(np.uint64) << np.uint64(32) | np.arange(len(hashes), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)
         order = order.astype(np.int64)
     else:
-        order = np.argsort(hashes)
+        order = np.lexsort((hashes["b"], hashes["a"]))
     ordered = hashes[order]
     starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
     counts = np.diff(np.append(starts, len(ordered)))
@@ -90,6 +111,19 @@ def _matches(table: pa.Table, width: int, blocks: bool) -> pa.Table:
     return pa.table([pa.array([r[i] for r in rows], t) for i, t in enumerate([pa.int64(), pa.int64(), pa.binary()])], names=["bucket", "chunk", "hashes"])
 
 
+def _among_pairs(c: Chunk, at: np.ndarray, h: np.ndarray, some: np.ndarray, k: int) -> np.ndarray:
+    """Of windows with hashes h, the starts of those whose pairs are in some."""
+    at, h = at[(maybe := _among(h, [some["a"]]))], h[maybe]
+    own = c.pairs(at, h, k)
+    both = np.concatenate([np.unique(some), own])
+    order = np.lexsort((np.arange(len(both)), both["b"], both["a"]))  # what is in some comes first among equals
+    new = np.concatenate([[True], both[order][1:] != both[order][:-1]])
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    found = np.empty(len(both), bool)
+    found[order] = first < len(both) - len(own)
+    return at[found[len(both) - len(own) :]]
+
+
 def _among(h: np.ndarray, some: list[np.ndarray]) -> np.ndarray:
     """Which of h are in some."""
     some = np.unique(np.concatenate(some))
@@ -109,9 +143,11 @@ def remove_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
     repeats. Each chunk of documents sends each of its hashes once, packed by ranges of the hash,
     with flags for more than one place and for a block; it gets back which of them repeat and marks
     its own places. So a passage that a third of the documents share is one hash a chunk; no list of
-    a passage's places or of pairs is made.
+    a passage's places or of pairs is made. What meets in one task for such a hash are 5 bytes (17 in
+    the last round) a chunk of 1,000 documents. Blocks are found by 64-bit hashes, which only adds
+    candidates; windows are equal if two 64-bit hashes of their words are.
 
-    Null, empty and short texts lose nothing. Equal rows are documents of their own: each makes the
+    Whole texts count, however long. Null, empty and short texts lose nothing. Equal rows are documents of their own: each makes the
     other's windows repeat. Rows are told apart by place, so ids may be null or repeat. Kept words
     are joined by one space. An empty table gives no rows. Other columns are ignored.
     """
@@ -125,8 +161,8 @@ def digest_repeats(docs: DataFrame, *, window: int = WINDOW, doc_id: str = "doc_
 
 def _removed(docs: DataFrame, window: int, doc_id: str, text: str, last: str, of_kept) -> DataFrame:
     d = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
-    n = d.count()
-    n_chunks, n_buckets, block = max(1, math.ceil(n / DOCS_PER_CHUNK)), max(8, math.ceil(n / DOCS_PER_BUCKET)), (window + 1) // 2
+    n, size = d.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n_chunks, n_buckets, block = max(1, math.ceil(n / DOCS_PER_CHUNK), math.ceil(size / BYTES_PER_CHUNK)), max(8, math.ceil(n / DOCS_PER_BUCKET)), (window + 1) // 2
     d = d.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks))).repartition("chunk")
     low = np.uint64(0xFFFFFFFF)
 
@@ -144,7 +180,7 @@ def _removed(docs: DataFrame, window: int, doc_id: str, text: str, last: str, of
         return _packed(table.column("chunk")[0].as_py(), bucket(h & ~np.uint64(1)), (h >> np.uint64(32)).astype("<u4"), flags)
 
     def hits(table: pa.Table) -> pa.Table:
-        return _matches(table, 4, True)
+        return _matches(table, "<u4", True)
 
     def candidates(table: pa.Table, found: pa.Table) -> pa.Table:
         if not found.num_rows or not table.num_rows:
@@ -157,11 +193,15 @@ def _removed(docs: DataFrame, window: int, doc_id: str, text: str, last: str, of
         marks[at[_among(short(h & ~np.uint64(1)), some)]] = 1
         marks = np.concatenate([[0], np.cumsum(marks[:-1])])
         at, h = c.windows(window)
-        h, times = np.unique(h[marks[at + window - block + 1] > marks[at]], return_counts=True)
-        return _packed(table.column("chunk")[0].as_py(), bucket(h), h.astype("<u8"), ((times > 1) * AGAIN).astype(np.uint8))
+        near = marks[at + window - block + 1] > marks[at]
+        pairs = c.pairs(at[near], h[near], window)
+        pairs = pairs[np.lexsort((pairs["b"], pairs["a"]))]
+        first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]])) if len(pairs) else np.empty(0, np.int64)
+        times, pairs = np.diff(np.append(first, len(pairs))), pairs[first]
+        return _packed(table.column("chunk")[0].as_py(), bucket(pairs["a"]), pairs, ((times > 1) * AGAIN).astype(np.uint8))
 
     def repeats(table: pa.Table) -> pa.Table:
-        return _matches(table, 8, False)
+        return _matches(table, PAIR, False)
 
     def kept(table: pa.Table, found: pa.Table) -> pa.Table:
         if not table.num_rows:
@@ -170,7 +210,7 @@ def _removed(docs: DataFrame, window: int, doc_id: str, text: str, last: str, of
         starts = np.zeros(c.n + window + 1, np.int64)
         if found.num_rows:
             at, h = c.windows(window)
-            at = at[_among(h, [np.frombuffer(x.as_py(), "<u8") for x in found.column("hashes")])]
+            at = _among_pairs(c, at, h, np.concatenate([np.frombuffer(x.as_py(), PAIR) for x in found.column("hashes")]), window)
             starts[at] += 1
             starts[at + window] -= 1
         stays = np.cumsum(starts)[: c.n] == 0
