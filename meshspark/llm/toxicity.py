@@ -20,8 +20,8 @@ from ._shared import Recent, map_arrow, only, utf8
 #: Rows of either label that the machine is fitted on at most, the first by hash.
 SAMPLE = 8000
 LANDMARKS, POWER, DECAY, STEP, PIECE, CACHED, CUTOFF, TELLING = 128, 3, 0.5, 3, 32, 300_000, 0.3, 6.0
-#: Rounds of fitting; words in a block; words of a text that its score rests on.
-ROUNDS, BLOCK, WORST = 4, 4096, 3
+#: Rounds of fitting; words in a block; words of a text that its score rests on; words that stand for toxic documents in fitting at most.
+ROUNDS, BLOCK, WORST, WITNESSES = 4, 4096, 3, 4000
 _GAP, _BEGIN, _END, _SYMBOLS = 0, 1, 2, 64
 _PATTERNS = [(a, b, DECAY ** (a + b - 2)) for a in range(1, STEP + 1) for b in range(1, STEP + 1)]
 _TRIM = re.compile(r"^[\W_]+|[\W_]+$")
@@ -127,19 +127,21 @@ class Kernel:
         return out**POWER
 
 
-def linear_machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
-    """Squared-hinge machine by Newton steps with step halving; y in -1, 1."""
-    z = np.hstack([x, np.ones((len(x), 1))])
+def linear_machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, float]:
+    """Squared-hinge machine by Newton steps with step halving; y in -1, 1; the last column of z is 1."""
     w = np.zeros(z.shape[1])
-    penalty = np.append(np.full(x.shape[1], ridge), 1e-6)
+    penalty = np.append(np.full(z.shape[1] - 1, ridge), 1e-6)
 
     def loss(w: np.ndarray) -> float:
         return float((weight * np.maximum(0, 1 - y * (z @ w)) ** 2).sum() + penalty @ (w * w))
 
     for _ in range(100):
         slack = np.maximum(0, 1 - y * (z @ w))
-        a = z[slack > 0] * weight[slack > 0, None]
-        step = np.linalg.solve(a.T @ z[slack > 0] + np.diag(penalty), penalty * w - z.T @ (weight * y * slack))
+        active, gram = weight * (slack > 0), np.diag(penalty)
+        for at in range(0, len(z), BLOCK):
+            part = z[at : at + BLOCK]
+            gram += (part * active[at : at + BLOCK, None]).T @ part
+        step = np.linalg.solve(gram, penalty * w - z.T @ (weight * y * slack))
         size, now = 1.0, loss(w)
         while size > 1e-4 and loss(w - size * step) > now:
             size /= 2
@@ -193,7 +195,7 @@ def learned(docs: list[tuple[str, ...]], toxic: np.ndarray, seed: int = 3) -> Ma
     as in multiple-instance learning, the words with positive margins, else the best one, stand for
     their document, the others are left out; all words of clean documents are clean. The first guess
     are the words whose document counts, or whose beginning's, tell. A logistic curve over the WORST
-    largest margins, fitted on documents kept apart, turns them into a score.
+    largest margins turns them into a score.
     """
     rng = np.random.default_rng(seed)
     if not toxic.any() or toxic.all():
@@ -202,10 +204,14 @@ def learned(docs: list[tuple[str, ...]], toxic: np.ndarray, seed: int = 3) -> Ma
     if not toxic[fit].any() or toxic[fit].all():
         fit[:] = True
     counts = [Counter(), Counter()]
-    for words, label in zip(itertools.compress(docs, fit), toxic[fit].tolist(), strict=True):
-        seen = set(words)
-        seen.update(w[:n] + "*" for w in words for n in range(4, min(len(w), 10)))
-        counts[int(label)].update(seen)
+    # Beginnings of words count only where toxic documents have them, so that the clean ones' don't fill the memory.
+    starts = lambda w: (w[:m] + "*" for m in range(4, min(len(w), 10)))
+    for words in itertools.compress(docs, fit & toxic):
+        counts[1].update({*words, *itertools.chain.from_iterable(map(starts, words))})
+    for s in [s for s, c in counts[1].items() if c < 3 and s.endswith("*")]:
+        del counts[1][s]
+    for words in itertools.compress(docs, fit & ~toxic):
+        counts[0].update({*words, *(s for w in words for s in starts(w) if s in counts[1])})
     n = [max(1, int((~toxic[fit]).sum())), max(1, int(toxic[fit].sum()))]
 
     def telling(s: str) -> float:
@@ -241,13 +247,14 @@ def learned(docs: list[tuple[str, ...]], toxic: np.ndarray, seed: int = 3) -> Ma
     machine = None
     for _ in range(ROUNDS):
         count = Counter(itertools.chain.from_iterable(witness))
-        forms = [(f, c) for w, c in count.items() for f in (w, *_disguised(w, rng))]
-        positive = kernel([pieces(f)[0] for f, _ in forms]) @ root
-        negative = kernel([pieces(w)[0] for w in clean]) @ root
-        x = np.vstack([positive, negative])
-        y = np.concatenate([np.ones(len(positive)), -np.ones(len(negative))])
+        forms = [(f, c) for w, c in sorted(count.items(), key=lambda x: (-x[1], x[0]))[:WITNESSES] for f in (w, *_disguised(w, rng))]
+        words = [*(f for f, _ in forms), *clean]
+        x = np.ones((len(words), len(chosen) + 1))
+        for at in range(0, len(words), BLOCK):
+            x[at : at + BLOCK, :-1] = kernel([pieces(w)[0] for w in words[at : at + BLOCK]]) @ root
+        y = np.where(np.arange(len(words)) < len(forms), 1.0, -1.0)
         weight = np.concatenate([np.sqrt([c for _, c in forms]), np.sqrt([max(1, counts[0][w]) for w in clean])])
-        weight[: len(positive)] *= 0.5 * weight[len(positive) :].sum() / weight[: len(positive)].sum()
+        weight[: len(forms)] *= 0.5 * weight[len(forms) :].sum() / weight[: len(forms)].sum()
         w, bias = linear_machine(x, y, weight)
         machine = Machine(kernel, root @ w, bias, np.zeros(WORST), 0.0)
         every = sorted({w for words in bad for w in words})
@@ -256,16 +263,19 @@ def learned(docs: list[tuple[str, ...]], toxic: np.ndarray, seed: int = 3) -> Ma
         # Clean words that look worst join the next round.
         worst = machine.margins(every_clean)
         clean = list(dict.fromkeys(clean + [every_clean[i] for i in np.argsort(-worst, kind="stable")[:3000] if worst[i] > -1]))
-    held = ~fit if (~fit).any() and toxic[~fit].any() and not toxic[~fit].all() else np.ones(len(docs), bool)
-    every = sorted({w for d in itertools.compress(docs, held) for w in d})
+    every = sorted({w for d in docs for w in d})
     margin = dict(zip(every, machine.margins(every).tolist(), strict=True))
-    worst = np.array([machine.worst([margin[w] for w in d]) for d in itertools.compress(docs, held)])
-    machine.slopes, machine.shift = _calibrated(worst, toxic[held].astype(float))
+    worst = np.array([machine.worst([margin[w] for w in d]) for d in docs])
+    machine.slopes, machine.shift = _calibrated(worst, toxic.astype(float), ~fit)
     return machine
 
 
-def _calibrated(margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic curve from margins to labels, with smoothed targets; no slope is under 0."""
+def _calibrated(margins: np.ndarray, label: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic curve from margins to labels, with smoothed targets; no slope is under 0.
+
+    Its place is the mean of the best for all rows and for those kept apart in fitting: the former
+    sees too little error, the latter are few.
+    """
     up, down = label.sum(), len(label) - label.sum()
     target = np.where(label > 0, (up + 1) / (up + 2), 1 / (down + 2))
     used = np.arange(margins.shape[1])
@@ -275,7 +285,8 @@ def _calibrated(margins: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, flo
         if (w[:-1] >= 0).all():
             slopes = np.zeros(margins.shape[1])
             slopes[used] = w[:-1]
-            return slopes, float(w[-1]) + _moved(z @ w, label)
+            f = z @ w
+            return slopes, float(w[-1]) + (_moved(f, label) + _moved(f[apart], label[apart])) / 2
         used = np.delete(used, w[:-1].argmin())
 
 
@@ -288,7 +299,8 @@ def _moved(f: np.ndarray, label: np.ndarray) -> float:
     f1 = 2 * found / (np.arange(1, len(f) + 1) + label.sum())
     cut = np.append(f[order][:-1] > f[order][1:], True)
     at = int(np.where(cut, f1, -1).argmax())
-    level = (f[order[at]] + f[order[min(at + 1, len(f) - 1)]]) / 2
+    above, below = f[order[at]], f[order[min(at + 1, len(f) - 1)]]
+    level = below + 0.3 * (above - below)  # disguises score a little less than the words they stand for
     return math.log(CUTOFF / (1 - CUTOFF)) - float(level)
 
 
