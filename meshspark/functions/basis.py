@@ -77,6 +77,25 @@ ELEMENTS: dict[str, Element] = {
 }
 
 
+def register_element(name: str, nodes: list, powers: list, points: list, weights: list) -> Element:
+    """An element of one's own: reference nodes, exponents of its monomials (as many as nodes), quadrature. Known names are refused."""
+    e = Element(np.array(nodes, float), np.array(powers), np.array(points, float), np.array(weights, float))
+    if name in ELEMENTS or len(e.nodes) != len(e.powers) or len(e.points) != len(e.weights):
+        raise ValueError(f"element {name}: known already, or sizes don't match")
+    np.linalg.inv(e._monomials(e.nodes))  # raises if the nodes don't determine the monomials
+    ELEMENTS[name] = e
+    return e
+
+
+def with_quadrature(etype: str, points: list, weights: list) -> str:
+    """The name of the element with a quadrature of the caller's; made on first use."""
+    e = ELEMENTS[etype]
+    name = f"{etype}@{hash((str(points), str(weights))) & 0xFFFFFFFF:x}"
+    if name not in ELEMENTS:
+        register_element(name, e.nodes, e.powers, points, weights)
+    return name
+
+
 def basis_table(spark: SparkSession, etype: str) -> DataFrame:
     """q, w, xi, n (nodes), dn (directions x nodes): at most nine rows, so always broadcast."""
     e = ELEMENTS[etype]

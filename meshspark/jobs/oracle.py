@@ -4,8 +4,8 @@ from __future__ import annotations
 
 _GRID = """WITH g AS (SELECT greatest(CAST(floor(sqrt(count(*))) AS BIGINT) - 1, 0) AS n FROM part),
 nodes AS (SELECT CAST(p_partkey AS BIGINT) AS node_id, (p_partkey // (n + 1)) / CAST(n AS DOUBLE) AS x, (p_partkey % (n + 1)) / CAST(n AS DOUBLE) AS y,
-  CAST(p_retailprice AS DOUBLE) AS u, CAST(p_size AS DOUBLE) AS s, n FROM part, g WHERE p_partkey < (n + 1) * (n + 1)),
-cells AS (SELECT r AS c, n, (r // n) * (n + 1) + r % n AS sw, (r // n + 1) * (n + 1) + r % n AS se FROM g, range(0, n * n) t(r)),
+  CAST(p_retailprice AS DOUBLE) AS u, CAST(p_size AS DOUBLE) AS s, n FROM part, g),
+cells AS (SELECT r AS c, n, (r // n) * (n + 1) + r % n AS sw, (r // n + 1) * (n + 1) + r % n AS se FROM g, range(0, n * (n + 2)) t(r) WHERE (r // n + 1) * (n + 1) + r % n + 1 < (SELECT count(*) FROM part)),
 tri AS (SELECT 2 * c AS elem_id, sw AS n0, se AS n1, se + 1 AS n2 FROM cells UNION ALL SELECT 2 * c + 1, sw, se + 1, sw + 1 FROM cells),
 quad AS (SELECT c AS elem_id, sw AS n0, se AS n1, se + 1 AS n2, sw + 1 AS n3 FROM cells),
 t AS (SELECT elem_id, n0, n1, n2, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1, d.x AS x2, d.y AS y2, a.u AS u0, b.u AS u1, d.u AS u2, a.s AS s0, b.s AS s1, d.s AS s2,
@@ -23,8 +23,9 @@ k AS (SELECT r.i, c.j, CASE r.i WHEN 0 THEN n0 WHEN 1 THEN n1 ELSE n2 END AS "ro
   (CASE r.i WHEN 0 THEN y1 - y2 WHEN 1 THEN y2 - y0 ELSE y0 - y1 END * CASE c.j WHEN 0 THEN y1 - y2 WHEN 1 THEN y2 - y0 ELSE y0 - y1 END
    + CASE r.i WHEN 0 THEN x2 - x1 WHEN 1 THEN x0 - x2 ELSE x1 - x0 END * CASE c.j WHEN 0 THEN x2 - x1 WHEN 1 THEN x0 - x2 ELSE x1 - x0 END) / det / 2 AS stiff, det / 18 AS mass
   FROM t, range(3) r(i), range(3) c(j)),
-parted AS (SELECT tri.*, CAST(least(elem_id // greatest((2 * n * n + 7) // 8, 1), 7) AS INTEGER) AS part FROM tri, g),
-touched AS (SELECT DISTINCT part, unnest([n0, n1, n2]) AS node_id FROM parted),
+line AS (SELECT CAST(l_orderkey AS BIGINT) AS elem_id, CAST(l_partkey AS BIGINT) AS node_id,
+  CAST(least(l_orderkey // greatest(((SELECT count(*) FROM orders) + 7) // 8, 1), 7) AS INTEGER) AS part FROM lineitem),
+touched AS (SELECT DISTINCT part, node_id FROM line),
 local AS (SELECT part, node_id, min(part) OVER (PARTITION BY node_id) AS owner FROM touched),
 layout AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY part <> owner, node_id) - 1 AS local_id, node_id, owner, part = owner AS is_owned FROM local),
 cons AS (SELECT node_id AS dof, u AS v, node_id % (n + 1) = 0 AS fixed, node_id <= n AS slave, CASE WHEN node_id <= n THEN node_id + n * (n + 1) ELSE node_id END AS master FROM nodes),
@@ -62,7 +63,7 @@ FROM ends e JOIN ends f USING (elem_id) JOIN nodes p ON p.node_id = e.node_id JO
     "g5_quad_points": _q("SELECT elem_id, q, round(x, 9) AS x, round(y, 9) AS y FROM qp"),
     "g6_weights": _q("SELECT elem_id, q, round(wt, 9) AS wt FROM qp"),
     "g7_map_quads": _q("""SELECT elem_id, 0 AS q, round((u0 + u1 + u2) / 3 * quantity, 4) AS v FROM t
-JOIN (SELECT l_partkey AS elem_id, sum(CAST(l_quantity AS DOUBLE)) AS quantity FROM lineitem GROUP BY 1) USING (elem_id)"""),
+LEFT JOIN (SELECT l_partkey, sum(CAST(l_quantity AS DOUBLE)) AS quantity FROM lineitem GROUP BY 1) ON l_partkey = elem_id % (SELECT count(*) FROM part)"""),
     "g8_map_elements": _q("SELECT elem_id, round(greatest(u0, u1, u2) - least(u0, u1, u2), 6) AS v FROM t"),
     "a1_integrate_per_element": _q("SELECT elem_id, round(sum(u * wt), 6) AS v FROM qp GROUP BY elem_id"),
     "a2_integrate": _q("SELECT round(sum(det / 2), 6) AS measure, round(sum((u0 + u1 + u2) / 3 * det / 2), 4) AS integral FROM t"),
@@ -72,7 +73,7 @@ JOIN (SELECT l_partkey AS elem_id, sum(CAST(l_quantity AS DOUBLE)) AS quantity F
     "p12_stiffness": _q('SELECT "row", col, round(sum(stiff), 9) + 0.0 AS v FROM k GROUP BY 1, 2'),
     "p13_mass": _q("""SELECT e.node_id AS "row", f.node_id AS col, round(sum(a.f * b.f * wt), 9) AS v FROM ends e JOIN ends f USING (elem_id)
 JOIN shape a ON a.a = e.a JOIN shape b ON b.a = f.a AND b.q = a.q JOIN qp ON qp.elem_id = e.elem_id AND qp.q = a.q GROUP BY 1, 2"""),
-    "p1_mesh_pattern": _q('SELECT DISTINCT "row" * 2 + a AS "row", col * 2 + b AS col FROM k, range(2) p(a), range(2) o(b)'),
+    "p1_mesh_pattern": _q('SELECT DISTINCT l.node_id * 2 + a AS "row", m.node_id * 2 + b AS col FROM line l JOIN line m USING (elem_id), range(2) p(a), range(2) o(b)'),
     "p3_term_pattern": 'SELECT DISTINCT CAST(a.l_partkey AS BIGINT) AS "row", CAST(b.l_partkey AS BIGINT) AS col FROM lineitem a JOIN lineitem b USING (l_orderkey)',
     "u5_asymmetric": _q('SELECT "row", col FROM coo WHERE NOT EXISTS (SELECT 1 FROM coo o WHERE o."row" = coo.col AND o.col = coo."row")', _COO),
     "a7_row_counts": _q("SELECT * FROM cnt", _COO),

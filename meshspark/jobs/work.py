@@ -39,9 +39,13 @@ def _coo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.agg(F.sum(F.col("l_quantity").cast("double")).alias("v"))
 
 
-def _partition(mesh: Mesh, spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = 2 * cells_per_side(_table(spark, sf_dir, "part").count()) ** 2
-    return mesh.elements.select("elem_id", parts.chunks(F.col("elem_id"), n, PARTS).alias("part"))
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Orders as elements whose nodes are the parts ordered, and eight runs of orders as parts."""
+    lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
+    items = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("elem_id")).agg(lines.alias("_l"))
+    elements = items.select("elem_id", F.col("_l.l_partkey").cast("array<bigint>").alias("conn"))
+    n = _table(spark, sf_dir, "orders").count()
+    return elements, elements.select("elem_id", parts.chunks(F.col("elem_id"), n, PARTS).alias("part"))
 
 
 def _r(c: Column | str, places: int = 6) -> Column:
@@ -85,11 +89,11 @@ def g6_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def g7_map_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The field at each point times the quantity ordered of the element's part; as in its SQL, only elements whose id is a part ordered."""
+    """The field at each point times the quantity ordered of the element's part (its id modulo their number); null where none was ordered."""
+    mesh, n = _grid(spark, sf_dir), _table(spark, sf_dir, "part").count()
     kernel = lambda mesh: fields.value(mesh, "u") * F.col("quantity")
-    quantity = _quantity(spark, sf_dir)
-    mapped = fields.map_quads(_grid(spark, sf_dir), kernel, quantity=quantity, u=_field(spark, sf_dir)).join(quantity, "elem_id", "left_semi")
-    return mapped.select("elem_id", "q", _r("v", 4).alias("v"))
+    quantity = mesh.elements.select("elem_id", (F.col("elem_id") % n).alias("_p")).join(_quantity(spark, sf_dir).withColumnRenamed("elem_id", "_p"), "_p").drop("_p")
+    return fields.map_quads(mesh, kernel, quantity=quantity, u=_field(spark, sf_dir)).select("elem_id", "q", _r("v", 4).alias("v"))
 
 
 def g8_map_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,7 +135,7 @@ def p13_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p1_mesh_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matrices.mesh_pattern(_grid(spark, sf_dir).elements, dofs=2)
+    return matrices.mesh_pattern(_orders(spark, sf_dir)[0], dofs=2)
 
 
 def p3_term_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -165,13 +169,11 @@ def j2_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def a6_node_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mesh = _grid(spark, sf_dir)
-    return parts.node_owner(mesh.elements, _partition(mesh, spark, sf_dir))
+    return parts.node_owner(*_orders(spark, sf_dir))
 
 
 def w1_local_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mesh = _grid(spark, sf_dir)
-    return parts.local_nodes(mesh.elements, _partition(mesh, spark, sf_dir))
+    return parts.local_nodes(*_orders(spark, sf_dir))
 
 
 def w2_part_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,8 +214,8 @@ def l5_reduce_adjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l14_reduce_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     dofs, _, cs = _constrained(spark, sf_dir)
-    k = fields.bilinear_form(_grid(spark, sf_dir), stiffness=F.lit(1.0), mass=F.lit(1.0))
-    return C.reduce_matrix(k, C.free_dofs(dofs, cs), cs).select("row", "col", (_r("v", 9) + 0.0).alias("v"))
+    k = fields.bilinear_entries(_grid(spark, sf_dir), stiffness=F.lit(1.0), mass=F.lit(1.0))
+    return C.reduce_matrix(k, C.free_dofs(dofs, cs), cs, dofs).select("row", "col", (_r("v", 9) + 0.0).alias("v"))
 
 
 QUERIES = {

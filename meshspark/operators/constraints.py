@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -40,17 +41,111 @@ class Periodic:
         return moved.select(F.inline(both)).groupBy("dof").agg(F.sum("v").alias("v"))
 
 
+@dataclass(frozen=True)
+class Valued:
+    """table(dof, key): values that are bound later, by key."""
+
+    table: DataFrame
+
+
 Constraints = list[Fixed | Periodic]
 
 
+def with_values(constraints: list, params: DataFrame) -> Constraints:
+    """The constraints with params(key, value) bound to those that wait for values.
+
+    A key with several values, one that nothing asks for, or a value that is missing is an error;
+    the keys are few (one for a boundary), the unknowns are not collected.
+    """
+    asked = None
+    for c in constraints:
+        if isinstance(c, Valued):
+            keys = c.table.select("key").distinct()
+            asked = keys if asked is None else asked.unionByName(keys).distinct()
+    if asked is None:
+        return constraints
+    match = asked.withColumn("_asked", F.lit(1)).join(params.groupBy("key").agg(F.count("value").alias("_n")), "key", "full")
+    if (bad := match.filter("_asked IS NULL OR _n IS NULL OR _n <> 1").first()) is not None:
+        raise KeyError(f"value {bad['key']}: unknown, missing or given twice")
+    given = params.select("key", "value")
+    return [Fixed(c.table.join(given, "key").select("dof", "value")) if isinstance(c, Valued) else c for c in constraints]
+
+
+def checked(constraints: Constraints, all_dofs: DataFrame) -> Constraints:
+    """The constraints, or an error: an unknown twice in one of them, a master or unknown that is not there, a null."""
+    for c in constraints:
+        names = c.table.select("dof").unionByName(c.table.select(F.col("master").alias("dof"))) if isinstance(c, Periodic) else c.table.select("dof")
+        twice = c.table.groupBy("dof").count().filter("count > 1 OR dof IS NULL")
+        if not twice.isEmpty() or not names.join(all_dofs, "dof", "left_anti").isEmpty():
+            raise ValueError("a constraint names an unknown twice, or one that is not there")
+    return constraints
+
+
+def constrained_dofs(constraints: Constraints) -> DataFrame:
+    """dof: the union of what the constraints name."""
+    out = constraints[0].table.select("dof")
+    for c in constraints[1:]:
+        out = out.unionByName(c.table.select("dof"))
+    return out.distinct()
+
+
 def free_dofs(all_dofs: DataFrame, constraints: Constraints) -> DataFrame:
     """dof, reduced: what no constraint names, numbered by rising dof."""
     free = all_dofs.select("dof")
-    for c in constraints:
-        free = free.join(c.table.select("dof"), "dof", "left_anti")
+    if constraints:
+        free = free.join(constrained_dofs(constraints), "dof", "left_anti")
     return positions(free, "dof", "reduced")
 
 
+def targets(free: DataFrame, all_dofs: DataFrame, constraints: Constraints) -> DataFrame:
+    """dof, reduced: the number that each unknown's entries go to, once all constraints are applied; unknowns that end at a fixed one are left out."""
+    to = all_dofs.select("dof", F.col("dof").alias("_to"))
+    for c in reversed(constraints):
+        if isinstance(c, Periodic):
+            to = to.join(c.table.select(F.col("dof").alias("_to"), F.col("master").alias("_m")), "_to", "left").select("dof", F.coalesce("_m", "_to").alias("_to"))
+    return to.join(free.select(F.col("dof").alias("_to"), "reduced"), "_to").select("dof", "reduced")
+
+
+def augment_pattern(pattern: DataFrame, constraints: Constraints) -> DataFrame:
+    """row, col: masters get their slaves' rows and columns; the slaves keep theirs."""
+    for c in constraints:
+        if isinstance(c, Periodic):
+            for end in ("row", "col"):
+                to = c.table.select(F.col("dof").alias(end), F.col("master").alias("_m"))
+                pattern = pattern.join(to, end, "left").withColumn(end, F.explode(F.array_distinct(F.array(F.col(end), F.coalesce("_m", end))))).drop("_m")
+    return pattern.select("row", "col").distinct()
+
+
+def reduce_pattern(pattern: DataFrame, free: DataFrame) -> DataFrame:
+    """row, col in reduced numbers, free ones only."""
+    for end in ("row", "col"):
+        pattern = pattern.join(free.select(F.col("dof").alias(end), F.col("reduced").alias(f"_{end}")), end)
+    return pattern.select(F.col("_row").alias("row"), F.col("_col").alias("col"))
+
+
+def adapt_pattern(pattern: DataFrame, free: DataFrame, constraints: Constraints) -> DataFrame:
+    """The pattern of the reduced matrix."""
+    return reduce_pattern(augment_pattern(pattern, constraints), free)
+
+
+def lifted(fn: Callable[[DataFrame], DataFrame], free: DataFrame, constraints: Constraints, full: DataFrame, output: str | None = None) -> Callable[[DataFrame], DataFrame]:
+    """A job on full vectors as one on reduced vectors(reduced, v).
+
+    output: None leaves what fn gives, "primal" picks the free values, "dual" applies the transposed
+    constraints first. A reduced vector of another size than free is an error.
+    """
+    if output not in (None, "primal", "dual"):
+        raise ValueError("output is None, primal or dual")
+
+    def run(reduced: DataFrame) -> DataFrame:
+        if not reduced.select("reduced").join(free, "reduced", "left_anti").isEmpty() or not free.join(reduced.select("reduced"), "reduced", "left_anti").isEmpty():
+            raise ValueError("the reduced vector has not the free unknowns' size")
+        out = fn(lift(reduced, full, free, constraints))
+        return out if output is None else reduce(out, free) if output == "primal" else reduce_adjoint(out, free, constraints)
+
+    return run
+
+
 def lift(reduced: DataFrame, full: DataFrame, free: DataFrame, constraints: Constraints) -> DataFrame:
     """dof, v: the free values over a base vector, then the constraints in their order."""
     given = reduced.join(free, "reduced").select("dof", F.col("v").alias("_v"), F.lit(True).alias("_on"))
@@ -72,13 +167,13 @@ def reduce_adjoint(residual: DataFrame, free: DataFrame, constraints: Constraint
     return reduce(residual, free)
 
 
-def reduce_matrix(coo: DataFrame, free: DataFrame, constraints: Constraints) -> DataFrame:
-    """row, col, v in reduced numbers: slaves' rows and columns are added to their masters', fixed ones dropped."""
-    for c in reversed(constraints):
-        if isinstance(c, Periodic):
-            for end in ("row", "col"):
-                ends = c.table.select(F.col("dof").alias(end), F.col("master").alias("_m"))
-                coo = coo.join(ends, end, "left").withColumn(end, F.coalesce("_m", end)).drop("_m")
+def reduce_matrix(coo: DataFrame, free: DataFrame, constraints: Constraints, all_dofs: DataFrame) -> DataFrame:
+    """row, col, v in reduced numbers: slaves' rows and columns are added to their masters', fixed ones dropped.
+
+    The constraints are resolved into one table of targets; entries, summed or not, meet it once for
+    each end and are summed once.
+    """
+    to = targets(free, all_dofs, constraints)
     for end in ("row", "col"):
-        coo = coo.join(free.select(F.col("dof").alias(end), F.col("reduced").alias(f"_{end}")), end)
+        coo = coo.join(to.select(F.col("dof").alias(end), F.col("reduced").alias(f"_{end}")), end)
     return coo.groupBy(F.col("_row").alias("row"), F.col("_col").alias("col")).agg(F.sum("v").alias("v"))

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.basis import ELEMENTS, basis_table, dot, geometry
 from ..sources.grids import Mesh
+from .cut import written
+from .matrices import solve_cg
 
 AXES = ("x", "y", "z")
 
@@ -55,6 +58,44 @@ def slope(mesh: Mesh, name: str, direction: int) -> Column:
     return dot(F.col("_g")[direction], F.col(name), _k(mesh))
 
 
+def values(mesh: Mesh, name: str) -> Column:
+    """The components of a field of arrays at a point."""
+    u, k = F.col(name), _k(mesh)
+    return F.transform(u[0], lambda _, c: sum((F.col("_n")[a] * u[a][c] for a in range(1, k)), F.col("_n")[0] * u[0][c]))
+
+
+def slopes(mesh: Mesh, name: str, direction: int) -> Column:
+    """The slope of each component of a field of arrays along a direction."""
+    u, g, k = F.col(name), F.col("_g")[direction], _k(mesh)
+    return F.transform(u[0], lambda _, c: sum((g[a] * u[a][c] for a in range(1, k)), g[0] * u[0][c]))
+
+
+def evaluate_components(mesh: Mesh, field: DataFrame) -> DataFrame:
+    """elem_id, q, c, wt, v of a nodal field of arrays, tensors flattened by rows."""
+    return at_quads(mesh, u=field).select("elem_id", "q", "wt", F.posexplode(values(mesh, "u")).alias("c", "v"))
+
+
+def gradient_components(mesh: Mesh, field: DataFrame) -> DataFrame:
+    """elem_id, q, c, d, v: of each component the slope along each direction."""
+    rows = at_quads(mesh, u=field).withColumn("_s", F.array(*(slopes(mesh, "u", d) for d in range(ELEMENTS[mesh.etype].dim))))
+    return rows.select("elem_id", "q", F.posexplode("_s").alias("d", "_v")).select("elem_id", "q", "d", F.posexplode("_v").alias("c", "v"))
+
+
+def per_element_components(mapped: DataFrame) -> DataFrame:
+    """elem_id, c, v: the integral of each component over each element."""
+    return mapped.groupBy("elem_id", "c").agg(F.sum(F.col("v") * F.col("wt")).alias("v"))
+
+
+def integrate(mesh: Mesh, number: float) -> DataFrame:
+    """elem_id, v: a number's integral over each element."""
+    return integration_weights(mesh).groupBy("elem_id").agg((F.sum("wt") * F.lit(float(number))).alias("v"))
+
+
+def on_elements(mesh: Mesh, elements: DataFrame, etype: str) -> Mesh:
+    """The same nodes under other elements, such as the lines of a boundary; fields of the nodes serve both."""
+    return Mesh(mesh.nodes, elements, etype)
+
+
 def evaluate(mesh: Mesh, field: DataFrame) -> DataFrame:
     """elem_id, q, v of a nodal field."""
     return at_quads(mesh, u=field).select("elem_id", "q", value(mesh, "u").alias("v"))
@@ -87,6 +128,17 @@ def map_quads(mesh: Mesh, kernel: Callable[[Mesh], Column], *, quantity: DataFra
     return rows.select("elem_id", "q", "wt", kernel(mesh).alias("v"))
 
 
+def map_points(mesh: Mesh, fn: Callable[[pa.RecordBatch], pa.Array], **fields: DataFrame) -> DataFrame:
+    """elem_id, q, wt, v = fn on batches of points, for kernels that columns can't express: fn sees a column for each field's value and gives doubles."""
+    rows = at_quads(mesh, **fields).select("elem_id", "q", "wt", *(value(mesh, f).alias(f) for f in fields))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], fn(b)], ["elem_id", "q", "wt", "v"])
+
+    return rows.mapInArrow(run, "elem_id long, q int, wt double, v double")
+
+
 def map_elements(mesh: Mesh, kernel: Column, **fields: DataFrame) -> DataFrame:
     """elem_id, v = kernel over the gathered arrays."""
     return gather(mesh, **fields).select("elem_id", kernel.alias("v"))
@@ -123,9 +175,43 @@ def diameters(mesh: Mesh) -> DataFrame:
 # Material kernels: columns over the slopes of a displacement (u, w).
 
 
-def lame(young: float, poisson: float) -> tuple[float, float]:
-    """mu and lambda of an isotropic material in plane strain."""
-    return young / (2 * (1 + poisson)), young * poisson / ((1 + poisson) * (1 - 2 * poisson))
+def lame(young: float, poisson: float, plane_stress: bool = False) -> tuple[float, float]:
+    """mu and lambda of an isotropic material in plane strain (and in space), or in plane stress."""
+    mu, lam = young / (2 * (1 + poisson)), young * poisson / ((1 + poisson) * (1 - 2 * poisson))
+    return mu, 2 * mu * lam / (lam + 2 * mu) if plane_stress else lam
+
+
+def strain(grad: list[list[Column]]) -> list[list[Column]]:
+    """The symmetric part of a gradient, grad[i][j] the slope of component i along j."""
+    n = len(grad)
+    return [[(grad[i][j] + grad[j][i]) * F.lit(0.5) for j in range(n)] for i in range(n)]
+
+
+def stress(eps: list[list[Column]], mu: float, lam: float) -> list[list[Column]]:
+    trace = sum((eps[i][i] for i in range(1, len(eps))), eps[0][0])
+    return [[F.lit(2 * mu) * eps[i][j] + (F.lit(lam) * trace if i == j else F.lit(0.0)) for j in range(len(eps))] for i in range(len(eps))]
+
+
+def neo_hookean(grad: list[list[Column]], mu: float, lam: float) -> Column:
+    """mu / 2 (I1 - d - 2 ln J) + lam / 2 (ln J)^2 in two or three dimensions; null where J is not positive."""
+    d = len(grad)
+    f = [[grad[i][j] + (F.lit(1.0) if i == j else F.lit(0.0)) for j in range(d)] for i in range(d)]
+    minor = lambda a, b: f[1][a] * f[2][b] - f[1][b] * f[2][a]
+    j = f[0][0] * f[1][1] - f[0][1] * f[1][0] if d == 2 else f[0][0] * minor(1, 2) - f[0][1] * minor(0, 2) + f[0][2] * minor(0, 1)
+    squares = [c * c for row in f for c in row]
+    log = F.ln(F.when(j > 0, j))
+    return F.lit(mu / 2) * (sum(squares[1:], squares[0]) - F.lit(float(d)) - F.lit(2.0) * log) + F.lit(lam / 2) * log * log
+
+
+def active_set_potential(multiplier: Column, value: Column, active: Column) -> Column:
+    """multiplier * value where active, half the multiplier squared elsewhere."""
+    return F.when(active, multiplier * value).otherwise(F.lit(0.5) * multiplier * multiplier)
+
+
+def scaled_by_mean(mapped: DataFrame, table: DataFrame, column: str) -> DataFrame:
+    """mapped with v times the mean of a column of a whole table, which is one row and broadcast."""
+    mean = table.agg(F.avg(F.col(column).cast("double")).alias("_m"))
+    return mapped.crossJoin(F.broadcast(mean)).withColumn("v", F.col("v") * F.col("_m")).drop("_m")
 
 
 def linear_energy(mu: float, lam: float) -> Callable[[Mesh], Column]:
@@ -149,29 +235,80 @@ def dirichlet(mesh: Mesh) -> Column:
 # Assembly.
 
 
-def linear_form(mesh: Mesh, source: Column, **fields: DataFrame) -> DataFrame:
-    """node_id, v: the integral of each node's shape function times source."""
-    parts = F.transform(F.arrays_zip("conn", "_n"), lambda e: F.struct(e["conn"].alias("node_id"), (e["_n"] * F.col("_s")).alias("v")))
-    rows = at_quads(mesh, **fields).withColumn("_s", source * F.col("wt"))
-    return rows.select(F.inline(parts)).groupBy("node_id").agg(F.sum("v").alias("v"))
-
+def linear_form(mesh: Mesh, source: Column | None = None, *, flux: list[Column] | None = None, **fields: DataFrame) -> DataFrame:
+    """node_id, v: the integral of N_i * source + grad N_i . flux, a column for each direction."""
+    g = lambda a, d: F.col("_g")[d][a]
+    rows, parts = at_quads(mesh, **fields), []
+    for a in range(_k(mesh)):
+        terms = [] if source is None else [source * F.col("_n")[a]]
+        terms += [f * g(a, d) for d, f in enumerate(flux or [])]
+        parts.append(F.struct(F.col("conn")[a].alias("node_id"), (sum(terms[1:], terms[0]) * F.col("wt")).alias("v")))
+    return rows.select(F.inline(F.array(*parts))).groupBy("node_id").agg(F.sum("v").alias("v"))
 
-def bilinear_form(mesh: Mesh, *, mass: Column | None = None, stiffness: Column | None = None, **fields: DataFrame) -> DataFrame:
-    """row, col, v: integrals of mass * N_i N_j + stiffness * grad N_i . grad N_j.
 
-    The points of an element are summed within its row first, so what is shuffled is one entry for
-    each pair of nodes of an element, combined before the shuffle where neighbours share a task.
-    """
+def bilinear_entries(mesh: Mesh, *, mass: Column | None = None, stiffness: Column | None = None, diffusion: list[list[Column]] | None = None, ahead: list[Column] | None = None, behind: list[Column] | None = None, **fields: DataFrame) -> DataFrame:
+    """row, col, v of each element's matrix, not summed: integrals of mass N_i N_j + stiffness grad N_i . grad N_j + grad N_i . diffusion grad N_j + N_i ahead . grad N_j + grad N_i . behind N_j."""
     k, dim = _k(mesh), ELEMENTS[mesh.etype].dim
+    n, g = F.col("_n"), [F.col("_g")[d] for d in range(dim)]
     entries = []
     for a in range(k):
         for b in range(k):
             terms = []
             if mass is not None:
-                terms.append(mass * F.col("_n")[a] * F.col("_n")[b])
+                terms.append(mass * n[a] * n[b])
             if stiffness is not None:
-                g = [F.col("_g")[d] for d in range(dim)]
                 terms.append(stiffness * sum((s[a] * s[b] for s in g[1:]), g[0][a] * g[0][b]))
+            if diffusion is not None:
+                terms += [g[d][a] * diffusion[d][e] * g[e][b] for d in range(dim) for e in range(dim)]
+            terms += [n[a] * c * g[d][b] for d, c in enumerate(ahead or [])]
+            terms += [g[d][a] * c * n[b] for d, c in enumerate(behind or [])]
             entries.append(F.struct(F.col("conn")[a].alias("row"), F.col("conn")[b].alias("col"), (sum(terms[1:], terms[0]) * F.col("wt")).alias("v")))
-    rows = at_quads(mesh, **fields).select(F.inline(F.array(*entries)))
-    return rows.groupBy("row", "col").agg(F.sum("v").alias("v"))
+    return at_quads(mesh, **fields).select(F.inline(F.array(*entries)))
+
+
+def bilinear_form(mesh: Mesh, **terms) -> DataFrame:
+    """row, col, v: the entries of bilinear_entries, summed.
+
+    What is shuffled is one entry for each pair of nodes of an element at a point, combined before
+    the shuffle where neighbours share a task.
+    """
+    return bilinear_entries(mesh, **terms).groupBy("row", "col").agg(F.sum("v").alias("v"))
+
+
+def matvec_free(mesh: Mesh, x: DataFrame, *, mass: float = 0.0, stiffness: float = 0.0) -> DataFrame:
+    """row, v: the product with mass * M + stiffness * K without the matrix: gather, multiply within the element, add."""
+    dim = ELEMENTS[mesh.etype].dim
+    field = x.select(F.col("dof").alias("node_id"), "v")
+    flux = [F.lit(stiffness) * slope(mesh, "x_", d) for d in range(dim)] if stiffness else None
+    return linear_form(mesh, F.lit(mass) * value(mesh, "x_"), flux=flux, x_=field).select(F.col("node_id").alias("row"), "v")
+
+
+def residual_and_tangent(mesh: Mesh, *, source: Column, flux: list[Column], mass: Column | None = None, diffusion: list[list[Column]] | None = None, **fields: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """node_id, v and row, col, v of one form and its linearization, from gathered elements that are written once."""
+    gathered = written(at_quads(mesh, **fields), "points")
+    k, dim = _k(mesh), ELEMENTS[mesh.etype].dim
+    n, g, wt = F.col("_n"), [F.col("_g")[d] for d in range(dim)], F.col("wt")
+    parts, entries = [], []
+    for a in range(k):
+        parts.append(F.struct(F.col("conn")[a].alias("node_id"), (sum((f * g[d][a] for d, f in enumerate(flux)), source * n[a]) * wt).alias("v")))
+        for b in range(k):
+            terms = [] if mass is None else [mass * n[a] * n[b]]
+            terms += [g[d][a] * diffusion[d][e] * g[e][b] for d in range(dim) for e in range(dim)] if diffusion else []
+            entries.append(F.struct(F.col("conn")[a].alias("row"), F.col("conn")[b].alias("col"), (sum(terms[1:], terms[0]) * wt).alias("v")))
+    residual = gathered.select(F.inline(F.array(*parts))).groupBy("node_id").agg(F.sum("v").alias("v"))
+    return residual, gathered.select(F.inline(F.array(*entries))).groupBy("row", "col").agg(F.sum("v").alias("v"))
+
+
+def project(mesh: Mesh, kernel: Callable[[Mesh], Column], *, lumped: bool = False, tol: float = 1e-10, **fields: DataFrame) -> DataFrame:
+    """dof, x: the nodal field that is nearest, in the mean square, to what kernel gives at the points.
+
+    Solved by conjugate gradients. One-point elements have a singular matrix: they need lumped=True,
+    which divides by the row sums instead (another result).
+    """
+    if len(ELEMENTS[mesh.etype].points) == 1 and not lumped:
+        raise ValueError("one point an element does not determine the projection; use lumped=True or another element")
+    rhs = linear_form(mesh, kernel(mesh), **fields).select(F.col("node_id").alias("dof"), "v")
+    if lumped:
+        share = linear_form(mesh, F.lit(1.0)).select(F.col("node_id").alias("dof"), F.col("v").alias("_m"))
+        return rhs.join(share, "dof").select("dof", (F.col("v") / F.col("_m")).alias("x"))
+    return solve_cg(bilinear_form(mesh, mass=F.lit(1.0)), rhs, tol)

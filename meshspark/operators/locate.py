@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.basis import ELEMENTS, dot
 from ..sources.grids import Mesh
+from .cut import written
 from .fields import gather
 
 ON_EDGE = 1e-8
@@ -35,27 +36,40 @@ def _boxes(mesh: Mesh, **fields: DataFrame) -> DataFrame:
     return rows
 
 
+_POINT = ["point_id", "px", "py"]
+
+
 def locate(mesh: Mesh, points: DataFrame) -> DataFrame:
-    """point_id, elem_id of the smallest element that holds points(point_id, px, py); -1 if none does.
+    """point_id, elem_id of the smallest element that holds points(point_id, px, py); -1 if none does. A row for each point, repeated ids too.
 
-    Points and elements meet in square bins twice as wide as the mean element, so an equi-join takes
-    the place of the range join. Points in no bin of an element, or with null coordinates, get -1.
+    Points and elements meet in square bins, so an equi-join takes the place of the range join. An
+    element uses the bins of the next power of two above its extent, at most four of them, and a
+    point those of every power that occurs (few, as they are exponents); so a large element among
+    small ones fills no more bins than they do. Points with null coordinates get -1.
     """
+    found = _found(mesh, points)
+    out = points.select(*_POINT).join(found, _POINT, "left")
+    return out.select("point_id", F.coalesce("elem_id", F.lit(-1)).cast("long").alias("elem_id"))
+
+
+def _found(mesh: Mesh, points: DataFrame) -> DataFrame:
+    """point_id, px, py, elem_id of the points that an element holds."""
     rows = _boxes(mesh)
-    mean = rows.agg(F.avg(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).first()[0]
-    width = F.lit(2.0 * mean if mean else 1.0)
-    bin_of = lambda c: F.floor(c / width)
+    extent = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-300))
+    rows = written(rows.withColumn("level", F.ceil(F.log2(extent)).cast("int")), "boxes")
+    levels = [r.level for r in rows.select("level").distinct().collect()]  # exponents of two
+    bin_of = lambda c: F.floor(c / F.pow(F.lit(2.0), F.col("level")))
     span = lambda c: F.explode(F.sequence(bin_of(F.col(f"{c}0")), bin_of(F.col(f"{c}1"))))
     binned = rows.withColumn("bx", span("x")).withColumn("by", span("y"))
-    at = points.select("point_id", "px", "py", bin_of(F.col("px")).alias("bx"), bin_of(F.col("py")).alias("by"))
+    at = points.select(*_POINT).distinct().withColumn("level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    at = at.withColumn("bx", bin_of(F.col("px"))).withColumn("by", bin_of(F.col("py")))
     boxed = F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1"))
-    found = at.join(binned, ["bx", "by"]).filter(boxed).filter(_inside(len(ELEMENTS[mesh.etype].nodes)))
-    found = found.groupBy("point_id").agg(F.min("elem_id").alias("elem_id"))
-    return points.select("point_id").join(found, "point_id", "left").select("point_id", F.coalesce("elem_id", F.lit(-1)).cast("long").alias("elem_id"))
+    held = at.join(binned, ["level", "bx", "by"]).filter(boxed).filter(_inside(len(ELEMENTS[mesh.etype].nodes)))
+    return held.groupBy(*_POINT).agg(F.min("elem_id").alias("elem_id"))
 
 
 def interpolate(mesh: Mesh, field: DataFrame, points: DataFrame) -> DataFrame:
-    """point_id, elem_id, v at points; null outside.
+    """point_id, elem_id, v at points; null outside. A row for each point.
 
     One Newton step from the first quadrature point: exact for affine elements.
     """
@@ -63,8 +77,8 @@ def interpolate(mesh: Mesh, field: DataFrame, points: DataFrame) -> DataFrame:
     k, start = len(e.nodes), e.points[:1]
     n0, dn = e.values(start)[0], e.slopes(start)[0]
     const = lambda v: F.array(*(F.lit(float(c)) for c in v))
-    found = locate(mesh, points)
-    rows = found.join(gather(mesh, u=field).drop("conn"), "elem_id").join(points, "point_id")
+    found = written(_found(mesh, points), "found")
+    rows = found.join(gather(mesh, u=field).drop("conn"), "elem_id")
     j = [[dot(const(dn[r]), F.col(c), k) for c in ("x", "y")] for r in range(2)]
     det = j[0][0] * j[1][1] - j[0][1] * j[1][0]
     dx, dy = F.col("px") - dot(const(n0), F.col("x"), k), F.col("py") - dot(const(n0), F.col("y"), k)
@@ -74,5 +88,5 @@ def interpolate(mesh: Mesh, field: DataFrame, points: DataFrame) -> DataFrame:
     coefficients = np.linalg.inv(e.values(e.nodes) @ np.prod(e.nodes[:, None, :] ** e.powers[None], axis=2))
     shape = lambda a: sum((F.lit(float(c)) * F.pow("r", F.lit(int(p))) * F.pow("s", F.lit(int(q))) for c, (p, q) in zip(coefficients[:, a], e.powers, strict=True)), F.lit(0.0))
     v = sum((shape(a) * F.col("u")[a] for a in range(1, k)), shape(0) * F.col("u")[0])
-    values = rows.select("point_id", v.alias("v"))
-    return found.join(values, "point_id", "left")
+    values = rows.select(*_POINT, "elem_id", v.alias("v"))
+    return points.select(*_POINT).join(values, _POINT, "left").select("point_id", F.coalesce("elem_id", F.lit(-1)).cast("long").alias("elem_id"), "v")

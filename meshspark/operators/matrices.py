@@ -6,22 +6,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cut import written
+
 BUCKET = 1 << 16
 
 
+def _starts(counts: DataFrame, lead: list[str], at: str, span: int) -> DataFrame:
+    """lead, at, _start: the sum of _n of all before, in levels of BUCKET while the span of `at` is large."""
+    if span <= 16 * BUCKET:
+        before = W.partitionBy(*lead).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+        return counts.select(*lead, at, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    up = f"{at}_up"
+    upped = counts.withColumn(up, F.floor(F.col(at) / BUCKET).cast("long"))
+    above = _starts(upped.groupBy(*lead, up).agg(F.sum("_n").alias("_n")), lead, up, span // BUCKET + 1).withColumnRenamed("_start", "_above")
+    before = W.partitionBy(*lead, up).orderBy(at).rowsBetween(W.unboundedPreceding, -1)
+    within = upped.withColumn("_s", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return within.join(above, [*lead, up]).select(*lead, at, (F.col("_s") + F.col("_above")).alias("_start"))
+
+
 def positions(df: DataFrame, key: str, name: str = "pos", by: tuple[str, ...] = (), first: str | None = None) -> DataFrame:
     """df with the rank (from 0) of its unique integer key, within each `by`, rows with a smaller `first` before.
 
-    Two levels: rows are numbered within ranges of the key, on top of the counts of the ranges
-    before; only the table of counts, one row for BUCKET keys, goes through one window.
+    Rows are numbered within ranges of BUCKET keys, on top of the counts of the ranges before, which
+    are summed in further levels where the keys are sparse; no window holds more than 16 BUCKET
+    rows of counts. The span of the keys is asked for first.
     """
     lead = [*by, *([first] if first else [])]
     d = df.withColumn("_bucket", F.expr(f"`{key}` div {BUCKET}"))
-    starts = W.partitionBy(*by).orderBy(*([first] if first else []), "_bucket").rowsBetween(W.unboundedPreceding, -1)
+    low, high = d.agg(F.min("_bucket"), F.max("_bucket")).first()
     counts = d.groupBy(*lead, "_bucket").agg(F.count("*").alias("_n"))
-    counts = counts.select(*lead, "_bucket", F.coalesce(F.sum("_n").over(starts), F.lit(0)).alias("_start"))
+    starts = _starts(counts, lead, "_bucket", (high or 0) - (low or 0) + 1)
+    if first:
+        sums = counts.groupBy(*lead).agg(F.sum("_n").alias("_n"))  # a row for each value of first
+        before = W.partitionBy(*by).orderBy(first).rowsBetween(W.unboundedPreceding, -1)
+        sums = sums.select(*lead, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lead"))
+        starts = starts.join(sums, lead).select(*lead, "_bucket", (F.col("_start") + F.col("_lead")).alias("_start"))
     within = F.row_number().over(W.partitionBy(*lead, "_bucket").orderBy(key)) - 1
-    out = d.withColumn("_in", within).join(counts, [*lead, "_bucket"])
+    out = d.withColumn("_in", within).join(starts, [*lead, "_bucket"])
     return out.withColumn(name, (F.col("_start") + F.col("_in")).cast("long")).drop("_bucket", "_in", "_start")
 
 
@@ -67,3 +88,167 @@ def matvec(coo: DataFrame, x: DataFrame) -> DataFrame:
     """row, v of the product with x(dof, v); rows without entries are absent."""
     x = x.select(F.col("dof").alias("col"), F.col("v").alias("_x"))
     return coo.join(x, "col").groupBy("row").agg(F.sum(F.col("v") * F.col("_x")).alias("v"))
+
+
+def to_csr(coo: DataFrame) -> DataFrame:
+    """row, cols, vals of every row with entries, by rising column; a row's entries must fit in one record."""
+    rows = coo.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "v"))).alias("_e"))
+    return rows.select("row", F.col("_e.col").alias("cols"), F.col("_e.v").alias("vals"))
+
+
+def to_coo(csr: DataFrame) -> DataFrame:
+    return csr.select("row", F.explode(F.arrays_zip("cols", "vals")).alias("_e")).select("row", F.col("_e.cols").alias("col"), F.col("_e.vals").alias("v"))
+
+
+def to_dense_rows(csr: DataFrame, n: int, most: int = 100_000) -> DataFrame:
+    """row, vals of all n columns, zeros filled in; refused over `most` columns."""
+    if n > most:
+        raise ValueError(f"{n} columns are too many for dense rows")
+    at = F.map_from_arrays("cols", "vals")
+    return csr.select("row", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda c: F.coalesce(F.try_element_at(at, c), F.lit(0.0))).alias("vals"))
+
+
+def write_sorted(coo: DataFrame, path: str, key: str = "row") -> None:
+    """A sink: Parquet in ranges of the key, sorted within, so that readers of some rows skip the other files."""
+    coo.repartitionByRange(key).sortWithinPartitions(*[c for c in ("row", "col") if c in coo.columns] or [key]).write.parquet(path)
+
+
+def sorted_pattern(pattern: DataFrame) -> DataFrame:
+    """The entries once each, in ranges of rows, by rising row and column within."""
+    return pattern.select("row", "col").distinct().repartitionByRange("row").sortWithinPartitions("row", "col")
+
+
+def union_patterns(*patterns: DataFrame) -> DataFrame:
+    out = patterns[0].select("row", "col")
+    for p in patterns[1:]:
+        out = out.unionByName(p.select("row", "col"))
+    return out.distinct()
+
+
+def missing_entries(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The entries of b that a lacks; a contains b if there are none."""
+    return b.select("row", "col").distinct().join(a.select("row", "col"), ["row", "col"], "left_anti")
+
+
+def split_pattern(dep: DataFrame, split: int) -> DataFrame:
+    """row, col of trial unknowns (under split, columns) and test unknowns (from split on, rows less split) that meet in a term."""
+    unique = dep.select("term_id", "dof").distinct()
+    trial = unique.filter(F.col("dof") < split).withColumnRenamed("dof", "col")
+    test = unique.filter(F.col("dof") >= split).select("term_id", (F.col("dof") - split).alias("row"))
+    return test.join(trial, "term_id").select("row", "col").distinct()
+
+
+def layout_pattern(elements: DataFrame, fields: list[tuple[int, int, int]], others: list[tuple[int, int]]) -> DataFrame:
+    """row, col of a packed state: nodal fields (base, stride, components) couple within elements, other unknowns (first, count) with themselves alone."""
+    pairs = elements.select(F.explode("conn").alias("a"), "conn").select("a", F.explode("conn").alias("b")).distinct()
+    at = F.array(*(F.struct(F.lit(base + c).alias("base"), F.lit(stride).alias("stride")) for base, stride, n in fields for c in range(n)))
+    pairs = pairs.withColumn("i", F.explode(at)).withColumn("j", F.explode(at))
+    out = pairs.select((F.col("a") * F.col("i.stride") + F.col("i.base")).alias("row"), (F.col("b") * F.col("j.stride") + F.col("j.base")).alias("col"))
+    for first, count in others:
+        alone = elements.sparkSession.range(first, first + count)
+        out = out.unionByName(alone.select(F.col("id").alias("row"), F.col("id").alias("col")))
+    return out
+
+
+def scatter_add(contributions: DataFrame) -> DataFrame:
+    """dof, v: the sum of contributions(dof, v); null and negative unknowns are dropped."""
+    return contributions.filter("dof >= 0").groupBy("dof").agg(F.sum("v").alias("v"))
+
+
+def assemble_matrix(contributions: DataFrame) -> DataFrame:
+    """row, col, v: the sum of contributions; entries of null or negative rows or columns are dropped."""
+    return contributions.filter("row >= 0 AND col >= 0").groupBy("row", "col").agg(F.sum("v").alias("v"))
+
+
+def row_neighbours(pattern: DataFrame) -> DataFrame:
+    """u, v: columns that meet in a row, both ways, each pair once: the graph that a colouring must respect.
+
+    Its size is the sum of the squared row lengths before repeats are merged; dense rows must be kept out.
+    """
+    p = pattern.select("row", "col").distinct()
+    return p.withColumnRenamed("col", "u").join(p.withColumnRenamed("col", "v"), "row").filter("u <> v").select("u", "v").distinct()
+
+
+def degree_order(pattern: DataFrame) -> DataFrame:
+    """dof, degree, place: columns by falling number of neighbours, ties by falling dof."""
+    degree = pattern.select(F.col("col").alias("dof")).distinct().join(row_neighbours(pattern).groupBy(F.col("u").alias("dof")).agg(F.count("*").alias("degree")), "dof", "left")
+    degree = degree.select("dof", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
+    counts = degree.groupBy("degree").agg(F.count("*").alias("_n"))  # a row for each degree
+    before = F.coalesce(F.sum("_n").over(W.orderBy(F.desc("degree")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    ranked = positions(degree.withColumn("_back", -F.col("dof")), "_back", "_in", by=("degree",))
+    return ranked.join(counts.select("degree", before.alias("_before")), "degree").select("dof", "degree", (F.col("_before") + F.col("_in")).cast("long").alias("place"))
+
+
+def colour(pattern: DataFrame, spread: int = 16, most_rounds: int = 200) -> DataFrame:
+    """dof, color of the columns: two that meet in a row differ.
+
+    In each round every column without a colour proposes one of the `spread` smallest that no
+    neighbour has, by hash; where neighbours propose the same, the one of the larger hash keeps it.
+    The largest hash always does, so rounds end; their number is logarithmic on bounded degrees. Each
+    round is written to the shared folder. Reruns give the same colours.
+    """
+    graph = written(row_neighbours(pattern), "graph")
+    every = written(pattern.select(F.col("col").alias("dof")).distinct(), "columns")
+    done = written(every.limit(0).withColumn("color", F.lit(0)), "colors")
+    left = every
+    for number in range(most_rounds):
+        if left.isEmpty():
+            return done
+        open_edges = graph.join(left.withColumnRenamed("dof", "u"), "u", "left_semi")
+        taken = open_edges.join(done.withColumnRenamed("dof", "v"), "v").groupBy(F.col("u").alias("dof")).agg(F.collect_set("color").alias("_taken"))
+        tries = left.join(taken, "dof", "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
+        room = F.array_except(F.sequence(F.lit(0), F.size("_taken") + spread - 1), F.col("_taken"))
+        tries = tries.select("dof", F.get(room, F.pmod(F.xxhash64("dof", F.lit(number)), F.lit(spread)).cast("int")).alias("color"), F.xxhash64("dof", F.lit(-1)).alias("_h"))
+        tries = written(tries, "tries")
+        lost = open_edges.join(tries.select(F.col("dof").alias("u"), F.col("color").alias("cu"), F.col("_h").alias("hu")), "u")
+        lost = lost.join(tries.select(F.col("dof").alias("v"), F.col("color").alias("cv"), F.col("_h").alias("hv")), "v")
+        lost = lost.filter("cu = cv AND (hu < hv OR (hu = hv AND u < v))").select(F.col("u").alias("dof")).distinct()
+        done = written(done.unionByName(tries.join(lost, "dof", "left_anti").select("dof", "color")), "colors")
+        left = written(every.join(done, "dof", "left_anti"), "left")
+    raise RuntimeError("no colouring within the rounds allowed")
+
+
+def colour_conflicts(pattern: DataFrame, colors: DataFrame) -> DataFrame:
+    """row, color, n: colours that a row sees more than once; none in a sound colouring."""
+    seen = pattern.select("row", "col").distinct().join(colors.withColumnRenamed("dof", "col"), "col")
+    return seen.groupBy("row", "color").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def seeds(colors: DataFrame) -> DataFrame:
+    """dof, color, v: one vector of ones for each colour, without its zeros."""
+    return colors.select("dof", "color", F.lit(1.0).alias("v"))
+
+
+def compress(coo: DataFrame, colors: DataFrame) -> DataFrame:
+    """row, color, v: the matrix times the seeds."""
+    return coo.join(colors.withColumnRenamed("dof", "col"), "col").groupBy("row", "color").agg(F.sum("v").alias("v"))
+
+
+def decompress(pattern: DataFrame, colors: DataFrame, compressed: DataFrame) -> DataFrame:
+    """row, col, v: each entry of the pattern from its row and its column's colour, 0 where there is none."""
+    at = pattern.select("row", "col").join(colors.withColumnRenamed("dof", "col"), "col")
+    return at.join(compressed, ["row", "color"], "left").select("row", "col", F.coalesce("v", F.lit(0.0)).alias("v"))
+
+
+def solve_cg(coo: DataFrame, rhs: DataFrame, tol: float = 1e-10, most: int = 500) -> DataFrame:
+    """dof, x of coo x = rhs(dof, v), by conjugate gradients scaled by the diagonal; coo symmetric and positive.
+
+    Two sums go to the driver in an iteration; the vectors are written to the shared folder, so that
+    lineage stays short and a lost executor costs one iteration. Stops at a residual of tol times the first.
+    """
+    coo = written(coo, "matrix")
+    diagonal = coo.filter("row = col").select(F.col("row").alias("dof"), F.col("v").alias("d"))
+    state = rhs.join(diagonal, "dof").select("dof", F.lit(0.0).alias("x"), F.col("v").alias("r"), (F.col("v") / F.col("d")).alias("p"), "d")
+    state = written(state, "state")
+    rz = first = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
+    for _ in range(most):
+        if rz <= tol * tol * first:
+            break
+        step = matvec(coo, state.select("dof", F.col("p").alias("v"))).select(F.col("row").alias("dof"), F.col("v").alias("q"))
+        state = written(state.join(step, "dof"), "step")
+        alpha = rz / state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
+        state = state.select("dof", (F.col("x") + F.col("p") * alpha).alias("x"), (F.col("r") - F.col("q") * alpha).alias("r"), "p", "d")
+        new = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
+        state = state.select("dof", "x", "r", (F.col("r") / F.col("d") + F.col("p") * (new / rz)).alias("p"), "d")
+        rz = new
+    return state.select("dof", "x")

@@ -43,3 +43,91 @@ def offsets(layout: DataFrame) -> DataFrame:
 def halo(layout: DataFrame) -> DataFrame:
     """owner, ghost_part, n: how many values each part sends to another."""
     return layout.filter(~F.col("is_owned")).groupBy("owner", F.col("part").alias("ghost_part")).agg(F.count("*").alias("n"))
+
+
+def block_start(n: int, parts: int, part: Column) -> Column:
+    """The first of n unknowns of a part: even blocks, the first n mod parts of them one larger."""
+    return part * F.lit(n // parts) + F.least(part, F.lit(n % parts))
+
+
+def block_of(n: int, parts: int, dof: Column) -> Column:
+    """The part whose block holds an unknown."""
+    low, more = n // parts, n % parts
+    large = more * (low + 1)
+    return F.when(dof < large, F.floor(dof / F.lit(low + 1))).otherwise(F.lit(more) + F.floor((dof - large) / F.lit(max(low, 1)))).cast("int")
+
+
+def totals(layout: DataFrame) -> DataFrame:
+    """part, n_local, n_owned of every part, and of all with part null."""
+    return layout.rollup("part").agg(F.count("*").alias("n_local"), F.sum(F.col("is_owned").cast("long")).alias("n_owned"))
+
+
+def n_nodes_global(layout: DataFrame) -> DataFrame:
+    """n: the largest node id and one."""
+    return layout.agg((F.max("node_id") + 1).alias("n"))
+
+
+def global_to_local(ids: DataFrame, l2g: DataFrame) -> DataFrame:
+    """part, node_id, local_id; -1 where the part has no such node."""
+    return ids.join(l2g.select("part", "node_id", "local_id"), ["part", "node_id"], "left").select("part", "node_id", F.coalesce("local_id", F.lit(-1)).cast("long").alias("local_id"))
+
+
+def dof_layout(layout: DataFrame, components: int = 1) -> DataFrame:
+    """part, local_dof, natural_dof, global_dof, is_owned: owned unknowns are numbered part after part without gaps, ghosts have their owner's number."""
+    starts = offsets(layout).select(F.col("part").alias("owner"), "start")
+    owned = layout.filter("is_owned").join(F.broadcast(starts), "owner").select("node_id", (F.col("start") + F.col("local_id")).alias("_g"))  # a row for a part
+    all_of = layout.join(owned, "node_id").withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(components - 1))))
+    number = lambda c: (F.col(c) * components + F.col("_c")).cast("long")
+    return all_of.select("part", number("local_id").alias("local_dof"), number("node_id").alias("natural_dof"), number("_g").alias("global_dof"), "is_owned")
+
+
+def reduced_layout(dofs: DataFrame, constrained: DataFrame) -> DataFrame:
+    """part, natural_dof, reduced_dof, is_owned of unknowns that constrained(dof) doesn't name: numbered part after part, by owned local numbers."""
+    free = dofs.join(constrained.select(F.col("dof").alias("natural_dof")), "natural_dof", "left_anti")
+    owned = positions(free.filter("is_owned"), "local_dof", "_in", by=("part",))
+    sizes = owned.groupBy("part").agg(F.count("*").alias("_n"))
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))  # a row for a part
+    numbers = owned.join(F.broadcast(starts), "part").select("natural_dof", (F.col("_s") + F.col("_in")).cast("long").alias("reduced_dof"))
+    return free.join(numbers, "natural_dof").select("part", "natural_dof", "reduced_dof", "is_owned")
+
+
+def missing_masters(dofs: DataFrame, periodic: DataFrame) -> DataFrame:
+    """part, natural_dof: masters that a part needs for its slaves and does not hold; to be fetched as further ghosts. A master no part holds is an error of the mesh: it has no owner to fetch from."""
+    need = dofs.join(periodic.select(F.col("dof").alias("natural_dof"), "master"), "natural_dof").select("part", F.col("master").alias("natural_dof")).distinct()
+    return need.join(dofs.select("part", "natural_dof"), ["part", "natural_dof"], "left_anti")
+
+
+def ghost_fill(dofs: DataFrame, owned: DataFrame) -> DataFrame:
+    """part, local_dof, v: every part's values, ghosts with their owner's; owned(global_dof, v)."""
+    return dofs.join(owned.select("global_dof", "v"), "global_dof", "left").select("part", "local_dof", "v")
+
+
+def ghost_add(dofs: DataFrame, local: DataFrame) -> DataFrame:
+    """global_dof, v: what all parts' local(part, local_dof, v) add up to, at the owner's number."""
+    return local.join(dofs.select("part", "local_dof", "global_dof"), ["part", "local_dof"]).groupBy("global_dof").agg(F.sum("v").alias("v"))
+
+
+def ghost_add_matrix(dofs: DataFrame, local: DataFrame) -> DataFrame:
+    """row, col, v in global numbers of all parts' local(part, row, col, v)."""
+    for end in ("row", "col"):
+        to = dofs.select("part", F.col("local_dof").alias(end), F.col("global_dof").alias(f"_{end}"))
+        local = local.join(to, ["part", end])
+    return local.groupBy(F.col("_row").alias("row"), F.col("_col").alias("col")).agg(F.sum("v").alias("v"))
+
+
+def merge_replicas(replicas: DataFrame, n: int, parts: int) -> DataFrame:
+    """part, dof, v: the sum of all replicas(dof, v) of a vector of n, each unknown in the part whose block holds it."""
+    summed = replicas.groupBy("dof").agg(F.sum("v").alias("v"))
+    return summed.select(block_of(n, parts, F.col("dof")).alias("part"), "dof", "v")
+
+
+def merge_replica_matrices(replicas: DataFrame, n: int, parts: int) -> DataFrame:
+    """part, row, col, v: the sum of all replicas' entries, each row in the part whose block holds it."""
+    summed = replicas.groupBy("row", "col").agg(F.sum("v").alias("v"))
+    return summed.select(block_of(n, parts, F.col("row")).alias("part"), "row", "col", "v")
+
+
+def gather_global(dofs: DataFrame, local: DataFrame) -> DataFrame:
+    """natural_dof, v: the whole vector, of owned pieces alone."""
+    return local.join(dofs.filter("is_owned").select("part", "local_dof", "natural_dof"), ["part", "local_dof"]).select("natural_dof", "v")
