@@ -1,12 +1,14 @@
 """Registered queries of the mesh operators and their SQL."""
 
+from .more import QUERIES as MORE
+from .more_oracle import SQL as MORE_SQL
 from .oracle import SQL
 from .work import QUERIES
 
 
 def queries() -> dict:
-    return dict(QUERIES)
+    return QUERIES | MORE
 
 
 def oracle_sql() -> dict:
-    return dict(SQL)
+    return SQL | MORE_SQL

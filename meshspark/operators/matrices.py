@@ -175,8 +175,8 @@ def degree_order(pattern: DataFrame) -> DataFrame:
     degree = degree.select("dof", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
     counts = degree.groupBy("degree").agg(F.count("*").alias("_n"))  # a row for each degree
     before = F.coalesce(F.sum("_n").over(W.orderBy(F.desc("degree")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    ranked = positions(degree.withColumn("_back", -F.col("dof")), "_back", "_in", by=("degree",))
-    return ranked.join(counts.select("degree", before.alias("_before")), "degree").select("dof", "degree", (F.col("_before") + F.col("_in")).cast("long").alias("place"))
+    ranked = positions(degree.withColumn("_back", -F.col("dof")), "_back", "_rank", by=("degree",))
+    return ranked.join(counts.select("degree", before.alias("_before")), "degree").select("dof", "degree", (F.col("_before") + F.col("_rank")).cast("long").alias("place"))
 
 
 def colour(pattern: DataFrame, spread: int = 16, most_rounds: int = 200) -> DataFrame:

@@ -84,11 +84,11 @@ def dof_layout(layout: DataFrame, components: int = 1) -> DataFrame:
 def reduced_layout(dofs: DataFrame, constrained: DataFrame) -> DataFrame:
     """part, natural_dof, reduced_dof, is_owned of unknowns that constrained(dof) doesn't name: numbered part after part, by owned local numbers."""
     free = dofs.join(constrained.select(F.col("dof").alias("natural_dof")), "natural_dof", "left_anti")
-    owned = positions(free.filter("is_owned"), "local_dof", "_in", by=("part",))
+    owned = positions(free.filter("is_owned"), "local_dof", "_rank", by=("part",))
     sizes = owned.groupBy("part").agg(F.count("*").alias("_n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     starts = sizes.select("part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_s"))  # a row for a part
-    numbers = owned.join(F.broadcast(starts), "part").select("natural_dof", (F.col("_s") + F.col("_in")).cast("long").alias("reduced_dof"))
+    numbers = owned.join(F.broadcast(starts), "part").select("natural_dof", (F.col("_s") + F.col("_rank")).cast("long").alias("reduced_dof"))
     return free.join(numbers, "natural_dof").select("part", "natural_dof", "reduced_dof", "is_owned")
 
 
