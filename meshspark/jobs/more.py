@@ -101,7 +101,7 @@ def _box(spark: SparkSession, sf_dir: str, kind: str) -> Mesh:
 
 
 def e7_tet4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _integral(_box(spark, sf_dir, "tet4"), _balance(spark, sf_dir, "customer", "c_custkey", "c_acctbal"), 3)
+    return _integral(_box(spark, sf_dir, "tet4"), _balance(spark, sf_dir, "customer", "c_custkey", "c_acctbal"), 10)
 
 
 def e8_hex8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,7 +207,7 @@ def k7_active_set(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def k8_mean_parameter(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapped = fields.map_quads(_grid(spark, sf_dir), lambda m: fields.value(m, "u"), u=_field(spark, sf_dir))
-    return fields.scaled_by_mean(mapped, _table(spark, sf_dir, "part"), "p_size").select("elem_id", _r("v", 3).alias("v"))
+    return fields.scaled_by_mean(mapped, _table(spark, sf_dir, "part"), "p_size").select("elem_id", _r("v", 6).alias("v"))
 
 
 # Forms, products, solvers.

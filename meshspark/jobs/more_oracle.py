@@ -62,7 +62,7 @@ SQL = {
     "e4_tri6": _double(f"{_at('m')} AS a, {_at('2 * m + 1')} AS b, {_at('m + 1')} AS d", "(a + b + d) / 3 * 2 / n / n"),
     "e6_quad8": _double(f"{_at('0')} + {_at('2 * m')} + {_at('2 * m + 2')} + {_at('2')} AS corner, {_at('m')} + {_at('2 * m + 1')} + {_at('m + 2')} + {_at('1')} AS mid", "(mid / 3 - corner / 12) * 4 / n / n"),
     "e7_tet4": _BOX + """six AS (SELECT 6 * r + p AS elem_id, n, unnest([low, low + a, low + k, low + m * m + m + 1]) AS i FROM c, LATERAL (VALUES (0, m * m, m * m + m), (1, m * m, m * m + 1), (2, m, m + m * m), (3, m, m + 1), (4, 1, 1 + m * m), (5, 1, 1 + m)) o(p, a, k))
-SELECT CAST(elem_id AS BIGINT) AS elem_id, round(sum(u) / 4 / (n * n * n), 3) AS v FROM six JOIN b USING (i) GROUP BY elem_id, n""",
+SELECT CAST(elem_id AS BIGINT) AS elem_id, round(sum(u) / 4 / (n * n * n), 10) AS v FROM six JOIN b USING (i) GROUP BY elem_id, n""",
     "e8_hex8": _BOX + """eight AS (SELECT r AS elem_id, n, unnest([low, low + 1, low + m, low + m + 1, low + m * m, low + m * m + 1, low + m * m + m, low + m * m + m + 1]) AS i FROM c)
 SELECT elem_id, round(sum(u) / 8 * 6 / (n * n * n), 3) AS v FROM eight JOIN b USING (i) GROUP BY elem_id, n""",
     "x2_map_points": _q("SELECT elem_id, q, round(greatest(u - 1400, 0.0), 6) AS v FROM qp"),
@@ -83,7 +83,7 @@ FROM (SELECT elem_id, 1 + ux * 1e-5 AS a, uy * 1e-5 AS b, sx * 1e-5 AS c, 1 + sy
 FROM tg, (SELECT 1 / 2.6::DOUBLE AS mu, 0.3::DOUBLE / 1.3::DOUBLE / 0.4::DOUBLE AS lam)"""),
     "k7_active_set": _q("""SELECT elem_id, round(CASE WHEN elem_id % 2 = 0 THEN lu * ls ELSE 0.5::DOUBLE * lu * lu END, 3) AS v
 FROM (SELECT b.node_id // (b.n + 1) - 1 AS elem_id, (a.u + b.u) / 2 AS lu, (a.s + b.s) / 2 AS ls FROM nodes a JOIN nodes b ON b.node_id = a.node_id + a.n + 1 WHERE a.node_id % (a.n + 1) = 0)"""),
-    "k8_mean_parameter": _q("SELECT elem_id, round((u0 + u1 + u2) / 3 * (SELECT avg(CAST(p_size AS DOUBLE)) FROM part), 3) AS v FROM t"),
+    "k8_mean_parameter": _q("SELECT elem_id, round((u0 + u1 + u2) / 3 * (SELECT avg(CAST(p_size AS DOUBLE)) FROM part), 6) AS v FROM t"),
     "p11_flux_form": _q("SELECT node_id, round(sum((gx * ux + gy * uy) / 2), 4) + 0.0 AS v FROM nb GROUP BY 1", _GRID + _SIDES),
     "p12_full_form": _q("""SELECT a.node_id AS "row", b.node_id AS col, round(sum(a.det / 18 + (a.gx * (b.gx + 0.5::DOUBLE * b.gy) + 2 * a.gy * b.gy) / a.det / 2 + (b.gx + a.gy) / 6), 8) + 0.0 AS v
 FROM (SELECT elem_id, unnest([n0, n1, n2]) AS node_id, unnest([y1 - y2, y2 - y0, y0 - y1]) AS gx, unnest([x2 - x1, x0 - x2, x1 - x0]) AS gy, det FROM t) a

@@ -104,8 +104,10 @@ def to_dense_rows(csr: DataFrame, n: int, most: int = 100_000) -> DataFrame:
     """row, vals of all n columns, zeros filled in; refused over `most` columns."""
     if n > most:
         raise ValueError(f"{n} columns are too many for dense rows")
-    at = F.map_from_arrays("cols", "vals")
-    return csr.select("row", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), lambda c: F.coalesce(F.try_element_at(at, c), F.lit(0.0))).alias("vals"))
+    gap = lambda c, i: c - F.when(i > 0, F.get("cols", i - 1)).otherwise(F.lit(-1)) - 1
+    zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
+    filled = F.flatten(F.transform("cols", lambda c, i: F.concat(zeros(gap(c, i)), F.array(F.get("vals", i)))))
+    return csr.select("row", F.concat(filled, zeros(F.lit(n - 1) - F.element_at("cols", -1))).alias("vals"))
 
 
 def write_sorted(coo: DataFrame, path: str, key: str = "row") -> None:
