@@ -127,6 +127,17 @@ class Recent(dict):
             self.update(zip(todo, make_all(todo), strict=True))
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holding(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called in tasks: drops the caches that other operators left in this Python worker, as workers are used again; clear will drop the owner's."""
+    if [*_HELD] != [owner]:
+        for name in [n for n in _HELD if n != owner]:
+            _HELD.pop(name)()
+        _HELD[owner] = clear
+
+
 def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, rows: int = 512) -> DataFrame:
     """fn on every Arrow batch, cut to slices of so many rows that long texts don't pile up."""
 

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Recent, map_arrow, only
+from ._shared import Recent, holding, map_arrow, only
 
 CACHED = 150_000
 
@@ -220,6 +220,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id",
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holding("bpe", text_encoder.cache_clear)
         t = text_encoder(path, pattern)
         each = t.many([x or "" for x in batch.column(1).to_pylist()])
         offsets = np.cumsum([0, *map(len, each)])
@@ -241,7 +242,11 @@ def token_bytes(path: str) -> pa.BinaryArray:
 
 
 def decode(encoded: DataFrame, path: str, *, ids: str = "ids") -> DataFrame:
-    """encoded with a column decoded, the bytes of its ids; null ids give null."""
+    """encoded with a column decoded, the bytes of its ids.
+
+    Null ids give null, no ids no bytes. All rows and columns stay, repeated ones too; a column
+    decoded must not be there. An empty table stays empty.
+    """
     names = encoded.columns
     schema = encoded.withColumn("decoded", F.lit(None).cast("binary")).schema
 

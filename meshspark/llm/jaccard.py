@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import discard, map_arrow, materialize, mixed, only, rolling, utf8, word_hashes
+from ._shared import discard, holding, map_arrow, materialize, mixed, only, rolling, utf8, word_hashes
 from .components import connected_components
 
 #: A set has N_BANDS keys, each of BAND minimal hashes; sets that share a key meet below one node.
@@ -238,6 +238,7 @@ def _fetched(places: DataFrame, texts: DataFrame, n: int) -> DataFrame:
         texts = texts.join(F.broadcast(places.select("rep").distinct()), "rep", "left_semi")
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holding("jaccard")
         each = [shingle_set(t, n) for t in utf8(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in each], pa.binary()), _signed([_xor(s) for s in each]), batch.column(2)], ["rep", "shingles", "own", "places"])
 
@@ -349,6 +350,7 @@ def jaccard_components(docs: DataFrame, *, n: int = 5, percent: int = 80, doc_id
     d = only(docs, doc_id=doc_id, text=text).withColumn("doc_id", F.col("doc_id").cast("long"))
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holding("jaccard")
         each = [shingle_set(t, n) for t in utf8(batch.column(1))]
         two = [int(mixed(s).sum(dtype=np.uint64)) for s in each]
         keys = band_keys(each).astype(np.int64)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import map_arrow
+from ._shared import holding, map_arrow
 
 ROUNDS = 8
 _FIRST_DAY, _LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
@@ -372,6 +372,7 @@ def pseudonymize(docs: DataFrame, *, key: bytes, text: str = "text", counted: st
     added = [] if counted is None else [counted]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holding("pii")
         names = Pseudonyms(key)
         made = [(None, {}) if t is None else pseudonymized(t, names) for t in batch.column(at).to_pylist()]
         columns = list(batch.columns)

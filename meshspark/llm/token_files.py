@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._shared import only
+from ._shared import holding, only
 
 BLOCK_IDS, ROUNDS, LEAST, SYMBOLS = 1 << 20, 5, 8, 1 << 16
 CACHED, CACHED_BYTES = 600_000, 1 << 26
@@ -245,6 +245,7 @@ def write_token_files(docs: DataFrame, out: str, tokenizer: str, *, n_terminals:
         return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], [c.split()[0] for c in BLOCK_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holding("tokens", word_encoder.cache_clear)
         encoder, shard, number = word_encoder(tokenizer), TaskContext.get().partitionId(), 0
         ids: list = []
         parts: list[np.ndarray] = []

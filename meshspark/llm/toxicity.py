@@ -15,11 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import Recent, map_arrow, only, utf8
+from ._shared import Recent, holding, map_arrow, only, utf8
 
 #: Rows of either label that the machine is fitted on at most, the first by hash.
 SAMPLE = 8000
-LANDMARKS, POWER, DECAY, STEP, PIECE, CACHED, CUTOFF, TELLING = 128, 3, 0.5, 3, 32, 300_000, 0.3, 6.0
+LANDMARKS, POWER, DECAY, STEP, PIECE, CACHED, CUTOFF, TELLING = 128, 3, 0.5, 3, 32, 150_000, 0.3, 6.0
 #: Rounds of fitting; words in a block; words of a text that its score rests on; words that stand for toxic documents in fitting at most.
 ROUNDS, BLOCK, WORST, WITNESSES = 4, 4096, 3, 4000
 _GAP, _BEGIN, _END, _SYMBOLS = 0, 1, 2, 64
@@ -383,6 +383,7 @@ def score(docs: DataFrame, machine: Machine | None, *, doc_id: str = "doc_id", t
     at = docs.columns.index(text)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        holding("toxicity", _scorers.clear)
         m = held.value
         cache = _scorer(m)
         texts = utf8(batch.column(at))
