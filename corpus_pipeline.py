@@ -50,7 +50,7 @@ STAGES = [
     ("mix", mix_stage),
     ("tokens", tokens_stage),
 ]
-#: The kernel machine, the pseudonyms and the ids are not SQL; tests/llm holds the stages against plain versions on small inputs.
+#: The kernel machine, the pseudonyms and the ids are not SQL; tests/llm holds the operators behind the stages against plain versions, the stages themselves only to their columns.
 ORACLE_SQL = None
 
 
