@@ -64,7 +64,7 @@ SQL = {
     "e7_tet4": _BOX + """six AS (SELECT 6 * r + p AS elem_id, n, unnest([low, low + a, low + k, low + m * m + m + 1]) AS i FROM c, LATERAL (VALUES (0, m * m, m * m + m), (1, m * m, m * m + 1), (2, m, m + m * m), (3, m, m + 1), (4, 1, 1 + m * m), (5, 1, 1 + m)) o(p, a, k))
 SELECT CAST(elem_id AS BIGINT) AS elem_id, round(sum(u) / 4 / (n * n * n), 10) AS v FROM six JOIN b USING (i) GROUP BY elem_id, n""",
     "e8_hex8": _BOX + """eight AS (SELECT r AS elem_id, n, unnest([low, low + 1, low + m, low + m + 1, low + m * m, low + m * m + 1, low + m * m + m, low + m * m + m + 1]) AS i FROM c)
-SELECT elem_id, round(sum(u) / 8 * 6 / (n * n * n), 3) AS v FROM eight JOIN b USING (i) GROUP BY elem_id, n""",
+SELECT elem_id, round(sum(u) / 8 * 6 / (n * n * n) * pi(), 5) AS v FROM eight JOIN b USING (i) GROUP BY elem_id, n""",
     "x2_map_points": _q("SELECT elem_id, q, round(greatest(u - 1400, 0.0), 6) AS v FROM qp"),
     "x3_own_quadrature": _q("SELECT elem_id, round(det / 6 * (((u0 + u1) / 2) ^ 2 + ((u1 + u2) / 2) ^ 2 + ((u2 + u0) / 2) ^ 2), 3) AS v FROM t"),
     "g4_vector_gradient": _VEC + """SELECT elem_id, CAST(c AS INTEGER) AS c, 0 AS d, round((u0 * (y1 - y2) + u1 * (y2 - y0) + u2 * (y0 - y1)) / det, 4) AS v FROM t
