@@ -131,10 +131,12 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def holding(owner: str, clear: Callable[[], None] = lambda: None) -> None:
-    """Called in tasks: drops the caches that other operators left in this Python worker, as workers are used again; clear will drop the owner's."""
+    """Called in tasks: drops the caches that other operators left in this Python worker, as workers are used again, and gives their memory back; clear will drop the owner's."""
     if [*_HELD] != [owner]:
         for name in [n for n in _HELD if n != owner]:
             _HELD.pop(name)()
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
         _HELD[owner] = clear
 
 

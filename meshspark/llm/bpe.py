@@ -228,7 +228,7 @@ def encode(docs: DataFrame, path: str, pattern: str, *, doc_id: str = "doc_id",
         ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
         return pa.RecordBatch.from_arrays([batch.column(0), ids, pa.array(np.diff(offsets).astype(np.int64))], ["doc_id", "ids", "n_tokens"])
 
-    return map_arrow(only(docs, doc_id=doc_id, text=text), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, n_tokens long", 1024)
+    return map_arrow(only(docs, doc_id=doc_id, text=text), run, f"doc_id {docs.schema[doc_id].dataType.simpleString()}, ids array<int>, n_tokens long", 128)
 
 
 @lru_cache(maxsize=2)
