@@ -9,8 +9,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, html_text, jaccard, mixing, neardup, pii, substring, token_files, toxicity
+from . import ann, bpe, html_text, importance, jaccard, mixing, neardup, pii, substring, token_files, toxicity, trie, warc
 from ._shared import shared_dir
+from .oracle import OP11_SQL, OP12_SQL, OP13_SQL
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +76,21 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), order=2, buckets=10_000, seed=7, min_words=20, percent=25)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank", "n_words")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), family=5, splice=9)
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = f"{shared_dir(spark)}/archives-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), out, min_bytes=0)
+    return warc.read_archives(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 OP8_SQL = """
 WITH d AS (
   SELECT doc_id, source, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey,
@@ -104,8 +120,8 @@ SELECT doc_id, size, source_size, target, source,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pseudonyms, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_jaccard_join, op5_token_files, op6_html_text, op7_toxicity, op8_mix_sources, op9_substring_dedup, op10_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_pseudonyms, op2_bpe_encode_decode, op3_embedding_near_dedup, op4_jaccard_join, op5_token_files, op6_html_text, op7_toxicity, op8_mix_sources, op9_substring_dedup, op10_nearest_neighbours, op11_importance_resampling, op12_prefix_trie, op13_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_mix_sources": OP8_SQL}
+    return {"op8_mix_sources": OP8_SQL, "op11_importance_resampling": OP11_SQL, "op12_prefix_trie": OP12_SQL, "op13_warc": OP13_SQL}
