@@ -3,12 +3,14 @@
 from .more import QUERIES as MORE
 from .more_oracle import SQL as MORE_SQL
 from .oracle import SQL
+from .systems import QUERIES as SYSTEMS
+from .systems_oracle import SQL as SYSTEMS_SQL
 from .work import QUERIES
 
 
 def queries() -> dict:
-    return QUERIES | MORE
+    return QUERIES | MORE | SYSTEMS
 
 
 def oracle_sql() -> dict:
-    return SQL | MORE_SQL
+    return SQL | MORE_SQL | SYSTEMS_SQL

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,8 +20,25 @@ def folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back: cuts the lineage and survives lost executors."""
+#: Folders of written tables, by the identity of the table.
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def written(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataFrame:
+    """df, written to the shared folder and read back: cuts the lineage and survives lost executors. The table that it stands instead of is deleted."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    _PATHS[back] = path
+    if instead is not None:
+        deleted(instead)
+    return back
+
+
+def deleted(*tables: DataFrame) -> None:
+    """Delete the folders of written tables that nothing reads any more."""
+    for table in tables:
+        if (path := _PATHS.pop(table, None)) is not None:
+            spark = table.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)

@@ -8,8 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.basis import ELEMENTS, basis_table, dot, geometry
+from ..functions.basis import ELEMENTS, basis_table, dot, geometry, with_quadrature
 from ..sources.grids import Mesh
+from . import constraints as constrain
 from .cut import written
 from .matrices import solve_cg
 
@@ -299,16 +300,65 @@ def residual_and_tangent(mesh: Mesh, *, source: Column, flux: list[Column], mass
     return residual, gathered.select(F.inline(F.array(*entries))).groupBy("row", "col").agg(F.sum("v").alias("v"))
 
 
-def project(mesh: Mesh, kernel: Callable[[Mesh], Column], *, lumped: bool = False, tol: float = 1e-10, **fields: DataFrame) -> DataFrame:
+#: Quadratures that determine a projection where an element's own has one point: (points, weights), fixed values.
+SUFFICIENT = {
+    "line2": ([[-(1 / 3) ** 0.5], [(1 / 3) ** 0.5]], [1.0, 1.0]),
+    "tri3": ([[1 / 6, 1 / 6], [2 / 3, 1 / 6], [1 / 6, 2 / 3]], [1 / 6] * 3),
+    "tet4": ([[(5 + 3 * 5**0.5) / 20 if c == k else (5 - 5**0.5) / 20 for c in range(3)] for k in range(4)], [1 / 24] * 4),
+}
+
+
+def sufficient(mesh: Mesh) -> Mesh:
+    """The mesh under a quadrature that is exact for products of two shape functions, where its own has one point."""
+    if len(ELEMENTS[mesh.etype].points) > 1:
+        return mesh
+    if mesh.etype not in SUFFICIENT:
+        raise ValueError("one point an element does not determine the projection; use lumped=True or another quadrature")
+    return Mesh(mesh.nodes, mesh.elements, with_quadrature(mesh.etype, *SUFFICIENT[mesh.etype]))
+
+
+def project(mesh: Mesh, kernel: Callable[[Mesh], Column | list[Column]], *, constraints: list | None = None, lumped: bool = False, tol: float = 1e-10, **fields: DataFrame) -> DataFrame:
     """dof, x: the nodal field that is nearest, in the mean square, to what kernel gives at the points.
 
-    Solved by conjugate gradients. One-point elements have a singular matrix: they need lumped=True,
-    which divides by the row sums instead (another result).
+    kernel gives one column, or a list of them for a vector or tensor: then x is an array, and all components are
+    solved in one pass. Elements of one point get a sufficient quadrature, at which kernel is evaluated; lumped=True
+    divides by the row sums instead (another result, without a solution). With constraints on node ids the
+    nearest field among those that hold them is found, each component under the same constraints. Solved by
+    conjugate gradients on the unknowns that are free.
     """
-    if len(ELEMENTS[mesh.etype].points) == 1 and not lumped:
-        raise ValueError("one point an element does not determine the projection; use lumped=True or another element")
-    rhs = linear_form(mesh, kernel(mesh), **fields).select(F.col("node_id").alias("dof"), "v")
+    mesh = mesh if lumped else sufficient(mesh)
+    given = kernel(mesh)
+    columns = given if isinstance(given, list) else [given]
+    k, rows = _k(mesh), at_quads(mesh, **fields)
+    one = lambda a: F.struct(F.col("conn")[a].alias("dof"), *((c * F.col("_n")[a] * F.col("wt")).alias(f"v_{i}") for i, c in enumerate(columns)))
+    summed = rows.select(F.inline(F.array(*map(one, range(k))))).groupBy("dof").agg(*(F.sum(f"v_{i}").alias(f"v_{i}") for i in range(len(columns))))
+    rhs = summed.select("dof", F.array(*(f"v_{i}" for i in range(len(columns)))).alias("v"))
     if lumped:
+        if constraints:
+            raise ValueError("a lumped projection takes no constraints")
         share = linear_form(mesh, F.lit(1.0)).select(F.col("node_id").alias("dof"), F.col("v").alias("_m"))
-        return rhs.join(share, "dof").select("dof", (F.col("v") / F.col("_m")).alias("x"))
-    return solve_cg(bilinear_form(mesh, mass=F.lit(1.0)), rhs, tol)
+        solved = rhs.join(share, "dof").select("dof", F.transform("v", lambda v: v / F.col("_m")).alias("x"))
+    else:
+        mass = bilinear_form(mesh, mass=F.lit(1.0))
+        solved = _constrained_solution(mass, rhs, constraints, len(columns), tol) if constraints else solve_cg(mass, rhs, tol)
+    return solved if isinstance(given, list) else solved.select("dof", F.col("x")[0].alias("x"))
+
+
+def _constrained_solution(matrix: DataFrame, rhs: DataFrame, constraints: list, components: int, tol: float) -> DataFrame:
+    """dof, x: every component solved under the same constraints; one reduced matrix and one solution for all."""
+    matrix = written(matrix, "mass")
+    dofs = written(rhs.select("dof"), "dofs")
+    constraints = constrain.composed(constraints).kept()
+    free = written(constrain.free_dofs(dofs, constraints), "free")
+    reduced, loads = None, None
+    for c in range(components):
+        reduced, load = constrain.reduce_system(matrix, rhs.select("dof", F.col("v")[c].alias("v")), dofs, free, constraints)
+        load = load.withColumnRenamed("v", f"v_{c}")
+        loads = load if loads is None else loads.join(load, "reduced")
+    x = solve_cg(reduced, loads.select(F.col("reduced").alias("dof"), F.array(*(f"v_{c}" for c in range(components))).alias("v")), tol)
+    x = written(x.withColumnRenamed("dof", "reduced"), "reduced")
+    zero, out = dofs.select("dof", F.lit(0.0).alias("v")), None
+    for c in range(components):
+        one = constrain.lift(x.select("reduced", F.col("x")[c].alias("v")), zero, free, constraints).withColumnRenamed("v", f"x_{c}")
+        out = one if out is None else out.join(one, "dof")
+    return out.select("dof", F.array(*(f"x_{c}" for c in range(components))).alias("x"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
-from .cut import written
+from .cut import deleted, written
 
 BUCKET = 1 << 16
 
@@ -54,12 +56,20 @@ def row_counts(coo: DataFrame, n: int) -> DataFrame:
 
 
 def row_pointer(coo: DataFrame, n: int) -> DataFrame:
-    """row, ptr: entries before each row; a two-level running sum."""
+    """row, ptr: entries before each row; running sums in levels."""
     c = row_counts(coo, n).withColumn("_bucket", F.expr(f"row div {BUCKET}"))
-    sums = c.groupBy("_bucket").agg(F.sum("n").alias("_n"))
-    sums = sums.select("_bucket", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    starts = _starts(c.groupBy("_bucket").agg(F.sum("n").alias("_n")), [], "_bucket", n // BUCKET + 1)
     within = F.coalesce(F.sum("n").over(W.partitionBy("_bucket").orderBy("row").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return c.withColumn("_in", within).join(sums, "_bucket").select("row", (F.col("_start") + F.col("_in")).cast("long").alias("ptr"))
+    return c.withColumn("_in", within).join(starts, "_bucket").select("row", (F.col("_start") + F.col("_in")).cast("long").alias("ptr"))
+
+
+def part_pointer(counts: DataFrame, key: str = "local_id") -> DataFrame:
+    """part, key, ptr of counts(part, key, n): entries before each row of its part; running sums in levels that start anew in each part."""
+    c = counts.withColumn("_bucket", F.expr(f"`{key}` div {BUCKET}"))
+    high = c.agg(F.max("_bucket")).first()[0] or 0
+    starts = _starts(c.groupBy("part", "_bucket").agg(F.sum("n").alias("_n")), ["part"], "_bucket", high + 1)
+    within = F.coalesce(F.sum("n").over(W.partitionBy("part", "_bucket").orderBy(key).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    return c.withColumn("_in", within).join(starts, ["part", "_bucket"]).select("part", key, (F.col("_start") + F.col("_in")).cast("long").alias("ptr"))
 
 
 def mesh_pattern(elements: DataFrame, dofs: int = 1) -> DataFrame:
@@ -189,27 +199,75 @@ def colour(pattern: DataFrame, spread: int = 16, most_rounds: int = 200) -> Data
     The largest hash always does, so rounds end; their number is logarithmic on bounded degrees. Each
     round is written to the shared folder. Reruns give the same colours.
     """
-    graph = written(row_neighbours(pattern), "graph")
+    edges = written(row_neighbours(pattern), "graph")
     every = written(pattern.select(F.col("col").alias("dof")).distinct(), "columns")
     done = written(every.limit(0).withColumn("color", F.lit(0)), "colors")
     left = every
     for number in range(most_rounds):
         if left.isEmpty():
+            deleted(edges, *(() if left is every else (left, every)))
             return done
-        open_edges = graph.join(left.withColumnRenamed("dof", "u"), "u", "left_semi")
-        taken = open_edges.join(done.withColumnRenamed("dof", "v"), "v").groupBy(F.col("u").alias("dof")).agg(F.collect_set("color").alias("_taken"))
+        taken = edges.join(done.withColumnRenamed("dof", "v"), "v").groupBy(F.col("u").alias("dof")).agg(F.collect_set("color").alias("_taken"))
         tries = left.join(taken, "dof", "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
         room = F.array_except(F.sequence(F.lit(0), F.size("_taken") + spread - 1), F.col("_taken"))
         tries = tries.select("dof", F.get(room, F.pmod(F.xxhash64("dof", F.lit(number)), F.lit(spread)).cast("int")).alias("color"), F.xxhash64("dof", F.lit(-1)).alias("_h"))
         tries = written(tries, "tries")
-        lost = open_edges.join(tries.select(F.col("dof").alias("u"), F.col("color").alias("cu"), F.col("_h").alias("hu")), "u")
+        lost = edges.join(tries.select(F.col("dof").alias("u"), F.col("color").alias("cu"), F.col("_h").alias("hu")), "u")
         lost = lost.join(tries.select(F.col("dof").alias("v"), F.col("color").alias("cv"), F.col("_h").alias("hv")), "v")
         lost = lost.filter("cu = cv AND (hu < hv OR (hu = hv AND u < v))").select(F.col("u").alias("dof")).distinct()
-        done = written(done.unionByName(tries.join(lost, "dof", "left_anti").select("dof", "color")), "colors")
-        left = written(every.join(done, "dof", "left_anti"), "left")
+        done = written(done.unionByName(tries.join(lost, "dof", "left_anti").select("dof", "color")), "colors", done)
+        left = written(every.join(done, "dof", "left_anti"), "left", None if left is every else left)
+        edges = written(edges.join(left.withColumnRenamed("dof", "u"), "u", "left_semi"), "graph", edges)  # those of columns that are open
+        deleted(tries)
     raise RuntimeError("no colouring within the rounds allowed")
 
 
+def colour_in_order(pattern: DataFrame, order: str = "index", block: int = 4096) -> DataFrame:
+    """dof, color of the columns, each the least that no neighbour before it in the order has: the colours of the sequential greedy.
+
+    order: "index" is by rising dof, "degree" by falling number of neighbours and then by falling dof. A column
+    waits for its neighbours before it. In each round every block of `block` consecutive columns colours those of
+    its columns whose neighbours before are known, one after the other; what is new goes to the edges that wait
+    for it, and finished edges leave. Rounds are at most the number of blocks, and at most the longest chain of
+    waiting columns. A block's waiting edges are in one task: `block` times the number of neighbours.
+    """
+    if order not in ("index", "degree"):
+        raise ValueError("order is index or degree")
+    every = pattern.select(F.col("col").alias("dof")).distinct()
+    places = written((positions(every, "dof", "place") if order == "index" else degree_order(pattern)).select("dof", "place"), "places")
+    before = row_neighbours(pattern).join(places.select(F.col("dof").alias("u"), "place"), "u").join(places.select(F.col("dof").alias("v"), F.col("place").alias("_p")), "v").filter("_p < place")
+    waiting = places.join(before.select(F.col("u").alias("dof"), F.col("v").alias("before")), "dof", "left")
+    waiting = waiting.select((F.col("place") / block).cast("long").alias("block"), "place", "dof", "before", F.lit(None).cast("int").alias("color"))
+    waiting = written(waiting, "waiting")
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("place", "dof", "before", "color")), strict=True), key=lambda r: r[0])
+        found: dict[int, int] = {}
+        at = 0
+        while at < len(rows):
+            end, dof, taken = at, rows[at][1], set()
+            while end < len(rows) and rows[end][1] == dof:
+                _, _, v, color = rows[end]
+                if v is not None:
+                    taken.add(found.get(v) if color is None else color)
+                end += 1
+            if None not in taken:
+                found[dof] = next(c for c in range(len(taken) + 1) if c not in taken)
+            at = end
+        return pa.table({"dof": pa.array(found.keys(), pa.int64()), "color": pa.array(found.values(), pa.int32())})
+
+    done = written(places.limit(0).select("dof", F.lit(0).alias("color")), "colors")
+    while not waiting.isEmpty():
+        new = written(waiting.groupBy("block").applyInArrow(run, "dof long, color int"), "new")
+        done = written(done.unionByName(new), "colors", done)
+        known = new.select(F.col("dof").alias("before"), F.col("color").alias("_new"))
+        left = waiting.join(new.select("dof"), "dof", "left_anti").join(known, "before", "left")
+        waiting = written(left.select("block", "place", "dof", "before", F.coalesce("color", "_new").alias("color")), "waiting", waiting)
+        deleted(new)
+    deleted(waiting, places)
+    return done
+
+
 def colour_conflicts(pattern: DataFrame, colors: DataFrame) -> DataFrame:
     """row, color, n: colours that a row sees more than once; none in a sound colouring."""
     seen = pattern.select("row", "col").distinct().join(colors.withColumnRenamed("dof", "col"), "col")
@@ -235,22 +293,52 @@ def decompress(pattern: DataFrame, colors: DataFrame, compressed: DataFrame) ->
 def solve_cg(coo: DataFrame, rhs: DataFrame, tol: float = 1e-10, most: int = 500) -> DataFrame:
     """dof, x of coo x = rhs(dof, v), by conjugate gradients scaled by the diagonal; coo symmetric and positive.
 
-    Two sums go to the driver in an iteration; the vectors are written to the shared folder, so that
-    lineage stays short and a lost executor costs one iteration. Stops at a residual of tol times the first.
+    v is a number, or an array of as many components everywhere: then all are solved in one pass, each
+    with steps and an end of its own, and x is an array. Unknowns are the matrix's rows; one that rhs doesn't name has 0 there.
+    A component stops at a residual of tol times its first. Two sums for each component go to the driver in an iteration;
+    the vectors are written to the shared folder and replace those before, so that lineage stays short and a lost executor costs one iteration.
+    Errors: a row without a positive diagonal, a load on an unknown without a row, a matrix that turns
+    out not to be positive, and no convergence within `most` iterations.
     """
     coo = written(coo, "matrix")
-    diagonal = coo.filter("row = col").select(F.col("row").alias("dof"), F.col("v").alias("d"))
-    state = rhs.join(diagonal, "dof").select("dof", F.lit(0.0).alias("x"), F.col("v").alias("r"), (F.col("v") / F.col("d")).alias("p"), "d")
-    state = written(state, "state")
-    rz = first = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0] or 0.0
+    many = isinstance(rhs.schema["v"].dataType, ArrayType)
+    load = written(rhs.select("dof", F.col("v") if many else F.array("v").alias("v")).filter("dof IS NOT NULL"), "load")
+    low, high = load.agg(F.min(F.size("v")), F.max(F.size("v"))).first()
+    if low != high:
+        raise ValueError(f"loads of {low} and of {high} components")
+    each = range(high or (0 if many else 1))
+    diagonal = coo.groupBy(F.col("row").alias("dof")).agg(F.sum(F.when(F.col("row") == F.col("col"), F.col("v"))).alias("d"))
+    if not diagonal.filter("d IS NULL OR d <= 0").isEmpty():
+        raise ValueError("a row without a positive diagonal")
+    if not load.join(diagonal, "dof", "left_anti").isEmpty():
+        raise ValueError("a load on an unknown that has no row")
+    zeros = F.array(*(F.lit(0.0) for _ in each)).cast("array<double>")
+    vector = lambda cs: F.array(*cs).cast("array<double>")
+    state = diagonal.join(load, "dof", "left").select("dof", zeros.alias("x"), F.coalesce("v", zeros).alias("r"), "d")
+    state = state.withColumn("p", F.transform("r", lambda r: r / F.col("d")))
+    state = held = written(state, "state")
+    deleted(load)
+    total = lambda df, f: [v or 0.0 for v in df.agg(*(F.sum(f(c)) for c in each)).first()] if len(each) else []
+    squares = lambda c: F.col("r")[c] * F.col("r")[c] / F.col("d")
+    rz = first = total(state, squares)
+    open_ = [not rz[c] <= tol * tol * first[c] for c in each]
     for _ in range(most):
-        if rz <= tol * tol * first:
+        if not any(open_):
             break
-        step = matvec(coo, state.select("dof", F.col("p").alias("v"))).select(F.col("row").alias("dof"), F.col("v").alias("q"))
-        state = written(state.join(step, "dof"), "step")
-        alpha = rz / state.agg(F.sum(F.col("p") * F.col("q"))).first()[0]
-        state = state.select("dof", (F.col("x") + F.col("p") * alpha).alias("x"), (F.col("r") - F.col("q") * alpha).alias("r"), "p", "d")
-        new = state.agg(F.sum(F.col("r") * F.col("r") / F.col("d"))).first()[0]
-        state = state.select("dof", "x", "r", (F.col("r") / F.col("d") + F.col("p") * (new / rz)).alias("p"), "d")
+        product = coo.join(state.select(F.col("dof").alias("col"), "p"), "col").groupBy(F.col("row").alias("dof")).agg(vector(F.sum(F.col("v") * F.col("p")[c]) for c in each).alias("q"))
+        state = held = written(state.join(product, "dof"), "state", held)
+        pq = total(state, lambda c: F.col("p")[c] * F.col("q")[c])
+        if any(o and not v > 0 for o, v in zip(open_, pq, strict=True)):
+            raise ValueError("the matrix is not positive")
+        a = [rz[c] / pq[c] if open_[c] else 0.0 for c in each]
+        x, r = (vector(F.col(y)[c] + F.col(z)[c] * F.lit(sign * a[c]) for c in each) for y, z, sign in (("x", "p", 1), ("r", "q", -1)))
+        state = state.select("dof", x.alias("x"), r.alias("r"), "p", "d")
+        new = total(state, squares)
+        b = [new[c] / rz[c] if open_[c] else 0.0 for c in each]
+        state = state.select("dof", "x", "r", vector(F.col("r")[c] / F.col("d") + F.col("p")[c] * F.lit(b[c]) for c in each).alias("p"), "d")
         rz = new
-    return state.select("dof", "x")
+        open_ = [o and not rz[c] <= tol * tol * first[c] for c, o in zip(each, open_, strict=True)]
+    if any(open_):
+        raise RuntimeError(f"no convergence within {most} iterations: components {[c for c in each if open_[c]]}")
+    deleted(coo)
+    return state.select("dof", F.col("x") if many else F.col("x")[0].alias("x"))

@@ -131,3 +131,22 @@ def merge_replica_matrices(replicas: DataFrame, n: int, parts: int) -> DataFrame
 def gather_global(dofs: DataFrame, local: DataFrame) -> DataFrame:
     """natural_dof, v: the whole vector, of owned pieces alone."""
     return local.join(dofs.filter("is_owned").select("part", "local_dof", "natural_dof"), ["part", "local_dof"]).select("natural_dof", "v")
+
+
+def local_elements(elements: DataFrame, partition: DataFrame, layout: DataFrame) -> DataFrame:
+    """part, elem_id, conn in the part's local numbers, of layout as of local_nodes(). Only an element's own ends are collected, never a part."""
+    ends = elements.join(partition, "elem_id").select("part", "elem_id", F.posexplode("conn").alias("_a", "node_id"))
+    numbered = ends.join(layout.select("part", "node_id", "local_id"), ["part", "node_id"])
+    rows = numbered.groupBy("part", "elem_id").agg(F.array_sort(F.collect_list(F.struct("_a", "local_id"))).alias("_e"))
+    return rows.select("part", "elem_id", F.col("_e.local_id").alias("conn"))
+
+
+def owned_row_counts(pattern: DataFrame, layout: DataFrame) -> DataFrame:
+    """part, local_id, n: the entries of each row that a part owns, empty rows included; pattern(row, col) in node ids."""
+    n = pattern.groupBy(F.col("row").alias("node_id")).agg(F.count("*").alias("_n"))
+    return layout.filter("is_owned").join(n, "node_id", "left").select("part", "local_id", F.coalesce("_n", F.lit(0)).cast("long").alias("n"))
+
+
+def owned_nnz(counts: DataFrame) -> DataFrame:
+    """part, nnz of owned_row_counts(), and of all parts with part null."""
+    return counts.rollup("part").agg(F.sum("n").alias("nnz"))

@@ -138,10 +138,25 @@ def select_nodes(mesh: Mesh, axis: str, at: str | float) -> DataFrame:
     return nodes.filter(F.abs(F.col(axis) - value) <= F.lit(1e-8) + F.lit(1e-5) * F.abs(value)).select("node_id")
 
 
-def pair_boundaries(mesh: Mesh, left: DataFrame, right: DataFrame, by: str) -> DataFrame:
-    """dof, master: nodes of two sides that have the same place along a coordinate, sorted; ties by id. The ranks are taken side by side, in one window each: sides are boundaries, small beside the mesh."""
-    rank = F.row_number().over(W.orderBy(by, "node_id"))
-    ranked = lambda side, name: mesh.nodes.join(side, "node_id", "left_semi").select(F.col("node_id").alias(name), rank.alias("_r"))
+def pair_boundaries(mesh: Mesh, left: DataFrame, right: DataFrame, by: str, width: float | None = None) -> DataFrame:
+    """dof, master: nodes of two sides in the order of a coordinate, ties by id: the first with the first, and so on.
+
+    Sides are ranked in slots of the coordinate, on top of the counts of the slots before; without a
+    width a slot is a 4096th of the sides' extent. Each slot is sorted by itself.
+    """
+    every = mesh.nodes.select("node_id", F.col(by).alias("_c"))
+    sides = every.join(left.unionByName(right).distinct(), "node_id", "left_semi")
+    low, high = sides.agg(F.min("_c"), F.max("_c")).first()
+    width = width or max(((high or 0.0) - (low or 0.0)) / 4096, 1e-300)
+    slot = F.floor((F.col("_c") - F.lit(low or 0.0)) / F.lit(width)).cast("long").alias("_slot")
+
+    def ranked(side: DataFrame, name: str) -> DataFrame:
+        s = every.join(side.select("node_id").distinct(), "node_id", "left_semi").select("node_id", "_c", slot)
+        before = F.coalesce(F.sum("_n").over(W.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        starts = s.groupBy("_slot").agg(F.count("*").alias("_n")).select("_slot", before.alias("_start"))  # a row for each slot
+        within = F.row_number().over(W.partitionBy("_slot").orderBy("_c", "node_id"))
+        return s.withColumn("_in", within).join(F.broadcast(starts), "_slot").select(F.col("node_id").alias(name), (F.col("_start") + F.col("_in")).alias("_r"))
+
     return ranked(left, "dof").join(ranked(right, "master"), "_r").select("dof", "master")
 
 
