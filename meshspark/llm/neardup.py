@@ -15,8 +15,8 @@ from .vectors import cosines, dtype_of, matrix, parsed
 
 #: Projections whose windows are counted, first some and then all; rows of a block; steps of a unit; half a window in deviations.
 N_PROJECTIONS, N_FIRST, BLOCK, SCALE, HALF_WINDOW = 48, 16, 4096, 2000.0, 2.0
-#: Width of a cell in deviations, share of pairs at the threshold that cells or counts may miss, rows that share a cell as aimed at.
-CELL, MISS, LOAD = 8.0, 1e-6, 1024
+#: Width of a cell in deviations, share of pairs at the threshold that cells or counts may miss, and how many comparisons in a cell cost what a row's travel to one more cell does (measured).
+CELL, MISS, LOAD = 8.0, 1e-6, 8192
 #: Projections that make a cell, to choose from.
 DEPTHS = (0, 1, 2, 3, 4, 6, 8, 12, 16, 24)
 
@@ -127,11 +127,11 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, vec_id: str
         keys = by_dimension(batch, lambda x: np.hstack([cell_keys(x, d, 1, width) for d in DEPTHS]).astype(np.int64))
         return pa.RecordBatch.from_arrays([pa.array(keys, pa.list_(pa.int64()))], ["keys"])
 
-    classes = base.groupBy("dim", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", F.xxhash64("dim", "vec").alias("c"), "dim", "vec", "n")
+    classes = base.groupBy("dim", "vec").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).select("rep", F.xxhash64("dim", "vec").alias("c"), F.xxhash64(F.lit(1), "vec", "dim").alias("c2"), "dim", "vec", "n")
     classes = materialize(classes, "classes")
     cells = map_arrow(classes.select("dim", "vec"), trials, "keys array<long>", 2048).select(F.posexplode("keys").alias("d", "key")).groupBy("d", "key").count()
     loads = {r.d: r.load for r in cells.groupBy("d").agg((F.sum(F.col("count").cast("double") * F.col("count")) / F.sum("count")).alias("load")).collect()}  # a row for each of DEPTHS
-    depth = min(DEPTHS, key=lambda d: n_tables(d) * max(loads.get(DEPTHS.index(d), 0.0), LOAD))
+    depth = min(DEPTHS, key=lambda d: n_tables(d) * (loads.get(DEPTHS.index(d), 0.0) + LOAD))
     tables = n_tables(depth)
 
     def keyed(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -146,7 +146,6 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, vec_id: str
         x = matrix(table.column("vec"), dtype)[order]
         unit = x / np.sqrt((x * x).sum(1))[:, None]
         q = np.rint(unit @ directions(x.shape[1]) * SCALE).astype(np.int16)
-        shared = cell_keys(unit, depth, tables, width).astype(np.int64)
         left = np.flatnonzero(home == i)
         right = left if i == j else np.flatnonzero(home == j)
         links, forest = np.zeros(len(x), np.int64), Forest(len(x))
@@ -165,9 +164,12 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, vec_id: str
                 u, v = u[passed], v[passed]
                 similar = cosines(x[u], x[v]) >= threshold
                 u, v = u[similar], v[similar]
-                first = (shared[u] == shared[v]).argmax(1)
-                own = shared[u, first] == key
-                u, v = u[own], v[own]
+                if tables > 1 and len(u):
+                    ends, at_end = np.unique(np.concatenate([u, v]), return_inverse=True)
+                    shared = cell_keys(unit[ends], depth, tables, width).astype(np.int64)  # of linked rows alone
+                    su, sv = shared[at_end[: len(u)]], shared[at_end[len(u) :]]
+                    own = su[np.arange(len(u)), (su == sv).argmax(1)] == key
+                    u, v = u[own], v[own]
                 links += np.bincount(u, n[v], len(x)).astype(np.int64) + np.bincount(v, n[u], len(x)).astype(np.int64)
                 forest.add(u, v)
         hit = np.flatnonzero(links)
@@ -181,13 +183,13 @@ def near_duplicates(vectors: DataFrame, *, threshold: float = 0.95, vec_id: str
     places = places.select("rep", "c", F.explode("keys").alias("key"))
     sizes = places.groupBy("key").count().filter("count > 1").select("key", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     shared = places.join(sizes, "key").groupBy("rep", "c").agg(F.collect_list(F.struct("key", "blocks")).alias("in"))  # at most one for each table
-    met = shared.join(classes, ["rep", "c"]).select("rep", "c", "vec", "n", F.explode("in").alias("in")).select("rep", "c", "vec", "n", "in.*")
+    met = shared.join(classes.drop("c2"), ["rep", "c"]).select("rep", "c", "vec", "n", F.explode("in").alias("in")).select("rep", "c", "vec", "n", "in.*")
     met = met.withColumn("home", F.pmod(F.xxhash64("rep", "c"), "blocks").cast("int")).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     met = met.select("key", F.least("home", "at").alias("i"), F.greatest("home", "at").alias("j"), "home", "rep", "c", "vec", "n")
     found = materialize(map_groups(met, ["key", "i", "j"], joined, "rep long, c long, links long, peer long"), "links")
     counts = found.filter("links IS NOT NULL").groupBy("rep", "c").agg(F.sum("links").alias("links"))
     comps = connected_components(found.filter("peer IS NOT NULL"), "rep", "peer")
-    rows = base.select("vec_id", F.xxhash64("dim", "vec").alias("c")).join(classes.select("c", "rep", "n"), "c").select("vec_id", "rep", "c", "n")
+    rows = base.select("vec_id", F.xxhash64("dim", "vec").alias("c"), F.xxhash64(F.lit(1), "vec", "dim").alias("c2")).join(classes.select("c", "c2", "rep", "n"), ["c", "c2"]).select("vec_id", "rep", "c", "n")
     rows = rows.join(counts, ["rep", "c"], "left").join(comps.withColumnRenamed("id", "rep"), "rep", "left")
     linked = rows.select("vec_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     rest = only(vectors, vec_id=vec_id, embedding=embedding).withColumn("vec_id", F.col("vec_id").cast("long")).filter(F.col("vec_id").isNull() | ~usable(F.col("embedding")))

@@ -43,8 +43,14 @@ def dtype_of(vectors: DataFrame, embedding: str) -> str:
 
 
 def matrix(column, dtype: str) -> np.ndarray:
-    """Rows of doubles from a column of equally long byte strings."""
-    return np.array([np.frombuffer(x.as_py(), dtype) for x in column], np.float64)
+    """Rows of doubles from a column of equally long byte strings without nulls, read from its buffers."""
+    rows = []
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        if len(chunk):
+            ends = np.frombuffer(chunk.buffers()[1], np.int64 if pa.types.is_large_binary(chunk.type) else np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            data = np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+            rows.append(np.frombuffer(data.tobytes(), dtype).reshape(len(chunk), -1))
+    return np.concatenate(rows).astype(np.float64) if rows else np.empty((0, 0))
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
