@@ -38,9 +38,11 @@ def s1_read_mesh(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s4_unit_square(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = grids.cells_per_side(_parts_count(spark, sf_dir))
-    mesh = grids.unit_square(spark, n, n, "quad4", dim=3)
-    return mesh.nodes.join(_field(spark, sf_dir), "node_id").select("node_id", _r("x", 9).alias("x"), _r("y", 9).alias("y"), "z", "v")
+    """A square with room for all rows, and their values on its nodes; nodes of the last column that no row fills have none."""
+    rows = _parts_count(spark, sf_dir)
+    n = grids.cells_per_side(rows)
+    mesh = grids.unit_square(spark, max(-(-rows // (n + 1)) - 1, 0), n, "quad4", dim=3)
+    return mesh.nodes.join(_field(spark, sf_dir), "node_id", "left").select("node_id", _r("x", 9).alias("x"), _r("y", 9).alias("y"), "z", "v")
 
 
 def s7_set_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,18 +70,30 @@ def e1_line2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def e2_line3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements over two cells of a line each; the last one overlaps the one before where the number of cells is odd."""
     mesh, n = _line(spark, sf_dir), _table(spark, sf_dir, "supplier").count()
-    pairs = spark.range(max(n - 1, 0) // 2).select(F.col("id").alias("elem_id"), F.array(F.col("id") * 2, F.col("id") * 2 + 2, F.col("id") * 2 + 1).alias("conn"))
+    at = F.least(F.col("id") * 2, F.lit(n - 3))
+    pairs = spark.range(n // 2 if n > 2 else 0).select(F.col("id").alias("elem_id"), F.array(at, at + 2, at + 1).alias("conn"))
     return _integral(fields.on_elements(mesh, pairs, "line3"), _balance(spark, sf_dir, "supplier", "s_suppkey", "s_acctbal"))
 
 
 def _double_cells(spark: SparkSession, sf_dir: str, offsets: list[tuple[int, int]], etype: str) -> Mesh:
-    """Elements over two by two cells of the grid, with nodes at steps (x, y) from the lower corner."""
-    mesh, n = _grid(spark, sf_dir), grids.cells_per_side(_parts_count(spark, sf_dir))
-    m, half = n + 1, n // 2
-    low = F.expr(f"id div {max(half, 1)} * {2 * m} + id % {max(half, 1)} * 2")
-    elements = spark.range(half * half).select(F.col("id").alias("elem_id"), F.array(*(low + i * m + j for i, j in offsets)).alias("conn"))
-    return fields.on_elements(mesh, elements, etype)
+    """Elements over two by two cells of the grid, with nodes at steps (x, y) from the lower corner.
+
+    The last ones in each direction overlap those before where the number of cells is odd; in the
+    partly filled column, elements whose nodes are all there.
+    """
+    mesh, rows = _grid(spark, sf_dir), _parts_count(spark, sf_dir)
+    m = grids.cells_per_side(rows) + 1
+    full, columns = rows // m, -(-rows // m)
+    x = [*range(0, full - 3, 2), full - 3, *([columns - 3] if columns > full else [])] if full > 2 else []
+    y = [*range(0, m - 3, 2), m - 3] if m > 2 else []
+    ids = spark.range(len(x) * len(y)).withColumn("i", F.expr(f"int(id div {max(len(y), 1)})")).withColumn("j", F.expr(f"int(id % {max(len(y), 1)})"))
+    start = lambda c, last, cells: F.when(c < cells, F.least(c * 2, F.lit(last))).otherwise(F.lit(columns - 3))
+    whole = len(x) - (columns > full)
+    low = start(F.col("i"), full - 3, whole).cast("long") * m + F.least(F.col("j") * 2, F.lit(m - 3))
+    elements = ids.select(F.col("id").alias("elem_id"), low.alias("low")).filter(F.col("low") + 2 * m + 2 < rows)
+    return fields.on_elements(mesh, elements.select("elem_id", F.array(*(F.col("low") + i * m + j for i, j in offsets)).alias("conn")), etype)
 
 
 TRI6 = [(0, 0), (2, 0), (2, 2), (1, 0), (2, 1), (1, 1)]
@@ -95,10 +109,13 @@ def e6_quad8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _box(spark: SparkSession, sf_dir: str, kind: str) -> Mesh:
+    """Customers as the nodes of layers of a box, the last one partly filled; elements whose nodes are all there."""
     rows, n = _table(spark, sf_dir, "customer").count(), 0
     while (n + 2) ** 3 <= rows:
         n += 1
-    return grids.box(spark, (1.0, 2.0, 3.0), (n, n, n), kind)
+    layers = -(-rows // (n + 1) ** 2)
+    mesh = grids.box(spark, (1.0, 2.0, 3.0), (layers - 1, n, n), kind)
+    return Mesh(mesh.nodes, mesh.elements.filter(F.array_max("conn") < rows), kind)
 
 
 def e7_tet4(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -304,8 +321,9 @@ def u4_missing_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p2_layout_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     lay = _layout(spark, sf_dir)
-    phi, shared = lay.places["phi"], lay.places["s"]
-    return matrices.layout_pattern(_orders(spark, sf_dir)[0], [(phi.base, phi.stride, 1)], [(shared.base, shared.field.shape[0])])
+    nodal = [(lay.places[f].base, lay.places[f].stride, lay.places[f].field.components) for f in ("u", "phi")]
+    shared = lay.places["s"]
+    return matrices.layout_pattern(_orders(spark, sf_dir)[0], nodal, [(shared.base, shared.field.shape[0])])
 
 
 def p4_split_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -347,15 +365,15 @@ def p9_decompress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _layout(spark: SparkSession, sf_dir: str) -> states.Layout:
+    """As many nodes as orders; parts are the first of them."""
     fields_ = [states.Field("u", (states.AUTO, 2)), states.Field("s", (_table(spark, sf_dir, "nation").count(),), "shared"), states.Field("phi", (states.AUTO,))]
-    return states.layout(fields_, _parts_count(spark, sf_dir))
+    return states.layout(fields_, _table(spark, sf_dir, "orders").count())
 
 
 def _state(spark: SparkSession, sf_dir: str) -> tuple[states.Layout, DataFrame]:
-    lay, n = _layout(spark, sf_dir), _parts_count(spark, sf_dir)
-    part = _table(spark, sf_dir, "part")
+    lay, part = _layout(spark, sf_dir), _table(spark, sf_dir, "part")
     u = part.select(_long("p_partkey").alias("item"), F.array(F.col("p_retailprice").cast("double"), F.col("p_size").cast("double")).alias("v"))
-    phi = _table(spark, sf_dir, "orders").select(_long("o_orderkey").alias("item"), F.col("o_totalprice").cast("double").alias("v")).filter(F.col("item") < n)
+    phi = _table(spark, sf_dir, "orders").select(_long("o_orderkey").alias("item"), F.col("o_totalprice").cast("double").alias("v"))
     return lay, states.pack(spark, lay, {"u": u, "phi": phi}, default=7.0)
 
 
@@ -380,11 +398,13 @@ def c4_add_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def c5_natural_dofs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states.natural_dofs(_layout(spark, sf_dir), w1_local_nodes(spark, sf_dir)).filter("name <> 's'").drop("name")
+    return states.natural_dofs(_layout(spark, sf_dir), w1_local_nodes(spark, sf_dir))
 
 
 def j10_select_dofs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return states.select_dofs(spark, _layout(spark, sf_dir), "u", slice(-9, None, -3), [1, 0])
+    """Every third node from the ninth last back to the first, second component first, with the state's values there."""
+    lay, vec = _state(spark, sf_dir)
+    return states.select_dofs(spark, lay, "u", slice(-9, None, -3), [1, 0]).join(vec, "dof").select("pos", "dof", "v")
 
 
 def _subset(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,9 +9,9 @@ _SIDES = """nb AS (SELECT unnest([n0, n1, n2]) AS node_id, unnest([y1 - y2, y2 -
 """
 _LINE = """WITH h AS (SELECT 1.0::DOUBLE / greatest(count(*) - 1, 1) AS h FROM supplier), b AS (SELECT CAST(s_suppkey AS BIGINT) AS i, CAST(s_acctbal AS DOUBLE) AS u FROM supplier)
 """
-_BOX = """WITH z AS (SELECT CAST(floor(power(count(*) + 0.5, 1.0 / 3)) AS BIGINT) - 1 AS n, CAST(floor(power(count(*) + 0.5, 1.0 / 3)) AS BIGINT) AS m FROM customer),
+_BOX = """WITH z AS (SELECT *, (rows + m * m - 1) // (m * m) - 1 AS nx, m - 1 AS n FROM (SELECT count(*) AS rows, CAST(floor(power(count(*) + 0.5, 1.0 / 3)) AS BIGINT) AS m FROM customer)),
 b AS (SELECT CAST(c_custkey AS BIGINT) AS i, CAST(c_acctbal AS DOUBLE) AS u FROM customer),
-c AS (SELECT r, n, m, (r // (n * n)) * m * m + (r // n % n) * m + r % n AS low FROM z, range(0, n * n * n) t(r)),
+c AS (SELECT r, n, m, nx, rows, (r // (n * n)) * m * m + (r // n % n) * m + r % n AS low FROM z, range(0, nx * n * n) t(r)),
 """
 _VEC = """WITH g AS (SELECT greatest(CAST(floor(sqrt(count(*))) AS BIGINT) - 1, 0) AS n, count(*) AS total FROM embeddings),
 e AS (SELECT CAST(vec_id AS BIGINT) AS node_id, (vec_id // (n + 1)) / CAST(n AS DOUBLE) AS x, (vec_id % (n + 1)) / CAST(n AS DOUBLE) AS y, CAST(embedding AS DOUBLE[]) AS v FROM embeddings, g),
@@ -21,9 +21,9 @@ t AS (SELECT elem_id, c, a.v[c + 1] AS u0, b.v[c + 1] AS u1, d.v[c + 1] AS u2, a
   (b.x - a.x) * (d.y - a.y) - (b.y - a.y) * (d.x - a.x) AS det
   FROM tri JOIN e a ON a.node_id = n0 JOIN e b ON b.node_id = n1 JOIN e d ON d.node_id = n2, range(0, 64) k(c) WHERE c < len(a.v))
 """
-_STATE = f"""WITH n AS (SELECT count(*) AS n, (SELECT count(*) FROM nation) AS s FROM part),
-vec AS (SELECT CAST(p_partkey AS BIGINT) * 3 AS dof, CAST(p_retailprice AS DOUBLE) AS v FROM part UNION ALL SELECT CAST(p_partkey AS BIGINT) * 3 + 1, CAST(p_size AS DOUBLE) FROM part
-UNION ALL SELECT r * 3 + 2, coalesce(CAST(o_totalprice AS DOUBLE), 7.0) FROM n, range(0, n) t(r) LEFT JOIN orders ON o_orderkey = r
+_STATE = """WITH n AS (SELECT count(*) AS n, (SELECT count(*) FROM nation) AS s FROM orders),
+vec AS (SELECT r * 3 + c AS dof, coalesce(CASE c WHEN 0 THEN CAST(p_retailprice AS DOUBLE) ELSE CAST(p_size AS DOUBLE) END, 7.0) AS v FROM n, range(0, n) t(r) LEFT JOIN part ON p_partkey = r, range(2) o(c)
+UNION ALL SELECT CAST(o_orderkey AS BIGINT) * 3 + 2, CAST(o_totalprice AS DOUBLE) FROM orders
 UNION ALL SELECT 3 * n + r, 7.0 FROM n, range(0, s) t(r)),
 """
 _LAYOUT = """st AS (SELECT part, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT part, count(*) FILTER (is_owned) AS n FROM layout GROUP BY part)),
@@ -43,10 +43,17 @@ def _block(c: str) -> str:
     return f"CAST(CASE WHEN {c} < more * (low + 1) THEN {c} // (low + 1) ELSE more + ({c} - more * (low + 1)) // greatest(low, 1) END AS INTEGER)"
 
 
+#: Lower corners of elements over two by two cells.
+_CORNERS = """sz AS (SELECT rows, n, m, rows // m AS full_, (rows + m - 1) // m AS cols, rows // m // 2 AS kx, m // 2 AS ky FROM (SELECT (SELECT count(*) FROM part) AS rows, n, n + 1 AS m FROM g)),
+dc AS (SELECT r AS c, n, m, low FROM (SELECT r, n, m, rows, (CASE WHEN r // ky < kx THEN least(r // ky * 2, full_ - 3) ELSE cols - 3 END) * m + least(r % ky * 2, m - 3) AS low
+  FROM sz, range(0, (kx + CASE WHEN cols > full_ THEN 1 ELSE 0 END) * ky) t(r)) WHERE low + 2 * m + 2 < rows),
+"""
+
+
 def _double(name: str, value: str) -> str:
     """Elements over two by two cells: the integral from the twelfth of the weight of each node at a step."""
-    return _q(f"""SELECT c AS elem_id, round({value}, 6) AS v FROM (SELECT r AS c, n, n + 1 AS m, (r // (n // 2)) * 2 * (n + 1) + r % (n // 2) * 2 AS low FROM g, range(0, (n // 2) * (n // 2)) t(r)) c, LATERAL (
-SELECT {name} FROM nodes p WHERE p.node_id IN (low, low + m, low + 2 * m, low + 1, low + m + 1, low + 2 * m + 1, low + 2, low + m + 2, low + 2 * m + 2)) x""")
+    return _q(f"""SELECT c AS elem_id, round({value}, 6) AS v FROM (SELECT c, n, m, low FROM dc) c, LATERAL (
+SELECT {name} FROM nodes p WHERE p.node_id IN (low, low + m, low + 2 * m, low + 1, low + m + 1, low + 2 * m + 1, low + 2, low + m + 2, low + 2 * m + 2)) x""", _GRID + _CORNERS)
 
 
 def _at(step: str) -> str:
@@ -55,16 +62,16 @@ def _at(step: str) -> str:
 
 SQL = {
     "s1_read_mesh": _q("SELECT * FROM tri"),
-    "s4_unit_square": _q("SELECT node_id, round(x, 9) AS x, round(y, 9) AS y, 0.0::DOUBLE AS z, u AS v FROM nodes, g WHERE node_id < (g.n + 1) * (g.n + 1)"),
+    "s4_unit_square": _q("SELECT r AS node_id, round((r // m) / CAST(greatest(k - 1, 1) AS DOUBLE), 9) AS x, round((r % m) / CAST(m - 1 AS DOUBLE), 9) AS y, 0.0::DOUBLE AS z, u AS v FROM (SELECT n + 1 AS m, ((SELECT count(*) FROM part) + n) // (n + 1) AS k FROM g) z, range(0, m * k) t(r) LEFT JOIN nodes ON node_id = r"),
     "s7_set_coords": _q("SELECT node_id, round(CASE WHEN s > 25 THEN x + 0.25::DOUBLE ELSE x END, 9) AS x, round(CASE WHEN s > 25 AND node_id % 2 = 0 THEN y * 2 ELSE y END, 9) AS y FROM nodes"),
     "e1_line2": _LINE + "SELECT a.i AS elem_id, round((a.u + c.u) / 2 * h, 6) AS v FROM b a JOIN b c ON c.i = a.i + 1, h",
-    "e2_line3": _LINE + "SELECT a.i // 2 AS elem_id, round((a.u + 4 * m.u + c.u) / 6 * 2 * h, 6) AS v FROM b a JOIN b m ON m.i = a.i + 1 JOIN b c ON c.i = a.i + 2, h WHERE a.i % 2 = 0",
+    "e2_line3": _LINE + "SELECT r AS elem_id, round((a.u + 4 * m.u + c.u) / 6 * 2 * h, 6) AS v FROM h, range(0, (SELECT count(*) FROM supplier) // 2) t(r) JOIN b a ON a.i = least(2 * r, (SELECT count(*) FROM supplier) - 3) JOIN b m ON m.i = a.i + 1 JOIN b c ON c.i = a.i + 2",
     "e4_tri6": _double(f"{_at('m')} AS a, {_at('2 * m + 1')} AS b, {_at('m + 1')} AS d", "(a + b + d) / 3 * 2 / n / n"),
     "e6_quad8": _double(f"{_at('0')} + {_at('2 * m')} + {_at('2 * m + 2')} + {_at('2')} AS corner, {_at('m')} + {_at('2 * m + 1')} + {_at('m + 2')} + {_at('1')} AS mid", "(mid / 3 - corner / 12) * 4 / n / n"),
-    "e7_tet4": _BOX + """six AS (SELECT 6 * r + p AS elem_id, n, unnest([low, low + a, low + k, low + m * m + m + 1]) AS i FROM c, LATERAL (VALUES (0, m * m, m * m + m), (1, m * m, m * m + 1), (2, m, m + m * m), (3, m, m + 1), (4, 1, 1 + m * m), (5, 1, 1 + m)) o(p, a, k))
-SELECT CAST(elem_id AS BIGINT) AS elem_id, round(sum(u) / 4 / (n * n * n), 10) AS v FROM six JOIN b USING (i) GROUP BY elem_id, n""",
-    "e8_hex8": _BOX + """eight AS (SELECT r AS elem_id, n, unnest([low, low + 1, low + m, low + m + 1, low + m * m, low + m * m + 1, low + m * m + m, low + m * m + m + 1]) AS i FROM c)
-SELECT elem_id, round(sum(u) / 8 * 6 / (n * n * n) * pi(), 5) AS v FROM eight JOIN b USING (i) GROUP BY elem_id, n""",
+    "e7_tet4": _BOX + """six AS (SELECT 6 * r + p AS elem_id, n, nx, rows, unnest([low, low + a, low + k, low + m * m + m + 1]) AS i FROM c, LATERAL (VALUES (0, m * m, m * m + m), (1, m * m, m * m + 1), (2, m, m + m * m), (3, m, m + 1), (4, 1, 1 + m * m), (5, 1, 1 + m)) o(p, a, k))
+SELECT CAST(elem_id AS BIGINT) AS elem_id, round(sum(u) / 4 / (nx * n * n), 10) AS v FROM six LEFT JOIN b USING (i) GROUP BY elem_id, n, nx, rows HAVING max(i) < rows""",
+    "e8_hex8": _BOX + """eight AS (SELECT r AS elem_id, n, nx, rows, unnest([low, low + 1, low + m, low + m + 1, low + m * m, low + m * m + 1, low + m * m + m, low + m * m + m + 1]) AS i FROM c)
+SELECT elem_id, round(sum(u) / 8 * 6 / (nx * n * n) * pi(), 5) AS v FROM eight LEFT JOIN b USING (i) GROUP BY elem_id, n, nx, rows HAVING max(i) < rows""",
     "x2_map_points": _q("SELECT elem_id, q, round(greatest(u - 1400, 0.0), 6) AS v FROM qp"),
     "x3_own_quadrature": _q("SELECT elem_id, round(det / 6 * (((u0 + u1) / 2) ^ 2 + ((u1 + u2) / 2) ^ 2 + ((u2 + u0) / 2) ^ 2), 3) AS v FROM t"),
     "g4_vector_gradient": _VEC + """SELECT elem_id, CAST(c AS INTEGER) AS c, 0 AS d, round((u0 * (y1 - y2) + u1 * (y2 - y0) + u2 * (y0 - y1)) / det, 4) AS v FROM t
@@ -102,8 +109,8 @@ FROM nb GROUP BY 1""", _GRID + _SIDES),
 FROM pat a JOIN pat b USING ("row") GROUP BY 1)""", _ITEMS),
     "u3_union_patterns": _q('SELECT "row", col FROM pat UNION SELECT CAST(l_suppkey AS BIGINT), CAST(l_partkey AS BIGINT) FROM lineitem', _ITEMS),
     "u4_missing_entries": _q('SELECT CAST(l_suppkey AS BIGINT) AS "row", CAST(l_partkey AS BIGINT) AS col FROM lineitem EXCEPT SELECT "row", col FROM pat', _ITEMS),
-    "p2_layout_pattern": _q(f"""SELECT DISTINCT 3 * a.col + 2 AS "row", 3 * b.col + 2 AS col FROM pat a JOIN pat b USING ("row")
-UNION ALL SELECT 3 * {_N} + r, 3 * {_N} + r FROM range(0, (SELECT count(*) FROM nation)) t(r)""", _ITEMS),
+    "p2_layout_pattern": _q("""SELECT 3 * a + i AS "row", 3 * b + j AS col FROM (SELECT DISTINCT a.col AS a, b.col AS b FROM pat a JOIN pat b USING ("row")), range(3) p(i), range(3) o(j)
+UNION ALL SELECT 3 * (SELECT count(*) FROM orders) + r, 3 * (SELECT count(*) FROM orders) + r FROM range(0, (SELECT count(*) FROM nation)) t(r)""", _ITEMS),
     "p4_split_pattern": _q(f'SELECT DISTINCT b.col - {_N} // 2 AS "row", a.col FROM pat a JOIN pat b USING ("row") WHERE a.col < {_N} // 2 AND b.col >= {_N} // 2', _ITEMS),
     "a13_distinct_counts": _q("SELECT count(*) AS pairs, count(DISTINCT col) AS cols, max(col) + 1 AS size FROM pat", _ITEMS),
     "a4_scatter_add": _q("SELECT col - 5 AS dof, sum(v) AS v FROM it WHERE col >= 5 GROUP BY 1", _ITEMS),
@@ -111,12 +118,13 @@ UNION ALL SELECT 3 * {_N} + r, 3 * {_N} + r FROM range(0, (SELECT count(*) FROM
     "p5_colour": "SELECT CAST(0 AS BIGINT) AS conflicts, CAST(0 AS BIGINT) AS bare",
     "p9_decompress": _q('SELECT "row", col, sum(v) AS v FROM it GROUP BY 1, 2', _ITEMS),
     "c1_pack": _q("SELECT dof, v FROM vec", _STATE),
-    "c2_unpack": "SELECT CAST(p_partkey AS BIGINT) AS item, 0 AS comp, CAST(p_retailprice AS DOUBLE) AS v FROM part UNION ALL SELECT CAST(p_partkey AS BIGINT), 1, CAST(p_size AS DOUBLE) FROM part",
+    "c2_unpack": _q("SELECT dof // 3 AS item, CAST(dof % 3 AS INTEGER) AS comp, v FROM vec, n WHERE dof < 3 * n AND dof % 3 < 2", _STATE),
     "c3_set_field": _q("SELECT dof, coalesce(CASE WHEN dof % 3 = 2 AND dof < 3 * n AND dof // 3 % 3 = 0 THEN CAST(p_size AS DOUBLE) END, v) AS v FROM vec CROSS JOIN n LEFT JOIN part ON p_partkey = dof // 3", _STATE),
     "c4_add_states": _q("SELECT dof, round(CASE WHEN dof % 2 = 0 THEN v + v * 0.5::DOUBLE ELSE v END, 4) AS v FROM vec", _STATE),
-    "c5_natural_dofs": _q("""SELECT part, local_id, CAST(c AS INTEGER) AS comp, 3 * node_id + c AS dof, is_owned FROM layout, range(0, 2) t(c)
-UNION ALL SELECT part, local_id, 0, 3 * node_id + 2, is_owned FROM layout"""),
-    "j10_select_dofs": f"SELECT 2 * k + c AS pos, 3 * ({_N} - 9 - 3 * k) + 1 - c AS dof FROM range(0, ({_N} - 9) // 3 + 1) t(k), range(0, 2) o(c) WHERE {_N} - 9 - 3 * k >= 0",
+    "c5_natural_dofs": _q("""SELECT part, 'u' AS name, local_id, CAST(c AS INTEGER) AS comp, 3 * node_id + c AS dof, is_owned FROM layout, range(0, 2) t(c)
+UNION ALL SELECT part, 'phi', local_id, 0, 3 * node_id + 2, is_owned FROM layout
+UNION ALL SELECT part, 's', r, 0, 3 * (SELECT count(*) FROM orders) + r, part = 0 FROM (SELECT DISTINCT part FROM layout), range(0, (SELECT count(*) FROM nation)) t(r)"""),
+    "j10_select_dofs": _q("SELECT 2 * k + c AS pos, dof, v FROM n, range(0, (n - 9) // 3 + 1) t(k), range(0, 2) o(c) JOIN vec ON dof = 3 * (n - 9 - 3 * k) + 1 - c", _STATE),
     "w4_subset_rank": "SELECT CAST(p_partkey AS BIGINT) AS node_id, row_number() OVER (ORDER BY p_partkey) - 1 AS item FROM part WHERE p_size > 25",
     "j11_global_dofs": f"SELECT CAST(p_partkey AS BIGINT) AS node_id, CASE WHEN p_size > 25 THEN 2 * {_N} + 2 + 3 * (CAST(sum(CASE WHEN p_size > 25 THEN 1 ELSE 0 END) OVER (ORDER BY p_partkey) AS BIGINT) - 1) END AS dof FROM part",
     "u1_constrained_dofs": _q("SELECT dof FROM cons WHERE fixed OR slave"),

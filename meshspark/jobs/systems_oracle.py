@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .more_oracle import _CORNERS
 from .oracle import _GRID, _POINTS, _q
 
 _SIDE = """side AS (SELECT elem_id, unnest([n0, n1, n2]) AS node_id, unnest([y1 - y2, y2 - y0, y0 - y1]) AS gx, unnest([x2 - x1, x0 - x2, x1 - x0]) AS gy, det, ux, uy, sx, sy FROM tg),
@@ -69,7 +70,7 @@ h4 AS (SELECT point_id, elem_id FROM c4 JOIN e4 USING (elem_id) GROUP BY point_i
   OR sum(CASE WHEN ((ay <= py AND b_y > py) OR (b_y <= py AND ay > py)) THEN CASE WHEN px < ax + (py - ay) / (b_y - ay) * (bx - ax) THEN 1 ELSE 0 END ELSE 0 END) % 2 = 1),
 l4 AS (SELECT point_id, px, py, coalesce(elem_id, -1) AS elem_id FROM pt LEFT JOIN (SELECT point_id, min(elem_id) AS elem_id FROM h4 GROUP BY 1) USING (point_id)),
 """
-_EIGHT = """d8 AS (SELECT r AS elem_id, low, low + 2 * m + 2 AS high FROM (SELECT r, n, n + 1 AS m, (r // (n // 2)) * 2 * (n + 1) + r % (n // 2) * 2 AS low FROM g, range(0, (n // 2) * (n // 2)) t(r))),
+_EIGHT = _CORNERS + """d8 AS (SELECT c AS elem_id, low, low + 2 * m + 2 AS high FROM dc),
 b8 AS (SELECT elem_id, a.x AS x0, a.y AS y0, b.x AS x1, b.y AS y1 FROM d8 JOIN nodes a ON a.node_id = low JOIN nodes b ON b.node_id = high),
 """
 _PT = _POINTS[: _POINTS.index("edge AS")]
