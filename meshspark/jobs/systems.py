@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, fields, locate, matrices, parts
+from ..operators import blocks, bordered, fields, locate, matrices, parts, states, terms
 from ..operators import constraints as C
 from ..operators.cut import written
 from ..sources import grids
 from ..sources.grids import Mesh
-from .more import QUAD8, _double_cells, _parts_count, _two
+from .more import QUAD8, _dofs, _double_cells, _parts_count, _periodic, _two
 from .work import _field, _grid, _orders, _points, _r, _table, w1_local_nodes
 
 MU, LAM = fields.lame(1.0, 0.3)
@@ -199,6 +199,51 @@ def j2_newton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("point_id", "elem_id", (_r(F.get("v", F.lit(0)), 7) + 0.0).alias("a"), (_r(F.get("v", F.lit(1)), 7) + 0.0).alias("b"))
 
 
+# Heavy terms, borders and blocks.
+
+
+def p3_heavy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that meet in an order or in a brand; brands, each with a share of all parts, are never squared: for each part how many it meets, and their prices together."""
+    items = _table(spark, sf_dir, "lineitem").select(F.concat(F.lit("order "), F.col("l_orderkey")).alias("term_id"), F.col("l_partkey").cast("long").alias("dof"))
+    brands = _table(spark, sf_dir, "part").select(F.concat(F.lit("brand "), F.col("p_brand")).alias("term_id"), F.col("p_partkey").cast("long").alias("dof"))
+    pattern = terms.pattern_of_terms(items.unionByName(brands), heavy=7)
+    sums = pattern.sums(_field(spark, sf_dir).withColumnRenamed("node_id", "dof"))
+    return sums.select(F.col("row").alias("dof"), "n", _v("v", 2))
+
+
+def _saddle(spark: SparkSession, sf_dir: str) -> tuple[states.Layout, DataFrame]:
+    """The elastic body with two shared multipliers that hold its mean displacement: entries of every node in two rows and two columns."""
+    mesh = _grid(spark, sf_dir)
+    lay = states.layout([states.Field("u", (states.AUTO, 2)), states.Field("m", (2,), "shared")], _parts_count(spark, sf_dir))
+    both, base = blocks.interleaved(2), lay.places["m"].base
+    area = fields.linear_form(mesh, F.lit(1.0))
+    edge = area.select(F.explode(F.array(F.lit(0), F.lit(1))).alias("c"), "node_id", "v").select((F.col("node_id") * 2 + F.col("c")).alias("row"), (F.col("c") + F.lit(base).cast("long")).alias("col"), "v")
+    turned = edge.select(F.col("col").alias("row"), F.col("row").alias("col"), "v")
+    return lay, written(blocks.entries(_elastic(mesh), both, both).unionByName(edge).unionByName(turned), "saddle")
+
+
+def p2_bordered_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The bordered matrix times price and size, and multipliers of 3 and 4."""
+    lay, coo = _saddle(spark, sf_dir)
+    base = lay.places["m"].base
+    few = spark.range(2).select((F.col("id") + base).alias("dof"), (F.col("id") + 3.0).alias("v"))
+    x = _ruled(spark, sf_dir)[1].unionByName(few)
+    return bordered.bordered(coo, few).matvec(x).select("row", _v("v", 4))
+
+
+def p2_block_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lay, coo = _saddle(spark, sf_dir)
+    return bordered.block_counts(coo, lay)
+
+
+def p2_subset_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows' lengths in the pattern of a field on all nodes, one on the nodes of large parts, and shared unknowns."""
+    some = _table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").cast("long").alias("node_id"))
+    lay = states.layout([states.Field("u", (states.AUTO, 2)), states.Field("l", (states.AUTO,), nodes=some), states.Field("s", (3,), "shared")], _parts_count(spark, sf_dir))
+    p = bordered.layout_entries(_grid(spark, sf_dir).elements, lay, {"l": states.subset_items(some)})
+    return p.groupBy("row").agg(F.count("*").alias("n"), F.sum("col").alias("cols"))
+
+
 # Local meshes.
 
 
@@ -220,10 +265,27 @@ def a8_owned_nnz(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.owned_nnz(_owned_counts(spark, sf_dir)).select(F.coalesce("part", F.lit(-1)).alias("part"), "nnz")
 
 
+def c5_all_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ownership of a state with two fields on all nodes, one on the nodes of large parts, one of each part's orders and one that is shared."""
+    elements, partition = _orders(spark, sf_dir)
+    some = _table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").cast("long").alias("node_id"))
+    kinds = [states.Field("u", (states.AUTO, 2)), states.Field("l", (states.AUTO, 2), nodes=some), states.Field("own", (1,), "local"), states.Field("s", (_table(spark, sf_dir, "nation").count(),), "shared"), states.Field("phi", (states.AUTO,))]
+    own = partition.groupBy("part").agg(F.count("*").alias("n"))
+    return parts.ownership(states.layout(kinds, _parts_count(spark, sf_dir)), written(parts.local_nodes(elements, partition), "local"), {"own": own})
+
+
+def w6_extra_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each part's unknowns with the masters that it lacks, without the tied ones, numbered anew."""
+    dofs, tied = written(_dofs(spark, sf_dir, 1), "layout"), _periodic(spark, sf_dir)
+    held = dofs.filter("is_owned").select(F.col("natural_dof").alias("master"))
+    tied = tied.join(held, "master", "left_semi").select("dof", "master")
+    return parts.reduced_layout(written(parts.with_extra_ghosts(dofs, tied), "ghosts"), tied)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p12_elasticity, p12_mixed, p10_elasticity, p12_quad8_mass, p5_index_order, p5_degree_order, l2_lift_orders, l5_adjoint_orders, l10_pattern_orders, l14_matrix_orders, l9_values_each,
-        p16_vector, p16_constrained, p17_partial_loads, j1_quad8, j2_newton, w1_local_elements, w3_part_pointer, a8_owned_nnz,
+        p3_heavy_terms, p2_bordered_product, p2_block_counts, p2_subset_pattern, p16_vector, p16_constrained, p17_partial_loads, j1_quad8, j2_newton, w1_local_elements, w3_part_pointer, a8_owned_nnz, c5_all_kinds, w6_extra_ghosts,
     )
 }

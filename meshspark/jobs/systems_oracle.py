@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .more_oracle import _CORNERS
+from .more_oracle import _CORNERS, _PARTS
 from .oracle import _GRID, _POINTS, _q
 
 _SIDE = """side AS (SELECT elem_id, unnest([n0, n1, n2]) AS node_id, unnest([y1 - y2, y2 - y0, y0 - y1]) AS gx, unnest([x2 - x1, x0 - x2, x1 - x0]) AS gy, det, ux, uy, sx, sy FROM tg),
@@ -79,6 +79,24 @@ rc AS (SELECT a.node_id, count(DISTINCT b.node_id) AS n FROM line a JOIN line b
 oc AS (SELECT part, local_id, n FROM layout JOIN rc USING (node_id) WHERE is_owned),
 """
 
+_COUNT = "(SELECT count(*) FROM part)"
+_AREA = """area AS (SELECT node_id, sum(det) / 6 AS a FROM side GROUP BY 1),
+"""
+_SUBSET = f"""sub AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS item FROM nodes WHERE s > 25),
+ed AS (SELECT elem_id, 2 * node_id + c AS dof FROM (SELECT elem_id, unnest([n0, n1, n2]) AS node_id FROM tri), range(2) t(c)
+  UNION ALL SELECT elem_id, 2 * {_COUNT} + item FROM (SELECT elem_id, unnest([n0, n1, n2]) AS node_id FROM tri) JOIN sub USING (node_id)),
+"""
+
+_KINDS = f"""sub AS (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS item FROM nodes WHERE s > 25),
+op AS (SELECT part, n, CAST(coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start FROM (SELECT part, count(DISTINCT elem_id) AS n FROM line GROUP BY part)),
+ns AS (SELECT count(*) AS nsub, (SELECT sum(n) FROM op) AS nown, {_COUNT} AS nn FROM sub),
+un AS (SELECT part, CASE WHEN c < 2 THEN 'u' ELSE 'phi' END AS name, local_id AS item, c % 2 AS comp, 0 AS blk, local_id * 3 + c AS within, node_id * 3 + c AS dof, is_owned FROM layout, range(3) t(c)
+  UNION ALL SELECT part, 'l', p, c, 1, p * 2 + c, 3 * nn + item * 2 + c, is_owned FROM (SELECT part, item, is_owned, row_number() OVER (PARTITION BY part ORDER BY local_id) - 1 AS p FROM layout JOIN sub USING (node_id)), ns, range(2) t(c)
+  UNION ALL SELECT part, 'own', i, 0, 2, i, 3 * nn + 2 * nsub + start + i, true FROM (SELECT part, start, unnest(range(n)) AS i FROM op), ns
+  UNION ALL SELECT part, 's', r, 0, 3, r, CAST(3 * nn + 2 * nsub + nown + r AS BIGINT), part = 0 FROM (SELECT DISTINCT part FROM layout), range(0, (SELECT count(*) FROM nation)) t(r), ns),
+ld AS (SELECT part, name, item, CAST(comp AS INTEGER) AS comp, row_number() OVER (PARTITION BY part ORDER BY blk, within) - 1 AS local_dof, CAST(dof AS BIGINT) AS dof, is_owned FROM un),
+"""
+
 SQL = {
     "p12_elasticity": _q('SELECT "row", col, round(v, 8) + 0.0 AS v FROM elastic', _GRID + _SIDE + _ELASTIC),
     "p12_mixed": _q("""SELECT 3 * a + i AS "row", CASE WHEN j < 2 THEN 2 * b + j ELSE 2 * (SELECT count(*) FROM part) + b END AS col, round(sum(CASE WHEN i < 2 AND i = j THEN (ax * bx + ay * b_y) / det / 2
@@ -95,6 +113,13 @@ JOIN to_free a ON a.dof = e."row" JOIN to_free b ON b.dof = e.col AND b.ord = a.
     "l14_matrix_orders": _q("""SELECT a.ord, a.reduced AS "row", b.reduced AS col, round(sum(a.w * b.w * e.v), 7) + 0.0 AS v FROM elastic e JOIN to_free a ON a.dof = e."row" JOIN to_free b ON b.dof = e.col AND b.ord = a.ord GROUP BY 1, 2, 3""",
         _ORDERED + _SIDE + _ELASTIC),
     "l9_values_each": _q("SELECT node_id AS dof, round(CASE WHEN node_id % (n + 1) = 0 THEN CASE WHEN s % 2 = 0 THEN u ELSE 3.0 END WHEN node_id >= n * (n + 1) AND node_id < (n + 1) * (n + 1) THEN 7.0 ELSE 1.0 END, 6) + 0.0 AS v FROM nodes"),
+    "p3_heavy_terms": """WITH term AS (SELECT DISTINCT 'o' || l_orderkey AS t, CAST(l_partkey AS BIGINT) AS dof FROM lineitem UNION SELECT 'b' || p_brand, CAST(p_partkey AS BIGINT) FROM part),
+pr AS (SELECT DISTINCT a.dof, b.dof AS other FROM term a JOIN term b USING (t)) SELECT dof, count(*) AS n, round(sum(CAST(p_retailprice AS DOUBLE)), 2) + 0.0 AS v FROM pr JOIN part ON p_partkey = other GROUP BY 1""",
+    "p2_bordered_product": _q(f"""SELECT "row", round(sum(v), 4) + 0.0 AS v FROM (SELECT "row", e.v * al.v AS v FROM elastic e JOIN al ON al.dof = col UNION ALL SELECT 2 * node_id + c, a * (3 + c) FROM area, range(2) t(c)
+UNION ALL SELECT 2 * {_COUNT} + c, a * al.v FROM area JOIN al USING (node_id)) GROUP BY 1""", _GRID + _RULES + _SIDE + _ELASTIC + _AREA),
+    "p2_block_counts": _q("""SELECT CAST(0 AS INTEGER) AS block_row, CAST(0 AS INTEGER) AS block_col, count(*) AS n FROM elastic UNION ALL SELECT 0, 1, 2 * count(*) FROM area UNION ALL SELECT 1, 0, 2 * count(*) FROM area""", _GRID + _SIDE + _ELASTIC + _AREA),
+    "p2_subset_pattern": _q(f"""SELECT "row", count(*) AS n, CAST(sum(col) AS BIGINT) AS cols FROM (SELECT DISTINCT a.dof AS "row", b.dof AS col FROM ed a JOIN ed b USING (elem_id) UNION ALL SELECT r, r FROM range(2 * {_COUNT} + (SELECT count(*) FROM sub), 2 * {_COUNT} + (SELECT count(*) FROM sub) + 3) t(r)) GROUP BY 1""",
+        _GRID + _SUBSET),
     "p16_vector": _q("SELECT node_id AS dof, CAST(c AS INTEGER) AS c, round(CASE c WHEN 0 THEN x + 2 * y WHEN 1 THEN 3 - y ELSE 1 + 0.5::DOUBLE * x END, 5) + 0.0 AS v FROM nodes, range(3) t(c) WHERE node_id IN (SELECT unnest([n0, n1, n2]) FROM tri)"),
     "p16_constrained": _q("SELECT node_id AS dof, CAST(c AS INTEGER) AS c, round(CASE c WHEN 0 THEN 3 * y ELSE -y END, 5) + 0.0 AS v FROM nodes, range(2) t(c) WHERE node_id IN (SELECT unnest([n0, n1, n2]) FROM tri)"),
     "p17_partial_loads": _q("SELECT node_id AS dof, CASE WHEN s > 45 THEN s ELSE 0.0 END AS v FROM nodes WHERE node_id IN (SELECT node_id FROM ends)"),
@@ -103,4 +128,11 @@ JOIN to_free a ON a.dof = e."row" JOIN to_free b ON b.dof = e.col AND b.ord = a.
     "w1_local_elements": _q("SELECT part, elem_id, a, local_id FROM ln JOIN (SELECT DISTINCT elem_id, part FROM line) USING (elem_id) JOIN layout USING (part, node_id)", _GRID + _COUNTS),
     "w3_part_pointer": _q("SELECT part, local_id, CAST(coalesce(sum(n) OVER (PARTITION BY part ORDER BY local_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS ptr FROM oc", _GRID + _COUNTS),
     "a8_owned_nnz": _q("SELECT coalesce(part, -1) AS part, CAST(sum(n) AS BIGINT) AS nnz FROM oc GROUP BY ROLLUP (part)", _GRID + _COUNTS),
+    "c5_all_kinds": _q("""SELECT part, name, item, comp, local_dof, dof, is_owned, global_dof FROM ld LEFT JOIN (SELECT dof, row_number() OVER (ORDER BY part, local_dof) - 1 AS global_dof FROM ld WHERE is_owned) USING (dof)""", _GRID + _KINDS),
+    "w6_extra_ghosts": _q("""SELECT f.part, f.natural_dof, reduced_dof, f.is_owned FROM fr6 f JOIN (SELECT natural_dof, row_number() OVER (ORDER BY part, local_dof) - 1 AS reduced_dof FROM fr6 WHERE is_owned) o USING (natural_dof)""",
+        _PARTS + """tied AS (SELECT per.dof, per.master FROM per JOIN own ON own.node_id = per.master WHERE per.dof <> per.master),
+all6 AS (SELECT part, local_id AS local_dof, node_id AS natural_dof, is_owned FROM lay
+  UNION ALL SELECT part, NULL, master, false FROM (SELECT DISTINCT part, master FROM lay JOIN tied ON tied.dof = node_id WHERE NOT EXISTS (SELECT 1 FROM lay o WHERE o.part = lay.part AND o.node_id = master))),
+fr6 AS (SELECT * FROM all6 WHERE natural_dof NOT IN (SELECT dof FROM tied)),
+"""),
 }

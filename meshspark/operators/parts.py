@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .cut import written
 from .matrices import positions
+from .states import Layout, subset_items
 
 
 def chunks(elem_id: Column, n: int, parts: int) -> Column:
@@ -150,3 +152,66 @@ def owned_row_counts(pattern: DataFrame, layout: DataFrame) -> DataFrame:
 def owned_nnz(counts: DataFrame) -> DataFrame:
     """part, nnz of owned_row_counts(), and of all parts with part null."""
     return counts.rollup("part").agg(F.sum("n").alias("nnz"))
+
+
+def with_extra_ghosts(dofs: DataFrame, periodic: DataFrame) -> DataFrame:
+    """dofs with the masters that a part needs for its slaves and lacks, as further ghosts after its own, by rising number; a master that no part owns is an error."""
+    need = missing_masters(dofs, periodic)
+    owner = dofs.filter("is_owned").select("natural_dof", "global_dof")
+    if (bad := need.join(owner, "natural_dof", "left_anti").first()) is not None:
+        raise ValueError(f"the master {bad['natural_dof']} is on no part")
+    sizes = dofs.groupBy("part").agg((F.max("local_dof") + 1).alias("_n"))  # a row for a part
+    extra = positions(need, "natural_dof", "_rank", by=("part",)).join(F.broadcast(sizes), "part").join(owner, "natural_dof")
+    extra = extra.select("part", (F.col("_n") + F.col("_rank")).cast("long").alias("local_dof"), "natural_dof", "global_dof", F.lit(False).alias("is_owned"))
+    return dofs.select(extra.columns).unionByName(extra)
+
+
+def ownership(lay: Layout, local: DataFrame, own: dict[str, DataFrame] | None = None) -> DataFrame:
+    """part, name, item, comp, local_dof, dof, is_owned, global_dof: every part's unknowns of a packed state, of all kinds of fields.
+
+    local as of local_nodes(). A part's state has the state's root slices in their order: nodal fields on all nodes by local
+    number, fields on some nodes by the local number of those that the part has, fields of a part alone as
+    long as own[name](part, n) says, shared fields whole. Natural numbers: nodes, positions in the subset, the
+    part's share after those before it, the shared item. A nodal unknown is its node's owner's, a part's own are its own, shared
+    ones are the first part's. Owned unknowns are numbered part after part by local number, ghosts have their owner's number.
+    """
+    spark, natural = local.sparkSession, 0
+    touching = local.select("part").distinct()
+    found, roots = None, {}
+    for p in lay.places.values():
+        roots.setdefault(p.block, []).append(p)
+    for block, places in sorted(roots.items()):
+        base, size = min(p.base for p in places), 0
+        for p in places:
+            f, comps = p.field, p.field.components
+            at = p.base - base
+            if f.kind == "nodal" and f.nodes is None:
+                rows, size = local.select("part", F.col("local_id").alias("item"), F.col("node_id").alias("_g"), "is_owned"), f.shape[0] * p.stride
+            elif f.kind == "nodal":
+                items = subset_items(f.nodes)
+                mine = positions(local.join(items.withColumnRenamed("item", "_g"), "node_id"), "local_id", "_rank", by=("part",))
+                rows, size = mine.select("part", F.col("_rank").alias("item"), "_g", "is_owned"), items.count() * comps
+            elif f.kind == "local":
+                counts = (own or {})[f.name].select("part", "n")
+                before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+                starts = counts.withColumn("_s", before)  # a row for a part
+                total, most = starts.agg(F.sum("n"), F.max("n")).first()
+                each = spark.range(most or 0).withColumnRenamed("id", "item").join(F.broadcast(starts), F.col("item") < F.col("n"))
+                rows, size = each.select("part", "item", (F.col("_s") + F.col("item")).alias("_g"), F.lit(True).alias("is_owned")), (total or 0) * comps
+            else:
+                each = spark.range(f.shape[0]).withColumnRenamed("id", "item").crossJoin(F.broadcast(touching))  # a row for a part
+                rows, size = each.select("part", "item", F.col("item").alias("_g"), (F.col("part") == F.lit(0)).alias("is_owned")), f.shape[0] * comps
+            one = rows.withColumn("comp", F.explode(F.sequence(F.lit(0), F.lit(comps - 1))))
+            place = lambda c: (F.col(c) * p.stride + F.lit(at) + F.col("comp")).cast("long")  # noqa: E731, B023
+            one = one.select("part", F.lit(f.name).alias("name"), F.col("item").cast("long").alias("item"), "comp", F.lit(block).alias("_block"), place("item").alias("_within"), (F.lit(natural).cast("long") + place("_g")).alias("dof"), "is_owned")
+            found = one if found is None else found.unionByName(one)
+        natural += size
+    found = written(found, "unknowns")
+    slices = found.groupBy("part", "_block").agg(F.count("*").alias("_n"))  # a row for a part and slice
+    starts = slices.select("part", "_block", F.coalesce(F.sum("_n").over(W.partitionBy("part").orderBy("_block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_off"))
+    placed = found.join(F.broadcast(starts), ["part", "_block"]).withColumn("local_dof", (F.col("_off") + F.col("_within")).cast("long"))
+    owned = positions(placed.filter("is_owned").select("part", "local_dof", "dof"), "local_dof", "_rank", by=("part",))
+    sizes = owned.groupBy("part").agg(F.count("*").alias("_n"))
+    before = sizes.select("part", F.coalesce(F.sum("_n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_s"))  # a row for a part
+    numbers = owned.join(F.broadcast(before), "part").select("dof", (F.col("_s") + F.col("_rank")).cast("long").alias("global_dof"))
+    return placed.join(numbers, "dof", "left").select("part", "name", "item", "comp", "local_dof", "dof", "is_owned", "global_dof")
