@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshspark.functions.basis import ELEMENTS
-from meshspark.operators import blocks, fields, locate, matrices, parts
+from meshspark.operators import blocks, bordered, fields, locate, matrices, parts, states, terms
 from meshspark.operators import constraints as C
 from meshspark.operators.cut import written
 from meshspark.sources.grids import Mesh, box, line_mesh, pair_boundaries, rectangle, select_nodes
@@ -336,3 +336,83 @@ def test_local_elements_and_pointers(spark):
         seen.setdefault(part, [0]).append(seen.get(part, [0])[-1] + n)
     assert all(seen[r.part][r.local_id] == r.ptr for r in matrices.part_pointer(counts).collect())
     assert {r.part: r.nnz for r in parts.owned_nnz(counts).collect()}[None] == sum(sizes.values())
+
+
+# Heavy terms, borders, ownership.
+
+
+def test_cliques_count_contain_and_multiply_as_their_pairs(spark):
+    rng = random.Random(5)
+    sets = {t: rng.sample(range(60), k) for t, k in enumerate([2, 3, 1, 25, 30, 4, 28, 2])}
+    dep = spark.createDataFrame([(t, d) for t, ds in sets.items() for d in ds] * 2, "term_id long, dof long")
+    pairs = {(a, b) for ds in sets.values() for a in ds for b in ds}
+    x = spark.createDataFrame([(i, i * 0.5) for i in range(60)], "dof long, v double")
+    for heavy in (0, 5, 100):
+        p = terms.pattern_of_terms(dep, heavy)
+        got = {r.row: (r.n, r.v) for r in p.sums(x).collect()}
+        rows = {a: [b for c, b in pairs if c == a] for a, _ in pairs}
+        assert got == {a: (len(bs), pytest.approx(sum(b * 0.5 for b in bs))) for a, bs in rows.items()}
+        every = spark.createDataFrame([(a, b) for a in range(60) for b in range(60)], "row long, col long")
+        assert {(r.row, r.col) for r in p.missing(every).collect()} == {(a, b) for a in range(60) for b in range(60)} - pairs
+    assert {(r.row, r.col) for r in terms.pattern_of_terms(dep, 5).expanded().collect()} == pairs
+    none = terms.pattern_of_terms(dep.limit(0), n=3)
+    assert {(r.row, r.n) for r in none.sums(x).collect()} == {(0, 1), (1, 1), (2, 1)}
+
+
+def test_a_term_of_very_many_unknowns_is_not_squared(spark):
+    n = 10**6
+    dep = spark.range(n).select(F.lit(0).cast("long").alias("term_id"), F.col("id").alias("dof"))
+    got = terms.pattern_of_terms(dep).sums(dep.select("dof", F.lit(1.0).alias("v"))).agg(F.count("*"), F.min("n"), F.max("v")).first()
+    assert tuple(got) == (n, n, float(n))
+
+
+def test_bordered_products_and_reductions(spark):
+    rng = np.random.default_rng(7)
+    n, few = 9, [3, 8]
+    k = np.where(rng.random((n, n)) < 0.5, rng.standard_normal((n, n)), 0)
+    coo = spark.createDataFrame([(i, j, float(k[i, j])) for i in range(n) for j in range(n) if k[i, j]], "row long, col long, v double")
+    shared = spark.createDataFrame([(i,) for i in few], "dof long")
+    b = bordered.bordered(coo, shared)
+    x = rng.standard_normal(n)
+    y = _vector(b.matvec(spark.createDataFrame(list(enumerate(map(float, x))), "dof long, v double")), n, "row")
+    assert np.allclose(np.nan_to_num(y), k @ x) and b.core.filter("row in (3, 8) or col in (3, 8)").count() == 0
+    dofs = spark.range(n).withColumnRenamed("id", "dof")
+    cs = C.composed([C.Periodic(spark.createDataFrame([(0, 5)], "dof long, master long")), C.Fixed(spark.createDataFrame([(1, 0.0)], "dof long, value double"))]).kept()
+    free = C.free_dofs(dofs, cs)
+    assert np.allclose(_dense(b.reduced(free, cs).coo(), n - 2), _dense(C.reduce_matrix(coo, free, cs), n - 2))
+    with pytest.raises(ValueError):
+        b.reduced(C.free_dofs(dofs, [C.Fixed(spark.createDataFrame([(3, 0.0)], "dof long, value double"))]), [C.Fixed(spark.createDataFrame([(3, 0.0)], "dof long, value double"))])
+    with pytest.raises(ValueError):
+        bordered.bordered(coo, shared, most=1)
+    lay = states.layout([states.Field("u", (3, 2)), states.Field("s", (3,), "shared")], 3)
+    counts = {(r.block_row, r.block_col): r.n for r in bordered.block_counts(coo, lay).collect()}
+    assert counts == {(a, c): int((k[s, t] != 0).sum()) for a, s in ((0, slice(6)), (1, slice(6, 9))) for c, t in ((0, slice(6)), (1, slice(6, 9)))}
+    assert np.allclose(_dense(bordered.block_entries(coo, lay, 1, 0), 3, 6), k[6:, :6])
+
+
+def test_ownership_of_all_kinds(spark):
+    mesh = rectangle(spark, (0, 1), (0, 1), 2, 2, "quad4")
+    partition = mesh.elements.select("elem_id", F.expr("cast(elem_id div 2 as int)").alias("part"))
+    some = spark.createDataFrame([(8,), (1,), (4,)], "node_id long")
+    kinds = [states.Field("l", (states.AUTO,), nodes=some), states.Field("u", (states.AUTO, 2)), states.Field("own", (1, 2), "local"), states.Field("s", (2,), "shared")]
+    own = spark.createDataFrame([(0, 3), (1, 1)], "part int, n long")
+    rows = parts.ownership(states.layout(kinds, 9), parts.local_nodes(mesh.elements, partition), {"own": own}).collect()
+    for part, n in ((0, 2 + 12 + 6 + 2), (1, 2 + 12 + 2 + 2)):
+        assert sorted(r.local_dof for r in rows if r.part == part) == [*range(n)]
+    owned = [r for r in rows if r.is_owned]
+    assert sorted(r.global_dof for r in owned) == [*range(3 + 18 + 8 + 2)] == sorted(r.dof for r in owned)
+    assert [r.global_dof for r in sorted(owned, key=lambda r: (r.part, r.local_dof))] == [*range(31)]
+    number = {r.dof: r.global_dof for r in owned}
+    assert all(r.global_dof == number[r.dof] for r in rows)
+    assert {(r.part, r.dof) for r in rows if r.name == "s"} == {(p, 29 + i) for p in (0, 1) for i in (0, 1)} and {r.part for r in owned if r.name == "s"} == {0}
+    assert {r.dof for r in rows if r.name == "own" and r.part == 1} == {27, 28}
+
+
+def test_masters_on_no_part_are_an_error(spark):
+    mesh = rectangle(spark, (0, 1), (0, 1), 2, 2, "quad4")
+    partition = mesh.elements.select("elem_id", F.expr("cast(elem_id div 2 as int)").alias("part"))
+    dofs = parts.dof_layout(parts.local_nodes(mesh.elements, partition))
+    more = parts.with_extra_ghosts(dofs, spark.createDataFrame([(0, 8), (1, 8)], "dof long, master long"))
+    assert [(r.part, r.local_dof) for r in more.filter("natural_dof = 8").orderBy("part").collect()] == [(0, 6), (1, 2)]
+    with pytest.raises(ValueError):
+        parts.with_extra_ghosts(dofs, spark.createDataFrame([(0, 99)], "dof long, master long"))
