@@ -333,7 +333,7 @@ def held_out(doc_id) -> F.Column:
 
 
 def fit_machine(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, doc_id: str = "doc_id", text: str = "text") -> Machine | None:
-    """Learn from at most `sample` labelled documents of either label, the first by hash, none held out."""
+    """Learn from at most `sample` labelled documents of either label, the first by hash, none held out; of rows with equal ids, from the one whose text has the smallest hash."""
     known = only(labels, id=doc_id, toxic="toxic").dropna().filter(~held_out(F.col("id"))).groupBy("id").agg(F.max("toxic").alias("toxic"))
     some = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(sample) for v in (0, 1)]
     some = some[0].unionByName(some[1])
@@ -342,7 +342,8 @@ def fit_machine(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, doc
         return pa.RecordBatch.from_arrays([pa.array(["\n".join(sorted(words_of(t))) for t in utf8(batch.column(0))], pa.string()), batch.column(1)], ["words", "toxic"])
 
     # At most 2 * sample rows.
-    found = only(docs, id=doc_id, text=text).join(F.broadcast(some), "id").select("text", F.col("toxic").cast("int"))
+    found = only(docs, id=doc_id, text=text).join(F.broadcast(some), "id")
+    found = found.groupBy("id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").cast("int").alias("toxic")).select("text", "toxic")
     got = map_arrow(found, run, "words string, toxic int").toArrow()
     rows = sorted(zip(got.column("words").to_pylist(), got.column("toxic").to_pylist(), strict=True))
     del got
@@ -366,19 +367,19 @@ def _scorer(machine: Machine) -> Recent:
     return _scorers[key]
 
 
-def score(docs: DataFrame, machine: Machine | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with a column score, 0 to 1, of every whole text.
+def score(docs: DataFrame, machine: Machine | None, *, doc_id: str = "doc_id", text: str = "text", name: str = "score") -> DataFrame:
+    """docs with a column score (or another name), 0 to 1, of every whole text.
 
     A text's score rests on its WORST largest margins of words, words spelt in single characters
     included; null, empty and wordless texts have the machine's bias alone. Without a machine (no
     labels of both kinds) every score is 0. Only the text is read, whole; rows are independent, so
-    repeated ones score alike and an empty table stays empty. A column score must not be there. The
+    repeated ones score alike and an empty table stays empty. A column of that name must not be there. The
     machine's arrays are broadcast; their size is fixed.
     """
-    if "score" in docs.columns:
-        raise ValueError("docs has a column score already")
+    if name.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"docs has a column {name} already")
     if machine is None:
-        return docs.withColumn("score", F.lit(0.0))
+        return docs.withColumn(name, F.lit(0.0))
     held = docs.sparkSession.sparkContext.broadcast(machine)
     at = docs.columns.index(text)
 
@@ -390,16 +391,16 @@ def score(docs: DataFrame, machine: Machine | None, *, doc_id: str = "doc_id", t
         split = [{*t.lower().split(), *(re.sub(r"\W", "", x[0]).encode() for x in _SPELT.finditer(t.decode()))} for t in texts]
         cache.load(set().union(*split), cache.many)
         worst = np.array([m.worst(map(cache.__getitem__, words)) for words in split], np.float64).reshape(-1, WORST)
-        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scored(worst))], [*batch.schema.names, "score"])
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(m.scored(worst))], [*batch.schema.names, name])
 
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    schema = docs.withColumn(name, F.lit(0.0)).schema
     return map_arrow(docs, run, schema, 1024)
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, *, cutoff: float = CUTOFF, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that score under the cutoff; all columns stay."""
     machine = fit_machine(docs, labels, doc_id=doc_id, text=text)
-    names = docs.columns
-    given = docs.withColumnsRenamed({"score": "_score"}) if "score" in names else docs
-    kept = score(given, machine, doc_id=doc_id, text=text).filter(F.col("score") < cutoff).drop("score")
-    return kept.withColumnsRenamed({"_score": "score"}) if "score" in names else kept
+    name = "score"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name = f"_{name}"
+    return score(docs, machine, doc_id=doc_id, text=text, name=name).filter(F.col(name) < cutoff).drop(name)

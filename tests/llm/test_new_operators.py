@@ -14,7 +14,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from meshspark.llm import importance, queries, trie, warc
+from meshspark.llm import importance, queries, toxicity, trie, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -244,3 +244,29 @@ def test_segments_from_many_files_and_damaged_records(spark, tmp_path):
         with pytest.raises(ValueError):
             warc.unchunked(body)
     assert warc.unchunked(b"3;x=y\r\nabc\r\n0\r\nT: v\r\n\r\n") == b"abc"
+
+
+# What earlier operators were found to get wrong
+
+
+def test_clean_documents_keeps_columns_of_its_own_names(spark):
+    rng = random.Random(3)
+    words = ["river", "stone", "table", "green", "letter", "window"]
+    rows = [(i, " ".join(rng.choices(words, k=8)) + (" zurbokli" if i % 3 == 0 else ""), float(i), -float(i)) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, _score double")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(120)], "doc_id long, toxic int")
+    got = toxicity.clean_documents(docs, labels)
+    assert got.columns == docs.columns
+    kept = got.collect()
+    assert {r.doc_id for r in kept} >= {i for i in range(120) if i % 3} and all((r.score, r._score) == (r.doc_id, -r.doc_id) for r in kept)
+    bare = toxicity.clean_documents(docs, labels.limit(0)).collect()
+    assert len(bare) == 120 and all((r.score, r._score) == (r.doc_id, -r.doc_id) for r in bare)
+
+
+def test_documents_of_one_id_are_learned_from_once(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(toxicity, "learned", lambda each, toxic: seen.append(len(each)))
+    docs = spark.createDataFrame([(0, f"word{k}") for k in range(50)] + [(1, "a"), (3, "b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (3, 0)], "doc_id long, toxic int")
+    toxicity.fit_machine(docs, labels)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in (0, 1, 3))]
