@@ -418,7 +418,7 @@ def w4_subset_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def j11_global_dofs(spark: SparkSession, sf_dir: str) -> DataFrame:
     lay = states.layout([states.Field("u", (states.AUTO, 2)), states.Field("l", (states.AUTO, 3), nodes=_subset(spark, sf_dir))], _parts_count(spark, sf_dir))
     wanted = _table(spark, sf_dir, "part").select(_long("p_partkey").alias("node_id"))
-    return states.global_dofs(lay, "l", wanted, comp=2)
+    return states.global_dofs(lay, "l", wanted, comp=2, on_missing="null")
 
 
 # Constraints.

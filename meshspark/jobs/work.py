@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import blocks, fields, locate, matrices, parts
 from ..operators import constraints as C
-from ..operators import fields, locate, matrices, parts
+from ..operators.cut import written
 from ..sources.grids import Mesh, cells_per_side, table_grid, validate
 
 PARTS = 8
@@ -213,9 +215,13 @@ def l5_reduce_adjoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l14_reduce_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reduced tangent of mass and stiffness: elements are summed by pairs of nodes before they meet the constraints."""
     dofs, _, cs = _constrained(spark, sf_dir)
-    k = fields.bilinear_entries(_grid(spark, sf_dir), stiffness=F.lit(1.0), mass=F.lit(1.0))
-    return C.reduce_matrix(k, C.free_dofs(dofs, cs), cs).select("row", "col", (_r("v", 9) + 0.0).alias("v"))
+    resolved = C.composed(cs).kept()
+    form = lambda p: blocks.Form(mass=np.ones((1, 1)), diffusion=np.eye(2)[None, :, None, :])
+    k = blocks.entries(blocks.block_matrix(_grid(spark, sf_dir), form, 1, 1), [(0, 1)], [(0, 1)])
+    free = written(C.free_dofs(dofs, resolved), "free")
+    return C.reduce_matrix(k, free, resolved).select("row", "col", (_r("v", 9) + 0.0).alias("v"))
 
 
 QUERIES = {

@@ -161,13 +161,20 @@ def subset_items(nodes: DataFrame) -> DataFrame:
     return positions(nodes.select("node_id").distinct(), "node_id", "item")
 
 
-def global_dofs(lay: Layout, name: str, wanted: DataFrame, comp: int = 0) -> DataFrame:
-    """node_id, dof of a nodal field at wanted(node_id); null where a field on some nodes has no such node."""
+def global_dofs(lay: Layout, name: str, wanted: DataFrame, comp: int = 0, on_missing: str = "error") -> DataFrame:
+    """node_id, dof of a nodal field at wanted(node_id); a node that the field or the mesh doesn't have is an error, or null with on_missing="null"."""
+    if on_missing not in ("error", "null"):
+        raise ValueError("on_missing is error or null")
     p = _place(lay, name)
+    if not 0 <= comp < p.field.components:
+        raise IndexError(f"{name}: component {comp}")
     if p.field.nodes is None:
-        at = wanted.select("node_id", F.col("node_id").alias("item"))
+        inside = F.col("node_id").between(0, p.field.shape[0] - 1)
+        at = wanted.select("node_id", F.when(inside, F.col("node_id")).alias("item"))
     else:
         at = wanted.select("node_id").join(subset_items(p.field.nodes), "node_id", "left")
+    if on_missing == "error" and (bad := at.filter("item IS NULL").first()) is not None:
+        raise KeyError(f"{name}: no node {bad['node_id']}")
     return at.select("node_id", (F.lit(p.base + comp).cast("long") + F.col("item") * p.stride).alias("dof"))
 
 

@@ -416,3 +416,15 @@ def test_masters_on_no_part_are_an_error(spark):
     assert [(r.part, r.local_dof) for r in more.filter("natural_dof = 8").orderBy("part").collect()] == [(0, 6), (1, 2)]
     with pytest.raises(ValueError):
         parts.with_extra_ghosts(dofs, spark.createDataFrame([(0, 99)], "dof long, master long"))
+
+
+def test_a_node_that_a_field_lacks_is_an_error(spark):
+    some = spark.createDataFrame([(2,), (7,)], "node_id long")
+    lay = states.layout([states.Field("u", (9, 2)), states.Field("l", (states.AUTO,), nodes=some)], 9)
+    wanted = spark.createDataFrame([(7,), (3,)], "node_id long")
+    assert {(r.node_id, r.dof) for r in states.global_dofs(lay, "l", wanted, on_missing="null").collect()} == {(7, 19), (3, None)}
+    for name, rows in (("l", wanted), ("u", spark.createDataFrame([(9,)], "node_id long"))):
+        with pytest.raises(KeyError):
+            states.global_dofs(lay, name, rows)
+    with pytest.raises(IndexError):
+        states.global_dofs(lay, "u", wanted, comp=2)
