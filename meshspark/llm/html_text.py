@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -16,6 +17,8 @@ from ._shared import map_arrow, only
 
 #: Bounds of the sample of labelled pages that the model is fitted on.
 SAMPLE, LONGEST = 400, 20_000
+#: Labelled pages drawn by rule that it is fitted on beside them.
+DRAWN = 600
 
 # Fixed values of HTML: raw text, void elements, elements inside a line, what a start tag closes.
 RAW = {"script", "style", "template", "iframe", "noembed", "noframes", "xmp", "textarea", "title", "svg", "select", "object", "button"}
@@ -27,12 +30,17 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 #: Tags and words of class, id and role that are features of their own.
 TAGS = ["html", "body", "article", "main", "section", "div", "p", "h1", "h2", "h3", "h4", "h5", "h6", "ul", "ol", "li", "dl", "dt", "dd", "blockquote", "pre", "figure", "figcaption", "table", "tr", "td", "th", "nav", "header", "footer", "aside", "form", "fieldset", "address", "details", "dialog", "menu", "span", "a", "head"]
-WORDS = ["ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "comment", "comments", "consent", "cookie", "copyright", "dialog", "disqus", "footer", "form", "header", "login", "menu", "modal", "nav", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "related", "reply", "search", "share", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget", "article", "articlebody", "body", "content", "entry", "main", "post", "story", "text"]
+WORDS = ["ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "comment", "comments", "consent", "cookie", "copyright", "dialog", "discussion", "disqus", "footer", "form", "gdpr", "header", "login", "masthead", "menu", "modal", "nav", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "related", "reply", "respond", "search", "share", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "tags", "toolbar", "widget", "article", "articlebody", "body", "content", "entry", "main", "post", "story", "text"]
 _TAG, _WORD = {t: i for i, t in enumerate(TAGS)}, {w: len(TAGS) + 1 + i for i, w in enumerate(WORDS)}
+_LONG = [w for w in WORDS if len(w) >= 5 or w in ("menu", "nav")]
 _SHAPE = len(TAGS) + 1 + len(WORDS)
-FEATURES, EDGES = _SHAPE + 12, len(TAGS) + 1
+FEATURES, EDGES = _SHAPE + 18, len(TAGS) + 1
 #: Elements whose text is never the article's, whatever their surroundings say in training.
 OUTSIDE = {"nav", "aside", "form", "footer", "menu", "dialog", "address", "fieldset"}
+#: Words of class, id and role that tell the same.
+CLUTTER = ["ad", "ads", "advert", "advertisement", "banner", "breadcrumb", "comment", "comments", "consent", "cookie", "copyright", "discussion", "disqus", "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navigation", "newsletter", "notice", "popup", "promo", "promotion", "related", "reply", "respond", "search", "share", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"]
+REMARKS = ["comment", "comments", "related", "reply"]
+MARKS = ("article", "main")
 
 _MARK = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</?[A-Za-z](?:[^>\"'=]|=\s*\"[^\"]*(?:\"|\Z)|=\s*'[^']*(?:'|\Z)|[=\"'])*(?:>|\Z)|</[^>]*(?:>|\Z)", re.S)
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
@@ -135,6 +143,20 @@ def parsed(source: str) -> Page:
     return page
 
 
+def known_words(words: list[str]) -> set[str]:
+    """The WORDS among them, and the longer ones of them that another starts or ends with (commentlist, topnav)."""
+    known = {w for w in words if w in _WORD}
+    for w in set(words) - known:
+        if len(w) > 5:
+            known |= {k for k in _LONG if w.startswith(k) or w.endswith(k)}
+    return known
+
+
+def told_outside(tag: str, known: set[str]) -> bool:
+    """Words of clutter on an element; bodies and articles are known by few of them."""
+    return not known.isdisjoint(REMARKS if tag in MARKS else CLUTTER) and tag != "body"
+
+
 class Trees:
     """The trees of many pages as one forest, its nodes sorted by depth."""
 
@@ -147,14 +169,24 @@ class Trees:
         x = np.zeros((n, FEATURES), np.float32)
         kind = np.zeros(n, int)
         for p, s in zip(pages, starts, strict=False):
+            held, under = [], []  # in an article or main element; in one that tells it is outside
             for i, (tag, words) in enumerate(zip(p.tag, p.words, strict=True)):
+                held.append(tag in MARKS or (i > 0 and held[p.parent[i]]))
                 if i:
                     depth[s + i] = depth[parent[s + i]] + 1
                     children[parent[s + i]] += 1
+                    x[s + i, _SHAPE + 11] = p.tag[p.parent[i]] in ("body", "html")
                 kind[s + i] = _TAG.get(tag, len(TAGS))
-                for w in words:
-                    if w in _WORD:
-                        x[s + i, _WORD[w]] = 1
+                known = known_words(words) if words else set()
+                for w in known:
+                    x[s + i, _WORD[w]] = 1
+                x[s + i, _SHAPE + 14] = told = told_outside(tag, known)
+                x[s + i, _SHAPE + 15] = tag in OUTSIDE
+                x[s + i, _SHAPE + 16] = i > 0 and under[p.parent[i]]
+                under.append(told or tag in OUTSIDE or (i > 0 and (under[p.parent[i]] or (tag == "header" and p.tag[p.parent[i]] in ("body", "html")))))
+            if any(held):
+                x[s : s + len(held), _SHAPE + 12] = held
+                x[s : s + len(held), _SHAPE + 13] = ~np.array(held)
             linked[s : s + len(p.linked)] = p.linked
             for owner, _, piece in p.texts:
                 own[s + owner] += len(piece.strip())
@@ -185,13 +217,15 @@ class Model:
 
         Messages go up level by level, then down; both exact on trees.
         """
-        theta, psi = t.x @ self.unary, self.pair[t.kind]
+        theta, psi = t.x @ self.unary.astype(np.float32), self.pair[t.kind]
         inside, up = theta.astype(np.float64).copy(), np.zeros((len(theta), 2))
         for d in range(len(t.levels) - 2, 0, -1):
             a, b = t.levels[d], t.levels[d + 1]
             s = psi[a:b] + inside[a:b, None, :]
             up[a:b] = np.logaddexp(s[:, :, 0], s[:, :, 1])
-            np.add.at(inside, t.parent[a:b], up[a:b])
+            lo = t.levels[d - 1]
+            for v in (0, 1):
+                inside[lo:a, v] += np.bincount(t.parent[a:b] - lo, up[a:b, v], a - lo)
         belief = inside.copy()
         edge = np.zeros((len(theta), 2, 2))
         for d in range(1, len(t.levels) - 1):
@@ -215,7 +249,7 @@ class Model:
         return [p[a:b] for a, b in zip(t.starts[:-1], t.starts[1:], strict=True)]
 
 
-def fitted(pages: list[Page], labels: list[list[int]], *, steps: int = 150, rate: float = 0.1, ridge: float = 1e-3) -> Model:
+def fitted(pages: list[Page], labels: list[list[int]], *, steps: int = 200, rate: float = 0.1, ridge: float = 1e-3) -> Model:
     """Maximum likelihood by Adam; the gradient is what is seen less what the marginals expect."""
     t = Trees(pages)
     y = np.concatenate([np.array(x) for x in labels])[t.order]
@@ -228,9 +262,8 @@ def fitted(pages: list[Page], labels: list[list[int]], *, steps: int = 150, rate
     m, v = [np.zeros_like(a) for a in w], [np.zeros_like(a) for a in w]
     for step in range(1, steps + 1):
         marginal, edge, _ = Model(*w).sums(t)
-        expected = np.zeros((EDGES, 2, 2))
-        np.add.at(expected, t.kind[first:], edge[first:])
-        for k, g in enumerate((t.x.T @ marginal - seen, expected - seen_pair)):
+        expected = (t.x[first:, :EDGES].T @ edge[first:].reshape(-1, 4).astype(np.float32)).reshape(EDGES, 2, 2)
+        for k, g in enumerate((t.x.T @ marginal.astype(np.float32) - seen, expected - seen_pair)):
             g = g / len(pages) + ridge * w[k]
             m[k] = 0.9 * m[k] + 0.1 * g
             v[k] = 0.99 * v[k] + 0.01 * g * g
@@ -251,30 +284,127 @@ LABELLED = [
 ]
 
 
+def drawn_pages(n: int, seed: int = 6) -> list[str]:
+    """`n` labelled pages drawn by rule, marked as LABELLED: articles told by element, by class or not at all, in bodies,
+    nested divisions or loose text, short and long, with clutter told by element or class before, within and after them."""
+    rng = random.Random(seed)
+    lengths = (6, 15, 40, 80, 135, 250, 600, 1500)
+
+    def prose(at_least: int = 0) -> str:
+        size, out = rng.choice([x for x in lengths if x >= at_least]), ""
+        while len(out) < size:
+            out += "w" * rng.randint(2, 9) + rng.choice((" ", " ", " ", ", ", ". "))
+        return out.strip() if rng.random() < 0.8 else out + "<a href=l>" + "k" * rng.randint(3, 12) + "</a> " + "w" * rng.randint(3, 30)
+
+    def links() -> str:
+        return "<ul>" + "".join(f"<li><a href=l>{'k' * rng.randint(3, 25)}</a></li>" for _ in range(rng.randint(1, 8))) + "</ul>"
+
+    def part() -> str:
+        kind = rng.choice(("p", "p", "p", "p", "p", "p", "h2", "h3", "ul", "ol", "blockquote", "pre", "table", "figure", "dl", "div", "section", "deep", "span"))
+        if kind in ("ul", "ol"):
+            return f"<{kind}>" + "".join(f"<li>{prose()}</li>" for _ in range(rng.randint(1, 5))) + f"</{kind}>"
+        inner = {"table": f"<tr><td>{prose()}</td><td>{prose()}</td></tr><tr><th>a</th><td>{prose()}</td></tr>", "figure": f"<figcaption>{prose()}</figcaption>", "dl": f"<dt>{prose()}</dt><dd>{prose()}</dd>", "section": f"<h2>{prose()}</h2><p>{prose()}</p>", "span": f"<span class=lead>{prose()}</span>", "blockquote": f"<p>{prose()}</p>"}
+        if kind == "deep":
+            depth = rng.randint(1, 9)
+            return "<div>" * depth + f"<p>{prose()}</p>" + "</div>" * depth
+        tag = "p" if kind == "span" else kind
+        return f"<{tag}>{inner.get(kind) or prose()}</{tag}>"
+
+    def clutter(*, within: bool) -> str:
+        inner = rng.choice((prose(), f"<p>{prose()}</p>", f"<h3>{prose()}</h3><p>{prose()}</p>", links(), f"<h2>{prose()}</h2>{links()}", f"<div><p>{prose()}</p><p>{prose()}</p></div>", f"<ol><li><p>{prose()}</p></li><li><div>{prose()}</div></li></ol>"))
+        if rng.random() < 0.08:
+            word = rng.choice(REMARKS)
+            return f"<section id='{word} x-out'>" + f"<article class={word}>{inner}</article>" * rng.randint(1, 3) + "</section>"
+        if rng.random() < 0.45:
+            tag = rng.choice(sorted(OUTSIDE - {"address"} if within else OUTSIDE | {"header"}))
+            if tag == "header":
+                inner = rng.choice((f"<h1>{prose()}</h1>", f"<div>{prose()}</div>{links()}", inner))
+            return f"<{tag} class=x-out>{inner}</{tag}>"
+        tag, word = rng.choice(("div", "div", "div", "section", "ul", "ol", "p", "aside", "article")), rng.choice(CLUTTER)
+        if tag in ("ul", "ol"):
+            inner = "".join(f"<li>{rng.choice((prose(), f'<p>{prose()}</p>'))}</li>" for _ in range(rng.randint(1, 4)))
+        if tag == "p":
+            inner = prose()
+        if tag == "article" and word not in REMARKS:
+            tag = "div"
+        return f"<{tag} {rng.choice(('class', 'id'))}='{word} x-out'>{inner}</{tag}>"
+
+    def site() -> str:
+        return clutter(within=False) if rng.random() < 0.6 else f"<header class=x-out>{rng.choice((f'<h1>{prose()}</h1>', f'<p>{prose()}</p>'))}</header>" if rng.random() < 0.5 else ""
+
+    def some(most: int, *, within: bool = False) -> str:
+        return "".join(clutter(within=within) for _ in range(rng.randint(0, most)))
+
+    out = []
+    for i in range(n):
+        parts = [part() for _ in range(rng.randint(1, 9))]
+        if rng.random() < 0.5:
+            parts.insert(rng.randint(1, len(parts)), some(2, within=True))
+        title = f"<h1>{prose()}</h1>" if rng.random() < 0.8 else ""
+        text = title + "".join(parts)
+        match i % 6:
+            case 0:  # no marks, no clutter to speak of
+                if rng.random() < 0.3:  # nor a body
+                    out.append("".join(f"<p class=x-in>{prose()}</p>" for _ in range(rng.randint(1, 4))))
+                else:
+                    out.append(f"<body class=x-in>{rng.choice((text, text, ''.join(parts), part(), title + part()))}{some(1)}</body>")
+            case 1:  # loose text
+                out.append(prose() if i % 4 == 1 else f"{prose(40)}{text}")
+            case 2 | 3:
+                tag = rng.choice(("article", "article", "main"))
+                head = f"<header>{title}{rng.choice(("", f"<p>{prose()}</p>"))}</header>" if rng.random() < 0.4 else title
+                wrap = "<div>" * rng.randint(0, 3)
+                out.append(f"<body>{site()}{some(3)}{wrap}<{tag}>{head}{''.join(parts)}</{tag}>{wrap.replace('<', '</')}{some(4)}</body>")
+            case 4:  # told by class
+                word = rng.choice(("content", "entry", "post", "story", "articleBody", "main", "text"))
+                out.append(f"<body class=x-in>{site()}{some(2)}<div {rng.choice(('class', 'id'))}={word}>{text}</div>{some(3)}</body>")
+            case _:  # nested divisions
+                depth, tag = rng.choice((1, 1, 2, 3, 6, 12, 40)), rng.choice(("div", "div", "section"))
+                out.append(f"<body class=x-in>{site()}{some(2)}{f'<{tag}>' * depth}{text}{f'</{tag}>' * depth}{some(3)}</body>")
+    return [*out, *(f"<body>{clutter(within=False)}{clutter(within=False)}</body>" for _ in range(n // 12))]
+
+
 def labels_of(page: Page) -> list[int]:
-    """Labels from the page's own marks: inside article or main, and not in what is never content."""
-    inside, out = [False], [False]
+    """Labels from the page's own marks: inside article or main, and not in what is never content.
+
+    Where no element is marked, elements around content are content too, and so is a page that starts as loose text.
+    """
+    marked = any(t in MARKS and "out" not in w for t, w in zip(page.tag, page.words, strict=True))
+    inside, out = [not marked and any(owner == 0 and piece.strip() for owner, _, piece in page.texts)], [False]
     for i in range(1, len(page.parent)):
-        p, tag = page.parent[i], page.tag[i]
-        inside.append(inside[p] or tag in ("article", "main") or ("x" in page.words[i] and "in" in page.words[i]))
-        out.append(out[p] or tag in OUTSIDE or ("x" in page.words[i] and "out" in page.words[i]))
-    return [int(a and not b) for a, b in zip(inside, out, strict=True)]
+        p, tag, words = page.parent[i], page.tag[i], page.words[i]
+        inside.append(inside[p] or (tag in MARKS) or ("x" in words and "in" in words))
+        out.append(out[p] or tag in OUTSIDE or told_outside(tag, known_words(words)) or ("x" in words and "out" in words))
+    label = [int(a and not b) for a, b in zip(inside, out, strict=True)]
+    return label if marked else around(page, label)
+
+
+def around(page: Page, label: list[int]) -> list[int]:
+    """The labels with elements around content as content."""
+    label = list(label)
+    for i in range(len(label) - 1, 0, -1):
+        label[page.parent[i]] |= label[i]
+    return label
 
 
 def learned(sources: list[str]) -> Model:
-    """Fit on labelled pages, those of this module included; each also with its article told as a plain division or by class.
+    """Fit on labelled pages: those drawn by rule, those of this module and the given; pages whose article is marked
+    also with their article told as a plain division or by class.
 
     The second and third view teach what articles look like where no page says so.
     """
     pages, labels = [], []
-    for source in [*LABELLED * max(1, len(sources) // 40), *sources]:
+    for source in [*drawn_pages(DRAWN), *LABELLED * 2, *sources]:
         for view in ("", "div", "div class=content"):
             given = parsed(source)
             known = labels_of(given)
             if view:
+                if not any(t in MARKS for t in given.tag):
+                    break
                 words = ["content"] if view != "div" else []
-                given.words = [words if t in ("article", "main") else w for t, w in zip(given.tag, given.words, strict=True)]
-                given.tag = ["div" if t in ("article", "main") else t for t in given.tag]
+                given.words = [words if t in MARKS and "out" not in w else w for t, w in zip(given.tag, given.words, strict=True)]
+                given.tag = ["div" if t in MARKS else t for t in given.tag]
+                known = around(given, known)
             given.words = [[w for w in ws if w not in ("x", "in", "out")] for ws in given.words]
             pages.append(given)
             labels.append(known)
@@ -304,7 +434,7 @@ def extract(pages: DataFrame, *, model: Model | None = None, page_id: str = "pag
     Elements are nodes of a tree-structured model; sum-product messages up and down give each its
     probability of being content. Scripts, styles, drawings, buttons and other controls inside a line
     don't end it. Null, empty and contentless pages give an empty text; whole pages are read, however
-    long or deep. Rows are independent: null or repeated ids stay as many rows. An empty table gives no rows (the model then
+    long or deep; a page without tags is content. Rows are independent: null or repeated ids stay as many rows. An empty table gives no rows (the model then
     rests on this module's labelled pages). Other columns are ignored. Nothing is shuffled but the
     bounded sample of labelled pages; the model's arrays, of fixed size, go along with the tasks.
     """
