@@ -169,34 +169,23 @@ def _parts_for(n: int, rows_per_part: int, fan: int) -> int:
     return max(2, min(fan, 1 << round(math.log2(max(2, n / rows_per_part)))))
 
 
-def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, sample: int = SAMPLE, aim: float = AIM, rows_per_part: int = ROWS_PER_PART, fan: int = FAN, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each vector whose id `every` divides.
+def _classes(base: DataFrame, k: int) -> DataFrame:
+    """Equal vectors and their k + 1 smallest ids: vec, ids."""
+    nth = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
+    least = base.select("vec", "vec_id").distinct().withColumn("nth", nth).filter(F.col("nth") <= k + 1)
+    return least.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
-    Equal vectors are one class that keeps its k + 1 smallest ids (enough for any answer). A sample
-    of at most `sample` classes, the first by hash, gives a neighbour graph that is cut into balanced
-    parts; a small classifier learns a vector's and its neighbours' parts. Every class is indexed in
-    its most probable part. Queries visit so many of their most probable parts that held-out queries
-    find `aim` of their true neighbours in the sample. One router tells at most `fan` parts apart;
-    parts that are still over four times rows_per_part are cut again by routers of their own, level
-    by level, so that parts don't grow with the table. Parts are searched in chunks of about CHUNK
-    classes and blocks of as many queries, so no group grows with the table; each yields k candidates
-    a query with exact cosines, and the best k of all are kept, ties to the smaller id.
 
-    Vectors that are null, empty, zero or hold null or non-finite components and null ids take no
-    part; nor do vectors of another dimension than most. An id with several rows is one candidate, at
-    its nearest row, and one query, from all of its rows; none is a neighbour of its own id. An empty
-    table gives no rows. Other columns are ignored.
-    """
-    dtype = dtype_of(vectors, embedding)
-    base = materialize(parsed(vectors, vec_id, embedding), "vectors")
-    common = base.groupBy("dim").count().orderBy(F.desc("count"), "dim").first()
-    out_schema = "query_id long, vec_id long, score double"
-    if common is None:
-        return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    base = base.filter(F.col("dim") == common["dim"])
-    nth = F.row_number().over(W.partitionBy("vec").orderBy("vec_id"))
-    classes = base.select("vec", "vec_id").distinct().withColumn("nth", nth).filter(F.col("nth") <= k + 1).groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
-    classes = materialize(classes, "classes")
+def _unrouted(base: DataFrame, dtype: str, k: int, every: int) -> tuple[DataFrame, DataFrame]:
+    """Index and queries of rare dimensions: each dimension is one part."""
+    dim = (F.octet_length("vec") / np.dtype(dtype).itemsize).cast("int").alias("dim")
+    index = _classes(base, k).select(F.lit(0).cast("long").alias("part"), "vec", "ids", dim)
+    return index, base.filter(F.col("vec_id") % every == 0).select(F.lit(0).cast("long").alias("part"), "vec", F.col("vec_id").alias("query_id"), "dim")
+
+
+def _routed(base: DataFrame, dtype: str, k: int, every: int, sample: int, aim: float, rows_per_part: int, fan: int) -> tuple[DataFrame, DataFrame]:
+    """Index (part, vec, ids) and queries (part, vec, query_id) of one dimension, routed level by level."""
+    classes = materialize(_classes(base, k), "classes")
     n = classes.count()
     picked = classes.select("vec").orderBy(F.xxhash64("vec"), "vec").limit(sample).toArrow()
     router = learned(matrix(picked.column(0), dtype), _parts_for(n, rows_per_part, fan), aim, k)
@@ -222,13 +211,49 @@ def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, sample: int = SA
         largest, old = most, (index, queries)
         index, queries = _refined(index, queries, big, dtype, rows_per_part, fan, sample, aim, k)
         discard(*old)
+    discard(classes)
+    return index, queries
+
+
+def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, sample: int = SAMPLE, aim: float = AIM, rows_per_part: int = ROWS_PER_PART, fan: int = FAN, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each vector whose id `every` divides.
+
+    Equal vectors are one class that keeps its k + 1 smallest ids (enough for any answer). A sample
+    of at most `sample` classes, the first by hash, gives a neighbour graph that is cut into balanced
+    parts; a small classifier learns a vector's and its neighbours' parts. Every class is indexed in
+    its most probable part. Queries visit so many of their most probable parts that held-out queries
+    find `aim` of their true neighbours in the sample. One router tells at most `fan` parts apart;
+    parts that are still over four times rows_per_part are cut again by routers of their own, level
+    by level, so that parts don't grow with the table. Parts are searched in chunks of about CHUNK
+    classes and blocks of as many queries, so no group grows with the table; each yields k candidates
+    a query with exact cosines, and the best k of all are kept, ties to the smaller id.
+
+    Vectors that are null, empty, zero or hold null or non-finite components and null ids take no
+    part. Vectors are neighbours within their dimension: the commonest and all of more than four
+    parts' rows have routers of their own, rarer ones are searched whole. An id with several
+    rows is one candidate, at its nearest row, and one query, from all of its rows; none is a
+    neighbour of its own id. An empty table gives no rows. Other columns are ignored.
+    """
+    dtype = dtype_of(vectors, embedding)
+    base = materialize(parsed(vectors, vec_id, embedding), "vectors")
+    out_schema = "query_id long, vec_id long, score double"
+    by_size = base.groupBy("dim").count().orderBy(F.desc("count"), "dim")
+    common = by_size.first()
+    if common is None:
+        return base.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    # Few by nature: each stands for over four parts of rows. Rarer dimensions are one part each.
+    large = [common["dim"], *(r["dim"] for r in by_size.filter(F.col("count") > 4 * rows_per_part).collect() if r["dim"] != common["dim"])]
+    index, queries = (materialize(t, "rare") for t in _unrouted(base.filter(~F.col("dim").isin(large)), dtype, k, every))
+    for dim in large:
+        more, asked = _routed(base.filter(F.col("dim") == dim), dtype, k, every, sample, aim, rows_per_part, fan)
+        index, queries = index.unionByName(more.withColumn("dim", F.lit(dim))), queries.unionByName(asked.withColumn("dim", F.lit(dim)))
     # A row for each part.
-    cuts = index.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
-    blocks = queries.groupBy("part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
-    plan = materialize(cuts.join(blocks, "part"), "plan")
+    cuts = index.groupBy("dim", "part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    blocks = queries.groupBy("dim", "part").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("blocks"))
+    plan = materialize(cuts.join(blocks, ["dim", "part"]), "plan")
     all_of = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    index = index.join(plan, "part").select("part", F.pmod(F.xxhash64("vec"), "chunks").cast("int").alias("chunk"), all_of("blocks").alias("block"), "vec", "ids")
-    queries = queries.join(plan, "part").select("part", all_of("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), "vec", "query_id")
+    index = index.join(plan, ["dim", "part"]).select("dim", "part", F.pmod(F.xxhash64("vec"), "chunks").cast("int").alias("chunk"), all_of("blocks").alias("block"), "vec", "ids")
+    queries = queries.join(plan, ["dim", "part"]).select("dim", "part", all_of("chunks").alias("chunk"), F.pmod(F.xxhash64("query_id"), "blocks").cast("int").alias("block"), "vec", "query_id")
 
     def best(asked: pa.Table, rows: pa.Table) -> pa.Table:
         found: list[tuple[int, int, float]] = []
@@ -253,7 +278,7 @@ def nearest(vectors: DataFrame, *, k: int = 5, every: int = 50, sample: int = SA
                     found += [(ask[i + at], v, -s) for s, v in sorted((-s, v) for v, s in scores.items())[:k]]
         return pa.table([pa.array([f[c] for f in found], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "vec_id", "score"])
 
-    keys = ["part", "chunk", "block"]
+    keys = ["dim", "part", "chunk", "block"]
     found = queries.groupBy(*keys).cogroup(index.groupBy(*keys)).applyInArrow(best, out_schema)
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

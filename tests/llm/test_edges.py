@@ -1,5 +1,6 @@
 """Nulls, empty and very long texts, repeated rows, empty tables and columns with clashing names: no crash, a defined result."""
 
+import numpy as np
 import public_tokenizers
 import pytest
 
@@ -94,3 +95,24 @@ def test_page_edges(spark):
     assert len(got) == 5 and {r.text for r in got if r.page_id in (None, 1)} == {""}
     assert next(r.text for r in got if r.page_id == 3).count("\n") == 4999
     assert html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_neighbours_of_every_dimension(spark):
+    """A common dimension, one with routers of its own and rare ones: each query's neighbours are of its own dimension."""
+    rng = np.random.default_rng(8)
+    dims = [8] * 500 + [5] * 200 + [3] * 7 + [2]
+    rows = [(i, rng.standard_normal(d).tolist()) for i, d in enumerate(dims)]
+    out = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=1, rows_per_part=32).collect()
+    got = {}
+    for r in out:
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id, r.score))
+    found = total = 0
+    for i, v in rows:
+        x = np.array(v)
+        all_of = sorted((-(x @ np.array(w)) / np.sqrt((x @ x) * (np.array(w) @ np.array(w))), j) for j, w in rows if j != i and len(w) == len(v))[:5]
+        mine = sorted(got.get(i, []))
+        assert all(dims[j] == dims[i] for _, j, _ in mine) and [r for r, _, _ in mine] == list(range(1, len(mine) + 1))
+        if dims[i] < 5:
+            assert [j for _, j, _ in mine] == [j for _, j in all_of]
+        found, total = found + len({j for _, j, _ in mine} & {j for _, j in all_of}), total + len(all_of)
+    assert found >= 0.9 * total
