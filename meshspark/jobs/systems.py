@@ -6,12 +6,12 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import blocks, bordered, fields, locate, matrices, parts, states, terms
+from ..operators import blocks, bordered, fields, locate, matrices, parts, selections, states, terms
 from ..operators import constraints as C
 from ..operators.cut import written
 from ..sources import grids
 from ..sources.grids import Mesh
-from .more import QUAD8, _dofs, _double_cells, _parts_count, _periodic, _two
+from .more import QUAD8, _dofs, _double_cells, _layout, _parts_count, _periodic, _state, _subset, _two
 from .work import _field, _grid, _orders, _points, _r, _table, w1_local_nodes
 
 MU, LAM = fields.lame(1.0, 0.3)
@@ -282,10 +282,70 @@ def w6_extra_ghosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.reduced_layout(written(parts.with_extra_ghosts(dofs, tied), "ghosts"), tied)
 
 
+# Selections and stacks.
+
+
+def j10_intersected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third node from the ninth last back, second component first, where the unknown is a seventh one; as progressions."""
+    lay = _layout(spark, sf_dir)
+    backwards, sevenths = selections.of_field(spark, lay, "u", slice(-9, None, -3), [1, 0]), selections.progression(spark, 0, lay.size, 7)
+    return selections.intersected(backwards, sevenths)
+
+
+def j10_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of neighbours among the large parts, and how many even unknowns each run holds."""
+    runs = selections.runs(_subset(spark, sf_dir).withColumnRenamed("node_id", "dof"))
+    even = selections.intersected(runs, selections.progression(spark, 0, _parts_count(spark, sf_dir), 2))
+    per_run = even.select((F.col("base") - F.col("at")).alias("_run"), F.col("count").alias("even"), F.col("base").alias("first_even"))
+    return runs.withColumn("_run", F.col("base") - F.col("at")).join(per_run, "_run", "left").select("base", "count", "at", F.coalesce("even", F.lit(0)).cast("long").alias("even"), "first_even")
+
+
+def j10_picked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state's second component at each order line's part, in the lines' order."""
+    lay, vec = _state(spark, sf_dir)
+    lines = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("pos"), F.col("l_partkey").cast("long").alias("item"))
+    return selections.picked(vec, selections.of_items(lay, "u", lines, 1))
+
+
+def c4_without(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state but for both components of every second node."""
+    lay, vec = _state(spark, sf_dir)
+    return selections.without(vec, selections.of_field(spark, lay, "u", slice(None, None, 2))).select("dof", "v")
+
+
+def _paired(spark: SparkSession, sf_dir: str) -> states.Layout:
+    """A field on all nodes, and two on the nodes of large parts that lie side by side."""
+    some = _subset(spark, sf_dir)
+    kinds = [states.Field("u", (states.AUTO, 2)), states.Field("l", (states.AUTO, 2), nodes=some), states.Field("s", (3,), "shared"), states.Field("m", (states.AUTO,), nodes=some)]
+    return states.layout(kinds, _parts_count(spark, sf_dir), together=(("l", "m"),))
+
+
+def c1_stacked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A packed state with stacked fields: two prices of each large part beside its size."""
+    large = _table(spark, sf_dir, "part").filter("p_size > 25").select(F.col("p_partkey").cast("long").alias("node_id"), F.col("p_retailprice").cast("double").alias("price"), F.col("p_size").cast("double").alias("size"))
+    values = large.join(states.subset_items(_subset(spark, sf_dir)), "node_id")
+    return states.pack(spark, _paired(spark, sf_dir), {"l": values.select("item", F.array("price", -F.col("price")).alias("v")), "m": values.select("item", F.col("size").alias("v"))}, default=7.0)
+
+
+def j11_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Progressions of the stacked fields on the nodes of the second quarter of the ids."""
+    lay, n = _paired(spark, sf_dir), _parts_count(spark, sf_dir)
+    each = [selections.of_nodes(spark, lay, name, slice(n // 4, n // 2), comps).withColumn("name", F.lit(name)) for name, comps in (("u", [0]), ("l", [1, 0]), ("m", None))]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def j11_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unknowns of a stacked field at the large parts on order, line by line."""
+    lines = _table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).cast("long").alias("pos"), F.col("l_partkey").cast("long").alias("node_id"))
+    wanted = lines.join(_subset(spark, sf_dir), "node_id", "left_semi")
+    return selections.listed(selections.of_nodes(spark, _paired(spark, sf_dir), "l", wanted, [1, 0]))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         p12_elasticity, p12_mixed, p10_elasticity, p12_quad8_mass, p5_index_order, p5_degree_order, l2_lift_orders, l5_adjoint_orders, l10_pattern_orders, l14_matrix_orders, l9_values_each,
         p3_heavy_terms, p2_bordered_product, p2_block_counts, p2_subset_pattern, p16_vector, p16_constrained, p17_partial_loads, j1_quad8, j2_newton, w1_local_elements, w3_part_pointer, a8_owned_nnz, c5_all_kinds, w6_extra_ghosts,
+        j10_intersected, j10_runs, j10_picked, c4_without, c1_stacked, j11_slices, j11_listed,
     )
 }

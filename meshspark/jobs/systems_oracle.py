@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .more_oracle import _CORNERS, _PARTS
+from .more_oracle import _CORNERS, _PARTS, _STATE
 from .oracle import _GRID, _POINTS, _q
 
 _SIDE = """side AS (SELECT elem_id, unnest([n0, n1, n2]) AS node_id, unnest([y1 - y2, y2 - y0, y0 - y1]) AS gx, unnest([x2 - x1, x0 - x2, x1 - x0]) AS gy, det, ux, uy, sx, sy FROM tg),
@@ -97,6 +97,9 @@ un AS (SELECT part, CASE WHEN c < 2 THEN 'u' ELSE 'phi' END AS name, local_id AS
 ld AS (SELECT part, name, item, CAST(comp AS INTEGER) AS comp, row_number() OVER (PARTITION BY part ORDER BY blk, within) - 1 AS local_dof, CAST(dof AS BIGINT) AS dof, is_owned FROM un),
 """
 
+_RANKED = """WITH rk AS (SELECT CAST(p_partkey AS BIGINT) AS k, row_number() OVER (ORDER BY p_partkey) - 1 AS r, CAST(p_retailprice AS DOUBLE) AS price, CAST(p_size AS DOUBLE) AS size FROM part WHERE p_size > 25)
+"""
+
 SQL = {
     "p12_elasticity": _q('SELECT "row", col, round(v, 8) + 0.0 AS v FROM elastic', _GRID + _SIDE + _ELASTIC),
     "p12_mixed": _q("""SELECT 3 * a + i AS "row", CASE WHEN j < 2 THEN 2 * b + j ELSE 2 * (SELECT count(*) FROM part) + b END AS col, round(sum(CASE WHEN i < 2 AND i = j THEN (ax * bx + ay * b_y) / det / 2
@@ -135,4 +138,15 @@ all6 AS (SELECT part, local_id AS local_dof, node_id AS natural_dof, is_owned FR
   UNION ALL SELECT part, NULL, master, false FROM (SELECT DISTINCT part, master FROM lay JOIN tied ON tied.dof = node_id WHERE NOT EXISTS (SELECT 1 FROM lay o WHERE o.part = lay.part AND o.node_id = master))),
 fr6 AS (SELECT * FROM all6 WHERE natural_dof NOT IN (SELECT dof FROM tied)),
 """),
+    "j10_intersected": _q("""SELECT min(dof) AS base, CAST(CASE WHEN count(*) = 1 THEN 1 ELSE 63 END AS BIGINT) AS stride, count(*) AS "count", max(2 * k + c) AS "at", CAST(-14 AS BIGINT) AS hop
+FROM (SELECT k, c, 3 * (n - 9 - 3 * k) + 1 - c AS dof FROM n, range(0, (n - 9) // 3 + 1) t(k), range(0, 2) o(c)) WHERE dof % 7 = 0 GROUP BY c""", _STATE),
+    "j10_runs": _RANKED + """SELECT min(k) AS base, count(*) AS "count", min(r) AS "at", count(*) FILTER (k % 2 = 0) AS even, min(k) FILTER (k % 2 = 0) AS first_even FROM rk GROUP BY k - r""",
+    "j10_picked": _q("SELECT CAST(l_orderkey * 8 + l_linenumber AS BIGINT) AS pos, dof, v FROM lineitem JOIN vec ON dof = 3 * l_partkey + 1", _STATE),
+    "c4_without": _q("SELECT dof, v FROM vec, n WHERE NOT (dof < 3 * n AND dof % 3 < 2 AND dof // 3 % 2 = 0)", _STATE),
+    "c1_stacked": _RANKED + f"""SELECT d AS dof, 7.0::DOUBLE AS v FROM range(2 * {_COUNT}) t(d) UNION ALL SELECT 2 * {_COUNT} + 3 * (SELECT count(*) FROM rk) + d, 7.0::DOUBLE FROM range(3) t(d)
+UNION ALL SELECT 2 * {_COUNT} + 3 * r + c, CASE c WHEN 0 THEN price WHEN 1 THEN -price ELSE size END FROM rk, range(3) t(c)""",
+    "j11_slices": _RANKED + f""", e AS (SELECT {_COUNT} AS n, {_COUNT} // 4 AS lo, {_COUNT} // 2 AS hi), q AS (SELECT min(r) AS r, count(*) AS c FROM rk, e WHERE k >= lo AND k < hi)
+SELECT 'u' AS name, 2 * lo AS base, CAST(CASE WHEN hi - lo > 1 THEN 2 ELSE 1 END AS BIGINT) AS stride, hi - lo AS "count", CAST(0 AS BIGINT) AS "at", CAST(1 AS BIGINT) AS hop FROM e WHERE hi > lo
+UNION ALL SELECT CASE WHEN p < 2 THEN 'l' ELSE 'm' END, 2 * n + 3 * r + CASE p WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 2 END, CASE WHEN c > 1 THEN 3 ELSE 1 END, c, p % 2, CASE WHEN p < 2 THEN 2 ELSE 1 END FROM e, q, range(3) t(p) WHERE c > 0""",
+    "j11_listed": _RANKED + f"""SELECT CAST((l_orderkey * 8 + l_linenumber) * 2 + c AS BIGINT) AS pos, 2 * {_COUNT} + 3 * r + 1 - c AS dof FROM lineitem JOIN rk ON k = l_partkey, range(2) t(c)""",
 }

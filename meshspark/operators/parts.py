@@ -174,6 +174,7 @@ def ownership(lay: Layout, local: DataFrame, own: dict[str, DataFrame] | None =
     long as own[name](part, n) says, shared fields whole. Natural numbers: nodes, positions in the subset, the
     part's share after those before it, the shared item. A nodal unknown is its node's owner's, a part's own are its own, shared
     ones are the first part's. Owned unknowns are numbered part after part by local number, ghosts have their owner's number.
+    Fields that a layout interleaves must be on the same nodes; those put one after the other in a block have no local place (an error).
     """
     spark, natural = local.sparkSession, 0
     touching = local.select("part").distinct()
@@ -182,6 +183,8 @@ def ownership(lay: Layout, local: DataFrame, own: dict[str, DataFrame] | None =
         roots.setdefault(p.block, []).append(p)
     for block, places in sorted(roots.items()):
         base, size = min(p.base for p in places), 0
+        if len(places) > 1 and any(p.stride == p.field.components for p in places):
+            raise ValueError("fields one after the other in a block have no local places")
         for p in places:
             f, comps = p.field, p.field.components
             at = p.base - base
@@ -190,7 +193,7 @@ def ownership(lay: Layout, local: DataFrame, own: dict[str, DataFrame] | None =
             elif f.kind == "nodal":
                 items = subset_items(f.nodes)
                 mine = positions(local.join(items.withColumnRenamed("item", "_g"), "node_id"), "local_id", "_rank", by=("part",))
-                rows, size = mine.select("part", F.col("_rank").alias("item"), "_g", "is_owned"), items.count() * comps
+                rows, size = mine.select("part", F.col("_rank").alias("item"), "_g", "is_owned"), items.count() * p.stride
             elif f.kind == "local":
                 counts = (own or {})[f.name].select("part", "n")
                 before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))

@@ -52,17 +52,24 @@ class Layout:
     size: int
 
 
-def layout(fields: list[Field], n_nodes: int, stack: bool = True) -> Layout:
+def layout(fields: list[Field], n_nodes: int, stack: bool = True, together: tuple[tuple[str, ...], ...] = (), axis: int = -1) -> Layout:
     """Resolve AUTO sizes and give every field its place.
 
     With stack, two or more nodal fields on all nodes are interleaved by node in a block that comes
     first; all others follow in the order declared, each a block. Names must be unique and not reserved.
+
+    Nodal fields that `together` names are interleaved in a block of their own, where the first of them
+    stood: item by item with axis 1, one field after the other with axis 0. Negative axes count from
+    the end of the first field's shape. Axis 1 asks for equal numbers of items.
     """
     names = [f.name for f in fields]
     if len({*names}) < len(names) or {*names} & RESERVED:
         raise ValueError("names of fields must be unique and not reserved")
     given = [replace(f, shape=((n_nodes if f.nodes is None else f.nodes.count()) if f.shape[0] == AUTO else f.shape[0], *f.shape[1:])) for f in fields]
-    whole = [f for f in given if f.kind == "nodal" and f.nodes is None]
+    own = {n: group for group in together for n in group}
+    if len(own) < sum(map(len, together)) or own.keys() - {*names}:
+        raise ValueError("a field is stacked once, and must be there")
+    whole = [f for f in given if f.kind == "nodal" and f.nodes is None and f.name not in own]
     stacked = whole if stack and len(whole) > 1 and len({f.shape[0] for f in whole}) == 1 else []
     places, base, block = {}, 0, 0
     if stacked:
@@ -71,13 +78,30 @@ def layout(fields: list[Field], n_nodes: int, stack: bool = True) -> Layout:
             places[f.name] = Place(f, at, stride, 0)
             at += f.components
         base, block = stride * stacked[0].shape[0], 1
+    by_name = {f.name: f for f in given}
     for f in given:
-        if f.name not in places:
+        if f.name in own and f.name not in places:
+            group = [by_name[n] for n in own[f.name]]
+            places |= _stacked(group, axis % len(group[0].shape), base, block)
+            base, block = base + sum(g.shape[0] * g.components for g in group), block + 1
+        elif f.name not in places:
             places[f.name] = Place(f, base, f.components, block)
             base, block = base + f.shape[0] * f.components, block + 1
     return Layout({n: places[n] for n in names}, base)
 
 
+def _stacked(group: list[Field], axis: int, base: int, block: int) -> dict[str, Place]:
+    if any(f.kind != "nodal" for f in group) or axis > 1:
+        raise ValueError("nodal fields are stacked, by items or one after the other")
+    if axis == 1 and len({f.shape[0] for f in group}) > 1:
+        raise ValueError("fields that are interleaved have equal numbers of items")
+    out, at = {}, base
+    for f in group:
+        out[f.name] = Place(f, at, f.components if axis == 0 else sum(g.components for g in group), block)
+        at += f.components * (f.shape[0] if axis == 0 else 1)
+    return out
+
+
 def dofs(spark: SparkSession, lay: Layout, name: str) -> DataFrame:
     """item, comp, dof of a field."""
     p = _place(lay, name)
