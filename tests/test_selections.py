@@ -4,9 +4,7 @@ import random
 
 import pytest
 
-from meshspark.operators import selections, states
-
-PAIR = "pos long, dof long"
+from meshspark.operators import parts, selections, states
 
 
 def _listed(sets):
@@ -80,6 +78,28 @@ def test_stacks_of_fields_on_some_nodes(spark):
             states.layout([p.field for p in lay.places.values()], 12, together=wrong)
 
 
+def test_ownership_of_stacks(spark):
+    lay = _layout(spark)
+    rows, shared = [], {0: [0, 1, 2, 3, 4, 5, 6], 1: [5, 6, 7, 8, 9, 10, 11, 2]}  # local numbers: owned nodes first
+    for part, nodes in shared.items():
+        rows += [(part, n, k, part == 0 or n > 6) for k, n in enumerate(sorted(nodes, key=lambda n, part=part: (part == 1 and n <= 6, n)))]
+    got = parts.ownership(lay, spark.createDataFrame(rows, "part int, node_id long, local_id long, is_owned boolean")).collect()
+    assert {r.dof for r in got} == {*range(lay.size)}
+    for part, nodes in shared.items():
+        mine = [r for r in got if r.part == part]
+        assert sorted(r.local_dof for r in mine) == [*range(len(mine))]
+        assert len(mine) == 2 * len(nodes) + 3 * len({2, 4, 5, 9, 11} & {*nodes}) + 3
+    owned = [r for r in got if r.is_owned]
+    assert sorted(r.global_dof for r in owned) == [*range(lay.size)]
+    m = {(r.part, r.item): r for r in got if r.name == "m"}
+    for r in got:
+        if r.name == "l":
+            assert m[r.part, r.item].dof - r.dof == 2 - r.comp == m[r.part, r.item].local_dof - r.local_dof
+    apart = states.layout([p.field for p in lay.places.values() if p.field.name in ("l", "m")], 12, together=(("m", "l"),))
+    with pytest.raises(ValueError):
+        parts.ownership(apart, spark.createDataFrame(rows, "part int, node_id long, local_id long, is_owned boolean"))
+
+
 @pytest.mark.parametrize(("items", "comps"), [(None, None), (slice(-2, None, -3), [1, 0]), ([3, -1, 3], slice(None, None, -1)), (5, -1), (slice(4, 4), None)])
 def test_selectors_agree_with_listed_ones(spark, items, comps):
     lay = _layout(spark)
