@@ -22,16 +22,17 @@ def gather(mesh: Mesh, **fields: DataFrame) -> DataFrame:
 
     One pass: the ends of elements meet nodes and fields on node_id (the ends move once, all joins
     share their partitioning), then go back to their element by an aggregate of fixed width, which
-    combines before it shuffles. A node without a value leaves a null; null values stay null.
+    combines before it shuffles. A node without a value leaves a null; null values stay null. Nodes and
+    fields grow with the mesh and are never broadcast, however small Spark takes them to be.
     """
     axes = [a for a in AXES if a in mesh.nodes.columns]
     table = mesh.nodes.select("node_id", *axes)
     for name, f in fields.items():
-        table = table.join(f.select("node_id", F.col("v").alias(name)), "node_id", "left")
+        table = table.join(f.select("node_id", F.col("v").alias(name)).hint("merge"), "node_id", "left")
     ends = mesh.elements.select("elem_id", F.posexplode("conn").alias("_a", "node_id"))
     names, size = ["node_id", *axes, *fields], len(ELEMENTS[mesh.etype].nodes)
     picked = [F.max(F.when(F.col("_a") == k, F.col(c))).alias(f"_{c}_{k}") for c in names for k in range(size)]
-    rows = ends.join(table, "node_id").groupBy("elem_id").agg(*picked)
+    rows = ends.join(table.hint("merge"), "node_id").groupBy("elem_id").agg(*picked)
     return rows.select("elem_id", *(F.array(*(f"_{c}_{k}" for k in range(size))).alias("conn" if c == "node_id" else c) for c in names))
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from meshspark.operators import constraints as C
 from meshspark.operators import fields, locate, matrices, parts
-from meshspark.sources.grids import Mesh, rectangle, validate
+from meshspark.sources.grids import Mesh, box, rectangle, validate
 
 
 @pytest.fixture(scope="module")
@@ -114,3 +114,10 @@ def test_stiffness_rows_sum_to_zero(spark):
 def test_pattern_of_terms_without_and_with_repeats(spark):
     dep = spark.createDataFrame([(0, 1), (0, 2), (1, 1), (1, 2), (2, 3), (2, 3)], "term_id long, dof long")
     assert _values(matrices.term_pattern(dep), "row", "col") == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 3)]
+
+
+def test_gather_broadcasts_no_nodes_or_fields(spark):
+    mesh = box(spark, (1.0, 1.0, 1.0), (2, 2, 2))
+    field = mesh.nodes.select("node_id", F.col("x").alias("v"))
+    plan = fields.gather(mesh, u=field)._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
