@@ -288,9 +288,13 @@ def s9_to_csr(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def s10_dense_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = matrices.to_dense_rows(matrices.to_csr(_coo(spark, sf_dir)), _parts_count(spark, sf_dir))
+    """The dense rows in tiles; of tiles without an entry, which are not made, the zeros are those that the row still lacks."""
+    n = _parts_count(spark, sf_dir)
+    tiles = matrices.dense_tiles(_coo(spark, sf_dir), n)
     zeros = F.size(F.filter("vals", lambda v: v == 0)).cast("long")
-    return rows.select("row", F.size("vals").cast("long").alias("n"), zeros.alias("zeros"), F.aggregate("vals", F.lit(0.0), lambda a, v: a + v).alias("total"))
+    each = tiles.select("row", F.size("vals").cast("long").alias("n"), zeros.alias("zeros"), F.aggregate("vals", F.lit(0.0), lambda a, v: a + v).alias("total"))
+    rows = each.groupBy("row").agg(F.sum("n").alias("made"), F.sum("zeros").alias("zeros"), F.sum("total").alias("total"))
+    return rows.select("row", F.lit(n).cast("long").alias("n"), (F.lit(n) - F.col("made") + F.col("zeros")).cast("long").alias("zeros"), "total")
 
 
 def s11_write_sorted(spark: SparkSession, sf_dir: str) -> DataFrame:

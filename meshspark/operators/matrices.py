@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
@@ -114,10 +114,25 @@ def to_dense_rows(csr: DataFrame, n: int, most: int = 100_000) -> DataFrame:
     """row, vals of all n columns, zeros filled in; refused over `most` columns."""
     if n > most:
         raise ValueError(f"{n} columns are too many for dense rows")
+    return csr.select("row", _filled(F.lit(n)).alias("vals"))
+
+
+def _filled(n: Column) -> Column:
+    """n values from rising `cols` and their `vals`, zeros between them."""
     gap = lambda c, i: c - F.when(i > 0, F.get("cols", i - 1)).otherwise(F.lit(-1)) - 1
     zeros = lambda k: F.array_repeat(F.lit(0.0), k.cast("int"))
     filled = F.flatten(F.transform("cols", lambda c, i: F.concat(zeros(gap(c, i)), F.array(F.get("vals", i)))))
-    return csr.select("row", F.concat(filled, zeros(F.lit(n - 1) - F.element_at("cols", -1))).alias("vals"))
+    return F.concat(filled, zeros(n - 1 - F.element_at("cols", -1)))
+
+
+def dense_tiles(coo: DataFrame, n: int, width: int = 256) -> DataFrame:
+    """row, tile, vals: the dense rows of n columns in tiles of `width`, zeros filled in; a tile without an entry is all zero and not made.
+
+    A record holds one tile, however long the rows are.
+    """
+    tiles = coo.groupBy("row", F.expr(f"col div {width}").alias("tile")).agg(F.array_sort(F.collect_list(F.struct((F.col("col") % width).alias("col"), "v"))).alias("_e"))
+    tiles = tiles.select("row", "tile", F.col("_e.col").alias("cols"), F.col("_e.v").alias("vals"))
+    return tiles.select("row", "tile", _filled(F.least(F.lit(width), F.lit(n) - F.col("tile") * width)).alias("vals"))
 
 
 def write_sorted(coo: DataFrame, path: str, key: str = "row") -> None:

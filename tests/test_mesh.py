@@ -121,3 +121,12 @@ def test_gather_broadcasts_no_nodes_or_fields(spark):
     field = mesh.nodes.select("node_id", F.col("x").alias("v"))
     plan = fields.gather(mesh, u=field)._jdf.queryExecution().toString()
     assert "BroadcastHashJoin" not in plan and "BroadcastExchange" not in plan
+
+
+def test_dense_tiles_hold_rows_of_any_length(spark):
+    n = 120_001
+    coo = spark.createDataFrame([(0, 3, 2.0), (0, 5, -1.0), (0, n - 1, 4.0), (7, 255, 1.5), (7, 256, 2.5)], "row long, col long, v double")
+    got = {(r.row, r.tile): list(r.vals) for r in matrices.dense_tiles(coo, n).collect()}
+    assert set(got) == {(0, 0), (0, (n - 1) // 256), (7, 0), (7, 1)} and [len(got[k]) for k in sorted(got)] == [256, n % 256, 256, 256]
+    entries = {(r, t * 256 + c): v for (r, t), vs in got.items() for c, v in enumerate(vs) if v}
+    assert entries == {(r.row, r.col): r.v for r in coo.collect()}
