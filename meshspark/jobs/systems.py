@@ -76,7 +76,7 @@ def p12_quad8_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _ordered(spark: SparkSession, sf_dir: str, order: str) -> DataFrame:
-    return matrices.colour_in_order(matrices.mesh_pattern(_grid(spark, sf_dir).elements), order, block=256)
+    return matrices.colour_in_order(matrices.mesh_pattern(_grid(spark, sf_dir).elements), order)
 
 
 def p5_index_order(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str, instead: DataFrame | None = None) -> DataF
     return back
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Written tables of one schema, read as one."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(_PATHS[t] for t in tables))
+
+
 def deleted(*tables: DataFrame) -> None:
     """Delete the folders of written tables that nothing reads any more."""
     for table in tables:

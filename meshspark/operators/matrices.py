@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
-from .cut import deleted, written
+from .cut import deleted, together, written
 
 BUCKET = 1 << 16
 
+#: Columns and neighbours before them that one task colours in order.
+BLOCK = 1 << 19
+
 
 def _starts(counts: DataFrame, lead: list[str], at: str, span: int) -> DataFrame:
     """lead, at, _start: the sum of _n of all before, in levels of BUCKET while the span of `at` is large."""
@@ -198,7 +204,11 @@ def row_neighbours(pattern: DataFrame) -> DataFrame:
 
 def degree_order(pattern: DataFrame) -> DataFrame:
     """dof, degree, place: columns by falling number of neighbours, ties by falling dof."""
-    degree = pattern.select(F.col("col").alias("dof")).distinct().join(row_neighbours(pattern).groupBy(F.col("u").alias("dof")).agg(F.count("*").alias("degree")), "dof", "left")
+    return _degree_order(pattern.select(F.col("col").alias("dof")).distinct(), row_neighbours(pattern))
+
+
+def _degree_order(every: DataFrame, graph: DataFrame) -> DataFrame:
+    degree = every.join(graph.groupBy(F.col("u").alias("dof")).agg(F.count("*").alias("degree")), "dof", "left")
     degree = degree.select("dof", F.coalesce("degree", F.lit(0)).cast("long").alias("degree"))
     counts = degree.groupBy("degree").agg(F.count("*").alias("_n"))  # a row for each degree
     before = F.coalesce(F.sum("_n").over(W.orderBy(F.desc("degree")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
@@ -237,50 +247,62 @@ def colour(pattern: DataFrame, spread: int = 16, most_rounds: int = 200) -> Data
     raise RuntimeError("no colouring within the rounds allowed")
 
 
-def colour_in_order(pattern: DataFrame, order: str = "index", block: int = 4096) -> DataFrame:
+def colour_in_order(pattern: DataFrame, order: str = "index", block: int | None = None) -> DataFrame:
     """dof, color of the columns, each the least that no neighbour before it in the order has: the colours of the sequential greedy.
 
-    order: "index" is by rising dof, "degree" by falling number of neighbours and then by falling dof. A column
-    waits for its neighbours before it. In each round every block of `block` consecutive columns colours those of
-    its columns whose neighbours before are known, one after the other; what is new goes to the edges that wait
-    for it, and finished edges leave. Rounds are at most the number of blocks, and at most the longest chain of
-    waiting columns. A block's waiting edges are in one task: `block` times the number of neighbours.
+    order: "index" is by rising dof, "degree" by falling number of neighbours and then by falling dof. The
+    order is cut into blocks of `block` consecutive columns, or else of about BLOCK columns and neighbours before them, so that a
+    block fits a task. The greedy is sequential: block after block, a task colours its columns one after the
+    other, from the colours of its neighbours in the blocks before. A round reads its own block and those that
+    these neighbours are in, and writes its own colours, no others.
     """
     if order not in ("index", "degree"):
         raise ValueError("order is index or degree")
+    graph = written(row_neighbours(pattern), "graph")
     every = pattern.select(F.col("col").alias("dof")).distinct()
-    places = written((positions(every, "dof", "place") if order == "index" else degree_order(pattern)).select("dof", "place"), "places")
-    before = row_neighbours(pattern).join(places.select(F.col("dof").alias("u"), "place"), "u").join(places.select(F.col("dof").alias("v"), F.col("place").alias("_p")), "v").filter("_p < place")
-    waiting = places.join(before.select(F.col("u").alias("dof"), F.col("v").alias("before")), "dof", "left")
-    waiting = waiting.select((F.col("place") / block).cast("long").alias("block"), "place", "dof", "before", F.lit(None).cast("int").alias("color"))
-    waiting = written(waiting, "waiting")
+    places = written((positions(every, "dof", "place") if order == "index" else _degree_order(every, graph)).select("dof", "place"), "places")
+    before = graph.join(places.select(F.col("dof").alias("u"), "place"), "u").join(places.select(F.col("dof").alias("v"), F.col("place").alias("_p")), "v").filter("_p < place")
+    before = written(before.select("place", F.col("v").alias("before"), "_p"), "before")
+    if block:
+        blocks = places.withColumn("block", F.expr(f"place div {block}"))
+    else:
+        starts = row_pointer(before.select(F.col("place").alias("row")), places.count())
+        blocks = places.join(starts.withColumnRenamed("row", "place"), "place").select("dof", "place", F.expr(f"(ptr + place) div {BLOCK}").alias("block"))
+    waiting = blocks.join(before, "place", "left").select("block", "place", "dof", "before", "_p")
+    waiting = written(waiting.repartitionByRange("block").sortWithinPartitions("block"), "waiting")
+    deleted(graph, before)
 
     def run(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("place", "dof", "before", "color")), strict=True), key=lambda r: r[0])
+        place = table.column("place").to_numpy()
+        rows = table.take(pa.array(np.argsort(place, kind="stable")))
         found: dict[int, int] = {}
-        at = 0
-        while at < len(rows):
-            end, dof, taken = at, rows[at][1], set()
-            while end < len(rows) and rows[end][1] == dof:
-                _, _, v, color = rows[end]
-                if v is not None:
-                    taken.add(found.get(v) if color is None else color)
-                end += 1
-            if None not in taken:
-                found[dof] = next(c for c in range(len(taken) + 1) if c not in taken)
-            at = end
+        taken: set[int] = set()
+        dof = None
+        least = lambda: next(c for c in range(len(taken) + 1) if c not in taken)
+        for own, v, color in zip(*(rows.column(c).to_pylist() for c in ("dof", "before", "color")), strict=True):
+            if own != dof:
+                if dof is not None:
+                    found[dof] = least()
+                dof, taken = own, set()
+            if v is not None:
+                taken.add(found[v] if color is None else color)
+        if dof is not None:
+            found[dof] = least()
         return pa.table({"dof": pa.array(found.keys(), pa.int64()), "color": pa.array(found.values(), pa.int32())})
 
-    done = written(places.limit(0).select("dof", F.lit(0).alias("color")), "colors")
-    while not waiting.isEmpty():
-        new = written(waiting.groupBy("block").applyInArrow(run, "dof long, color int"), "new")
-        done = written(done.unionByName(new), "colors", done)
-        known = new.select(F.col("dof").alias("before"), F.col("color").alias("_new"))
-        left = waiting.join(new.select("dof"), "dof", "left_anti").join(known, "before", "left")
-        waiting = written(left.select("block", "place", "dof", "before", F.coalesce("color", "_new").alias("color")), "waiting", waiting)
-        deleted(new)
-    deleted(waiting, places)
-    return done
+    spans = waiting.groupBy("block").agg(F.min("place").alias("first"), F.min("_p").alias("least")).orderBy("block").collect()  # a row for each block
+    firsts, done = [r["first"] for r in spans], []
+    for k, span in enumerate(spans):
+        mine = waiting.filter(F.col("block") == span["block"])
+        needed = [] if span["least"] is None else done[bisect_right(firsts, span["least"]) - 1 : k]
+        if needed:
+            mine = mine.join(together(needed).withColumnRenamed("dof", "before"), "before", "left")
+        else:
+            mine = mine.withColumn("color", F.lit(None).cast("int"))
+        done.append(written(mine.select("block", "place", "dof", "before", "color").groupBy("block").applyInArrow(run, "dof long, color int"), "colors"))
+    none = places.limit(0).select("dof", F.lit(0).alias("color"))
+    deleted(waiting, *((places,) if done else ()))
+    return together(done) if done else none
 
 
 def colour_conflicts(pattern: DataFrame, colors: DataFrame) -> DataFrame:

@@ -428,3 +428,13 @@ def test_a_node_that_a_field_lacks_is_an_error(spark):
             states.global_dofs(lay, name, rows)
     with pytest.raises(IndexError):
         states.global_dofs(lay, "u", wanted, comp=2)
+
+
+@pytest.mark.parametrize("order", ["index", "degree"])
+def test_blocks_of_the_greedy_are_cut_by_columns_and_neighbours(spark, monkeypatch, order):
+    monkeypatch.setattr(matrices, "BLOCK", 40)
+    rng = random.Random(3)
+    rows = {r: set(rng.sample(range(30), rng.randint(1, 4))) for r in range(25)}
+    pattern = spark.createDataFrame([(r, c) for r, cs in rows.items() for c in cs], "row long, col long")
+    got = {r.dof: r.color for r in matrices.colour_in_order(pattern, order).collect()}
+    assert got == _greedy(rows, order)
