@@ -30,7 +30,7 @@ def node_owner(elements: DataFrame, partition: DataFrame) -> DataFrame:
 def local_nodes(elements: DataFrame, partition: DataFrame) -> DataFrame:
     """part, local_id, node_id, owner, is_owned: owned nodes first, then ghosts, each by rising id."""
     both = touched(elements, partition).withColumn("owner", F.min("part").over(W.partitionBy("node_id")))
-    both = both.withColumn("_ghost", (F.col("part") != F.col("owner")).cast("int"))
+    both = written(both.withColumn("_ghost", (F.col("part") != F.col("owner")).cast("int")), "touched")  # numbering reads it three times
     ranked = positions(both, "node_id", "local_id", by=("part",), first="_ghost")
     return ranked.select("part", "local_id", "node_id", "owner", (F.col("_ghost") == 0).alias("is_owned"))
 
@@ -75,7 +75,11 @@ def global_to_local(ids: DataFrame, l2g: DataFrame) -> DataFrame:
 
 
 def dof_layout(layout: DataFrame, components: int = 1) -> DataFrame:
-    """part, local_dof, natural_dof, global_dof, is_owned: owned unknowns are numbered part after part without gaps, ghosts have their owner's number."""
+    """part, local_dof, natural_dof, global_dof, is_owned: owned unknowns are numbered part after part without gaps, ghosts have their owner's number.
+
+    The layout is read three times, and so it is written to the shared folder first.
+    """
+    layout = written(layout, "layout")
     starts = offsets(layout).select(F.col("part").alias("owner"), "start")
     owned = layout.filter("is_owned").join(F.broadcast(starts), "owner").select("node_id", (F.col("start") + F.col("local_id")).alias("_g"))  # a row for a part
     all_of = layout.join(owned, "node_id").withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(components - 1))))
@@ -85,7 +89,7 @@ def dof_layout(layout: DataFrame, components: int = 1) -> DataFrame:
 
 def reduced_layout(dofs: DataFrame, constrained: DataFrame) -> DataFrame:
     """part, natural_dof, reduced_dof, is_owned of unknowns that constrained(dof) doesn't name: numbered part after part, by owned local numbers."""
-    free = dofs.join(constrained.select(F.col("dof").alias("natural_dof")), "natural_dof", "left_anti")
+    free = written(dofs.join(constrained.select(F.col("dof").alias("natural_dof")), "natural_dof", "left_anti"), "free")
     owned = positions(free.filter("is_owned"), "local_dof", "_rank", by=("part",))
     sizes = owned.groupBy("part").agg(F.count("*").alias("_n"))
     before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
@@ -96,6 +100,7 @@ def reduced_layout(dofs: DataFrame, constrained: DataFrame) -> DataFrame:
 
 def missing_masters(dofs: DataFrame, periodic: DataFrame) -> DataFrame:
     """part, natural_dof: masters that a part needs for its slaves and does not hold; to be fetched as further ghosts. A master no part holds is an error of the mesh: it has no owner to fetch from."""
+    dofs = written(dofs.select("part", "natural_dof"), "dofs")
     need = dofs.join(periodic.select(F.col("dof").alias("natural_dof"), "master"), "natural_dof").select("part", F.col("master").alias("natural_dof")).distinct()
     return need.join(dofs.select("part", "natural_dof"), ["part", "natural_dof"], "left_anti")
 

@@ -456,3 +456,26 @@ def test_several_large_cliques_are_united_once(spark, monkeypatch):
     pairs = {(a, b) for ds in sets.values() for a in ds for b in ds}
     got = {r.row: (r.n, r.v) for r in terms.pattern_of_terms(dep, 5).sums(dep.select("dof", (F.col("dof") * 1.0).alias("v")).distinct()).collect()}
     assert got == {a: (sum(c == a for c, _ in pairs), float(sum(b for c, b in pairs if c == a))) for a, _ in pairs}
+
+
+# What is moved and how often tables are read.
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_layouts_of_parts_read_their_elements_once_a_use(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    elements = spark.createDataFrame([(e, [e, e + 1, (e * 7) % 20]) for e in range(20)], "elem_id long, conn array<long>").mapInArrow(count, "elem_id long, conn array<long>")
+    partition = spark.range(20).select(F.col("id").alias("elem_id"), (F.col("id") % 3).cast("int").alias("part"))
+    dofs = parts.dof_layout(parts.local_nodes(elements, partition))
+    tied = spark.createDataFrame([(3, 11), (4, 12)], "dof long, master long")
+    assert parts.reduced_layout(dofs, tied).count() > 0 and parts.missing_masters(dofs, tied).count() >= 0
+    assert seen.value == 20
