@@ -78,9 +78,27 @@ def part_pointer(counts: DataFrame, key: str = "local_id") -> DataFrame:
     return c.withColumn("_in", within).join(starts, ["part", "_bucket"]).select("part", key, (F.col("_start") + F.col("_in")).cast("long").alias("ptr"))
 
 
+def once(df: DataFrame, *keys: str) -> DataFrame:
+    """df's distinct rows, dealt by the keys (all columns if none are given) before repeats are dropped: where few rows repeat, dropping them before the shuffle too costs memory and spills for nothing."""
+    return df.repartition(*(keys or df.columns)).distinct()
+
+
+def both_ways(half: DataFrame, a: str, b: str) -> DataFrame:
+    """a, b of pairs that are given one way, both ways; a pair of equal ends once."""
+    ways = F.when(F.col(a) == F.col(b), F.array(F.struct(a, b))).otherwise(F.array(F.struct(a, b), F.struct(F.col(b).alias(a), F.col(a).alias(b))))
+    return half.select(F.inline(ways))
+
+
+def node_pairs(elements: DataFrame) -> DataFrame:
+    """a, b of nodes that share an element, both ways, each pair once; pairs are made unique one way, a <= b."""
+    ends = elements.select(F.array_distinct("conn").alias("conn")).select(F.explode("conn").alias("a"), "conn")
+    half = ends.select("a", F.explode(F.filter("conn", lambda b: b >= F.col("a"))).alias("b"))
+    return both_ways(once(half), "a", "b")
+
+
 def mesh_pattern(elements: DataFrame, dofs: int = 1) -> DataFrame:
     """row, col of unknowns that share an element; node pairs are made unique before they are expanded."""
-    pairs = elements.select(F.explode("conn").alias("a"), "conn").select("a", F.explode("conn").alias("b")).distinct()
+    pairs = node_pairs(elements)
     each = F.sequence(F.lit(0), F.lit(dofs - 1))
     pairs = pairs.withColumn("i", F.explode(each)).withColumn("j", F.explode(each))
     return pairs.select((F.col("a") * dofs + F.col("i")).alias("row"), (F.col("b") * dofs + F.col("j")).alias("col"))
@@ -92,12 +110,17 @@ def term_pattern(dep: DataFrame) -> DataFrame:
     marks = unique.groupBy("term_id").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("dof")).alias("x"), F.sum(F.xxhash64("dof", F.lit(1)).cast("decimal(38,0)")).alias("s"))
     first = marks.groupBy("n", "x", "s").agg(F.min("term_id").alias("term_id")).select("term_id")
     kept = unique.join(first, "term_id", "left_semi")
-    return kept.withColumnRenamed("dof", "row").join(kept.withColumnRenamed("dof", "col"), "term_id").select("row", "col").distinct()
+    half = kept.withColumnRenamed("dof", "row").join(kept.withColumnRenamed("dof", "col"), "term_id").filter("row <= col").select("row", "col")
+    return both_ways(once(half), "row", "col")
 
 
 def asymmetric(pattern: DataFrame) -> DataFrame:
-    """The entries whose mirror image is missing."""
-    return pattern.join(pattern.select(F.col("col").alias("row"), F.col("row").alias("col")), ["row", "col"], "left_anti")
+    """The entries whose mirror image is missing: an entry and its image meet by their smaller and larger end, in one pass."""
+    up, down = F.coalesce(F.col("row") <= F.col("col"), F.lit(True)), F.coalesce(F.col("row") >= F.col("col"), F.lit(False))
+    ends = pattern.select(F.when(up, F.col("row")).otherwise(F.col("col")).alias("_low"), F.when(up, F.col("col")).otherwise(F.col("row")).alias("_high"), up.cast("long").alias("_up"), down.cast("long").alias("_down"))
+    seen = ends.repartition("_low", "_high").groupBy("_low", "_high").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down")).filter("_up = 0 OR _down = 0")
+    each = F.array_repeat(F.struct(F.when(F.col("_up") > 0, F.col("_low")).otherwise(F.col("_high")).alias("row"), F.when(F.col("_up") > 0, F.col("_high")).otherwise(F.col("_low")).alias("col")), (F.col("_up") + F.col("_down")).cast("int"))
+    return seen.select(F.inline(each))
 
 
 def matvec(coo: DataFrame, x: DataFrame) -> DataFrame:
@@ -159,8 +182,10 @@ def union_patterns(*patterns: DataFrame) -> DataFrame:
 
 
 def missing_entries(a: DataFrame, b: DataFrame) -> DataFrame:
-    """The entries of b that a lacks; a contains b if there are none."""
-    return b.select("row", "col").distinct().join(a.select("row", "col"), ["row", "col"], "left_anti")
+    """The entries of b that a lacks; a contains b if there are none. Entries of both meet in one pass."""
+    marked = a.select("row", "col", F.lit(True).alias("_a")).unionByName(b.select("row", "col", F.lit(False).alias("_a")))
+    seen = marked.repartition("row", "col").groupBy("row", "col").agg(F.bool_or("_a").alias("_in_a"), F.bool_and("_a").alias("_only_a"))
+    return seen.filter("NOT _only_a AND (NOT _in_a OR row IS NULL OR col IS NULL)").select("row", "col")
 
 
 def split_pattern(dep: DataFrame, split: int) -> DataFrame:
@@ -173,7 +198,7 @@ def split_pattern(dep: DataFrame, split: int) -> DataFrame:
 
 def layout_pattern(elements: DataFrame, fields: list[tuple[int, int, int]], others: list[tuple[int, int]]) -> DataFrame:
     """row, col of a packed state: nodal fields (base, stride, components) couple within elements, other unknowns (first, count) with themselves alone."""
-    pairs = elements.select(F.explode("conn").alias("a"), "conn").select("a", F.explode("conn").alias("b")).distinct()
+    pairs = node_pairs(elements)
     at = F.array(*(F.struct(F.lit(base + c).alias("base"), F.lit(stride).alias("stride")) for base, stride, n in fields for c in range(n)))
     pairs = pairs.withColumn("i", F.explode(at)).withColumn("j", F.explode(at))
     out = pairs.select((F.col("a") * F.col("i.stride") + F.col("i.base")).alias("row"), (F.col("b") * F.col("j.stride") + F.col("j.base")).alias("col"))
@@ -198,8 +223,13 @@ def row_neighbours(pattern: DataFrame) -> DataFrame:
 
     Its size is the sum of the squared row lengths before repeats are merged; dense rows must be kept out.
     """
-    p = pattern.select("row", "col").distinct()
-    return p.withColumnRenamed("col", "u").join(p.withColumnRenamed("col", "v"), "row").filter("u <> v").select("u", "v").distinct()
+    return both_ways(_neighbours(pattern), "u", "v")
+
+
+def _neighbours(pattern: DataFrame) -> DataFrame:
+    """u, v: the pairs of row_neighbours() with u < v alone."""
+    p = once(pattern.select("row", "col"), "row")
+    return once(p.withColumnRenamed("col", "u").join(p.withColumnRenamed("col", "v"), "row").filter("u < v").select("u", "v"))
 
 
 def degree_order(pattern: DataFrame) -> DataFrame:

@@ -479,3 +479,28 @@ def test_layouts_of_parts_read_their_elements_once_a_use(spark):
     tied = spark.createDataFrame([(3, 11), (4, 12)], "dof long, master long")
     assert parts.reduced_layout(dofs, tied).count() > 0 and parts.missing_masters(dofs, tied).count() >= 0
     assert seen.value == 20
+
+
+def test_pairs_are_made_unique_one_way(spark):
+    elements = spark.createDataFrame([(0, [3, 1, 2]), (1, [2, 3, 3]), (2, [5])], "elem_id long, conn array<long>")
+    want = {(a, b) for c in ({1, 2, 3}, {5}) for a in c for b in c}
+    rows = [tuple(r) for r in matrices.mesh_pattern(elements).collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    pattern = spark.createDataFrame([(0, 3), (0, 1), (0, 2), (1, 2), (1, 3), (1, 3), (2, 5)], "row long, col long")
+    rows = [tuple(r) for r in matrices.row_neighbours(pattern).collect()]
+    assert len(rows) == 6 and set(rows) == {(a, b) for a, b in want if a != b}
+    rows = [tuple(r) for r in matrices.term_pattern(pattern.toDF("term_id", "dof")).collect()]
+    assert len(rows) == len(want) and set(rows) == want
+    for moved in (matrices.mesh_pattern(elements), matrices.row_neighbours(pattern), matrices.term_pattern(pattern.toDF("term_id", "dof"))):
+        last = _plan(moved).split("Exchange")[1]  # what the last shuffle moves is one way, and not aggregated before
+        assert "REPARTITION_BY_COL" in last and "HashAggregate" not in last.split("+-")[1]
+
+
+def test_entries_meet_in_one_pass(spark):
+    pattern = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 1), (3, 3), (1, 4), (None, 2), (2, None)], "row long, col long")
+    got = matrices.asymmetric(pattern)
+    assert sorted(map(str, got.collect())) == sorted(map(str, pattern.filter("row IS NULL OR col IS NULL OR (row = 2 AND col = 1) OR (row = 1 AND col = 4)").collect()))
+    other = spark.createDataFrame([(0, 1), (5, 5), (5, 5), (2, 1), (None, 2)], "row long, col long")
+    lacking = matrices.missing_entries(pattern, other)
+    assert sorted(map(str, lacking.collect())) == ["Row(row=5, col=5)", "Row(row=None, col=2)"]
+    assert "Join" not in _plan(got) + _plan(lacking)
