@@ -15,6 +15,9 @@ from .cut import deleted, together, written
 
 BUCKET = 1 << 16
 
+#: The most classes that colour() deals columns into.
+CLASSES = 16
+
 #: Columns and neighbours before them that one task colours in order.
 BLOCK = 1 << 19
 
@@ -249,32 +252,60 @@ def _degree_order(every: DataFrame, graph: DataFrame) -> DataFrame:
 def colour(pattern: DataFrame, spread: int = 16, most_rounds: int = 200) -> DataFrame:
     """dof, color of the columns: two that meet in a row differ.
 
-    In each round every column without a colour proposes one of the `spread` smallest that no
-    neighbour has, by hash; where neighbours propose the same, the one of the larger hash keeps it.
-    The largest hash always does, so rounds end; their number is logarithmic on bounded degrees. Each
-    round is written to the shared folder. Reruns give the same colours.
+    The columns are dealt into classes by hash, so many that a column has about `spread` neighbours in its own, and in
+    each round a class joins the columns without a colour. It takes the colours of its neighbours that have one, and its edges to those that
+    have none; so an edge is moved once when its later end joins, and again only while both ends are open. In each round every
+    open column proposes one of the `spread` smallest colours that no neighbour has, by hash; where neighbours propose the same, the one of the
+    larger hash keeps it. The largest hash always does, so rounds end; after the last class their number is logarithmic on
+    bounded degrees. Edges and rounds are written to the shared folder. Reruns give the same colours.
     """
-    edges = written(row_neighbours(pattern), "graph")
-    every = written(pattern.select(F.col("col").alias("dof")).distinct(), "columns")
-    done = written(every.limit(0).withColumn("color", F.lit(0)), "colors")
-    left = every
+    bucket = lambda c: F.pmod(F.xxhash64(c, F.lit(-2)), F.lit(CLASSES)).cast("int")
+    first = F.when(bucket("u") <= bucket("v"), F.struct(F.col("u").alias("early"), F.col("v").alias("late"))).otherwise(F.struct(F.col("v").alias("early"), F.col("u").alias("late")))
+    edges = written(_neighbours(pattern).select(F.inline(F.array(first))).withColumn("bucket", bucket("late")), "edges", by=("bucket",))
+    every = written(pattern.select(F.col("col").alias("dof")).distinct().withColumn("bucket", bucket("dof")), "columns")
+    classes = min(max(-(-2 * edges.count() // max(every.count() * spread, 1)), 1), CLASSES)
+    nothing = F.array().cast("array<int>")
+    left = open_ = kept = held = None
+    rounds = []
     for number in range(most_rounds):
-        if left.isEmpty():
-            deleted(edges, *(() if left is every else (left, every)))
-            return done
-        taken = edges.join(done.withColumnRenamed("dof", "v"), "v").groupBy(F.col("u").alias("dof")).agg(F.collect_set("color").alias("_taken"))
-        tries = left.join(taken, "dof", "left").withColumn("_taken", F.coalesce("_taken", F.array().cast("array<int>")))
+        if number < classes:
+            mine = lambda df: df.filter(f"bucket * {classes} div {CLASSES} = {number}").drop("bucket")  # noqa: B023, E731
+            fresh, met, reached = mine(every).withColumn("_taken", nothing), mine(edges), None
+            if rounds:
+                reached = written(met.join(_coloured(rounds).withColumnRenamed("dof", "early"), "early", "left"), "reached")
+                taken = reached.filter("color IS NOT NULL").groupBy(F.col("late").alias("dof")).agg(F.collect_set("color").alias("_seen"))
+                fresh = fresh.join(taken, "dof", "left").select("dof", F.coalesce("_seen", nothing).alias("_taken"))
+                met = reached.filter("color IS NULL")
+            met = both_ways(met, "early", "late").toDF("u", "v")
+            left, open_ = (fresh, met) if left is None else (left.unionByName(fresh), open_.unionByName(met))
+        left, open_ = written(left, "left", kept), written(open_, "open", held)
+        if number < classes and reached is not None:
+            deleted(reached)
+        kept, held = left, open_
         room = F.array_except(F.sequence(F.lit(0), F.size("_taken") + spread - 1), F.col("_taken"))
-        tries = tries.select("dof", F.get(room, F.pmod(F.xxhash64("dof", F.lit(number)), F.lit(spread)).cast("int")).alias("color"), F.xxhash64("dof", F.lit(-1)).alias("_h"))
-        tries = written(tries, "tries")
-        lost = edges.join(tries.select(F.col("dof").alias("u"), F.col("color").alias("cu"), F.col("_h").alias("hu")), "u")
-        lost = lost.join(tries.select(F.col("dof").alias("v"), F.col("color").alias("cv"), F.col("_h").alias("hv")), "v")
-        lost = lost.filter("cu = cv AND (hu < hv OR (hu = hv AND u < v))").select(F.col("u").alias("dof")).distinct()
-        done = written(done.unionByName(tries.join(lost, "dof", "left_anti").select("dof", "color")), "colors", done)
-        left = written(every.join(done, "dof", "left_anti"), "left", None if left is every else left)
-        edges = written(edges.join(left.withColumnRenamed("dof", "u"), "u", "left_semi"), "graph", edges)  # those of columns that are open
-        deleted(tries)
-    raise RuntimeError("no colouring within the rounds allowed")
+        tries = left.select("dof", "_taken", F.get(room, F.pmod(F.xxhash64("dof", F.lit(number)), F.lit(spread)).cast("int")).alias("color"))
+        mark = F.xxhash64("dof", F.lit(-1))
+        both = open_.join(tries.select(F.col("dof").alias("u"), F.col("color").alias("cu"), mark.alias("hu")), "u")
+        both = both.join(tries.select(F.col("dof").alias("v"), F.col("color").alias("cv"), mark.alias("hv")), "v")
+        beaten = both.filter("cu = cv AND (hu < hv OR (hu = hv AND u < v))").select(F.col("u").alias("dof")).distinct().withColumn("_lost", F.lit(True))
+        rounds.append(written(tries.join(beaten, "dof", "left").withColumn("_lost", F.coalesce("_lost", F.lit(False))), "round"))
+        lost, new = rounds[-1].filter("_lost").select("dof", "_taken"), _coloured(rounds[-1:])
+        if number >= classes - 1 and lost.isEmpty():
+            break
+        still = open_.join(lost.select(F.col("dof").alias("u")), "u", "left_semi")  # edges of columns that are open
+        seen = still.join(new.withColumnRenamed("dof", "v"), "v").groupBy(F.col("u").alias("dof")).agg(F.collect_set("color").alias("_new"))
+        left = lost.join(seen, "dof", "left").select("dof", F.array_union("_taken", F.coalesce("_new", nothing)).alias("_taken"))
+        open_ = still.join(lost.select(F.col("dof").alias("v")), "v", "left_semi").select("u", "v")
+    else:
+        raise RuntimeError("no colouring within the rounds allowed")
+    done = written(_coloured(rounds), "colors")
+    deleted(edges, every, left, open_, *rounds)
+    return done
+
+
+def _coloured(rounds: list[DataFrame]) -> DataFrame:
+    """dof, color of the columns that kept what they proposed."""
+    return together(rounds).filter("NOT _lost").select("dof", "color")
 
 
 def colour_in_order(pattern: DataFrame, order: str = "index", block: int | None = None) -> DataFrame:

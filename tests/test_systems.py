@@ -504,3 +504,20 @@ def test_entries_meet_in_one_pass(spark):
     lacking = matrices.missing_entries(pattern, other)
     assert sorted(map(str, lacking.collect())) == ["Row(row=5, col=5)", "Row(row=None, col=2)"]
     assert "Join" not in _plan(got) + _plan(lacking)
+
+
+def test_colouring_moves_an_edge_once_for_its_later_end(spark, monkeypatch):
+    rng = random.Random(5)
+    pattern = spark.createDataFrame([(r, c) for r in range(600) for c in rng.sample(range(120), 4)], "row long, col long")
+    rows = []
+
+    def counted(df, name, *instead, **more):
+        out = written(df, name, *instead, **more)
+        if name in ("graph", "edges", "reached", "open"):
+            rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(matrices, "written", counted)
+    colors = matrices.colour(pattern)
+    assert colors.count() == 120 and matrices.colour_conflicts(pattern, colors).count() == 0
+    assert sum(rows) < 2 * matrices.row_neighbours(pattern).count()
