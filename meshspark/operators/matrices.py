@@ -18,6 +18,9 @@ BUCKET = 1 << 16
 #: The most classes that colour() deals columns into.
 CLASSES = 16
 
+#: Unknowns on a side of a tile of solve_cg().
+TILE = 1 << 12
+
 #: Columns and neighbours before them that one task colours in order.
 BLOCK = 1 << 19
 
@@ -388,6 +391,15 @@ def decompress(pattern: DataFrame, colors: DataFrame, compressed: DataFrame) ->
     return at.join(compressed, ["row", "color"], "left").select("row", "col", F.coalesce("v", F.lit(0.0)).alias("v"))
 
 
+def _tiles(coo: DataFrame, places: DataFrame, tasks: int) -> DataFrame:
+    """tile, up, rows(at, e(c, v)): the entries of each block of TILE columns and TILE rows in one record, rows numbered by places(dof, at), columns within the tile; in `tasks` partitions by tile."""
+    for end in ("row", "col"):
+        coo = coo.join(places.select(F.col("dof").alias(end), F.col("at").alias(f"_{end}")), end)
+    cells = coo.select(F.expr(f"_col div {TILE}").alias("tile"), F.col("_row").alias("at"), F.struct((F.col("_col") % TILE).cast("int").alias("c"), "v").alias("e"))
+    rows = cells.repartition(tasks, "tile").groupBy("tile", "at").agg(F.collect_list("e").alias("e"))
+    return rows.groupBy("tile", F.expr(f"at div {TILE}").alias("up")).agg(F.collect_list(F.struct("at", "e")).alias("rows"))
+
+
 def solve_cg(coo: DataFrame, rhs: DataFrame, tol: float = 1e-10, most: int = 500) -> DataFrame:
     """dof, x of coo x = rhs(dof, v), by conjugate gradients scaled by the diagonal; coo symmetric and positive.
 
@@ -395,6 +407,8 @@ def solve_cg(coo: DataFrame, rhs: DataFrame, tol: float = 1e-10, most: int = 500
     with steps and an end of its own, and x is an array. Unknowns are the matrix's rows; one that rhs doesn't name has 0 there.
     A component stops at a residual of tol times its first. Two sums for each component go to the driver in an iteration;
     the vectors are written to the shared folder and replace those before, so that lineage stays short and a lost executor costs one iteration.
+    Unknowns are numbered and the matrix is cut into tiles of TILE by TILE, which are dealt by their columns once and kept there; an
+    iteration moves the vectors to the tiles and a sum for each tile and row, never the matrix.
     Errors: a row without a positive diagonal, a load on an unknown without a row, a matrix that turns
     out not to be positive, and no convergence within `most` iterations.
     """
@@ -410,9 +424,12 @@ def solve_cg(coo: DataFrame, rhs: DataFrame, tol: float = 1e-10, most: int = 500
         raise ValueError("a row without a positive diagonal")
     if not load.join(diagonal, "dof", "left_anti").isEmpty():
         raise ValueError("a load on an unknown that has no row")
+    places = written(positions(diagonal, "dof", "at"), "places")
+    tasks = max(min(-(-places.count() // TILE), int(coo.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    tiles = _tiles(coo, places, tasks).persist()
     zeros = F.array(*(F.lit(0.0) for _ in each)).cast("array<double>")
     vector = lambda cs: F.array(*cs).cast("array<double>")
-    state = diagonal.join(load, "dof", "left").select("dof", zeros.alias("x"), F.coalesce("v", zeros).alias("r"), "d")
+    state = places.join(load, "dof", "left").select("dof", "at", zeros.alias("x"), F.coalesce("v", zeros).alias("r"), "d")
     state = state.withColumn("p", F.transform("r", lambda r: r / F.col("d")))
     state = held = written(state, "state")
     deleted(load)
@@ -423,20 +440,24 @@ def solve_cg(coo: DataFrame, rhs: DataFrame, tol: float = 1e-10, most: int = 500
     for _ in range(most):
         if not any(open_):
             break
-        product = coo.join(state.select(F.col("dof").alias("col"), "p"), "col").groupBy(F.col("row").alias("dof")).agg(vector(F.sum(F.col("v") * F.col("p")[c]) for c in each).alias("q"))
-        state = held = written(state.join(product, "dof"), "state", held)
+        parts = state.select(F.expr(f"at div {TILE}").alias("tile"), "at", "p").repartition(tasks, "tile").groupBy("tile").agg(F.array_sort(F.collect_list(F.struct("at", "p"))).alias("_b"))
+        of_row = lambda e, c: F.aggregate(e, F.lit(0.0), lambda a, x: a + x["v"] * F.get(F.col("_b.p"), x["c"])[c])
+        sums = tiles.join(parts, "tile").select(F.inline(F.transform("rows", lambda r: F.struct(r["at"].alias("at"), vector(of_row(r["e"], c) for c in each).alias("q")))))
+        product = sums.groupBy("at").agg(vector(F.sum(F.col("q")[c]) for c in each).alias("q"))
+        state = held = written(state.join(product, "at"), "state", held)
         pq = total(state, lambda c: F.col("p")[c] * F.col("q")[c])
         if any(o and not v > 0 for o, v in zip(open_, pq, strict=True)):
             raise ValueError("the matrix is not positive")
         a = [rz[c] / pq[c] if open_[c] else 0.0 for c in each]
         x, r = (vector(F.col(y)[c] + F.col(z)[c] * F.lit(sign * a[c]) for c in each) for y, z, sign in (("x", "p", 1), ("r", "q", -1)))
-        state = state.select("dof", x.alias("x"), r.alias("r"), "p", "d")
+        state = state.select("dof", "at", x.alias("x"), r.alias("r"), "p", "d")
         new = total(state, squares)
         b = [new[c] / rz[c] if open_[c] else 0.0 for c in each]
-        state = state.select("dof", "x", "r", vector(F.col("r")[c] / F.col("d") + F.col("p")[c] * F.lit(b[c]) for c in each).alias("p"), "d")
+        state = state.select("dof", "at", "x", "r", vector(F.col("r")[c] / F.col("d") + F.col("p")[c] * F.lit(b[c]) for c in each).alias("p"), "d")
         rz = new
         open_ = [o and not rz[c] <= tol * tol * first[c] for c, o in zip(each, open_, strict=True)]
     if any(open_):
         raise RuntimeError(f"no convergence within {most} iterations: components {[c for c in each if open_[c]]}")
-    deleted(coo)
+    tiles.unpersist()
+    deleted(coo, places)
     return state.select("dof", F.col("x") if many else F.col("x")[0].alias("x"))

@@ -521,3 +521,14 @@ def test_colouring_moves_an_edge_once_for_its_later_end(spark, monkeypatch):
     colors = matrices.colour(pattern)
     assert colors.count() == 120 and matrices.colour_conflicts(pattern, colors).count() == 0
     assert sum(rows) < 2 * matrices.row_neighbours(pattern).count()
+
+
+def test_conjugate_gradients_over_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(matrices, "TILE", 3)
+    rng = np.random.default_rng(2)
+    a = rng.uniform(-1, 1, (8, 8)) * (rng.uniform(size=(8, 8)) < 0.4)
+    a = a + a.T + 9 * np.eye(8)
+    coo = spark.createDataFrame([(i * 10, j * 10, float(a[i, j])) for i in range(8) for j in range(8) if a[i, j]], "row long, col long, v double")
+    rhs = rng.uniform(-1, 1, (8, 2))
+    x = matrices.solve_cg(coo, spark.createDataFrame([(i * 10, r.tolist()) for i, r in enumerate(rhs)], "dof long, v array<double>")).collect()
+    assert len(x) == 8 and np.allclose([r.x for r in sorted(x)], np.linalg.solve(a, rhs))
