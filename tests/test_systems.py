@@ -493,7 +493,7 @@ def test_pairs_are_made_unique_one_way(spark):
     assert len(rows) == len(want) and set(rows) == want
     for moved in (matrices.mesh_pattern(elements), matrices.row_neighbours(pattern), matrices.term_pattern(pattern.toDF("term_id", "dof"))):
         last = _plan(moved).split("Exchange")[1]  # what the last shuffle moves is one way, and not aggregated before
-        assert "REPARTITION_BY_COL" in last and "HashAggregate" not in last.split("+-")[1]
+        assert "REPARTITION_BY_NUM" in last and "HashAggregate" not in last.split("+-")[1]
 
 
 def test_entries_meet_in_one_pass(spark):
