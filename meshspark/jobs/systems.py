@@ -118,6 +118,12 @@ def _each_order(spark: SparkSession, sf_dir: str, job) -> DataFrame:
     return out
 
 
+def _orders_at_once(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, C.AffineMap]]:
+    """The free unknowns, which are the same in each order, and the map of each."""
+    dofs, _, rules = _ruled(spark, sf_dir)
+    return written(C.free_dofs(dofs, list(rules.values())), "free"), {order: C.composed([rules[k] for k in order]) for order in ORDERS}
+
+
 def l2_lift_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _each_order(spark, sf_dir, lambda dofs, vec, free, cs: C.lift(C.reduce(vec, free), dofs.withColumn("v", F.lit(0.0)), free, cs).select("dof", _v("v", 6)))
 
@@ -127,8 +133,8 @@ def l5_adjoint_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def l10_pattern_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pattern = written(matrices.mesh_pattern(_grid(spark, sf_dir).elements, dofs=2), "pattern")
-    return _each_order(spark, sf_dir, lambda dofs, vec, free, cs: C.adapt_pattern(pattern, free, cs))
+    pattern = matrices.mesh_pattern(_grid(spark, sf_dir).elements, dofs=2)
+    return C.adapt_patterns(pattern, *_orders_at_once(spark, sf_dir)).withColumnRenamed("name", "ord")
 
 
 def l14_matrix_orders(spark: SparkSession, sf_dir: str) -> DataFrame:

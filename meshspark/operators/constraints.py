@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .cut import written
-from .matrices import matvec, positions
+from .matrices import dealt, matvec, once, positions
 
 
 class Constraint:
@@ -243,10 +243,15 @@ def reduce_pattern(pattern: DataFrame, free: DataFrame) -> DataFrame:
 
 def adapt_pattern(pattern: DataFrame, free: DataFrame, constraints: Constraints | AffineMap) -> DataFrame:
     """The pattern of the reduced matrix: both ends follow the composed map."""
-    to = to_free(free, constraints)
-    for end in ("row", "col"):
-        pattern = pattern.join(to.select(F.col("dof").alias(end), F.col("reduced").alias(f"_{end}")), end)
-    return pattern.select(F.col("_row").alias("row"), F.col("_col").alias("col")).distinct()
+    if not constraints:
+        return once(reduce_pattern(pattern, free))
+    return adapt_patterns(pattern, free, {"": constraints}).select("row", "col")
+
+
+def adapt_patterns(pattern: DataFrame, free: DataFrame, maps: dict[str, Constraints | AffineMap]) -> DataFrame:
+    """name, row, col: adapt_pattern() for each of several constraints with the same free unknowns, in one pass over the pattern."""
+    seen = _numbered(_followed(pattern.select("row", "col"), maps), free)
+    return _of_each(seen.groupBy("row", "col").agg(_seen()), list(maps)).select("name", "row", "col")
 
 
 def lifted(fn: Callable[[DataFrame], DataFrame], free: DataFrame, constraints: Constraints, full: DataFrame, output: str | None = None) -> Callable[[DataFrame], DataFrame]:
@@ -290,10 +295,68 @@ def reduce_matrix(coo: DataFrame, free: DataFrame, constraints: Constraints | Af
 
     Entries, summed or not, meet the table of the composed map once for each end and are summed once.
     """
-    to = to_free(free, constraints)
+    if not constraints:
+        return _numbered(coo.select("row", "col", "v"), free).groupBy("row", "col").agg(F.sum("v").alias("v"))
+    return reduce_matrices(coo, free, {"": constraints}).select("row", "col", "v")
+
+
+def reduce_matrices(coo: DataFrame, free: DataFrame, maps: dict[str, Constraints | AffineMap]) -> DataFrame:
+    """name, row, col, v: reduce_matrix() for each of several constraints with the same free unknowns, in one pass over the entries.
+
+    An entry that none of them touches moves once, whatever their number; the sums of each are columns of fixed width.
+    """
+    seen = _numbered(_followed(coo.select("row", "col", "v"), maps), free)
+    sums = [F.sum(F.when(F.col("_map") == k, F.col("v"))).alias(f"_v{k}") for k in range(len(maps))]
+    summed = seen.groupBy("row", "col").agg(_seen(), F.sum(F.when(F.col("_map").isNull(), F.col("v"))).alias("_v"), *sums)
+    return _of_each(summed, list(maps), lambda k: F.coalesce(F.col("_v") + F.col(f"_v{k}"), "_v", f"_v{k}")).select("name", "row", "col", "v")
+
+
+def _seen() -> Column:
+    """The maps that an entry is in, as bits: the lowest for all of them, the next ones for each."""
+    return F.bit_or(F.expr("if(_map IS NULL, 1L, shiftleft(2L, _map))")).alias("_in")
+
+
+def _followed(entries: DataFrame, maps: dict[str, Constraints | AffineMap]) -> DataFrame:
+    """Entries whose ends, still in full numbers, are sources, with v times the weights, and _map, the place of the map that made them; null for entries that no map touches, which stay one row.
+
+    Of the maps only the tables are joined, as small as the constraints. An unknown that one map touches and another does not is its own source in the latter.
+    """
+    if len(maps) > 60:
+        raise ValueError("more than 60 maps at once")
+    tables = [composed(m).table.select("dof", "source", "weight", F.lit(k).alias("_k")) for k, m in enumerate(maps.values())]
+    touched = tables[0]
+    for t in tables[1:]:
+        touched = touched.unionByName(t)
+    touched = touched.filter("source IS NULL OR weight <> 0")
+    if len(maps) > 1:
+        touched = written(touched, "touched")
+        every = F.array(*(F.lit(k) for k in range(len(maps))))
+        lacking = touched.filter("source IS NULL").groupBy("dof").agg(F.collect_set("_k").alias("_ks")).select("dof", F.explode(F.array_except(every, "_ks")).alias("_k"))
+        own = F.inline(F.array(F.struct(F.lit(None).cast("long").alias("source"), F.lit(0.0).alias("weight")), F.struct(F.col("dof").alias("source"), F.lit(1.0).alias("weight"))))
+        touched = touched.unionByName(lacking.select("dof", "_k", own))
+    touched = written(touched, "maps")  # read for both ends; its size is known when they are planned
+    out = entries.withColumn("_map", F.lit(None).cast("int"))
     for end in ("row", "col"):
-        coo = coo.join(to.select(F.col("dof").alias(end), F.col("reduced").alias(f"_{end}"), F.col("weight").alias(f"_w{end}")), end)
-    return coo.groupBy(F.col("_row").alias("row"), F.col("_col").alias("col")).agg(F.sum(F.col("v") * F.col("_wrow") * F.col("_wcol")).alias("v"))
+        to = touched.select(F.col("dof").alias("_dof"), F.col("source").alias("_source"), F.col("weight").alias("_weight"), "_k")
+        meets = (F.col(end) == F.col("_dof")) & (F.col("_map").isNull() | (F.col("_map") == F.col("_k")))
+        out = out.join(to, meets, "left").filter("_dof IS NULL OR _source IS NOT NULL")
+        v = [(F.col("v") * F.coalesce("_weight", F.lit(1.0))).alias("v")] if "v" in entries.columns else []
+        other = "col" if end == "row" else "row"
+        out = out.select(F.coalesce("_source", end).alias(end), other, *v, F.coalesce("_map", "_k").alias("_map"))
+    return out
+
+
+def _numbered(entries: DataFrame, free: DataFrame) -> DataFrame:
+    """Entries in reduced numbers, free ones only, dealt by row and column."""
+    for end in ("row", "col"):
+        entries = entries.join(free.select(F.col("dof").alias(end), F.col("reduced").alias("_n")).hint("merge"), end).drop(end).withColumnRenamed("_n", end)
+    return dealt(entries, "row", "col")
+
+
+def _of_each(seen: DataFrame, names: list[str], value: Callable[[int], Column] | None = None) -> DataFrame:
+    """name, row, col[, v] of every map that an entry is in."""
+    each = (F.struct(F.lit(name).alias("name"), F.expr(f"_in & {1 + (2 << k)}L <> 0").alias("_on"), *([value(k).alias("v")] if value else [])) for k, name in enumerate(names))
+    return seen.select("row", "col", F.inline(F.array(*each))).filter("_on")
 
 
 def reduce_system(coo: DataFrame, rhs: DataFrame, all_dofs: DataFrame, free: DataFrame, constraints: Constraints | AffineMap) -> tuple[DataFrame, DataFrame]:

@@ -86,10 +86,10 @@ def part_pointer(counts: DataFrame, key: str = "local_id") -> DataFrame:
 
 def once(df: DataFrame, *keys: str) -> DataFrame:
     """df's distinct rows, dealt by the keys (all columns if none are given) before repeats are dropped: where few rows repeat, dropping them before the shuffle too costs memory and spills for nothing."""
-    return _dealt(df, *(keys or df.columns)).distinct()
+    return dealt(df, *(keys or df.columns)).distinct()
 
 
-def _dealt(df: DataFrame, *keys: str) -> DataFrame:
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """df in as many partitions as spark.sql.shuffle.partitions says: not joined into fewer by their compressed size, which says little of the memory that their rows take."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
@@ -129,7 +129,7 @@ def asymmetric(pattern: DataFrame) -> DataFrame:
     """The entries whose mirror image is missing: an entry and its image meet by their smaller and larger end, in one pass."""
     up, down = F.coalesce(F.col("row") <= F.col("col"), F.lit(True)), F.coalesce(F.col("row") >= F.col("col"), F.lit(False))
     ends = pattern.select(F.when(up, F.col("row")).otherwise(F.col("col")).alias("_low"), F.when(up, F.col("col")).otherwise(F.col("row")).alias("_high"), up.cast("long").alias("_up"), down.cast("long").alias("_down"))
-    seen = _dealt(ends, "_low", "_high").groupBy("_low", "_high").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down")).filter("_up = 0 OR _down = 0")
+    seen = dealt(ends, "_low", "_high").groupBy("_low", "_high").agg(F.sum("_up").alias("_up"), F.sum("_down").alias("_down")).filter("_up = 0 OR _down = 0")
     each = F.array_repeat(F.struct(F.when(F.col("_up") > 0, F.col("_low")).otherwise(F.col("_high")).alias("row"), F.when(F.col("_up") > 0, F.col("_high")).otherwise(F.col("_low")).alias("col")), (F.col("_up") + F.col("_down")).cast("int"))
     return seen.select(F.inline(each))
 
@@ -195,7 +195,7 @@ def union_patterns(*patterns: DataFrame) -> DataFrame:
 def missing_entries(a: DataFrame, b: DataFrame) -> DataFrame:
     """The entries of b that a lacks; a contains b if there are none. Entries of both meet in one pass."""
     marked = a.select("row", "col", F.lit(True).alias("_a")).unionByName(b.select("row", "col", F.lit(False).alias("_a")))
-    seen = _dealt(marked, "row", "col").groupBy("row", "col").agg(F.bool_or("_a").alias("_in_a"), F.bool_and("_a").alias("_only_a"))
+    seen = dealt(marked, "row", "col").groupBy("row", "col").agg(F.bool_or("_a").alias("_in_a"), F.bool_and("_a").alias("_only_a"))
     return seen.filter("NOT _only_a AND (NOT _in_a OR row IS NULL OR col IS NULL)").select("row", "col")
 
 

@@ -1,6 +1,7 @@
 """Vector forms, composed constraints, ordered colourings, solutions and points, against dense or sequential versions."""
 
 import itertools
+import os
 import random
 from dataclasses import dataclass
 
@@ -9,12 +10,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshspark.functions.basis import ELEMENTS
+from meshspark.jobs import systems
 from meshspark.operators import blocks, bordered, fields, locate, matrices, parts, states, terms
 from meshspark.operators import constraints as C
 from meshspark.operators.cut import written
 from meshspark.sources.grids import Mesh, box, line_mesh, pair_boundaries, rectangle, select_nodes
 
 
+SF = "/root/testdata/sf0.001"
+
+
 def _dense(coo, n, m=None):
     out = np.zeros((n, m or n))
     for r in coo.collect():
@@ -174,6 +179,41 @@ def test_every_order_follows_one_map(spark):
         C.checked([C.Weighted(table([(1, 99, 1.0)], "dof long, master long, weight double"))], dofs)
 
 
+def test_several_maps_follow_one_pass_over_the_entries(spark):
+    n = 7
+    dofs = spark.range(n).withColumnRenamed("id", "dof")
+    tied = C.Periodic(spark.createDataFrame([(1, 4), (2, 5)], "dof long, master long"))
+    made = C.Weighted(spark.createDataFrame([(1, 2, 0.5), (1, 3, 2.0), (6, 1, -1.0), (6, 4, 0.0)], "dof long, master long, weight double"))
+    fixed = C.Fixed(spark.createDataFrame([(0, 1.0), (2, 3.0)], "dof long, value double"))
+    free = written(C.free_dofs(dofs, [tied, made, fixed]), "free")
+    maps = {"all": [fixed, tied, made], "turned": C.composed([made, tied, fixed]).kept(), "few": [tied]}  # 0 and 6 are touched by the first two alone, and not free
+    entries = [(i, j, 10.0 * i + j + 1) for i in range(n) for j in range(n) if (i + 2 * j) % 3] + [(3, 4, 0.5), (3, 5, None), (3, 3, None), (None, 3, 1.0), (9, 3, 1.0)]
+    coo = spark.createDataFrame(entries, "row long, col long, v double")
+    got, seen = {name: {} for name in maps}, {name: set() for name in maps}
+    for r in C.reduce_matrices(coo, free, maps).collect():
+        assert got[r.name].setdefault((r.row, r.col), r.v) == r.v
+    for r in C.adapt_patterns(coo, free, maps).collect():
+        assert (r.row, r.col) not in seen[r.name]
+        seen[r.name].add((r.row, r.col))
+    for name, cs in maps.items():
+        to = {}
+        for r in C.to_free(free, cs).collect():
+            to.setdefault(r.dof, []).append((r.reduced, r.weight))
+        want = {}
+        for i, j, v in entries:
+            for (a, s), (b, w) in itertools.product(to.get(i, []), to.get(j, [])):
+                want.setdefault((a, b), []).extend([] if v is None else [v * s * w])
+        assert seen[name] == want.keys()
+        assert got[name].keys() == want.keys() and all(got[name][k] == (pytest.approx(sum(v)) if v else None) for k, v in want.items()), name
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_orders_of_constraints_move_the_entries_once(spark):
+    for query in (systems.l10_pattern_orders,):
+        plan = _plan(query(spark, SF)).split("Initial Plan")[-1]
+        assert plan.count("Exchange hashpartitioning") < 20, query
+
+
 def test_a_slave_that_is_fixed_afterwards_gives_its_master_nothing(spark):
     dofs = spark.range(3).withColumnRenamed("id", "dof")
     cs = [C.Periodic(spark.createDataFrame([(0, 2)], "dof long, master long")), C.Fixed(spark.createDataFrame([(0, 0.0)], "dof long, value double"))]
