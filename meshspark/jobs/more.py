@@ -16,7 +16,7 @@ from ..operators import fields, matrices, parts, states
 from ..operators.cut import folder, written
 from ..sources import grids
 from ..sources.grids import Mesh
-from .work import PARTS, _constrained, _coo, _field, _grid, _orders, _r, _table, w1_local_nodes
+from .work import PARTS, _constrained, _coo, _field, _grid, _orders, _parted_orders, _r, _table, w1_local_nodes
 
 
 def _parts_count(spark: SparkSession, sf_dir: str) -> int:
@@ -529,12 +529,10 @@ def a12_gather_global(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def j7_ghost_add_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often two parts share an order, added up from each part's own numbers."""
-    elements, partition = _orders(spark, sf_dir)
-    nodes = w1_local_nodes(spark, sf_dir).select("part", "node_id", "local_id")
-    ends = elements.join(partition, "elem_id").select("elem_id", "part", F.posexplode("conn").alias("a", "node_id")).join(nodes, ["part", "node_id"])
-    pairs = ends.select("part", "elem_id", F.col("local_id").alias("row")).join(ends.select("part", "elem_id", F.col("local_id").alias("col")), ["part", "elem_id"])
-    local = pairs.groupBy("part", "row", "col").agg(F.count("*").cast("double").alias("v"))
-    return parts.ghost_add_matrix(_dofs(spark, sf_dir, 1), local)
+    layout = written(w1_local_nodes(spark, sf_dir), "layout")
+    ends = _parted_orders(spark, sf_dir).select("part", "elem_id", F.explode("conn").alias("node_id"))
+    local = ends.join(layout.select("part", "node_id", F.col("local_id").alias("local_dof")), ["part", "node_id"])
+    return parts.ghost_add_elements(parts.dof_layout(layout), local.select("part", "elem_id", "local_dof"))
 
 
 def j9_dof_range(spark: SparkSession, sf_dir: str) -> DataFrame:

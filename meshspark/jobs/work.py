@@ -41,13 +41,18 @@ def _coo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.agg(F.sum(F.col("l_quantity").cast("double")).alias("v"))
 
 
-def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Orders as elements whose nodes are the parts ordered, and eight runs of orders as parts."""
+def _parted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as elements whose nodes are the parts ordered, with the part of each: eight runs of orders."""
     lines = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey")))
     items = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").cast("long").alias("elem_id")).agg(lines.alias("_l"))
-    elements = items.select("elem_id", F.col("_l.l_partkey").cast("array<bigint>").alias("conn"))
     n = _table(spark, sf_dir, "orders").count()
-    return elements, elements.select("elem_id", parts.chunks(F.col("elem_id"), n, PARTS).alias("part"))
+    return items.select("elem_id", F.col("_l.l_partkey").cast("array<bigint>").alias("conn"), parts.chunks(F.col("elem_id"), n, PARTS).alias("part"))
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The same as elements, and the partition of them."""
+    both = _parted_orders(spark, sf_dir)
+    return both.select("elem_id", "conn"), both.select("elem_id", "part")
 
 
 def _r(c: Column | str, places: int = 6) -> Column:
@@ -175,7 +180,7 @@ def a6_node_owner(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def w1_local_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return parts.local_nodes(*_orders(spark, sf_dir))
+    return parts.local_nodes(_parted_orders(spark, sf_dir))
 
 
 def w2_part_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,11 @@ def written(df: DataFrame, name: str, instead: DataFrame | None = None, by: tupl
     return back
 
 
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """df as it is if it is a written table, else written."""
+    return df if df in _PATHS else written(df, name)
+
+
 def together(tables: list[DataFrame]) -> DataFrame:
     """Written tables of one schema, read as one."""
     return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*(_PATHS[t] for t in tables))

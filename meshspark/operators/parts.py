@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .cut import written
-from .matrices import positions
+from .cut import kept, written
+from .matrices import dealt, positions
 from .states import Layout, subset_items
 
 
@@ -17,17 +17,18 @@ def chunks(elem_id: Column, n: int, parts: int) -> Column:
     return F.least(F.floor(elem_id / size), F.lit(parts - 1)).cast("int")
 
 
-def touched(elements: DataFrame, partition: DataFrame) -> DataFrame:
-    """part, node_id: the nodes of each part's elements."""
-    return elements.join(partition, "elem_id").select("part", F.explode("conn").alias("node_id")).distinct()
+def touched(elements: DataFrame, partition: DataFrame | None = None) -> DataFrame:
+    """part, node_id: the nodes of each part's elements; without a partition, elements have their own column part."""
+    parted = elements if partition is None else elements.join(partition, "elem_id")
+    return parted.select("part", F.explode("conn").alias("node_id")).distinct()
 
 
-def node_owner(elements: DataFrame, partition: DataFrame) -> DataFrame:
+def node_owner(elements: DataFrame, partition: DataFrame | None = None) -> DataFrame:
     """node_id, owner: the smallest part that touches the node."""
     return touched(elements, partition).groupBy("node_id").agg(F.min("part").alias("owner"))
 
 
-def local_nodes(elements: DataFrame, partition: DataFrame) -> DataFrame:
+def local_nodes(elements: DataFrame, partition: DataFrame | None = None) -> DataFrame:
     """part, local_id, node_id, owner, is_owned: owned nodes first, then ghosts, each by rising id."""
     both = touched(elements, partition).withColumn("owner", F.min("part").over(W.partitionBy("node_id")))
     both = written(both.withColumn("_ghost", (F.col("part") != F.col("owner")).cast("int")), "touched")  # numbering reads it three times
@@ -77,9 +78,9 @@ def global_to_local(ids: DataFrame, l2g: DataFrame) -> DataFrame:
 def dof_layout(layout: DataFrame, components: int = 1) -> DataFrame:
     """part, local_dof, natural_dof, global_dof, is_owned: owned unknowns are numbered part after part without gaps, ghosts have their owner's number.
 
-    The layout is read three times, and so it is written to the shared folder first.
+    The layout is read three times, and so it is written to the shared folder first, if it isn't yet.
     """
-    layout = written(layout, "layout")
+    layout = kept(layout, "layout")
     starts = offsets(layout).select(F.col("part").alias("owner"), "start")
     owned = layout.filter("is_owned").join(F.broadcast(starts), "owner").select("node_id", (F.col("start") + F.col("local_id")).alias("_g"))  # a row for a part
     all_of = layout.join(owned, "node_id").withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(components - 1))))
@@ -123,6 +124,23 @@ def ghost_add_matrix(dofs: DataFrame, local: DataFrame) -> DataFrame:
     return local.groupBy(F.col("_row").alias("row"), F.col("_col").alias("col")).agg(F.sum("v").alias("v"))
 
 
+def ghost_add_elements(dofs: DataFrame, ends: DataFrame) -> DataFrame:
+    """row, col, v in global numbers: how often two unknowns meet in an element, over the elements of all parts, each given by ends(part, elem_id, local_dof) in its part's own numbers.
+
+    What ghost_add_matrix() gives of the parts' matrices, which are not made here: ends get their owner's
+    number before they are paired, and pairs, of which there are many more, move once and one way. Only an
+    element's own ends are collected.
+    """
+    numbered = ends.join(dofs.select("part", "local_dof", "global_dof"), ["part", "local_dof"])
+    rows = dealt(numbered, "part", "elem_id").groupBy("part", "elem_id").agg(F.array_sort(F.collect_list("global_dof")).alias("_e"))
+    lower = rows.select("_e", F.posexplode("_e").alias("_i", "_a"))
+    pairs = lower.select("_a", F.posexplode(F.slice("_e", F.col("_i") + 1, F.size("_e"))).alias("_j", "_b"))
+    once = pairs.select("_a", "_b", F.when((F.col("_j") > 0) & (F.col("_a") == F.col("_b")), 2).otherwise(1).alias("_n"))
+    half = dealt(once, "_a", "_b").groupBy("_a", "_b").agg(F.sum("_n").cast("double").alias("v"))
+    way = lambda row, col: F.struct(F.col(row).alias("row"), F.col(col).alias("col"), "v")
+    return half.select(F.inline(F.when(F.col("_a") == F.col("_b"), F.array(way("_a", "_b"))).otherwise(F.array(way("_a", "_b"), way("_b", "_a")))))
+
+
 def merge_replicas(replicas: DataFrame, n: int, parts: int) -> DataFrame:
     """part, dof, v: the sum of all replicas(dof, v) of a vector of n, each unknown in the part whose block holds it."""
     summed = replicas.groupBy("dof").agg(F.sum("v").alias("v"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meshspark.functions.basis import ELEMENTS
-from meshspark.jobs import systems
+from meshspark.jobs import more, systems
 from meshspark.operators import blocks, bordered, fields, locate, matrices, parts, states, terms
 from meshspark.operators import constraints as C
 from meshspark.operators.cut import written
@@ -536,6 +536,31 @@ def test_pairs_are_made_unique_one_way(spark):
         assert "REPARTITION_BY_NUM" in last and "HashAggregate" not in last.split("+-")[1]
 
 
+def test_elements_of_parts_add_up_as_their_matrices(spark):
+    conn = {0: (0, [3, 1, 3, 2]), 1: (0, [2]), 2: (1, [1, 4, 2]), 3: (1, [4, 4, 4]), 4: (2, [3, 2]), 5: (2, [0, 1, 3, 3])}
+    elements = spark.createDataFrame([(e, p, c) for e, (p, c) in conn.items()], "elem_id long, part int, conn array<long>")
+    layout = written(parts.local_nodes(elements), "layout")
+    assert sorted(map(tuple, layout.collect())) == sorted(map(tuple, parts.local_nodes(elements.drop("part"), elements.drop("conn")).collect()))
+    dofs = parts.dof_layout(layout)
+    number = {(r.part, r.natural_dof): (r.local_dof, r.global_dof) for r in dofs.collect()}
+    ends = spark.createDataFrame([(p, e, number[p, n][0]) for e, (p, c) in conn.items() for n in c], "part int, elem_id long, local_dof long")
+    want, local = {}, {}
+    for p, c in conn.values():
+        for a, b in itertools.product(c, c):
+            for table, key in ((want, (number[p, a][1], number[p, b][1])), (local, (p, number[p, a][0], number[p, b][0]))):
+                table[key] = table.get(key, 0.0) + 1
+    got = [tuple(r) for r in parts.ghost_add_elements(dofs, ends).collect()]
+    assert sorted(got) == sorted((*k, v) for k, v in want.items())
+    of_matrices = parts.ghost_add_matrix(dofs, spark.createDataFrame([(*k, v) for k, v in local.items()], "part int, row long, col long, v double"))
+    assert sorted(map(tuple, of_matrices.collect())) == sorted(got)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+def test_pairs_of_parts_move_once(spark):
+    last = _plan(more.j7_ghost_add_matrix(spark, SF)).split("Exchange")[1]
+    assert "REPARTITION_BY_NUM" in last and "Aggregate" not in last.split("+-")[1] and "Join" not in last.split("+-")[1]
+
+
 def test_entries_meet_in_one_pass(spark):
     pattern = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (2, 1), (3, 3), (1, 4), (None, 2), (2, None)], "row long, col long")
     got = matrices.asymmetric(pattern)
