@@ -139,8 +139,8 @@ def l10_pattern_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def l14_matrix_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = blocks.interleaved(2)
-    k = written(blocks.entries(_elastic(_grid(spark, sf_dir)), both, both), "stiffness")
-    return _each_order(spark, sf_dir, lambda dofs, vec, free, cs: C.reduce_matrix(k, free, cs).select("row", "col", _v("v", 7)))
+    k = blocks.entries(_elastic(_grid(spark, sf_dir)), both, both)
+    return C.reduce_matrices(k, *_orders_at_once(spark, sf_dir)).select(F.col("name").alias("ord"), "row", "col", _v("v", 7))
 
 
 def l9_values_each(spark: SparkSession, sf_dir: str) -> DataFrame:
